@@ -94,7 +94,7 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capac
     shards = max(1, -(-df.count() // shard_rows))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), size_of(F.col(text_col)).alias("size"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).alias("shard"))
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
         size = part["size"].to_numpy(np.int64)
         pieces = np.maximum(1, -(-size // longest))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_extract, language_id, mixing, packing, quality, topk_search, warc
+from . import ann, html_extract, jaccard_join, language_id, mixing, packing, quality, topk_search, warc
 from .runtime import ship
 
 
@@ -31,6 +31,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(_table(spark, sf_dir, "pages"))
@@ -58,6 +63,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk_search, op2_language_id, op3_best_fit_packing, op5_html_extract, op6_quality_classifier, op8_mix_sources, op9_ann_curves, op10_warc)
+    f.__name__: f for f in (op1_topk_search, op2_language_id, op3_best_fit_packing, op4_jaccard_join, op5_html_extract, op6_quality_classifier, op8_mix_sources, op9_ann_curves, op10_warc)
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.SQL, "op8_mix_sources": mixing.SQL, "op10_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.SQL, "op4_jaccard_join": jaccard_join.SQL, "op8_mix_sources": mixing.SQL, "op10_warc": warc.SQL}
