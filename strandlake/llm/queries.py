@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_extract, jaccard_join, language_id, mixing, packing, quality, topk_search, warc
+from . import ann, html_extract, jaccard_join, language_id, mixing, packing, quality, suffix_dedup, topk_search, warc
 from .runtime import ship
 
 
@@ -46,6 +46,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 200-byte strings that occur elsewhere."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' target shares."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
@@ -63,6 +69,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk_search, op2_language_id, op3_best_fit_packing, op4_jaccard_join, op5_html_extract, op6_quality_classifier, op8_mix_sources, op9_ann_curves, op10_warc)
+    f.__name__: f for f in (op1_topk_search, op2_language_id, op3_best_fit_packing, op4_jaccard_join, op5_html_extract, op6_quality_classifier, op7_suffix_dedup, op8_mix_sources, op9_ann_curves, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.SQL, "op4_jaccard_join": jaccard_join.SQL, "op8_mix_sources": mixing.SQL, "op10_warc": warc.SQL}
