@@ -15,8 +15,16 @@ BROADCAST_BYTES = 16 << 20
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Arrow batches of whole texts: rows and bytes at most, set where the session has larger ones.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers that share this file tree import the package."""
+    """Let Python workers that share this file tree import the package, and bound their Arrow batches."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, "0") or "0"
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if _ROOT not in parts:

@@ -247,7 +247,7 @@ def read_warc(spark, folder: str, *, max_record: int = 1 << 28) -> DataFrame:
                         digest = h.get("warc-payload-digest", "")
                         rows.append((path, offset, length, kind, h.get("reason"), h.get("warc-type"), h.get("warc-target-uri"), number(h.get("x-page-id")), block if kind == "record" else None, digest[5:] if digest.startswith("sha1:") else None, number(h.get("x-refers-to-page-id"))))
                         held += len(block)
-                        if held > 8 * BLOCK:
+                        if held > 2 * BLOCK:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                             rows, held = [], 0
                 if rows:
