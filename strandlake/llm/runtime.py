@@ -22,8 +22,8 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execut
 def ship(spark: SparkSession) -> None:
     """Let Python workers that share this file tree import the package, and bound their Arrow batches."""
     for key, most in BATCH.items():
-        now = spark.conf.get(key, "0") or "0"
-        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+        now = (spark.conf.get(key) or "").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, most)
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(":") if p]
