@@ -10,8 +10,8 @@ doesn't follow also gives keys for its empty blocks.
 
 Equal sets are one class from the start. Keys are dealt to buckets as one packed row for each set and bucket.
 Groups of sets that share a key are reduced to distinct member lists. Every member is verified exactly against
-the group's centre (the member of most groups); members that are then still in different components are
-compared by a 2048-bit parity sketch in blocks of at most ``BLOCK_ROWS`` rows, and verified too. So a group of
+the group's centre (the member of most groups) where a 2048-bit parity sketch allows a link; members that are then still in different components are
+compared by these sketches in blocks of at most ``BLOCK_ROWS`` rows, and verified too. So a group of
 many near copies costs a star and not all pairs, and no link between different texts is lost.
 
 Defined cases: a null or empty text or one without words has an empty set, is linked with nothing and is its own
@@ -35,6 +35,8 @@ from .textops import as_bytes, chunks, mix, shingle_sets
 
 U = np.uint64
 BUCKET_KEYS = 2_000_000
+#: Low bytes of a key that are kept in its bucket; equal ones by chance only make a few more candidates.
+KEY_BYTES = 5
 BLOCK_ROWS = 1024
 SKETCH_WORDS = 32
 
@@ -116,16 +118,17 @@ def _sets(words: int):
 
 
 def _classes(docs: DataFrame, words: int) -> DataFrame:
-    """id, n_shingles and class of every row."""
+    """id, n_shingles, class and parity sketch of every row."""
     of = _sets(words)
 
     def run(batches):
         for b in batches:
             for i, j, sets, at in of(b, 1):
                 n = np.diff(at)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(set_ids(sets, at).view(np.int64), mask=n == 0)], names=["doc_id", "n_shingles", "class"])
+                bits = pa.array([parity_bits(sets[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(set_ids(sets, at).view(np.int64), mask=n == 0), bits], names=["doc_id", "n_shingles", "class", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary")
 
 
 def _packed(docs: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -143,13 +146,14 @@ def _packed(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                 size = np.diff(at)[first]
                 own = np.concatenate([[0], np.cumsum(size)])
                 keys, row = sketch_keys(sets[np.repeat(at[first] - own[:-1], size) + np.arange(own[-1])], own)
-                bucket = (keys >> U(33)) % U(buckets)
+                bucket = (keys >> U(40)) % U(buckets)
                 place = bucket.astype(np.int64) * len(first) + row
                 order = np.argsort(place, kind="stable")
                 place, keys = place[order], keys[order]
                 start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-                offs = np.r_[start, len(place)].astype(np.int32) * 8
-                packed = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(keys.tobytes())])
+                offs = np.r_[start, len(place)].astype(np.int32) * KEY_BYTES
+                low = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+                packed = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(low.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array((place[start] // len(first)).astype(np.int32)), pa.array(ids[first][place[start] % len(first)].view(np.int64)), packed], names=["bucket", "class", "keys"])
 
     return docs.mapInArrow(run, "bucket int, class long, keys binary")
@@ -158,8 +162,10 @@ def _packed(docs: DataFrame, words: int, buckets: int) -> DataFrame:
 def _groups(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Distinct member lists of the keys of one bucket: rows (group, class)."""
     data, offs = as_bytes(table.column("keys"))
-    keys = np.frombuffer(data.tobytes(), U)
-    ids = np.repeat(table.column("class").to_numpy(), np.diff(offs) // 8)
+    keys = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    keys[:, :KEY_BYTES] = data.reshape(-1, KEY_BYTES)
+    keys = keys.view(U)[:, 0]
+    ids = np.repeat(table.column("class").to_numpy(), np.diff(offs) // KEY_BYTES)
     order = np.argsort(keys)
     keys, ids = keys[order], ids[order]
     same = np.zeros(len(keys) + 1, bool)
@@ -198,6 +204,15 @@ def _close(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def _allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, na, nb, bits_a, bits_b), the pairs whose sizes and sketches allow a link."""
+    for b in batches:
+        one, two = (np.frombuffer(as_bytes(b.column(k))[0].tobytes(), U).reshape(-1, SKETCH_WORDS) for k in (4, 5))
+        na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+        ok = (9 * np.bitwise_count(one ^ two).sum(1, dtype=np.int64) <= na + nb) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
@@ -206,6 +221,28 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return got.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
 
 
+def _token_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str, words: int) -> DataFrame:
+    """class and its sorted tokens for the classes in ``pairs``, read again from the text of one row of each."""
+    of = _sets(words)
+
+    def run(batches):
+        for b in batches:
+            for _, _, sets, at in of(b, 1):
+                full = np.flatnonzero(np.diff(at) > 0)
+                yield pa.RecordBatch.from_pydict({"class": pa.array(set_ids(sets, at)[full].view(np.int64)), "tokens": pa.array([sets[at[r] : at[r + 1]].view(np.int64) for r in full], pa.list_(pa.int64()))})
+
+    wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct().join(classes, "class").select("class", "first")
+    wanted = scratch.save(wanted, f"{name}-wanted")
+    n = wanted.count()
+    # a class without any id is looked for among the rows without one
+    few = docs.join(small(wanted.select(F.col("first").alias("doc_id")).distinct(), n, 24), "doc_id", "left_semi").unionAll(docs.where("doc_id is null"))
+    got = few.select("doc_id", "text").mapInArrow(run, "class long, tokens array<long>").join(small(wanted.select("class"), n, 24), "class", "left_semi")
+    got = scratch.save(got, name)
+    if got.count() != n:  # rows with equal ids
+        got = scratch.save(got.dropDuplicates(["class"]), f"{name}-once")
+    return got
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: components of texts of Jaccard similarity 0.8 or more."""
     spark = df.sparkSession
@@ -215,44 +252,32 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
     keys = rows.agg(F.sum("n_shingles")).head()[0] or 0
     buckets = max(partitions(spark), int(0.7 * keys) // BUCKET_KEYS + 1)
-    packed = _packed(docs, words, buckets)
-    members = packed.groupBy("bucket").applyInArrow(_groups, "group long, class long").distinct()
+    members = _packed(docs, words, buckets).groupBy("bucket").applyInArrow(_groups, "group long, class long").distinct()
     members = scratch.save(members, "members")
     weight = members.groupBy("class").agg(F.count("*").alias("w"))
-    centre = members.join(weight, "class").groupBy("group").agg(F.max(F.struct("w", "class"))["class"].alias("centre"), F.count("*").alias("size"))
+    sketch = rows.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    sketch = scratch.save(sketch.join(weight, "class"), "sketches")
+    centre = members.join(sketch.select("class", "w"), "class").groupBy("group").agg(F.max(F.struct("w", "class"))["class"].alias("centre"), F.count("*").alias("size"))
     centre = scratch.save(centre, "centres")
     pairs = members.join(centre, "group").where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
     pairs = scratch.save(pairs, "pairs")
-    wanted = members.select("class").distinct().join(classes, "class")
-    wanted = scratch.save(wanted.select("class", "first", "n"), "wanted")
-    n = wanted.count()
-    of = _sets(words)
-
-    def tokens(batches):
-        for b in batches:
-            for _, _, sets, at in of(b, 1):
-                ids = set_ids(sets, at)
-                full = np.flatnonzero(np.diff(at) > 0)
-                parts = [sets[at[r] : at[r + 1]] for r in full]
-                yield pa.RecordBatch.from_pydict({"class": pa.array(ids[full].view(np.int64)), "n": pa.array(np.diff(at)[full]), "bits": pa.array([parity_bits(p) for p in parts], pa.binary()), "tokens": pa.array([p.view(np.int64) for p in parts], pa.list_(pa.int64()))})
-
-    # a class's texts are read from the row with its smallest id; a row without an id stands for a class that has no other
-    few = docs.join(small(wanted.select(F.col("first").alias("doc_id")).distinct(), n, 24), "doc_id", "left_semi")
-    lone = docs.where("doc_id is null")
-    sets = few.unionAll(lone).select("doc_id", "text").mapInArrow(tokens, "class long, n long, bits binary, tokens array<long>")
-    sets = scratch.save(sets.join(small(wanted.select("class"), n, 24), "class", "left_semi").dropDuplicates(["class"]), "sets")
-    links = scratch.save(_verify(pairs, sets, 80), "links")
+    side = lambda x: sketch.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_allow, "a long, b long")
+    near = scratch.save(near, "near")
+    links = scratch.save(_verify(near, _token_sets(near, docs, classes, scratch, "sets", words), 80), "links")
+    scratch.drop("near", "sets")
     comp = components(links, scratch, "star")
     comp = scratch.save(comp, "comp-star")
     left = members.join(centre.where("size > 2").select("group", "size"), "group").join(comp.withColumnRenamed("node", "class"), "class", "left")
     left = left.select("group", "size", "class", F.coalesce("component", "class").alias("component"))
     mixed = left.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("group")
-    left = left.join(scratch.save(mixed, "mixed"), "group").join(sets.select("class", "n", "bits"), "class")
+    left = left.join(scratch.save(mixed, "mixed"), "group").join(sketch.select("class", "n", "bits"), "class")
     left = left.withColumn("cells", F.ceil(F.col("size") / BLOCK_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("cells")).cast("int"))
     cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     cells = cells.select("group", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "class", "component", "n", "bits", "block")
     more = cells.groupBy("group", "one", "two").applyInArrow(_close, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = scratch.save(_verify(scratch.save(more, "more"), sets, 80), "more-links")
+    more = scratch.save(more, "more")
+    more = scratch.save(_verify(more, _token_sets(more, docs, classes, scratch, "more-sets", words), 80), "more-links")
     every = links.unionAll(more)
     final = components(every, scratch, "all")
     label = classes.join(final.withColumnRenamed("node", "class"), "class", "left")
@@ -260,7 +285,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     label = scratch.save(label, "labels")
     least = scratch.save(label.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     label = scratch.save(label.join(least, "component").select(F.col("class").alias("of_class"), "component_id"), "classes")
-    scratch.drop("members", "centres", "pairs", "sets", "mixed", "more", "comp-star")
+    scratch.drop("members", "centres", "pairs", "sketches", "more-sets", "mixed", "more", "comp-star")
     out = rows.join(label, rows["class"] == label["of_class"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
