@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import Scratch, partitions, small
+from .runtime import Scratch, small
 from .textops import as_bytes, chunks, mix, shingle_sets
 
 U = np.uint64
 BUCKET_KEYS = 2_000_000
+#: Buckets at least; a set has a packed row for each bucket that it has keys in.
+BUCKETS = 64
 #: Low bytes of a key that are kept in its bucket; equal ones by chance only make a few more candidates.
 KEY_BYTES = 5
 BLOCK_ROWS = 1024
@@ -251,7 +253,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = scratch.save(_classes(docs, words), "rows")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
     keys = rows.agg(F.sum("n_shingles")).head()[0] or 0
-    buckets = max(partitions(spark), int(0.7 * keys) // BUCKET_KEYS + 1)
+    buckets = max(BUCKETS, 1 << (int(0.7 * keys) // BUCKET_KEYS).bit_length())
     members = _packed(docs, words, buckets).groupBy("bucket").applyInArrow(_groups, "group long, class long").distinct()
     members = scratch.save(members, "members")
     weight = members.groupBy("class").agg(F.count("*").alias("w"))
