@@ -43,6 +43,7 @@ GRAM = 32
 RUN = 169
 SHARD_BYTES = 6 << 20
 QUEUE_BYTES = 64 << 20
+BATCH = 1 << 20
 
 _CODE = np.random.default_rng(977).integers(1, 2**63, 256).astype(U)
 
@@ -122,12 +123,34 @@ class Runs:
         path, place, n, kind = b
         return np.fromfile(path, kind, n, offset=place), np.fromfile(path, np.uint8, n, offset=place + n * kind.itemsize)
 
+    def _size(self, k: int) -> int:
+        b = self.blocks[k]
+        return len(b[0]) if len(b) == 2 else b[2]
+
+    def _join(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.load(k) for k in range(i, j)]
+        return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
     def pop(self):
-        """The next block, or None; blocks stay readable by :meth:`load`."""
-        if self.taken == len(self.blocks):
-            return None
-        self.taken += 1
-        return self.load(self.taken - 1)
+        """The waiting items in order, up to ``BATCH`` unless one block has more, or None; they stay readable."""
+        i = j = self.taken
+        size = 0
+        while j < len(self.blocks) and (j == i or size + self._size(j) <= BATCH):
+            size += self._size(j)
+            j += 1
+        self.taken = j
+        return self._join(i, j) if i < j else None
+
+    def backwards(self):
+        """Batches from the last to the first; items in a batch are in order."""
+        j = len(self.blocks)
+        while j:
+            i, size = j, 0
+            while i and (i == j or size + self._size(i - 1) <= BATCH):
+                size += self._size(i - 1)
+                i -= 1
+            yield self._join(i, j)
+            j = i
 
     def free(self) -> None:
         self.pool.held -= sum(b[0].nbytes + b[1].nbytes for b in self.blocks if len(b) == 2)
@@ -317,8 +340,7 @@ def repeated_starts(text: np.ndarray, length: int = LENGTH, queue_bytes: int = Q
                 last = at[-1]
                 scan.feed(at, lcp)
             after = 0 if last is None else None
-            for k in range(len(larger[c].blocks) - 1, -1, -1):
-                at, lcp = larger[c].load(k)
+            for at, lcp in larger[c].backwards():
                 down = np.empty_like(lcp)
                 down[1:] = lcp[:0:-1]
                 if after is None:
