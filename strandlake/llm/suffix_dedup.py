@@ -41,7 +41,7 @@ U = np.uint64
 LENGTH = 200
 GRAM = 32
 RUN = 169
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 QUEUE_BYTES = 64 << 20
 BATCH = 1 << 20
 
@@ -225,14 +225,14 @@ def _lms_order(text: np.ndarray, lms: np.ndarray, length: int) -> np.ndarray:
     size = np.diff(np.r_[lms, len(text)])
     # rank S-type substrings: by up to 6 symbols at a time, ties by the next ones
     rank = np.zeros(m, np.int64)
-    pad = np.concatenate([text, np.zeros(16, text.dtype)]).astype(U)
+    pad = np.concatenate([text, np.zeros(16, text.dtype)])
     depth, longest = 0, int(size.max()) + 1
     span = np.r_[size[:-1] + 1, 1]
     live = np.arange(m)
     while len(live) and depth < min(longest, length + 8):
         key = np.zeros(len(live), U)
         for d in range(6):
-            key = (key << U(9)) | np.where(depth + d < span[live], pad[np.minimum(lms[live] + depth + d, len(text))], U(511))
+            key = (key << U(9)) | np.where(depth + d < span[live], pad[np.minimum(lms[live] + depth + d, len(text))].astype(U), U(511))
         base = rank[live]
         order = np.lexsort((key, base))
         b, k = base[order], key[order]
@@ -295,7 +295,7 @@ def repeated_starts(text: np.ndarray, length: int = LENGTH, queue_bytes: int = Q
     change = np.flatnonzero(text[1:] != text[:-1])
     run_end = np.r_[change, n - 1]
     run_size = np.diff(np.r_[-1, run_end])
-    run = (np.repeat(run_end, run_size) - np.arange(n) + 1).astype(np.int64)  # equal symbols from here on
+    run = np.minimum(np.repeat(run_end, run_size) - np.arange(n) + 1, 255).astype(np.uint8)  # equal symbols from here on
     next_ = np.r_[text[change + 1], 0]
     is_s = np.repeat(text[run_end] < next_, run_size)
     is_s[-1] = True
@@ -321,7 +321,7 @@ def repeated_starts(text: np.ndarray, length: int = LENGTH, queue_bytes: int = Q
             i, j = seed_at[c], seed_at[c + 1]
             if i < j:
                 lcp = seed_lcp[i:j].copy()
-                lcp[0] = 0 if last is None else min(cap, run[last], run[seeds[i]])
+                lcp[0] = 0 if last is None else min(cap, int(run[last]), int(run[seeds[i]]))
                 scan.feed(seeds[i:j], lcp)
             elif last is None:
                 continue
@@ -344,7 +344,7 @@ def repeated_starts(text: np.ndarray, length: int = LENGTH, queue_bytes: int = Q
                 down = np.empty_like(lcp)
                 down[1:] = lcp[:0:-1]
                 if after is None:
-                    after = min(cap, run[last], run[at[-1]])
+                    after = min(cap, int(run[last]), int(run[at[-1]]))
                     if after >= length:
                         flag[last] = flag[at[-1]] = True
                 down[0] = after
