@@ -19,6 +19,10 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
+#: For Python workers: memory that is freed goes back to the system.
+WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers that share this file tree import the package, and bound their Arrow batches."""
     for key, most in BATCH.items():
@@ -26,6 +30,8 @@ def ship(spark: SparkSession) -> None:
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, most)
     env = spark.sparkContext.environment
+    for key, value in WORKER.items():
+        env.setdefault(key, value)
     parts = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if _ROOT not in parts:
         env["PYTHONPATH"] = ":".join([_ROOT, *parts])
