@@ -41,7 +41,7 @@ U = np.uint64
 LENGTH = 200
 GRAM = 32
 RUN = 169
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 QUEUE_BYTES = 64 << 20
 BATCH = 1 << 20
 
