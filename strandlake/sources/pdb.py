@@ -17,7 +17,7 @@ PURINES = ["A", "G", "DA", "DG", "RA", "RG"]
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, line of every line of the files."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return text.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
