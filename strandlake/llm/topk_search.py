@@ -56,14 +56,14 @@ def exact_top_k(df: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec
     asked = scratch.save(scaled(queries).withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("vec_id")) - 1) / query_block).cast("long")).withColumn("part", F.spark_partition_id()), "queries")
     groups = [(r["part"], r["block"]) for r in asked.groupBy("part", "block").count().select("part", "block", "count").sort("part", "block").toLocalIterator()]
     bound_of_rows = rows.select(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("n")).agg(F.max("n")).head()[0]
-    parts, held, size = [], [], 0
+    held: list = []
     done: list[DataFrame] = []
 
     def flush():
-        nonlocal held, size
+        nonlocal held
         if held:
             done.append(scratch.save(_group(rows, held, float(bound_of_rows or 0.0), k, bins), f"found-{len(done)}"))
-        held, size = [], 0
+        held = []
 
     for part, block in groups:  # small parts of the query table make one group together
         got = asked.where((F.col("part") == part) & (F.col("block") == block)).select("vec_id", "vec").collect()
@@ -72,7 +72,6 @@ def exact_top_k(df: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec
             if len(held) == query_block:
                 flush()
     flush()
-    del parts
     if not done:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = done[0]
