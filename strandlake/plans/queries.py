@@ -25,10 +25,6 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
 
 
-def _long(inv: DataFrame) -> DataFrame:
-    return rounded(inv)
-
-
 @_query
 def segment_lengths(s, d):
     return rounded(geometry.segments(bindings.frames(s, d)).where("seg IS NOT NULL").select("frame_id", "res", "seg", "tx", "ty", "tz"))
