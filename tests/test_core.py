@@ -198,3 +198,25 @@ def test_entry_and_names(spark):
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 45
     assert e.entry(spark).count() == 14
+
+
+def test_components_and_free_energy_in_numpy(spark):
+    x = np.cumsum(np.random.default_rng(4).standard_normal((80, 3)), 0) @ np.diag([3.0, 1.0, 0.3])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "frame_id long, a double, b double, c double")
+    c = x - x.mean(0)
+    _, vec = np.linalg.eigh(c.T @ c / len(c))
+    w = vec[:, -1] * np.sign(vec[np.abs(vec[:, -1]).argmax(), -1])
+    got = [r.pc1 for r in search.pca(df, ["a", "b", "c"]).orderBy("frame_id").collect()]
+    assert np.allclose(got, c @ w)
+    lag = (c[:-3].T @ c[3:]) / (len(c) - 3)
+    val, v_ = np.linalg.eigh(c.T @ c / len(c) + 1e-4 * np.eye(3))
+    white = v_ / np.sqrt(val)
+    _, u = np.linalg.eigh(white.T @ ((lag + lag.T) / 2) @ white)
+    w = white @ u[:, -1]
+    w = w * np.sign(w[np.abs(w).argmax()])
+    assert np.allclose([r.ic1 for r in search.lagged_components(df, ["a", "b", "c"], 3).orderBy("frame_id").collect()], c @ w)
+    a = x[:, 0]
+    h = a.std(ddof=1) * len(a) ** -0.2
+    grid = np.linspace(np.percentile(a, 1), np.percentile(a, 99), 50)
+    e = -np.log(np.maximum(np.exp(-((a[None] - grid[:, None]) ** 2) / (2 * h * h)).sum(1) / (len(a) * h * np.sqrt(2 * np.pi)), 1e-4))
+    assert np.allclose([r.energy for r in search.free_energy(df, "a").orderBy("x").collect()], e - e.min())
