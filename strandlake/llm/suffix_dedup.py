@@ -5,6 +5,9 @@ loses nothing: every ``length``-byte string is keyed by the smallest hash of the
 depends on its content alone, so equal strings meet in one shard. Neighbouring starts with the same key form a
 segment (at most ``RUN`` starts). A key with one segment in the corpus that isn't periodic has no repeat; equal
 segments are one entry with a count. Segments of keys that more than one distinct segment shares are sorted.
+A key with more than ``HOT`` segments (a line shorter than ``length`` that very many documents hold) is split first:
+equal strings have the key's gram at the same offset, so a segment is cut into blocks of neighbouring offsets, and the
+bytes that all strings of a block share, longer than the gram, become the new key. Blocks of one string end this.
 
 A shard's segments are one byte string. Its suffixes are sorted by induction: the order of the leftmost S-type
 suffixes is found by ranking S-type substrings and doubling the ranked span until it covers ``length`` bytes;
@@ -42,12 +45,19 @@ LENGTH = 200
 GRAM = 32
 RUN = 169
 SHARD_BYTES = 1 << 20
+HOT = 2048
+BLOCKS = (24, 1)
 QUEUE_BYTES = 64 << 20
 BATCH = 1 << 20
 
 _CODE = np.random.default_rng(977).integers(1, 2**63, 256).astype(U)
 
 
+def _content(total: np.ndarray, back: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of ``size`` bytes from ``begin`` on, from running totals."""
+    return mix((total[begin + size] - total[begin]) * back[begin] ^ (size.astype(U) * U(0xC2B2AE3D27D4EB4F)))
+
+
 def segments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """key, content hash, row, start in the row, number of starts and periodicity of every segment of the rows.
 
@@ -84,8 +94,7 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[
         full = np.repeat(count, parts)
         cut, count = np.repeat(cut, parts) + inner * RUN, np.minimum(RUN, full - inner * RUN)
     begin = at[cut]
-    bytes_ = count + length - 1
-    content = mix((total[begin + bytes_] - total[begin]) * back[begin] ^ (bytes_.astype(U) * U(0xC2B2AE3D27D4EB4F)))
+    content = _content(total, back, begin, count + length - 1)
     # the gram at the segment's own starts, and at the ends of its last windows
     head_hit = np.concatenate([[0], np.cumsum(gram[:starts] == least)])
     tail_hit = np.concatenate([[0], np.cumsum(gram[wide - 1 :] == least)])
@@ -94,6 +103,34 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[
     return key[cut], content, row[cut], begin - offs[row[cut]], count, twice
 
 
+def split(data: np.ndarray, begin: np.ndarray, count: np.ndarray, key: np.ndarray, grams: np.ndarray, block: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Segment, first start, number of starts, new key and content hash of every block of segments.
+
+    ``grams`` are the segments' gram hashes, ``begin`` and ``count`` their starts in ``data``. The strings of one block have one gram position, so no two are equal.
+    """
+    n = len(data)
+    total = np.zeros(n + 1, U)
+    np.cumsum(_CODE[data] * _powers(n, False), out=total[1:])
+    back = _powers(n, True)
+    gram = mix((total[GRAM:] - total[:-GRAM]) * back[: n - GRAM + 1])
+    size = count + length - GRAM  # grams of a segment
+    first = np.cumsum(size) - size
+    seg = np.repeat(np.arange(len(begin)), size)
+    place = np.arange(len(seg))
+    pos = begin[seg] + place - first[seg]
+    hit = np.where(gram[pos] == grams[seg], place, len(seg))
+    hit = np.minimum.accumulate(hit[::-1])[::-1]
+    own = place - first[seg] < count[seg]
+    seg, start, at = seg[own], pos[own], pos[hit[own]]
+    part = (at - start) // block
+    new = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (at[1:] != at[:-1]) | (part[1:] != part[:-1])])
+    starts = np.diff(np.r_[new, len(seg)])
+    lo = at[new] - part[new] * block
+    core = _content(total, back, lo, np.full(len(new), length - block + 1))
+    core = mix(core ^ (part[new].astype(U) + U(1)) * U(0x9E3779B97F4A7C15) ^ U(block))
+    return seg[new], start[new], starts, core, _content(total, back, start[new], starts + length - 1)
+
+
 class Runs:
     """A bucket's items in the order in which they came, in memory up to the pool's bound and beyond it in a file."""
 
@@ -363,7 +400,7 @@ def _edges(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
+def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """rid, lo, hi: byte ranges of the rows (rid, text) that strings with another occurrence cover; they may overlap."""
     spark = docs.sparkSession
 
@@ -377,29 +414,65 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFram
 
     found = scratch.save(docs.mapInArrow(cut, "key long, content long, rid long, start int, count int, periodic boolean"), "segments")
     shared = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("periodic").alias("periodic")).where("n > 1 OR periodic")
-    shared = scratch.save(shared.selectExpr("key", "lo <> hi OR n = 1 AS mixed"), "shared")
+    shared = scratch.save(shared.selectExpr("key", "lo <> hi OR n = 1 AS mixed", f"n > {hot} AS hot"), "shared")
     kept = scratch.save(found.drop("periodic").join(shared, "key"), "kept")
     scratch.drop("segments", "shared")
-    entries = kept.where("mixed").groupBy("key", "content").agg(F.count("*").alias("times"), F.min(F.struct("rid", "start", "count")).alias("of"))
-    entries = scratch.save(entries.select("key", "content", "times", "of.rid", "of.start", "of.count"), "entries")
-    per_row = entries.groupBy("rid").agg(F.collect_list(F.struct("start", "count", "key", "content", "times")).alias("want")).withColumnRenamed("rid", "w_rid")
-    whole = docs.join(per_row, docs["rid"] == per_row["w_rid"]).select("text", "want")
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = as_bytes(b.column(0))
-            want = b.column(1)
-            item = want.flatten()
-            row = np.repeat(np.arange(b.num_rows), np.diff(want.offsets.to_numpy()))
-            field = lambda k: item.field(k).to_numpy()  # noqa: E731, B023
-            begin = offs[row] + field(0)
-            size = field(1).astype(np.int64) + length - 1
-            ok = np.flatnonzero(begin + size <= offs[row + 1])
-            texts = [data[s : s + n].tobytes() for s, n in zip(begin[ok].tolist(), size[ok].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(field(2)[ok]), pa.array(field(3)[ok]), pa.array(field(4)[ok]), pa.array(texts, pa.binary())], names=["key", "content", "times", "bytes"])
-
-    texts = whole.mapInArrow(take, "key long, content long, times long, bytes binary")
-    total = (entries.agg(F.sum(F.col("count") + length)).head()[0] or 0) // SHARD_BYTES + 1
+    entries = kept.where("mixed").groupBy("key", "content", "hot").agg(F.count("*").alias("times"), F.min(F.struct("rid", "start", "count")).alias("of"))
+    entries = scratch.save(entries.select("key", "content", "times", "of.rid", "of.start", "of.count", "hot", F.col("key").alias("gram")), "entries")
+
+    def fetch(wanted: DataFrame, work, schema: str) -> DataFrame:
+        """``work`` on the bytes, their rows' bounds, the rows and the wanted segments' fields."""
+        fields = ("start", "count", "key", "content", "times", "gram")
+        per_row = wanted.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("want")).withColumnRenamed("rid", "w_rid")
+        whole = docs.join(per_row, docs["rid"] == per_row["w_rid"]).select("text", "want", "rid")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                data, offs = as_bytes(b.column(0))
+                want = b.column(1)
+                item = want.flatten()
+                row = np.repeat(np.arange(b.num_rows), np.diff(want.offsets.to_numpy()))
+                got = [item.field(k).to_numpy() for k in range(len(fields))]
+                ok = np.flatnonzero(offs[row] + got[0] + got[1] + length - 1 <= offs[row + 1])
+                yield from work(data, offs, row[ok], b.column(2).to_numpy(), *[x[ok] for x in got])
+
+        return whole.mapInArrow(run, schema)
+
+    def take(data, offs, row, rid, start, count, key, content, times, gram):
+        begin = offs[row] + start
+        texts = [data[s : s + n].tobytes() for s, n in zip(begin.tolist(), (count + length - 1).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(times), pa.array(texts, pa.binary())], names=["key", "content", "times", "bytes"])
+
+    def divide(block: int):
+        names = ["key", "content", "times", "gram", "rid", "at", "start", "count", "key2", "content2"]
+
+        def work(data, offs, row, rid, start, count, key, content, times, gram):
+            for i, j in chunks(offs, 1 << 19):
+                use = np.flatnonzero((row >= i) & (row < j))
+                if not len(use):
+                    continue
+                base = offs[row[use]] - offs[i]
+                seg, begin, n, key2, content2 = split(data[offs[i] : offs[j]], base + start[use], count[use].astype(np.int64), key[use], gram[use].view(U), block, length)
+                of, at = use[seg], begin - base[seg]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[of], content[of], times[of], gram[of], rid[row[of]], (at - start[of]).astype(np.int32), at.astype(np.int32), n.astype(np.int32), key2.view(np.int64), content2.view(np.int64))], names=names)
+
+        return work
+
+    layers, wholes, sorting, large = [], [], entries.where("NOT hot"), entries.where("hot")
+    for k, block in enumerate(BLOCKS):
+        if not large.head(1):
+            break
+        subs = scratch.save(fetch(large, divide(block), "key long, content long, times long, gram long, rid long, at int, start int, count int, key2 long, content2 long"), f"blocks-{k}")
+        inner = subs.groupBy(F.col("key2").alias("key"), F.col("content2").alias("content")).agg(F.sum("times").alias("times"), F.min(F.struct("rid", "start", "count", "gram")).alias("of"))
+        inner = scratch.save(inner.select("key", "content", "times", "of.rid", "of.start", "of.count", "of.gram"), f"inner-{k}")
+        sizes = inner.groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "_key")
+        inner = inner.join(sizes, F.col("key") == F.col("_key")).drop("_key")
+        wholes.append(inner.where("n = 1 AND times > 1").selectExpr("key", "content", "0 AS lo", "count AS hi"))
+        sorting = sorting.unionByName(inner.where(f"n > 1 AND n <= {hot}").withColumn("hot", F.lit(False)).drop("n"))
+        large = inner.where(f"n > {hot}")
+        layers.append(subs)
+    texts = fetch(sorting, take, "key long, content long, times long, bytes binary")
+    total = (sorting.agg(F.sum(F.col("count") + length)).head()[0] or 0) // SHARD_BYTES + 1
     shards = max(partitions(spark), total)
     texts = texts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
@@ -423,13 +496,19 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFram
 
     marks = texts.groupBy("shard").applyInArrow(sort, "key long, content long, lo int, hi int")
     marks = scratch.save(marks, "marks")
+    for subs, all_starts in zip(reversed(layers), reversed(wholes), strict=True):
+        found_in = marks.unionByName(all_starts).withColumnsRenamed({"key": "key2", "content": "content2"})
+        marks = marks.unionByName(subs.select("key", "content", "at", "key2", "content2").join(found_in, ["key2", "content2"]).selectExpr("key", "content", "at + lo AS lo", "at + hi AS hi"))
+    if layers:
+        marks = scratch.save(marks, "all-marks")
+        scratch.drop("marks", *[f"{x}-{k}" for x in ("blocks", "inner") for k in range(len(layers))])
     scratch.drop("entries")
     same = kept.where("NOT mixed").selectExpr("rid", "start AS lo", f"start + count + {length - 1} AS hi")
     rest = kept.where("mixed").select("key", "content", "rid", "start").join(marks, ["key", "content"]).selectExpr("rid", "start + lo AS lo", f"start + hi + {length - 1} AS hi")
     return same.unionAll(rest)
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, decode: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, decode: bool = False, hot: int = HOT) -> DataFrame:
     """The columns of ``df`` and, for every row: kept (its bytes without repeats), n_bytes, n_removed, n_spans, kept_sha256.
 
     With ``decode``, ``kept`` is a string, without the rests of characters that were cut in two.
@@ -438,9 +517,9 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "suffix")
     names = df.columns
     keyed = df.select("*", F.xxhash64(F.col(id_col), F.col(text_col)).alias("_rid"))
-    ranges = repeats(keyed.select(F.col("_rid").alias("rid"), F.col(text_col).alias("text")), scratch, length)
+    ranges = repeats(keyed.select(F.col("_rid").alias("rid"), F.col(text_col).alias("text")), scratch, length, hot)
     per_row = scratch.save(ranges.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("_cuts")), "cuts").withColumnRenamed("rid", "_of")
-    scratch.drop("kept", "marks")
+    scratch.drop("kept", "marks", "all-marks")
     place = names.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 

@@ -98,9 +98,23 @@ def test_suffix_dedup_against_all_strings(spark, edge, none):
     got = suffix_dedup.remove_repeats(edge).collect()
     want = sorted(((r.doc_id, len((r.text or "").encode()), k, s, hashlib.sha256(b).hexdigest()) for r, (b, k, s) in zip(rows, removed([r.text for r in rows], 200), strict=True)), key=repr)
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == want
+    again = suffix_dedup.remove_repeats(edge, hot=0).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in again), key=repr) == want
     assert suffix_dedup.remove_repeats(none).collect() == []
 
 
+@pytest.mark.parametrize("size", [60, 150, 190, 205, 400])
+def test_suffix_dedup_with_a_line_in_every_document(spark, size):
+    r = random.Random(size)
+    noise = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    line, other = noise(size), noise(230)
+    texts = [noise(250) + line + noise(r.choice([0, 30, 250])) for _ in range(40)]
+    texts += texts[:4] + [texts[5][100:] + other, texts[6][:-20] + other, line * 3, texts[7][120:420] + line + texts[8][120:420]]
+    got = suffix_dedup.remove_repeats(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), hot=5).collect()
+    want = [(i, k, n, hashlib.sha256(b).hexdigest()) for i, (b, k, n) in enumerate(removed(texts, 200))]
+    assert sorted((x.doc_id, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
+
+
 def test_induced_sorting_with_files():
     r = np.random.default_rng(5)
     for trial in range(60):
