@@ -465,7 +465,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
         subs = scratch.save(fetch(large, divide(block), "key long, content long, times long, gram long, rid long, at int, start int, count int, key2 long, content2 long"), f"blocks-{k}")
         inner = subs.groupBy(F.col("key2").alias("key"), F.col("content2").alias("content")).agg(F.sum("times").alias("times"), F.min(F.struct("rid", "start", "count", "gram")).alias("of"))
         inner = scratch.save(inner.select("key", "content", "times", "of.rid", "of.start", "of.count", "of.gram"), f"inner-{k}")
-        sizes = inner.groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "_key")
+        sizes = scratch.save(inner.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")), f"sizes-{k}")  # a table, so that a skewed join with it can be split
         inner = inner.join(sizes, F.col("key") == F.col("_key")).drop("_key")
         wholes.append(inner.where("n = 1 AND times > 1").selectExpr("key", "content", "0 AS lo", "count AS hi"))
         sorting = sorting.unionByName(inner.where(f"n > 1 AND n <= {hot}").withColumn("hot", F.lit(False)).drop("n"))
@@ -501,7 +501,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
         marks = marks.unionByName(subs.select("key", "content", "at", "key2", "content2").join(found_in, ["key2", "content2"]).selectExpr("key", "content", "at + lo AS lo", "at + hi AS hi"))
     if layers:
         marks = scratch.save(marks, "all-marks")
-        scratch.drop("marks", *[f"{x}-{k}" for x in ("blocks", "inner") for k in range(len(layers))])
+        scratch.drop("marks", *[f"{x}-{k}" for x in ("blocks", "inner", "sizes") for k in range(len(layers))])
     scratch.drop("entries")
     same = kept.where("NOT mixed").selectExpr("rid", "start AS lo", f"start + count + {length - 1} AS hi")
     rest = kept.where("mixed").select("key", "content", "rid", "start").join(marks, ["key", "content"]).selectExpr("rid", "start + lo AS lo", f"start + hi + {length - 1} AS hi")
