@@ -87,16 +87,23 @@ def totals(inv: DataFrame) -> DataFrame:
 
 
 def pseudo_strand(points: DataFrame) -> DataFrame:
-    """``points`` with px, py, pz, a second strand point made from both neighbours; curve ends take their one neighbour twice."""
+    """``points`` with px, py, pz, a second strand point 1.52 from each along the outward bisector of its neighbours.
+
+    Where there is no bisector, as at curve ends and on straight stretches, the direction is a perpendicular of the
+    curve, and the y axis where there is none. A curve of one point is taken to run down the z axis.
+    """
     w = _order()
-    prev = tuple(F.lag(a).over(w) for a in "xyz")
-    nxt = tuple(F.lead(a).over(w) for a in "xyz")
-    p = points.withColumns({f"_p{a}": c for a, c in zip("xyz", prev, strict=True)} | {f"_n{a}": c for a, c in zip("xyz", nxt, strict=True)})
+    p = points.withColumns({f"_{s}{a}": f(a).over(w) for s, f in (("p", F.lag), ("n", F.lead)) for a in "xyz"})
     r = v.vec("")
-    p = p.where("_px IS NOT NULL AND _nx IS NOT NULL")
-    way = v.add(v.sub(r, v.vec("_p")), v.sub(r, v.vec("_n")))
-    u = v.unit(way, EPSILON)
-    return p.withColumns({f"p{a}": q + PSEUDO * x for a, q, x in zip("xyz", r, u, strict=True)}).drop(*[f"_{s}{a}" for s in "pn" for a in "xyz"])
+    way = v.sub(v.scale(r, 2), v.add(v.vec("_p"), v.vec("_n")))  # null at the ends
+    far = {"x": 0.0, "y": 0.0, "z": -2.0}
+    along = {a: F.coalesce(F.col(f"_n{a}") - F.col(f"_p{a}"), 2 * (F.col(f"_n{a}") - F.col(a)), 2 * (F.col(a) - F.col(f"_p{a}")), F.lit(far[a])) for a in "xyz"}
+    p = p.withColumns({f"_w{a}": c for a, c in zip("xyz", way, strict=True)} | {f"_d{a}": c for a, c in along.items()})
+    flat = (F.abs("_dx") > 0.1) | (F.abs("_dy") > 0.1)
+    side = F.when(flat, -F.col("_dy")).otherwise(0.0), F.when(flat, F.col("_dx")).otherwise(-F.col("_dz")), F.when(flat, 0.0).otherwise(F.col("_dy"))
+    bent, wide = v.norm(v.vec("_w")) >= EPSILON, v.norm(side) >= EPSILON
+    u = tuple(F.when(bent, b).when(wide, s).otherwise(y) for b, s, y in zip(v.unit(v.vec("_w"), EPSILON), v.unit(side, EPSILON), (0.0, 1.0, 0.0), strict=True))
+    return p.withColumns({f"p{a}": q + PSEUDO * x for a, q, x in zip("xyz", r, u, strict=True)}).drop(*[f"_{s}{a}" for s in "pnwd" for a in "xyz"])
 
 
 def integrate(inv_arrays: DataFrame) -> DataFrame:

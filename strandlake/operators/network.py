@@ -24,15 +24,18 @@ def centred_features(inv: DataFrame, chain: str | None = None) -> DataFrame:
     return rows.select("frame_id", (F.col("res") + 1).alias("res"), F.array(*[F.atan2(F.sin(x), F.cos(x)) for x in d.values()]).alias("u"), "frames")
 
 
-def _pairs(a: DataFrame, b: DataFrame, on) -> DataFrame:
-    """Second moments of all feature pairs of residue pairs, summed in each task before the shuffle."""
+def _width(inv: DataFrame) -> int:
+    return sum(f in inv.columns for f in FEATURES)
+
+
+def _pairs(a: DataFrame, b: DataFrame, n: int, m: int, on) -> DataFrame:
+    """Second moments of all feature pairs (n and m features a residue) of residue pairs, summed in each task before the shuffle."""
     one = a.select("frame_id", F.col("res").alias("i"), F.col("u").alias("ua"), "frames")
     two = b.select(F.col("frame_id").alias("_f"), F.col("res").alias("j"), F.col("u").alias("ub"))
     p = one.join(two, (F.col("frame_id") == F.col("_f")) & on)
-    n, m = (len(x.head()["u"]) if x.head(1) else 0 for x in (a, b))
     e = lambda c, k: F.get(c, F.lit(k))
     terms = [F.sum(e(x, r) * e(y, c)).alias(f"{t}{r}{c}") for t, x, y, p_, q_ in (("a", "ua", "ua", n, n), ("b", "ub", "ub", m, m), ("c", "ua", "ub", n, m)) for r in range(p_) for c in range(q_) if t == "c" or r <= c]
-    return p.groupBy("i", "j").agg(F.max("frames").alias("frames"), *terms), n, m
+    return p.groupBy("i", "j").agg(F.max("frames").alias("frames"), *terms)
 
 
 def _correlation(moments: DataFrame, n: int, m: int, eps: float, twice: bool) -> DataFrame:
@@ -73,15 +76,14 @@ def log_det(a: np.ndarray) -> np.ndarray:
 
 def network(inv: DataFrame, eps: float = 1e-6, twice: bool = True) -> DataFrame:
     """i < j, r over inner residues of one chain. ``twice`` keeps the joint covariance's second regulariser."""
-    u = centred_features(inv)
-    got, n, m = _pairs(u, u, F.col("i") < F.col("j"))
-    return _correlation(got, n, m, eps, twice)
+    u, n = centred_features(inv), _width(inv)
+    return _correlation(_pairs(u, u, n, n, F.col("i") < F.col("j")), n, n, eps, twice)
 
 
 def inter_network(one: DataFrame, two: DataFrame, eps: float = 1e-6, twice: bool = True) -> DataFrame:
     """i, j, r between inner residues of two chains with the same frames."""
-    got, n, m = _pairs(centred_features(one), centred_features(two), F.lit(True))
-    return _correlation(got, n, m, eps, twice)
+    n, m = _width(one), _width(two)
+    return _correlation(_pairs(centred_features(one), centred_features(two), n, m, F.lit(True)), n, m, eps, twice)
 
 
 def full_matrix(edges: DataFrame, residues: int) -> DataFrame:

@@ -177,8 +177,11 @@ SQL: dict[str, str] = {
     "subcurve_invariants": f"WITH {FRAMES.replace('range(0, 21)', 'range(5, 13)')}, {geometry()} SELECT frame_id, {long('res')}, {rd('seg kappa tau')} FROM inv",
     "theta_beta": f"WITH {RIBBONS}, {geometry(True)} SELECT frame_id, {long('res')}, {rd('theta')} FROM inv WHERE theta IS NOT NULL",
     "base_angles": f"WITH {BASES}, {geometry(True)} SELECT frame_id, {long('res')}, {rd('theta kappa')} FROM inv WHERE theta IS NOT NULL",
-    "pseudo_strand": f"""WITH {FRAMES}, a AS (SELECT *, 2*x - lag(x) OVER w - lead(x) OVER w AS dx, 2*y - lag(y) OVER w - lead(y) OVER w AS dy, 2*z - lag(z) OVER w - lead(z) OVER w AS dz FROM p WINDOW w AS {W}),
- b AS (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) AS n FROM a WHERE dx IS NOT NULL) SELECT frame_id, {long('res')}, round(x+1.52*dx/n, 6) + 0.0 AS px, round(y+1.52*dy/n, 6) + 0.0 AS py, round(z+1.52*dz/n, 6) + 0.0 AS pz FROM b""",
+    "pseudo_strand": f"""WITH {FRAMES}, a AS (SELECT *, {", ".join(f"lag({c}) OVER w AS p{c}, lead({c}) OVER w AS n{c}" for c in "xyz")} FROM p WINDOW w AS {W}),
+ b AS (SELECT *, {", ".join(f"2*{c} - p{c} - n{c} AS d{c}, coalesce(n{c} - p{c}, 2*(n{c} - {c}), 2*({c} - p{c})) AS a{c}" for c in "xyz")} FROM a),
+ c AS (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) >= 1e-9 AS bent, abs(ax) > 0.1 OR abs(ay) > 0.1 AS flat FROM b),
+ e AS (SELECT *, CASE WHEN bent THEN dx WHEN flat THEN -ay ELSE 0 END AS ux, CASE WHEN bent THEN dy WHEN flat THEN ax ELSE -az END AS uy, CASE WHEN bent THEN dz WHEN flat THEN 0 ELSE ay END AS uz FROM c)
+ SELECT frame_id, {long('res')}, {", ".join(f"round({c} + 1.52*u{c}/sqrt(ux*ux+uy*uy+uz*uz), 6) + 0.0 AS p{c}" for c in "xyz")} FROM e""",
     "total_writhe": f"WITH {FRAMES}, {PAIRS} SELECT frame_id, round(sum(w), 6) + 0.0 AS writhe FROM pairs GROUP BY frame_id",
     "total_writhe_standard": f"WITH {FRAMES}, {PAIRS} SELECT frame_id, round(-2*sum(w), 6) + 0.0 AS writhe FROM pairs GROUP BY frame_id",
     "local_writhe": f"WITH {FRAMES}, {PAIRS}, {LOCAL} SELECT frame_id, {long('res')}, {rd('writhe')} FROM lw",

@@ -220,3 +220,9 @@ def test_components_and_free_energy_in_numpy(spark):
     grid = np.linspace(np.percentile(a, 1), np.percentile(a, 99), 50)
     e = -np.log(np.maximum(np.exp(-((a[None] - grid[:, None]) ** 2) / (2 * h * h)).sum(1) / (len(a) * h * np.sqrt(2 * np.pi)), 1e-4))
     assert np.allclose([r.energy for r in search.free_energy(df, "a").orderBy("x").collect()], e - e.min())
+
+
+def test_pseudo_strand_without_bisector(spark):
+    rows = [(1, k, 3.0 * k, 0.0, 0.0) for k in range(3)] + [(2, 0, 0.0, 0.0, 0.0)] + [(3, k, 0.0, 0.0, 3.0 * k) for k in range(2)]
+    got = geometry.pseudo_strand(spark.createDataFrame(rows, "frame_id long, res int, x double, y double, z double")).orderBy("frame_id", "res").collect()
+    assert [(r.px - r.x, r.py - r.y, r.pz - r.z) for r in got] == [pytest.approx(p) for p in [(0, 1.52, 0)] * 4 + [(0, -1.52, 0)] * 2]
