@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, partitions
@@ -499,7 +499,11 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
     for subs, all_starts in zip(reversed(layers), reversed(wholes), strict=True):
         found_in = marks.unionByName(all_starts).withColumnsRenamed({"key": "key2", "content": "content2"})
         marks = marks.unionByName(subs.select("key", "content", "at", "key2", "content2").join(found_in, ["key2", "content2"]).selectExpr("key", "content", "at + lo AS lo", "at + hi AS hi"))
-    if layers:
+    if layers:  # blocks that touch become one range again; a segment has at most RUN
+        w = Window.partitionBy("key", "content").orderBy("lo", "hi")
+        far = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        marks = marks.withColumn("new", F.coalesce((F.col("lo") > far).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(w))
+        marks = marks.groupBy("key", "content", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("part")
         marks = scratch.save(marks, "all-marks")
         scratch.drop("marks", *[f"{x}-{k}" for x in ("blocks", "inner", "sizes") for k in range(len(layers))])
     scratch.drop("entries")
