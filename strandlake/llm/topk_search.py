@@ -91,21 +91,22 @@ def _group(rows: DataFrame, asked: list, row_norm: float, k: int, bins: int) ->
         raise ValueError("scaled components are too large for exact integer scores")
     low = -np.ceil(most).astype(np.int64) - 1  # a query's open range is [low, low + width * bins)
     width = np.maximum(1, -(-(1 - 2 * low) // bins))
-    above = np.zeros(len(qid), np.int64)  # scores beyond the open range
+    end = low + width * bins  # exclusive; a refined range ends with the bin it came from, even if its bins reach further
+    above = np.zeros(len(qid), np.int64)  # scores at or beyond the end
     bound = low.copy()
     open_ = np.ones(len(qid), bool)
     n = len(qid)
     while open_.any():
         at = np.flatnonzero(open_)
-        shared = spark.sparkContext.broadcast((qid[at], q[at], low[at], width[at]))
+        shared = spark.sparkContext.broadcast((qid[at], q[at], low[at], end[at], width[at]))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vecs, lo, wide = shared.value
+            ids, vecs, lo, hi, wide = shared.value
             total = np.zeros(len(ids) * bins, np.int64)
             base = (np.arange(len(ids)) * bins)[:, None]
             for own, s in _scored(batches, vecs):
                 slot = (s - lo[:, None]) // wide[:, None]
-                use = (slot >= 0) & (slot < bins) & (ids[:, None] != own[None, :])
+                use = (s >= lo[:, None]) & (s < hi[:, None]) & (ids[:, None] != own[None, :])
                 total += np.bincount((slot + base)[use], minlength=len(total))
             full = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"cell": pa.array(full, pa.int64()), "n": pa.array(total[full], pa.int64())})
@@ -127,7 +128,7 @@ def _group(rows: DataFrame, asked: list, row_norm: float, k: int, bins: int) ->
                 open_[i] = False
                 continue
             above[i] += down[j, b + 1] if b + 1 < bins else 0
-            low[i] = bound[i]
+            low[i], end[i] = bound[i], bound[i] + width[i]
             width[i] = max(1, -(-width[i] // bins))
     shared = spark.sparkContext.broadcast((qid, q, bound))
 

@@ -156,6 +156,13 @@ def test_top_k_and_nearest(spark):
     assert ann.nearest(df.where("false"), df.where("false")).count() == 0
 
 
+def test_top_k_counts_no_score_of_the_next_bin_twice(spark):
+    x = [1.0] + [128 / 256] * 1000 + [129 / 256] * 3  # bins of 257: the copies in one, the better rows early in the next
+    df = spark.createDataFrame([(i, [v, 0.0]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk_search.exact_top_k(df, df.where("vec_id = 0"), k=5, bins=512).collect()
+    assert sorted((t.rank, t.vec_id, t.score) for t in got) == [(1, 1001, 33024), (2, 1002, 33024), (3, 1003, 33024), (4, 1, 32768), (5, 2, 32768)]
+
+
 def test_hilbert_curve_is_continuous():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     order = cells[np.argsort(ann.hilbert_keys(cells, 3))]
