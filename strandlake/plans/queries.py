@@ -156,20 +156,39 @@ def subcurve_knn(s, d):
     return rounded(search.subcurve_nearest(bindings.frames(s, d), 10, 3, 8, 10))
 
 
-@_query
-def time_warp_pairs(s, d):
-    i = search.build_index(bindings.frames(s, d)).select("frame_id", F.slice("kappa", 1, 5).alias("k"), F.slice("tau", 1, 4).alias("t"))
+def _warp_pairs(i):
     a, b = i.select(F.col("frame_id").alias("a"), F.col("k").alias("ka"), F.col("t").alias("ta")), i.select(F.col("frame_id").alias("b"), F.col("k").alias("kb"), F.col("t").alias("tb"))
     return rounded(a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", v.time_warp(F.col("ka"), F.col("ta"), F.col("kb"), F.col("tb")).alias("warp")))
 
 
 @_query
-def frechet_points_users(s, d):
-    c = bindings.to_arrays(bindings.user_curves(s, d).where("res < 5"))
+def time_warp_pairs(s, d):
+    """The first bends only, as far as the SQL goes."""
+    return _warp_pairs(search.build_index(bindings.frames(s, d)).select("frame_id", F.slice("kappa", 1, 5).alias("k"), F.slice("tau", 1, 4).alias("t")))
+
+
+@_query
+def time_warp_pairs_whole(s, d):
+    return _warp_pairs(search.build_index(bindings.frames(s, d)).select("frame_id", F.col("kappa").alias("k"), F.col("tau").alias("t")))
+
+
+def _frechet_pairs(points):
+    c = bindings.to_arrays(points)
     a, b = c.select(F.col("frame_id").alias("a"), F.col("curve").alias("ca")), c.select(F.col("frame_id").alias("b"), F.col("curve").alias("cb"))
     return rounded(a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", v.frechet_points(F.col("ca"), F.col("cb")).alias("frechet")))
 
 
+@_query
+def frechet_points_users(s, d):
+    """The first five points only, as far as the SQL goes."""
+    return _frechet_pairs(bindings.user_curves(s, d).where("res < 5"))
+
+
+@_query
+def frechet_points_users_whole(s, d):
+    return _frechet_pairs(bindings.user_curves(s, d))
+
+
 def _net(s, d):
     return network.network(geometry.invariants(bindings.frames(s, d)))
 

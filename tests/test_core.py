@@ -122,6 +122,34 @@ def test_curve_distances(spark):
     assert got[99].f == 0 and got[99].t == 0
 
 
+def test_whole_curves_are_compared(spark, tmp_path):
+    from strandlake.plans.queries import QUERIES
+
+    r = np.random.default_rng(12)
+    e = r.standard_normal((3, 64))
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    kappas = {x.frame_id: (x.kappa, x.tau) for x in search.build_index(bindings.frames(spark, str(tmp_path))).collect()}
+    bends = {f: list(zip(*kt, strict=False)) for f, kt in kappas.items()}
+    assert {len(b) for b in bends.values()} == {18}
+
+    def cost(p, q):
+        t = abs(p[1] - q[1])
+        return math.hypot(p[0] - q[0], min(t, 2 * math.pi - t))
+
+    got = {x.a: x.warp for x in QUERIES["time_warp_pairs_whole"](spark, str(tmp_path)).collect()}
+    assert got == {f: pytest.approx(_grid(bends[f], bends[f + 1], cost, True) / 36, abs=2e-6) for f in (0, 1)}
+    day = np.datetime64("2024-01-01", "us")
+    rows, curves = [], {}
+    for u, n in ((0, 7), (1, 12), (2, 9)):
+        for k in range(n):
+            hours, value, props = float(u + 2 * k), float(r.normal(0, 1 + 9 * (k >= 5))), int(r.integers(0, 90))
+            rows.append((len(rows), (day + np.timedelta64(int(hours * 3600), "s")).astype(object), u, value, f'{{"k": {props}}}'))
+            curves.setdefault(u, []).append(np.array([hours, value, props]))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {x.a: x.frechet for x in QUERIES["frechet_points_users_whole"](spark, str(tmp_path)).collect()}
+    assert got == {u: pytest.approx(_grid(curves[u], curves[u + 1], lambda p, q: np.linalg.norm(p - q), False), abs=2e-6) for u in (0, 1)}
+
+
 def test_search_finds_itself_first(spark):
     r = np.random.default_rng(3)
     p = points(spark, {f: helix(20) + r.normal(0, 0.05 if f < 15 else 0.8, (20, 3)) for f in range(20)})
