@@ -101,12 +101,63 @@ def pair_states(points: DataFrame, i: int, j: int) -> DataFrame:
     return d.crossJoin(F.broadcast(mid)).select("frame_id", "distance", (F.col("distance") > F.col("median")).cast("int").alias("state"))
 
 
+#: Frames of a block of the silhouette; two blocks make one row of its pairwise product.
+BLOCK_ROWS = 512
+
+
 def silhouette(features: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """One row: mean Euclidean silhouette, from exact pairwise distances summed by frame and label."""
-    a = features.select(F.col("frame_id"), F.col(label).alias("la"), F.array(*columns).alias("fa"))
-    b = features.select(F.col("frame_id").alias("fb_id"), F.col(label).alias("lb"), F.array(*columns).alias("fb"))
-    d = F.sqrt(F.aggregate(F.zip_with("fa", "fb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))
-    per = a.join(b, F.col("frame_id") != F.col("fb_id")).groupBy("frame_id", "la", "lb").agg(F.avg(d).alias("m"))
+    """One row: mean Euclidean silhouette, from exact pairwise distances of blocks of frames, summed by frame and label."""
+    import numpy as np
+    import pyarrow as pa
+
+    size, width = BLOCK_ROWS, len(columns)
+    rows = features.select(F.col("frame_id").cast("long").alias("frame_id"), F.col(label).cast("string").alias("label"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def pack(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                x = np.stack([part.column(2 + i).to_numpy(zero_copy_only=False) for i in range(width)], 1).astype(float)
+                full = ~np.any([part.column(2 + i).is_null().to_numpy(zero_copy_only=False) for i in range(width)], axis=0)
+                yield pa.RecordBatch.from_pydict({"ids": [part.column(0)], "labels": [part.column(1)], "full": [full.tolist()], "x": [np.where(full[:, None], x, 0.0).tobytes()]}, schema=pa.schema([("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.string())), ("full", pa.list_(pa.bool_())), ("x", pa.binary())]))
+
+    def load(b, at, i):
+        ids, labels, full = (b.column(at + k)[i].as_py() for k in range(3))
+        return ids, labels, np.array(full), np.frombuffer(b.column(at + 3)[i].as_py()).reshape(-1, width)
+
+    def sums(batches):
+        def out():
+            ids, labels, _, _ = held
+            at = [(i, k) for k in found for i in range(len(ids))]
+            n, d = (np.concatenate([found[k][j] for k in found]) for j in (0, 1))
+            return pa.RecordBatch.from_pydict({"frame_id": pa.array([ids[i] for i, _ in at], pa.int64()), "la": pa.array([labels[i] for i, _ in at], pa.string()), "lb": pa.array([k for _, k in at], pa.string()), "n": pa.array(n, pa.float64()), "d": pa.array(d, pa.float64())})
+
+        held, found = None, {}
+        for b in batches:
+            for i in range(b.num_rows):
+                one, two = load(b, 0, i), load(b, 4, i)
+                if held is None or held[0] != one[0]:
+                    if held is not None:
+                        yield out()
+                    held, found = one, {}
+                d = np.zeros((len(one[0]), len(two[0])))
+                for c in range(width):
+                    t = one[3][:, c, None] - two[3][None, :, c]
+                    t *= t
+                    d += t
+                use = (np.array(one[0])[:, None] != np.array(two[0])[None, :]) & one[2][:, None] & two[2][None, :]
+                d = np.where(use, np.sqrt(d), 0.0)
+                for k in set(two[1]):
+                    of = np.array([x == k for x in two[1]])
+                    n, t = found.get(k, (0.0, 0.0))
+                    found[k] = n + use[:, of].sum(1), t + d[:, of].sum(1)
+        if held is not None:
+            yield out()
+
+    kinds = [("ids", "array<long>"), ("labels", "array<string>"), ("full", "array<boolean>"), ("x", "binary")]
+    blocks = rows.mapInArrow(pack, ", ".join(f"{n} {t}" for n, t in kinds))
+    pairs = blocks.crossJoin(blocks.toDF(*[f"o_{n}" for n, _ in kinds]))
+    per = pairs.mapInArrow(sums, "frame_id long, la string, lb string, n double, d double").groupBy("frame_id", "la", "lb").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
     w = per.groupBy("frame_id").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("other"))
     return w.agg(F.avg(F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))).alias("silhouette"))
 
@@ -144,19 +195,44 @@ def superpose(points: DataFrame, reference_id: int) -> DataFrame:
     return t.mapInArrow(run, "frame_id long, rmsd double")
 
 
+def _products(df: DataFrame, left: list[str], right: list[str], left_mean, right_mean):
+    """For every left and right column: how many rows hold both, and over these the sums of the centred left, the centred right and their product.
+
+    Summed in each task first; the columns bound what the driver gets.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    k, centre = len(left), np.r_[left_mean, right_mean].astype(float)
+
+    def run(batches):
+        total = np.zeros((4, k, len(centre) - k))
+        for b in batches:
+            has = np.stack([b.column(i).is_valid().to_numpy(zero_copy_only=False) for i in range(len(centre))], 1)
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(centre))], 1).astype(float)
+            x, has = np.where(has, x - centre, 0.0), has.astype(float)
+            for t, (p, q) in zip(total, ((has, has), (x, has), (has, x), (x, x)), strict=True):
+                t += p[:, :k].T @ q[:, k:]
+        flat = total.reshape(4, -1)
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(flat.shape[1]), **dict(zip("nabs", flat, strict=True))})
+
+    picked = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*left, *right])])
+    got = picked.mapInArrow(run, "cell long, n double, a double, b double, s double").groupBy("cell").agg(*[F.sum(c) for c in "nabs"]).collect()
+    out = np.zeros((4, k * len(right)))
+    for r in got:
+        out[:, r[0]] = r[1:]
+    return out.reshape(4, k, len(right))
+
+
 def gram(features: DataFrame, columns: list[str]):
-    """Count, means and covariance (population) of columns by one aggregate row; the columns bound its size."""
+    """Count, means and covariance (population) of columns by one aggregate row and summed products; the columns bound their size."""
     import numpy as np
 
-    aggs = [F.avg(c) for c in columns] + [F.covar_pop(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = features.agg(F.count("*"), *aggs).head()
-    n, k = row[0], len(columns)
-    mean, cov, at = np.array(row[1 : 1 + k], float), np.zeros((k, k)), 1 + k
-    for i in range(k):
-        for j in range(i, k):
-            cov[i, j] = cov[j, i] = row[at]
-            at += 1
-    return n, mean, cov
+    row = features.agg(F.count("*"), *[F.avg(c) for c in columns]).head()
+    mean = np.array(row[1:], float)
+    n, a, b, s = _products(features, columns, columns, mean, mean)
+    with np.errstate(invalid="ignore"):
+        return row[0], mean, s / n - (a / n) * (b / n)
 
 
 def pca(features: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
@@ -180,9 +256,8 @@ def lagged_components(features: DataFrame, columns: list[str], lag: int, k: int
     _, mean, cov = gram(features, columns)
     later = features.select((F.col("frame_id") - lag).alias("frame_id"), *[F.col(c).alias(f"l_{c}") for c in columns])
     both = features.join(later, "frame_id")
-    row = both.agg(*[F.avg((F.col(a) - float(x)) * (F.col(f"l_{b}") - float(y))) for a, x in zip(columns, mean, strict=True) for b, y in zip(columns, mean, strict=True)]).head()
-    n = len(columns)
-    lagged = np.array(row, float).reshape(n, n)
+    together, _, _, summed = _products(both, columns, [f"l_{c}" for c in columns], mean, mean)
+    n, lagged = len(columns), summed / together
     value, vec = np.linalg.eigh(cov + ridge * np.eye(n))
     white = vec / np.sqrt(value)
     _, u = np.linalg.eigh(white.T @ ((lagged + lagged.T) / 2) @ white)

@@ -245,11 +245,25 @@ def pair_states(s, d):
     return rounded(search.pair_states(bindings.frames(s, d), 2, 15))
 
 
+def _features(s, d, width=None):
+    """frame_id, label and the components of every embedding (all, or the first ``width``), and the components' names."""
+    e = s.read.parquet(f"{d}/embeddings.parquet")
+    width = width or e.agg(F.max(F.size("embedding"))).head()[0] or 0
+    names = [f"f{k}" for k in range(width)]
+    return e.select(F.col("vec_id").alias("frame_id"), "label", *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)]), names
+
+
 @_query
 def silhouette(s, d):
-    e = s.read.parquet(f"{d}/embeddings.parquet")
-    f = e.select(F.col("vec_id").alias("frame_id"), "label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(6)])
-    return rounded(search.silhouette(f, "label", [f"f{k}" for k in range(6)]))
+    """The first six components only, as far as the SQL goes."""
+    f, names = _features(s, d, 6)
+    return rounded(search.silhouette(f, "label", names))
+
+
+@_query
+def silhouette_whole(s, d):
+    f, names = _features(s, d)
+    return rounded(search.silhouette(f, "label", names))
 
 
 @_query
@@ -263,11 +277,6 @@ def superposition_rmsd(s, d):
     return rounded(search.superpose(bindings.frames(s, d), 0))
 
 
-def _features(s, d):
-    e = s.read.parquet(f"{d}/embeddings.parquet")
-    return e.select(F.col("vec_id").alias("frame_id"), *[F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(6)]), [f"f{k}" for k in range(6)]
-
-
 @_query
 def pca(s, d):
     return rounded(search.pca(*_features(s, d)))

@@ -250,6 +250,33 @@ def test_components_and_free_energy_in_numpy(spark):
     assert np.allclose([r.energy for r in search.free_energy(df, "a").orderBy("x").collect()], e - e.min())
 
 
+def test_features_are_all_components(spark, tmp_path):
+    from strandlake.plans.queries import QUERIES
+
+    r = np.random.default_rng(14)
+    label = np.arange(60) % 3
+    x = np.cumsum(r.standard_normal((60, 64)), 0) * np.linspace(0.1, 3, 64) + 4 * label[:, None] * (np.arange(64) >= 40)
+    spark.createDataFrame([(i, v_.tolist(), int(k)) for i, (v_, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = lambda q: QUERIES[q](spark, str(tmp_path))
+    for q, n in (("silhouette", 6), ("silhouette_whole", 64)):
+        d, s = np.sqrt(((x[:, None, :n] - x[None, :, :n]) ** 2).sum(2)), []
+        for i in range(60):
+            own, *other = [d[i, (label == k) & (np.arange(60) != i)].mean() for k in (label[i], *{0, 1, 2} - {label[i]})]
+            s.append((min(other) - own) / max(min(other), own))
+        assert run(q).head()[0] == pytest.approx(np.mean(s), abs=2e-6)
+    c = x - x.mean(0)
+    _, vec = np.linalg.eigh(c.T @ c / 60)
+    w = vec[:, -1] * np.sign(vec[np.abs(vec[:, -1]).argmax(), -1])
+    assert np.allclose([t.pc1 for t in run("pca").orderBy("frame_id").collect()], c @ w, atol=2e-6)
+    lag = c[:-3].T @ c[3:] / 57
+    val, v_ = np.linalg.eigh(c.T @ c / 60 + 1e-4 * np.eye(64))
+    white = v_ / np.sqrt(val)
+    _, u = np.linalg.eigh(white.T @ ((lag + lag.T) / 2) @ white)
+    w = white @ u[:, -1]
+    w = w * np.sign(w[np.abs(w).argmax()])
+    assert np.allclose([t.ic1 for t in run("lagged_components").orderBy("frame_id").collect()], c @ w, rtol=1e-4, atol=1e-4)
+
+
 def test_pseudo_strand_without_bisector(spark):
     rows = [(1, k, 3.0 * k, 0.0, 0.0) for k in range(3)] + [(2, 0, 0.0, 0.0, 0.0)] + [(3, k, 0.0, 0.0, 3.0 * k) for k in range(2)]
     got = geometry.pseudo_strand(spark.createDataFrame(rows, "frame_id long, res int, x double, y double, z double")).orderBy("frame_id", "res").collect()
