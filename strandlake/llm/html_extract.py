@@ -26,7 +26,9 @@ from .runtime import ship
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
-_ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after another: name and value, so that a value is never looked into for names.
+_ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_NAMES = frozenset("class id role aria-hidden hidden style".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _DROP = frozenset("head script style noscript template svg math iframe object canvas audio video map nav footer aside form button select textarea input label option dialog menu title".split())
@@ -63,8 +65,12 @@ def _unwanted(name: str, attrs: str, inside: bool) -> bool:
     if not attrs or name in ("html", "body"):
         return False
     words: set[str] = set()
+    seen: set[str] = set()
     for k, a, b, c in _ATTR.findall(attrs):
         k, v = k.lower(), a or b or c
+        if k not in _NAMES or k in seen:  # of a repeated attribute the first counts
+            continue
+        seen.add(k)
         if k == "role" and v.lower() in _ROLES or k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and _STYLE.search(v):
             return True
         if k in ("class", "id"):

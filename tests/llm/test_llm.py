@@ -216,6 +216,14 @@ def test_html(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_html_attributes_are_whole_names():
+    body = "<p title='The hidden cost, id=nav'>One, two, three.</p><p data-id=share>Four, five.</p><p>Six, <a href='/p?id=comments'>see</a>, <a href=/hidden-gems>gems</a>.</p>"
+    assert html_extract.main_text(f'<article data-hidden="false">{body}</article>') == "One, two, three. Four, five. Six, see, gems."
+    for bad in ("hidden", "x=1 HIDDEN", "hidden=''", "class='a ad'", "id = nav", "aria-hidden=true", "title='a b' role=banner", "style='display: none'", "a='x'id='menu'"):
+        assert html_extract.main_text(f"<article><p>Kept, this.</p><div {bad}><p>Gone, this.</p></div></article>") == "Kept, this.", bad
+    assert html_extract.main_text("<article><p>Kept, this.</p><div id=text id=ad><p>And, this.</p></div></article>") == "Kept, this. And, this."
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 2000
     rows = [(1, "u", big), (2, "u", big), (3, "u", None), (4, None, ""), (5, "u\r\nX: y", "é" * 600), (6, "u", "WARC/1.0\r\n\r\n" * 200), (7, "u", "s"), (8, "u", "s"), (9, "u", big)]
