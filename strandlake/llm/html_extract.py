@@ -5,7 +5,9 @@ id are menus, headers, footers, sidebars, notices, adverts, forms or reader comm
 hold. Each remaining block of text passes points to the elements above it: one, one for each comma and up to
 three for its length; all of it to its container, half to the next and a third to the one above that. A
 container's points are discounted by its link density. The best container is kept, with those of its siblings
-that score well or are running text; its text blocks are given in page order.
+that score well or are running text. If it lies in an article or main element, the headings, paragraphs and lists
+of that whole element are kept too, but for branches of which links are more than half and for other articles
+in it that don't score well. Text blocks are given in page order.
 
 Defined cases: a null or empty html gives an empty text; a page without any scoring block gives all text that
 is not dropped; broken or unclosed markup is read as far as it goes; ``header`` inside an article is kept.
@@ -46,6 +48,7 @@ _BAD = frozenset(
     "comment comments respond replies reply disqus discussion share sharing social related recommended recommendations outbrain taboola "
     "form search toolbar copyright legal hidden print skip tags toc byline".split()
 )
+_ITEMS = frozenset("li dt dd tr td th".split())
 _GOOD = frozenset("article main content body entry post story text prose".split())
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -193,7 +196,26 @@ def main_text(page: str | None) -> str:
         best = best.up
     least = max(10.0, 0.2 * scored.get(id(best), 0.0))
 
+    chain, whole, n = set(), None, best
+    while n is not None:
+        chain.add(id(n))
+        whole = n if n.name in ("article", "main") else whole
+        n = n.up
+
+    def beside(node: _Node) -> bool:
+        """Of the article or main element, and in no branch next to the best container's that is links or another article."""
+        n = node
+        while n is not None and id(n) not in chain:
+            if n.name == "article" or n.name not in _ITEMS and n.linked * 2 > n.chars:
+                return False
+            n = n.up
+        while n is not None and n is not whole:
+            n = n.up
+        return n is not None
+
     def kept(node: _Node, text: str, linked: int) -> bool:
+        if whole is not None and beside(node):
+            return True
         n, below = node, None
         while n is not None:
             if n is best:

@@ -224,6 +224,18 @@ def test_html_attributes_are_whole_names():
     assert html_extract.main_text("<article><p>Kept, this.</p><div id=text id=ad><p>And, this.</p></div></article>") == "Kept, this. And, this."
 
 
+def test_html_keeps_what_stands_beside_the_best_container():
+    ps = [f"Paragraph {k}, with words, and others, and still more of them." for k in range(6)]
+    inner = "<div class='text'>" + "".join(f"<p>{p}</p>" for p in ps) + "</div>"
+    links = "<section><h2>More</h2><ul><li><a href=x>One linked title here</a></li><li><a href=y>Another linked title</a></li></ul></section>"
+    parts = f"<header><div><h1>Title</h1></div></header><p>Short.</p>{inner}<ul><li>An item</li><li><a href=z>A source</a></li><li>One more item of it</li></ul><section><p>End, of it.</p></section>{links}"
+    want = " ".join(["Title Short.", *ps, "An item A source One more item of it End, of it."])
+    assert html_extract.main_text(f"<body><p>Outside</p><article>{parts}</article><p>Outside</p></body>") == want
+    other = "<article><h2>Other</h2><p>Teaser.</p></article>"
+    assert html_extract.main_text(f"<body><main><h1>Top</h1><article>{parts}</article>{other}</main></body>") == "Top " + want
+    assert html_extract.main_text(f"<body><h1>Top</h1>{inner}</body>") == " ".join(ps)
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 2000
     rows = [(1, "u", big), (2, "u", big), (3, "u", None), (4, None, ""), (5, "u\r\nX: y", "é" * 600), (6, "u", "WARC/1.0\r\n\r\n" * 200), (7, "u", "s"), (8, "u", "s"), (9, "u", big)]
