@@ -6,7 +6,8 @@ recovers the records that follow, and logs the skipped bytes as a quarantined ga
 so memory is bounded by the largest record.
 
 Defined cases: a null payload is empty; payloads shorter than the bound are never revisits; of rows with equal
-payload and equal id one is the response and others revisit it; ids may be null (such rows come last in the
+payload those with the largest id (all of them, if it is repeated) are responses, and the others revisit this id
+with this payload; every row gives one record, whatever ids are repeated; ids may be null (such rows come last in the
 choice of a response and are never named in ``refers_to``); an empty table gives empty archives and no rows.
 """
 
@@ -180,7 +181,7 @@ def _open(uri: str):
 
 
 WRITTEN = "path string, records long, bytes long"
-READ = "path string, offset long, length long, kind string, reason string, record_type string, uri string, page_id long, payload binary, payload_digest string, refers_to long"
+READ = "path string, offset long, length long, kind string, reason string, record_type string, uri string, page_id long, payload binary, payload_digest string, refers_to long, payload_bytes long"
 
 
 def write_warc(rows: DataFrame, folder: str, *, level: int = 1) -> DataFrame:
@@ -222,6 +223,7 @@ def write_warc(rows: DataFrame, folder: str, *, level: int = 1) -> DataFrame:
 def read_warc(spark, folder: str, *, max_record: int = 1 << 28) -> DataFrame:
     """All records and quarantined gaps of the archives in ``folder`` (a URI on shared storage).
 
+    ``payload_bytes`` is a record's own block's length, of a revisit that of the payload it stands for, from its header.
     The file names become a table (one small row each) that is dealt one file to a task.
     """
     from pyarrow import fs
@@ -233,7 +235,7 @@ def read_warc(spark, folder: str, *, max_record: int = 1 << 28) -> DataFrame:
     # a file name has no scheme here: the folder's file system is asked for it
     files = spark.createDataFrame([(x,) for x in sorted(names)], "path string").repartition(len(names), "path")
     schema = pa.schema(
-        [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("reason", pa.string()), ("record_type", pa.string()), ("uri", pa.string()), ("page_id", pa.int64()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("refers_to", pa.int64())]
+        [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("reason", pa.string()), ("record_type", pa.string()), ("uri", pa.string()), ("page_id", pa.int64()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64())]
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +247,7 @@ def read_warc(spark, folder: str, *, max_record: int = 1 << 28) -> DataFrame:
                 with fsys.open_input_stream(path) as stream:
                     for kind, h, block, offset, length in salvage(stream, max_record):
                         digest = h.get("warc-payload-digest", "")
-                        rows.append((path, offset, length, kind, h.get("reason"), h.get("warc-type"), h.get("warc-target-uri"), number(h.get("x-page-id")), block if kind == "record" else None, digest[5:] if digest.startswith("sha1:") else None, number(h.get("x-refers-to-page-id"))))
+                        rows.append((path, offset, length, kind, h.get("reason"), h.get("warc-type"), h.get("warc-target-uri"), number(h.get("x-page-id")), block if kind == "record" else None, digest[5:] if digest.startswith("sha1:") else None, number(h.get("x-refers-to-page-id")), None if kind != "record" else number(h.get("x-payload-bytes")) if h.get("warc-type") == "revisit" else len(block)))
                         held += len(block)
                         if held > 2 * BLOCK:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -289,13 +291,10 @@ def round_trip(pages: DataFrame, *, least_bytes: int = REVISIT_BYTES) -> DataFra
     folder = f"{scratch.base}/archive"
     scratch.save(write_warc(with_revisits(pages, least_bytes=least_bytes), folder), "written")
     got = read_warc(spark, folder).where("kind = 'record'")
-    got = scratch.save(got.select("page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("block_digest")), "read")
+    digest = F.when(F.col("record_type") == "revisit", F.col("payload_digest")).otherwise(F.sha1("payload"))
+    got = scratch.save(got.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to"), "read")
     scratch.drop("archive", "written")
-    own = got.where("record_type = 'response'").select("page_id", "payload_bytes", F.col("block_digest").alias("payload_digest"), "record_type", "refers_to")
-    sizes = own.where(F.col("payload_bytes") >= least_bytes).select(F.col("page_id").alias("of"), "payload_bytes")
-    again = got.where("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to")
-    again = again.join(sizes, again["refers_to"] == sizes["of"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return own.unionAll(again)
+    return got
 
 
 SQL = """

@@ -248,6 +248,14 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_gives_one_row_for_each_page_of_repeated_ids(spark):
+    one, two = "a" * 1500, "b" * 2500
+    rows = [(9, one)] * 3 + [(9, two), (9, two), (4, one), (4, one), (5, two), (4, "s"), (4, "s")]
+    got = warc.round_trip(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")).collect()
+    want = [(i, len(h), hashlib.sha1(h.encode()).hexdigest(), *(("revisit", 9) if len(h) > 1 and i != 9 else ("response", None))) for i, h in rows]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("zipped", [True, False])
 def test_warc_salvage(zipped):
     recs = [warc.record("response", f"u{i}", bytes([65 + i]) * 3000, {}) for i in range(6)]
