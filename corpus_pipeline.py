@@ -19,16 +19,27 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest id; of a repeated row one."""
+    """Of each near-duplicate component one document: the one with the smallest id, then the smallest hash of its text.
+
+    A document is an id with a text. So of texts that share an id only those go that are near copies of a kept one, ids
+    may be null (such documents come last in the choice), and of a document that is repeated one row is kept.
+    """
     scratch = Scratch(spark, "pipeline-dups")
-    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
-    lost = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "lost")
-    kept = docs.join(small(lost, lost.count(), 24), "doc_id", "left_anti").select(*docs.columns)
-    again = scratch.save(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again")), "again")
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    found = jaccard_join.near_duplicates(keyed.select("doc_id", "text", "_key"), key_col="_key")
+    found = scratch.save(found.groupBy("doc_id", "row_key", "component").agg(F.count("*").alias("rows")), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
+    best = found.where("component IS NOT NULL").groupBy(F.col("component").alias("_of")).agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = scratch.save(best.select("_of", "best"), "best")
+    lost = found.join(small(best, best.count(), 48), F.col("component") == F.col("_of")).where(~order.eqNullSafe(F.col("best")))
+    lost = scratch.save(lost.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row")), "lost")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row"))
+    kept = keyed.join(small(lost, lost.count(), 32), same, "left_anti")
+    again = scratch.save(found.where("rows > 1").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row"), F.lit(True).alias("_again")), "again")
     if not again.head(1):
-        return kept
-    marked = kept.join(again, kept["doc_id"] == again["_again"], "left")
-    twice = marked.where("_again IS NOT NULL").select(*docs.columns).dropDuplicates(["doc_id"])
+        return kept.select(*docs.columns)
+    marked = kept.join(small(again, again.count(), 32), same, "left")
+    twice = marked.where("_again IS NOT NULL").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
     return marked.where("_again IS NULL").select(*docs.columns).unionAll(twice)
 
 

@@ -128,9 +128,10 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
             for i, j, sets, at in of(b, 1):
                 n = np.diff(at)
                 bits = pa.array([parity_bits(sets[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(set_ids(sets, at).view(np.int64), mask=n == 0), bits], names=["doc_id", "n_shingles", "class", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(set_ids(sets, at).view(np.int64), mask=n == 0), bits, *[x.slice(i, j - i) for x in b.columns[2:]]], names=["doc_id", "n_shingles", "class", "bits", *docs_names[2:]])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary")
+    docs_names = docs.columns
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary" + "".join(f", {c} long" for c in docs_names[2:]))
 
 
 def _packed(docs: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -245,11 +246,15 @@ def _token_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch:
     return got
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: components of texts of Jaccard similarity 0.8 or more."""
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, key_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: components of texts of Jaccard similarity 0.8 or more.
+
+    With ``key_col``, a long of each row, also row_key, and component: a label that no two components share, as
+    they may share ids where these repeat or are null. It is null for a row with an empty set.
+    """
     spark = df.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(key_col).cast("long").alias("row_key")] if key_col else []))
     rows = scratch.save(_classes(docs, words), "rows")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
     keys = rows.agg(F.sum("n_shingles")).head()[0] or 0
@@ -286,10 +291,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     label = label.select("class", "first", F.coalesce("component", "class").alias("component"))
     label = scratch.save(label, "labels")
     least = scratch.save(label.groupBy("component").agg(F.min("first").alias("component_id")), "least")
-    label = scratch.save(label.join(least, "component").select(F.col("class").alias("of_class"), "component_id"), "classes")
+    label = scratch.save(label.join(least, "component").select(F.col("class").alias("of_class"), "component_id", "component"), "classes")
     scratch.drop("members", "centres", "pairs", "sketches", "more-sets", "mixed", "more", "comp-star")
     out = rows.join(label, rows["class"] == label["of_class"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *(["row_key", "component"] if key_col else []))
 
 
 SQL = r"""

@@ -312,3 +312,20 @@ def test_pipeline_keeps_columns(spark):
     once = cp.drop_near_duplicates(spark, d.unionAll(d), SF)
     assert once.groupBy("doc_id").count().where("count > 1").count() == 0
     assert cp.pack(spark, d, SF).where(F.col("length") > 4096).count() == 0
+
+
+def test_pipeline_decides_by_id_and_text(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(6)
+    text = lambda: " ".join(f"t{r.random()}" for _ in range(60))
+    a, b, c, e, f = (text() for _ in range(5))
+    near = lambda t: t + " end"
+    rows = [(1, a), (2, near(a)), (2, b), (3, c), (3, e), (3, e), (None, near(b)), (None, f), (None, near(f)), (None, f), (4, None), (4, None), (4, ""), (None, None), (None, None)]
+    got = cp.drop_near_duplicates(spark, docs(spark, [(i, t, "a") for i, t in rows]), SF)
+    assert got.columns[:2] == ["doc_id", "text"] and len(got.columns) == len(DOCS.split(", "))
+    got = [(x.doc_id, x.text) for x in got.collect()]
+    first = [x for x in got if x[1] in (f, near(f))]
+    assert len(first) == 1 and first[0][0] is None
+    want = [(1, a), (2, b), (3, c), (3, e), (4, None), (4, ""), (None, None), first[0]]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
