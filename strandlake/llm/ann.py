@@ -3,7 +3,9 @@
 For each of several curves the vectors are projected on a few seeded random directions, shifted, cut to a grid
 and given their place on the Hilbert curve of that grid. A curve's order is cut into key ranges that hold about
 the same number of rows; a query looks at the rows of its own range and of the two neighbouring ones, and
-what it finds on all curves is merged and ranked by the exact inner product of the original vectors.
+what it finds on all curves is merged and ranked by the exact inner product of the original vectors. Curves order
+by direction alone, so rows get one more component, sqrt(M^2 - |x|^2) with M the largest norm, and queries a zero
+there: all rows are then of one length, and the largest inner product is the nearest direction.
 
 The range cuts come from Spark's quantile sketch over all rows (curves x ranges numbers on the driver, a fixed
 bound); rows are dealt by (curve, range, part), where a range with more rows than usual, such as one of equal
@@ -67,14 +69,21 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(vecs: np.ndarray, curve: int, dims: int, bits: int, seed: int) -> np.ndarray:
-    """Keys of vectors (taken at unit length) on one curve: its own directions and shift."""
+def curve_keys(vecs: np.ndarray, curve: int, dims: int, bits: int, seed: int, most: float | None = None) -> np.ndarray:
+    """Keys of vectors (taken at unit length) on one curve: its own directions and shift.
+
+    With ``most``, the largest norm of all rows, the vectors are first made that long by one more component.
+    """
     r = np.random.default_rng([seed, curve])
     way = r.standard_normal((4096, dims))[: vecs.shape[1]]  # the same first rows for every width
     shift = r.random(dims)
     norm = np.sqrt((vecs * vecs).sum(1, keepdims=True))
     norm[norm == 0] = 1.0
-    grid = np.clip(((vecs / norm) @ way / 8.0 + 0.5 + (shift - 0.5) / 4) * (1 << bits), 0, (1 << bits) - 1)
+    flat = (vecs / norm) @ way
+    if most:
+        share = np.minimum(1.0, norm / most)
+        flat = flat * share + np.sqrt(1 - share * share) * r.standard_normal(dims)
+    grid = np.clip((flat / 8.0 + 0.5 + (shift - 0.5) / 4) * (1 << bits), 0, (1 << bits) - 1)
     return hilbert_keys(grid.astype(np.int64), bits)
 
 
@@ -84,18 +93,21 @@ def nearest(df: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "ve
     scratch = Scratch(spark, "ann")
     nonzero = F.exists("vec", lambda x: x != 0)
 
-    def keyed(d: DataFrame, name: str) -> DataFrame:
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    most = usable(df, id_col, vec_col).agg(F.max(length)).head()[0]
+
+    def keyed(d: DataFrame, name: str, most: float | None = None) -> DataFrame:
         def place(batches):
             for b in batches:
                 x = matrix(b.column(1))
                 for i in range(0, len(x), 4096):
                     part = x[i : i + 4096]
-                    keys = np.stack([curve_keys(part, c, dims, bits, seed) for c in range(curves)], 1)
+                    keys = np.stack([curve_keys(part, c, dims, bits, seed, most) for c in range(curves)], 1)
                     yield pa.RecordBatch.from_pydict({"vec_id": b.column(0).slice(i, len(part)), "vec": [v.tobytes() for v in part], "keys": list(keys)}, schema=pa.schema([("vec_id", pa.int64()), ("vec", pa.binary()), ("keys", pa.list_(pa.int64()))]))
 
         return scratch.save(usable(d, id_col, vec_col).where(nonzero).mapInArrow(place, "vec_id long, vec binary, keys array<long>"), name)
 
-    rows, asked = keyed(df, "rows"), keyed(queries, "queries")
+    rows, asked = keyed(df, "rows", most), keyed(queries, "queries")
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

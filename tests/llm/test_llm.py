@@ -163,6 +163,18 @@ def test_top_k_counts_no_score_of_the_next_bin_twice(spark):
     assert sorted((t.rank, t.vec_id, t.score) for t in got) == [(1, 1001, 33024), (2, 1002, 33024), (3, 1003, 33024), (4, 1, 32768), (5, 2, 32768)]
 
 
+def test_nearest_finds_long_vectors(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((6000, 64))
+    x *= np.exp(r.standard_normal(6000))[:, None] / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.nearest(df, df.where("vec_id % 60 = 0"), k=20).collect()
+    s = x[::60] @ x.T
+    s[np.arange(100), np.arange(0, 6000, 60)] = -np.inf
+    least = np.sort(s, axis=1)[:, -20]
+    assert sum(s[t.query_id // 60, t.vec_id] >= least[t.query_id // 60] - 1e-9 for t in found) >= 0.9 * 2000
+
+
 def test_hilbert_curve_is_continuous():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     order = cells[np.argsort(ann.hilbert_keys(cells, 3))]
