@@ -67,6 +67,18 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
+    def bucketed(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Write ``df`` dealt to buckets by the columns ``by``, once, so that joins on them read it without a shuffle.
+
+        The catalog's entry is only needed to resolve the result and goes at once; the files are the scratch folder's.
+        """
+        n, table = partitions(self.spark), f"strandlake_{uuid.uuid4().hex}"
+        df.repartition(n, *by).write.bucketBy(n, *by).option("path", f"{self.base}/{name}").saveAsTable(table)
+        got = self.spark.table(table)
+        got.schema  # resolved here  # noqa: B018
+        self.spark.sql(f"DROP TABLE {table}")
+        return got
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self._path(f"{self.base}/{name}")
@@ -78,5 +90,16 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as keep it apart from the names in ``taken``, whatever their case."""
+    have, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -14,15 +14,19 @@ suffixes is found by ranking S-type substrings and doubling the ranked span unti
 then all L-type suffixes are induced in a forward and all S-type ones in a backward pass. Both passes work
 through disk-backed priority queues, one run list for each first byte, of which items leave in order in batches:
 an item is a suffix with its common-prefix length with the item before it, and the one it induces gets one more
-than the least such length in between. What the queues hold beyond ``QUEUE_BYTES`` is in files. Two neighbours
+than the least such length in between. What the queues hold beyond ``QUEUE_BYTES`` is in a file. Two neighbours
 with a common prefix of ``length`` bytes are repeats.
 
 The recursion on ranked S-type substrings stops after one level, where the doubling takes over: deeper levels
 have so many symbols that batches hold a few items each.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows repeat each other's
-bytes; an empty table gives an empty result. Other columns are not looked at. Rows are told apart by a 64-bit hash
-of id and text, and segments by a 64-bit hash beside their key.
+bytes; an empty table gives an empty result. Other columns are not looked at; one with the name of a new column is
+replaced by it. Rows are told apart by 96 bits of hashes of id and text (rows equal in both share their ranges), and
+segments by a 64-bit hash beside their key. A segment that doesn't fit its row is an error.
+
+The rows are written once, dealt to buckets by their hash; every later join with them reads that table without
+moving texts again.
 """
 
 from __future__ import annotations
@@ -44,11 +48,13 @@ U = np.uint64
 LENGTH = 200
 GRAM = 32
 RUN = 169
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
 HOT = 2048
 BLOCKS = (24, 1)
-QUEUE_BYTES = 64 << 20
+QUEUE_BYTES = 1 << 19
 BATCH = 1 << 20
+#: Bytes of text that are hashed at a time.
+CHUNK = 1 << 16
 
 _CODE = np.random.default_rng(977).integers(1, 2**63, 256).astype(U)
 
@@ -58,6 +64,30 @@ def _content(total: np.ndarray, back: np.ndarray, begin: np.ndarray, size: np.nd
     return mix((total[begin + size] - total[begin]) * back[begin] ^ (size.astype(U) * U(0xC2B2AE3D27D4EB4F)))
 
 
+def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running totals of the bytes' codes, inverse powers, and the hash of the ``GRAM`` bytes from each place on."""
+    n = len(data)
+    total = np.empty(n + 1, U)
+    total[0] = 0
+    np.take(_CODE, data, out=total[1:])
+    np.multiply(total[1:], _powers(n, False), out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
+    back = _powers(n, True)
+    gram = total[GRAM:] - total[:-GRAM]
+    np.multiply(gram, back[: len(gram)], out=gram)
+    return total, back, gram
+
+
+def _window_min(x: np.ndarray, wide: int) -> np.ndarray:
+    """min(x[i:i + wide]) for every i, from minima over powers of two."""
+    step = 1
+    while 2 * step <= wide:
+        x = np.minimum(x[:-step], x[step:])
+        step *= 2
+    rest = wide - step
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
 def segments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """key, content hash, row, start in the row, number of starts and periodicity of every segment of the rows.
 
@@ -65,42 +95,36 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[
     ``periodic`` holds for all such segments.
     """
     n, wide = len(data), length - GRAM + 1
-    none = tuple(np.zeros(0, np.int64) for _ in range(6))
-    if n < length:
-        return none
-    total = np.zeros(n + 1, U)
-    np.cumsum(_CODE[data] * _powers(n, False), out=total[1:])
-    back = _powers(n, True)
-    gram = mix((total[GRAM:] - total[:-GRAM]) * back[: n - GRAM + 1])
-    size = np.diff(offs)
-    rows = np.flatnonzero(size >= length)
+    none = tuple(np.zeros(0, t) for t in (U, U, np.int64, np.int64, np.int64, bool))
+    rows = np.flatnonzero(np.diff(offs) >= length)
     if not len(rows):
         return none
-    # the least gram hash of every window: the least of a block's tail and the next block's head
-    pad = -len(gram) % wide
-    block = np.concatenate([gram, np.full(pad, ~U(0))]).reshape(-1, wide)
-    head = np.minimum.accumulate(block, 1).reshape(-1)
-    tail = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].reshape(-1)
+    total, back, gram = _grams(data)
+    least = _window_min(gram, wide)
     starts = n - length + 1
-    least = np.minimum(tail[:starts], head[wide - 1 : wide - 1 + starts])
-    row = np.repeat(rows, size[rows] - length + 1)
-    at = np.repeat(offs[rows] - np.cumsum(np.r_[0, size[rows][:-1] - length + 1]), size[rows] - length + 1) + np.arange(len(row))
-    key = least[at]
-    cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])])
-    count = np.diff(np.r_[cut, len(key)])
+    change = np.empty(starts, bool)
+    np.not_equal(least[1:], least[:-1], out=change[1:])
+    change[offs[rows]] = True
+    change[0] = True
+    cut = np.flatnonzero(change)
+    row = np.searchsorted(offs, cut, side="right") - 1
+    stop = offs[row + 1] - length + 1
+    count = np.minimum(np.r_[cut[1:], starts], stop) - cut
+    inside = count > 0  # what is left of other starts crosses the end of a row
+    cut, row, count = cut[inside], row[inside], count[inside]
     if (count > RUN).any():  # periodic content
         parts = -(-count // RUN)
         inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         full = np.repeat(count, parts)
-        cut, count = np.repeat(cut, parts) + inner * RUN, np.minimum(RUN, full - inner * RUN)
-    begin = at[cut]
-    content = _content(total, back, begin, count + length - 1)
+        cut, row, count = np.repeat(cut, parts) + inner * RUN, np.repeat(row, parts), np.minimum(RUN, full - inner * RUN)
+    content = _content(total, back, cut, count + length - 1)
     # the gram at the segment's own starts, and at the ends of its last windows
-    head_hit = np.concatenate([[0], np.cumsum(gram[:starts] == least)])
-    tail_hit = np.concatenate([[0], np.cumsum(gram[wide - 1 :] == least)])
-    end = begin + count
-    twice = head_hit[end] - head_hit[begin] + tail_hit[end] - tail_hit[np.maximum(begin, end - wide + 1)] > 1
-    return key[cut], content, row[cut], begin - offs[row[cut]], count, twice
+    head_hit, tail_hit = np.zeros(starts + 1, np.int32), np.zeros(starts + 1, np.int32)
+    np.cumsum(gram[:starts] == least, out=head_hit[1:])
+    np.cumsum(gram[wide - 1 :] == least, out=tail_hit[1:])
+    end = cut + count
+    twice = head_hit[end] - head_hit[cut] + tail_hit[end] - tail_hit[np.maximum(cut, end - wide + 1)] > 1
+    return least[cut], content, row, cut - offs[row], count, twice
 
 
 def split(data: np.ndarray, begin: np.ndarray, count: np.ndarray, key: np.ndarray, grams: np.ndarray, block: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -108,11 +132,7 @@ def split(data: np.ndarray, begin: np.ndarray, count: np.ndarray, key: np.ndarra
 
     ``grams`` are the segments' gram hashes, ``begin`` and ``count`` their starts in ``data``. The strings of one block have one gram position, so no two are equal.
     """
-    n = len(data)
-    total = np.zeros(n + 1, U)
-    np.cumsum(_CODE[data] * _powers(n, False), out=total[1:])
-    back = _powers(n, True)
-    gram = mix((total[GRAM:] - total[:-GRAM]) * back[: n - GRAM + 1])
+    total, back, gram = _grams(data)
     size = count + length - GRAM  # grams of a segment
     first = np.cumsum(size) - size
     seg = np.repeat(np.arange(len(begin)), size)
@@ -132,23 +152,17 @@ def split(data: np.ndarray, begin: np.ndarray, count: np.ndarray, key: np.ndarra
 
 
 class Runs:
-    """A bucket's items in the order in which they came, in memory up to the pool's bound and beyond it in a file."""
+    """A bucket's items in the order in which they came, in memory up to the pool's bound and beyond it in its file."""
 
-    def __init__(self, pool: Pool, name: str):
-        self.pool, self.name, self.blocks, self.taken = pool, name, [], 0
+    def __init__(self, pool: Pool):
+        self.pool, self.blocks, self.taken = pool, [], 0
 
     def push(self, at: np.ndarray, lcp: np.ndarray) -> None:
         if not len(at):
             return
         size = at.nbytes + lcp.nbytes
         if self.pool.held + size > self.pool.bound:
-            path = f"{self.pool.folder}/{self.name}"
-            with open(path, "ab") as f:
-                place = f.tell()
-                f.write(np.ascontiguousarray(at).tobytes())
-                f.write(np.ascontiguousarray(lcp).tobytes())
-            self.blocks.append((path, place, len(at), at.dtype))
-            self.pool.spilled += size
+            self.blocks.append((self.pool.write(at.tobytes() + lcp.tobytes()), len(at), at.dtype))
         else:
             self.blocks.append((at, lcp))
             self.pool.held += size
@@ -157,12 +171,13 @@ class Runs:
         b = self.blocks[k]
         if len(b) == 2:
             return b
-        path, place, n, kind = b
-        return np.fromfile(path, kind, n, offset=place), np.fromfile(path, np.uint8, n, offset=place + n * kind.itemsize)
+        place, n, kind = b
+        data = self.pool.read(place, n * (kind.itemsize + 1))
+        return np.frombuffer(data, kind, n), np.frombuffer(data, np.uint8, n, n * kind.itemsize)
 
     def _size(self, k: int) -> int:
         b = self.blocks[k]
-        return len(b[0]) if len(b) == 2 else b[2]
+        return len(b[0]) if len(b) == 2 else b[1]
 
     def _join(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         parts = [self.load(k) for k in range(i, j)]
@@ -191,17 +206,31 @@ class Runs:
 
     def free(self) -> None:
         self.pool.held -= sum(b[0].nbytes + b[1].nbytes for b in self.blocks if len(b) == 2)
-        for b in self.blocks:
-            if len(b) == 4 and os.path.exists(b[0]):
-                os.unlink(b[0])
         self.blocks = []
 
 
 class Pool:
-    """Memory that a sort's queues share, and the folder of their files."""
+    """Memory that a sort's queues share, and the file of what is beyond it, of which each queue knows its blocks."""
+
+    def __init__(self, folder: str | None, bound: int):
+        self.file = tempfile.TemporaryFile(prefix="induce-", dir=folder, buffering=0)
+        self.bound, self.held, self.spilled = bound, 0, 0
+
+    def write(self, data: bytes) -> int:
+        place = self.spilled
+        if self.file.write(data) != len(data):
+            raise OSError("a queue's block could not be written whole")
+        self.spilled += len(data)
+        return place
 
-    def __init__(self, folder: str, bound: int):
-        self.folder, self.bound, self.held, self.spilled = folder, bound, 0, 0
+    def read(self, place: int, size: int) -> bytes:
+        return os.pread(self.file.fileno(), size, place)
+
+    def __enter__(self) -> Pool:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
 
 
 def _range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -283,39 +312,63 @@ def _lms_order(text: np.ndarray, lms: np.ndarray, length: int) -> np.ndarray:
         done = alone | (depth + 6 >= span[live[order]])
         live = np.sort(live[order[~done]])
         depth += 6
-    step = 1
-    while step <= length:  # an S-type substring has two symbols or more of its own, so this covers the length
+    step, order = 1, np.argsort(rank, kind="stable")
+    while True:  # rank covers ``step`` S-type substrings, each of which has two symbols or more of its own
+        if 2 * step > length + 1 or step >= m:
+            break
         nxt = np.full(m, -1, np.int64)
         nxt[:-step] = rank[step:]
-        if step >= m:
-            break
-        key = (rank.astype(U) << U(32)) | (nxt + 1).astype(U)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
+        k = (rank[order].astype(U) << U(32)) | (nxt[order] + 1).astype(U)
+        place = np.argsort(k, kind="stable")  # in order but for ties, which this sort makes use of
+        order, k = order[place], k[place]
         new = np.r_[True, k[1:] != k[:-1]]
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(m), 0))
         if new.all():
             break
         step *= 2
-    return np.argsort(rank, kind="stable")
+    return order
 
 
 def _adjacent_lcp(text: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
-    """Common-prefix lengths of neighbours in ``at``, up to ``cap``."""
+    """Common-prefix lengths of neighbours in ``at``, up to ``cap``.
+
+    Suffixes next to each other in the text that have their neighbours at the same distance match up to the same
+    place, so only the first of such a run is compared, up to ``cap`` symbols beyond the last.
+    """
     out = np.zeros(len(at), np.uint8)
-    pad = np.concatenate([text, np.zeros(cap + 8, text.dtype)])
-    words = np.lib.stride_tricks.as_strided(pad.view(np.uint8), (len(text) + cap + 1, 8), (2, 1))  # 4 symbols from each place
-    a, b, live, depth = at[:-1], at[1:], np.arange(1, len(at)), 0
-    while len(live) and depth < cap:
-        x = np.ascontiguousarray(words[a + depth]).view(U)[:, 0] ^ np.ascontiguousarray(words[b + depth]).view(U)[:, 0]
-        ends = x != 0
-        low = np.zeros(len(x), np.int64)
-        for d in (1, 2, 3):
-            low += (x & U((1 << (16 * d)) - 1)) == 0
-        out[live[ends]] = np.minimum(cap, depth + low[ends])
-        go = ~ends
-        a, b, live, depth = a[go], b[go], live[go], depth + 4
-    out[live] = cap
+    if len(at) < 2:
+        return out
+    wide = 32
+    place = np.argsort(at[1:])
+    pos, other = at[1:][place], at[:-1][place]
+    pad = np.concatenate([text, np.zeros(wide, text.dtype)])
+    block = np.lib.stride_tricks.sliding_window_view(pad, wide)
+    ends = np.zeros(len(pos), np.int64)  # where a suffix's match ends
+    head = np.r_[True, np.diff(pos - other) != 0]
+    while head.any():
+        first = np.flatnonzero(head)
+        last = np.r_[first[1:], len(pos)] - 1
+        if len(live := np.flatnonzero(ends[first] == 0)):
+            depth = np.zeros(len(first), np.int64)
+            most = pos[last] - pos[first] + cap
+            while len(live):
+                p = pos[first[live]] + depth[live]
+                q = other[first[live]] + depth[live]
+                ok = np.maximum(p, q) < len(text)  # the text's last symbol is alone, so matches end before it
+                differ = block[np.minimum(p, len(text))] != block[np.minimum(q, len(text))]
+                hit = differ.any(1) | ~ok
+                depth[live] += np.where(hit, np.where(ok, differ.argmax(1), 0), wide)
+                live = live[~hit & (depth[live] < most[live])]
+            new = ends[first] == 0
+            ends[first[new]] = pos[first[new]] + depth[new] + 1
+        run = np.cumsum(head) - 1
+        reach = ends[first][run]
+        over = (reach - 1 <= pos) & ~head  # the match ended before this suffix: it begins a run of its own
+        if not over.any():
+            break
+        begin = over & ~np.r_[False, over[:-1]]
+        head |= begin
+    out[place + 1] = np.clip(reach - 1 - pos, 0, cap)
     return out
 
 
@@ -341,9 +394,8 @@ def repeated_starts(text: np.ndarray, length: int = LENGTH, queue_bytes: int = Q
     seed_lcp = _adjacent_lcp(text, seeds, cap)
     symbols = int(text.max()) + 1
     seed_at = np.searchsorted(text[seeds], np.arange(symbols + 1))
-    with tempfile.TemporaryDirectory(prefix="induce-", dir=folder) as own:
-        pool = Pool(own, queue_bytes)
-        larger = [Runs(pool, f"L{c}") for c in range(symbols)]
+    with Pool(folder, queue_bytes) as pool:
+        larger = [Runs(pool) for _ in range(symbols)]
         scan = _Scan(text, is_s, False, larger, cap)
         for c in range(symbols):
             last = None
@@ -362,7 +414,7 @@ def repeated_starts(text: np.ndarray, length: int = LENGTH, queue_bytes: int = Q
                 scan.feed(seeds[i:j], lcp)
             elif last is None:
                 continue
-        smaller = [Runs(pool, f"S{c}") for c in range(symbols)]
+        smaller = [Runs(pool) for _ in range(symbols)]
         scan = _Scan(text, is_s, True, smaller, cap)
         for c in range(symbols - 1, -1, -1):
             last = None
@@ -401,30 +453,31 @@ def _edges(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """rid, lo, hi: byte ranges of the rows (rid, text) that strings with another occurrence cover; they may overlap."""
+    """rid, tag, lo, hi: byte ranges of the rows (rid, tag, text) that strings with another occurrence cover; they may overlap."""
     spark = docs.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = as_bytes(b.column(1))
-            rid = b.column(0).to_numpy()
-            for i, j in chunks(offs, 1 << 19):
-                key, content, row, start, count, periodic = segments(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(rid[i:j][row].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(periodic.astype(bool))], names=["key", "content", "rid", "start", "count", "periodic"])
-
-    found = scratch.save(docs.mapInArrow(cut, "key long, content long, rid long, start int, count int, periodic boolean"), "segments")
+            data, offs = as_bytes(b.column(2))
+            rid, tag = b.column(0).to_numpy(), b.column(1).to_numpy()
+            got = [(*segments(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length), i) for i, j in chunks(offs, CHUNK)]
+            key, content, start, count, periodic = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1, 3, 4, 5))
+            row = np.concatenate([g[2] + g[6] for g in got]) if got else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(rid[row]), pa.array(tag[row]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(periodic.astype(bool))], names=["key", "content", "rid", "tag", "start", "count", "periodic"])
+
+    found = scratch.save(docs.select("rid", "tag", "text").mapInArrow(cut, "key long, content long, rid long, tag int, start int, count int, periodic boolean"), "segments")
     shared = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("periodic").alias("periodic")).where("n > 1 OR periodic")
     shared = scratch.save(shared.selectExpr("key", "lo <> hi OR n = 1 AS mixed", f"n > {hot} AS hot"), "shared")
     kept = scratch.save(found.drop("periodic").join(shared, "key"), "kept")
     scratch.drop("segments", "shared")
-    entries = kept.where("mixed").groupBy("key", "content", "hot").agg(F.count("*").alias("times"), F.min(F.struct("rid", "start", "count")).alias("of"))
-    entries = scratch.save(entries.select("key", "content", "times", "of.rid", "of.start", "of.count", "hot", F.col("key").alias("gram")), "entries")
+    entries = kept.where("mixed").groupBy("key", "content", "hot").agg(F.count("*").alias("times"), F.min(F.struct("rid", "tag", "start", "count")).alias("of"))
+    entries = scratch.save(entries.select("key", "content", "times", "of.rid", "of.tag", "of.start", "of.count", "hot", F.col("key").alias("gram")), "entries")
 
     def fetch(wanted: DataFrame, work, schema: str) -> DataFrame:
         """``work`` on the bytes, their rows' bounds, the rows and the wanted segments' fields."""
         fields = ("start", "count", "key", "content", "times", "gram")
-        per_row = wanted.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("want")).withColumnRenamed("rid", "w_rid")
-        whole = docs.join(per_row, docs["rid"] == per_row["w_rid"]).select("text", "want", "rid")
+        per_row = wanted.groupBy("rid", "tag").agg(F.collect_list(F.struct(*fields)).alias("want")).withColumnsRenamed({"rid": "w_rid", "tag": "w_tag"}).hint("shuffle_hash")  # far smaller than the texts, which need no order
+        whole = docs.join(per_row, (docs["rid"] == per_row["w_rid"]) & (docs["tag"] == per_row["w_tag"])).select("text", "want", "rid", "tag")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -433,8 +486,9 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
                 item = want.flatten()
                 row = np.repeat(np.arange(b.num_rows), np.diff(want.offsets.to_numpy()))
                 got = [item.field(k).to_numpy() for k in range(len(fields))]
-                ok = np.flatnonzero(offs[row] + got[0] + got[1] + length - 1 <= offs[row + 1])
-                yield from work(data, offs, row[ok], b.column(2).to_numpy(), *[x[ok] for x in got])
+                if (offs[row] + got[0] + got[1] + length - 1 > offs[row + 1]).any():
+                    raise ValueError("a segment does not fit its row: two rows have equal hashes")
+                yield from work(data, offs, row, (b.column(2).to_numpy(), b.column(3).to_numpy()), *got)
 
         return whole.mapInArrow(run, schema)
 
@@ -444,17 +498,17 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(times), pa.array(texts, pa.binary())], names=["key", "content", "times", "bytes"])
 
     def divide(block: int):
-        names = ["key", "content", "times", "gram", "rid", "at", "start", "count", "key2", "content2"]
+        names = ["key", "content", "times", "gram", "rid", "tag", "at", "start", "count", "key2", "content2"]
 
         def work(data, offs, row, rid, start, count, key, content, times, gram):
-            for i, j in chunks(offs, 1 << 19):
+            for i, j in chunks(offs, CHUNK):
                 use = np.flatnonzero((row >= i) & (row < j))
                 if not len(use):
                     continue
                 base = offs[row[use]] - offs[i]
                 seg, begin, n, key2, content2 = split(data[offs[i] : offs[j]], base + start[use], count[use].astype(np.int64), key[use], gram[use].view(U), block, length)
                 of, at = use[seg], begin - base[seg]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[of], content[of], times[of], gram[of], rid[row[of]], (at - start[of]).astype(np.int32), at.astype(np.int32), n.astype(np.int32), key2.view(np.int64), content2.view(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[of], content[of], times[of], gram[of], rid[0][row[of]], rid[1][row[of]], (at - start[of]).astype(np.int32), at.astype(np.int32), n.astype(np.int32), key2.view(np.int64), content2.view(np.int64))], names=names)
 
         return work
 
@@ -462,9 +516,9 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
     for k, block in enumerate(BLOCKS):
         if not large.head(1):
             break
-        subs = scratch.save(fetch(large, divide(block), "key long, content long, times long, gram long, rid long, at int, start int, count int, key2 long, content2 long"), f"blocks-{k}")
-        inner = subs.groupBy(F.col("key2").alias("key"), F.col("content2").alias("content")).agg(F.sum("times").alias("times"), F.min(F.struct("rid", "start", "count", "gram")).alias("of"))
-        inner = scratch.save(inner.select("key", "content", "times", "of.rid", "of.start", "of.count", "of.gram"), f"inner-{k}")
+        subs = scratch.save(fetch(large, divide(block), "key long, content long, times long, gram long, rid long, tag int, at int, start int, count int, key2 long, content2 long"), f"blocks-{k}")
+        inner = subs.groupBy(F.col("key2").alias("key"), F.col("content2").alias("content")).agg(F.sum("times").alias("times"), F.min(F.struct("rid", "tag", "start", "count", "gram")).alias("of"))
+        inner = scratch.save(inner.select("key", "content", "times", "of.rid", "of.tag", "of.start", "of.count", "of.gram"), f"inner-{k}")
         sizes = scratch.save(inner.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")), f"sizes-{k}")  # a table, so that a skewed join with it can be split
         inner = inner.join(sizes, F.col("key") == F.col("_key")).drop("_key")
         wholes.append(inner.where("n = 1 AND times > 1").selectExpr("key", "content", "0 AS lo", "count AS hi"))
@@ -507,25 +561,27 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
         marks = scratch.save(marks, "all-marks")
         scratch.drop("marks", *[f"{x}-{k}" for x in ("blocks", "inner", "sizes") for k in range(len(layers))])
     scratch.drop("entries")
-    same = kept.where("NOT mixed").selectExpr("rid", "start AS lo", f"start + count + {length - 1} AS hi")
-    rest = kept.where("mixed").select("key", "content", "rid", "start").join(marks, ["key", "content"]).selectExpr("rid", "start + lo AS lo", f"start + hi + {length - 1} AS hi")
+    same = kept.where("NOT mixed").selectExpr("rid", "tag", "start AS lo", f"start + count + {length - 1} AS hi")
+    rest = kept.where("mixed").select("key", "content", "rid", "tag", "start").join(marks, ["key", "content"]).selectExpr("rid", "tag", "start + lo AS lo", f"start + hi + {length - 1} AS hi")
     return same.unionAll(rest)
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, decode: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, decode: bool = False, hot: int = HOT, names: tuple[str, ...] = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")) -> DataFrame:
     """The columns of ``df`` and, for every row: kept (its bytes without repeats), n_bytes, n_removed, n_spans, kept_sha256.
 
-    With ``decode``, ``kept`` is a string, without the rests of characters that were cut in two.
+    With ``decode``, ``kept`` is a string, without the rests of characters that were cut in two. ``names`` are the new columns' names.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "suffix")
-    names = df.columns
-    keyed = df.select("*", F.xxhash64(F.col(id_col), F.col(text_col)).alias("_rid"))
-    ranges = repeats(keyed.select(F.col("_rid").alias("rid"), F.col(text_col).alias("text")), scratch, length, hot)
-    per_row = scratch.save(ranges.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("_cuts")), "cuts").withColumnRenamed("rid", "_of")
+    scratch = Scratch(df.sparkSession, "suffix")
+    place = df.columns.index(text_col)
+    plain = [f"c{i}" for i in range(len(df.columns))]  # columns of any names
+    identity = F.col(f"c{df.columns.index(id_col)}"), F.col(f"c{place}")
+    rows = df.toDF(*plain).select("*", F.xxhash64(*identity).alias("rid"), F.hash(*reversed(identity)).alias("tag"))
+    rows = scratch.bucketed(rows, "rows", "rid", "tag")
+    ranges = repeats(rows.select("rid", "tag", F.col(f"c{place}").alias("text")), scratch, length, hot)
+    cuts = scratch.save(ranges.groupBy("rid", "tag").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("cuts")), "cuts").withColumnsRenamed({"rid": "w_rid", "tag": "w_tag"}).hint("shuffle_hash")
     scratch.drop("kept", "marks", "all-marks")
-    place = names.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    fields = ", ".join(f"{p} {f.dataType.simpleString()}" for p, f in zip(plain, df.schema, strict=True))
+    new = [f"n{i}" for i in range(5)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -547,7 +603,9 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 removed.append(k)
                 spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if k else 0)
                 digest.append(hashlib.sha256(body).hexdigest())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([k.decode("utf-8", "ignore") for k in kept]) if decode else pa.array(kept, pa.binary()), pa.array(np.diff(offs), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)], names=[*names, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(plain)], pa.array([k.decode("utf-8", "ignore") for k in kept]) if decode else pa.array(kept, pa.binary()), pa.array(np.diff(offs), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)], names=[*plain, *new])
 
-    joined = keyed.join(per_row, keyed["_rid"] == per_row["_of"], "left").select(*names, "_cuts")
-    return joined.mapInArrow(run, f"{fields}, kept {'string' if decode else 'binary'}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = rows.join(cuts, (rows["rid"] == cuts["w_rid"]) & (rows["tag"] == cuts["w_tag"]), "left").select(*plain, "cuts")
+    got = joined.mapInArrow(run, f"{fields}, n0 {'string' if decode else 'binary'}, n1 long, n2 long, n3 long, n4 string")
+    taken = {x.lower() for x in names}
+    return got.select(*[F.col(p).alias(c) for p, c in zip(plain, df.columns, strict=True) if c.lower() not in taken], *[F.col(n).alias(c) for n, c in zip(new, names, strict=True)])
