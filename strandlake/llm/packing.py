@@ -9,8 +9,8 @@ cost for each word it would hold is taken. At the end each sequence is cut down
 that holds its contents. The cost of a sequence of n words, ``n + n * n / (4 * longest)``, stands for the linear
 and the quadratic part of a training step.
 
-Defined cases: a null or empty text has one row with length 0 and no sequence; repeated rows are packed each;
-an empty table gives an empty result. Other columns are not looked at.
+Defined cases: a null or empty text has one row with length 0 and no sequence; repeated rows are packed each; ids may
+be null and are given back bit for bit; an empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,19 +94,21 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capac
     shards = max(1, -(-df.count() // shard_rows))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), size_of(F.col(text_col)).alias("size"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).alias("shard"))
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
-        size = part["size"].to_numpy(np.int64)
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        ids, size = part.column("doc_id").combine_chunks(), part.column("size").to_numpy()
+        order = np.lexsort((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), -size))
+        ids, size = ids.take(pa.array(order)), size[order]
         pieces = np.maximum(1, -(-size // longest))
         row = np.repeat(np.arange(len(size)), pieces)
         number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = number * longest
         length = np.minimum(longest, size[row] - start)
-        real = np.flatnonzero(length > 0)
+        real = length > 0
         seq, off, cap = best_fit(length[real], capacities)
-        null = pd.array([pd.NA] * len(row), dtype="Int64")
-        s, c, o = null.copy(), null.copy(), null.copy()
+        s, c, o = (np.zeros(len(row), np.int64) for _ in range(3))
         s[real], c[real], o[real] = seq, cap[seq] if len(seq) else seq, off
-        return pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "piece": number, "start": start, "length": length, "shard": key[0], "sequence": s, "capacity": c, "offset": o})
+        placed = lambda x, kind: pa.array(x, kind, mask=~real)
+        return pa.table({"doc_id": ids.take(pa.array(row)), "piece": pa.array(number, pa.int32()), "start": start, "length": length, "shard": pa.array(np.full(len(row), key[0].as_py()), pa.int64()), "sequence": placed(s, pa.int64()), "capacity": placed(c, pa.int32()), "offset": placed(o, pa.int32())})
 
-    return rows.groupBy("shard").applyInPandas(run, SCHEMA)
+    return rows.groupBy("shard").applyInArrow(run, SCHEMA)
