@@ -3,12 +3,13 @@
 The reader checks every record (gzip member, version line, header block, declared length, record end and
 block digest). After a failed check it searches on from the next byte for a gzip member or a version line,
 recovers the records that follow, and logs the skipped bytes as a quarantined gap. A file is read in blocks,
-so memory is bounded by the largest record.
+so memory is bounded by the largest record; records of any size are read unless the caller sets a bound.
 
 Defined cases: a null payload is empty; payloads shorter than the bound are never revisits; of rows with equal
-payload those with the largest id (all of them, if it is repeated) are responses, and the others revisit this id
-with this payload; every row gives one record, whatever ids are repeated; ids may be null (such rows come last in the
-choice of a response and are never named in ``refers_to``); an empty table gives empty archives and no rows.
+payload one with the largest id (of several, one with the smallest url) is the response, and the others revisit this
+id with this payload; every row gives one record, whatever ids are repeated; ids may be null (such rows come last in the
+choice of a response; where all are null all are responses, as none can be named); an empty table gives empty
+archives and no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import Scratch
@@ -75,7 +76,7 @@ class _Window:
         self.base += n
 
 
-def _parse(data: bytes | bytearray, whole: bool, most: int) -> tuple[dict[str, str], bytes, int] | str:
+def _parse(data: bytes | bytearray, whole: bool, most: int | None) -> tuple[dict[str, str], bytes, int] | str:
     """Headers, block and length of the record at the start of ``data``; else what is wrong, "more" if it is cut."""
     m = _VERSION.match(data)
     if not m:
@@ -91,8 +92,10 @@ def _parse(data: bytes | bytearray, whole: bool, most: int) -> tuple[dict[str, s
         if not sep or not re.fullmatch(rb"[A-Za-z0-9-]+", k):
             return "header"
         headers[k.decode().lower()] = v.strip().decode("utf-8", "replace")
-    if not re.fullmatch(r"[0-9]{1,18}", size := headers.get("content-length", "")) or int(size) > most:
+    if not re.fullmatch(r"[0-9]{1,18}", size := headers.get("content-length", "")):
         return "length"
+    if most is not None and int(size) > most:
+        return "size"
     start, stop = end + 4, end + 4 + int(size)
     if len(data) < stop + 4:
         return "cut" if whole else "more"
@@ -105,9 +108,9 @@ def _parse(data: bytes | bytearray, whole: bool, most: int) -> tuple[dict[str, s
     return headers, block, stop + 4
 
 
-def _inflate(w: _Window, most: int) -> tuple[bytes, int] | str:
+def _inflate(w: _Window, most: int | None) -> tuple[bytes, int] | str:
     """The content of the gzip member at the window's start, and its length in the file."""
-    z, out, at = zlib.decompressobj(31), [], 0
+    z, out, at, size = zlib.decompressobj(31), [], 0, 0
     try:
         while not z.eof:
             if at >= len(w.buf) and not w.need(at + 1):
@@ -115,15 +118,19 @@ def _inflate(w: _Window, most: int) -> tuple[bytes, int] | str:
             part = bytes(w.buf[at : at + (1 << 16)])
             out.append(z.decompress(part))
             at += len(part)
-            if sum(map(len, out)) > most:
+            size += len(out[-1])
+            if most is not None and size > most + BLOCK:  # the header block is not counted in a record's size
                 return "size"
     except zlib.error:
         return "gzip"
     return b"".join(out), at - len(z.unused_data)
 
 
-def salvage(stream, max_record: int = 1 << 28) -> Iterator[tuple[str, dict[str, str], bytes, int, int]]:
-    """Yield ("record", headers, block, offset, length) and ("gap", {"reason"}, b"", offset, length) in file order."""
+def salvage(stream, max_record: int | None = None) -> Iterator[tuple[str, dict[str, str], bytes, int, int]]:
+    """Yield ("record", headers, block, offset, length) and ("gap", {"reason"}, b"", offset, length) in file order.
+
+    Records with blocks of more than ``max_record`` bytes, if it is set, are gaps.
+    """
     w, gap, reason = _Window(stream), -1, ""
     while w.need(1):
         found = None
@@ -220,7 +227,7 @@ def write_warc(rows: DataFrame, folder: str, *, level: int = 1) -> DataFrame:
     return rows.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(write, WRITTEN)
 
 
-def read_warc(spark, folder: str, *, max_record: int = 1 << 28) -> DataFrame:
+def read_warc(spark, folder: str, *, max_record: int | None = None) -> DataFrame:
     """All records and quarantined gaps of the archives in ``folder`` (a URI on shared storage).
 
     ``payload_bytes`` is a record's own block's length, of a revisit that of the payload it stands for, from its header.
@@ -261,24 +268,25 @@ def read_warc(spark, folder: str, *, max_record: int = 1 << 28) -> DataFrame:
 def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = REVISIT_BYTES) -> DataFrame:
     """page_id, url, payload, payload_digest, refers_to: what :func:`write_warc` takes.
 
-    The largest id of each digest comes from a grouped maximum, reduced before the shuffle; the join back to the
-    rows is one that Spark can split where a digest has very many rows.
+    The largest id of each digest comes from grouped counts, reduced before the shuffle; the join back to the
+    rows is one that Spark can split where a digest has very many rows. Where that id is repeated with the payload,
+    its rows are counted by url, and one of them is the response.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("payload")
     ).withColumn("payload_digest", F.sha1("payload"))
     rows = rows.withColumn("long_digest", F.when(F.octet_length("payload") >= least_bytes, F.col("payload_digest")))
-    best = (
-        rows.where("long_digest is not null")
-        .groupBy(F.col("long_digest").alias("of_digest"))
-        .agg(F.max("page_id").alias("best"), F.count("*").alias("copies"))
-        .where("copies > 1")
-        .drop("copies")
-    )
+    counts = rows.where("long_digest is not null").groupBy(F.col("long_digest").alias("of_digest"), "page_id").agg(F.count("*").alias("n"))
+    best = counts.groupBy("of_digest").agg(F.max(F.struct(F.col("page_id").isNotNull(), "page_id", "n")).alias("top"), F.sum("n").alias("copies")).where("copies > 1")
+    best = best.select("of_digest", F.col("top.page_id").alias("best"), (F.col("top.n") > 1).alias("several"))
     joined = rows.join(best, rows["long_digest"] == best["of_digest"], "left")
-    return joined.select(
-        "page_id", "url", "payload", "payload_digest", F.when(F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to")
-    )
+    first = F.col("page_id").eqNullSafe(F.col("best"))
+    out = joined.select("page_id", "url", "payload", "payload_digest", F.when(F.col("best").isNotNull() & ~first, F.col("best")).alias("refers_to"), (F.col("best").isNotNull() & first & F.col("several")).alias("again"))
+    again = out.where("again").groupBy("page_id", "url", "payload_digest").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+    again = again.withColumn("place", F.row_number().over(Window.partitionBy("payload_digest").orderBy(F.col("url").asc_nulls_last())))
+    again = again.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    again = again.select("page_id", "url", "payload", "payload_digest", F.when((F.col("place") > 1) | (F.col("copy") > 1), F.col("page_id")).alias("refers_to"))
+    return out.where("not coalesce(again, false)").drop("again").unionByName(again)
 
 
 def round_trip(pages: DataFrame, *, least_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -299,9 +307,10 @@ def round_trip(pages: DataFrame, *, least_bytes: int = REVISIT_BYTES) -> DataFra
 
 SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-b AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM p)
+b AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best,
+  payload_bytes >= 1000 AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) > 1 AS later FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
+  CASE WHEN later AND best IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN later THEN best END AS refers_to
 FROM b
 """
