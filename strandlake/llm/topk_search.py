@@ -12,7 +12,9 @@ the driver and the tasks hold. The number of passes over the rows grows with the
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of different
 lengths are filled up with zeros; repeated ids are rows of their own, though no row with the query's id is its
 candidate; an empty table or one without queries gives no rows; fewer than k candidates give all of them.
-Scaled components are exact integers up to 2**53; larger ones make a plain error.
+Scores are exact integers: where a block's norms allow more than 2**53 they are computed in integers of 64 bits, and
+beyond 2**61 in Python's; what is larger than that in size counts as 2**61 with its sign, and a scaled component
+beyond 64 bits as the largest integer of 64 bits.
 """
 
 from __future__ import annotations
@@ -31,6 +33,30 @@ BINS = 512
 QUERY_BLOCK = 2048
 #: Scores held at a time in a task.
 CELLS = 1 << 20
+#: Scores of more than this count as this.
+MOST = 1 << 61
+
+
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Integer inner products (queries x rows) of integers held as doubles."""
+    bound = np.sqrt((q * q).sum(1).max(initial=0)) * np.sqrt((x * x).sum(1).max(initial=0))
+    if bound < 2**53:
+        return np.rint(q @ x.T).astype(np.int64)
+    out = np.empty((len(q), len(x)), np.int64)
+    big = np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1).max(initial=0))  # rows by what their scores can come to
+    for use, kind in ((big < 2**53, None), ((big >= 2**53) & (big < MOST), np.int64), (~(big < MOST), object)):
+        rows = x[use]
+        if not len(rows):
+            continue
+        if kind is None:
+            out[:, use] = np.rint(q @ rows.T).astype(np.int64)
+        elif kind is np.int64:
+            out[:, use] = np.clip(q, -MOST, MOST).astype(np.int64) @ rows.astype(np.int64).T
+        else:
+            whole = lambda a: np.array([[int(v) for v in r] for r in a], object).reshape(a.shape)
+            got = whole(q) @ whole(rows).T
+            out[:, use] = np.clip(got, -MOST, MOST).astype(np.int64)
+    return out
 
 
 def _scored(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -41,7 +67,7 @@ def _scored(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple[
         width = max(x.shape[1], q.shape[1])
         own, rows = widen(q, width), widen(x, width)
         for i in range(0, len(ids), step):
-            yield ids[i : i + step], np.rint(own @ rows[i : i + step].T).astype(np.int64)
+            yield ids[i : i + step], _products(own, rows[i : i + step])
 
 
 def exact_top_k(df: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, bins: int = BINS, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -53,7 +79,9 @@ def exact_top_k(df: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec
     scratch = Scratch(spark, "topk")
     scaled = lambda d: usable(d, id_col, vec_col).select("vec_id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"))
     rows = scaled(df)
-    asked = scratch.save(scaled(queries).withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("vec_id")) - 1) / query_block).cast("long")).withColumn("part", F.spark_partition_id()), "queries")
+    # numbered within the partition that a query comes from; a block is what one collect() takes
+    parts = scratch.save(scaled(queries).withColumn("part", F.spark_partition_id()), "parts")
+    asked = scratch.save(parts.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("part").orderBy("vec_id")) - 1) / query_block).cast("long")), "queries")
     groups = [(r["part"], r["block"]) for r in asked.groupBy("part", "block").count().select("part", "block", "count").sort("part", "block").toLocalIterator()]
     bound_of_rows = rows.select(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("n")).agg(F.max("n")).head()[0]
     held: list = []
@@ -87,9 +115,8 @@ def _group(rows: DataFrame, asked: list, row_norm: float, k: int, bins: int) ->
     for i, (_, v) in enumerate(asked):
         q[i, : len(v)] = v
     most = np.sqrt((q * q).sum(1)) * row_norm
-    if (most >= 2**53).any() or np.abs(q).max(initial=0) >= 2**53:
-        raise ValueError("scaled components are too large for exact integer scores")
-    low = -np.ceil(most).astype(np.int64) - 1  # a query's open range is [low, low + width * bins)
+    most = np.nan_to_num(most, nan=0.0)  # a zero vector against an endless one
+    low = -np.ceil(np.minimum(most * (1 + 1e-9), MOST)).astype(np.int64) - 1  # a query's open range is [low, low + width * bins)
     width = np.maximum(1, -(-(1 - 2 * low) // bins))
     end = low + width * bins  # exclusive; a refined range ends with the bin it came from, even if its bins reach further
     above = np.zeros(len(qid), np.int64)  # scores at or beyond the end
