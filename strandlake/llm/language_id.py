@@ -85,41 +85,55 @@ class ByteTagger:
             total += s
         return total.T
 
+    def gradients(self, ids: np.ndarray, size: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy at every byte, by backpropagation through time."""
+        w, h = self.w, self.h
+        x, n = np.ascontiguousarray(ids.T), len(y)
+        mask = (np.arange(len(x))[:, None] < size[None, :]).astype(float)
+        traces: dict[str, list] = {"f": [], "b": []}
+        states = {d: self._walk(x, d, w, mask, traces[d]) for d in "fb"}
+        both = np.concatenate([states["f"], states["b"]], 1)
+        z = np.einsum("lk,tkn->tln", w["out"], both) + w["bias"]
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[:, y, np.arange(n)] -= 1
+        p *= mask[:, None, :] / mask.sum()
+        g = {"out": np.einsum("tln,tkn->lk", p, both), "bias": p.sum((0, 2))[:, None]}
+        back = np.einsum("lk,tln->tkn", w["out"], p)
+        for d, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
+            gate, cand = w[f"gate_{d}"], w[f"cand_{d}"]
+            de, dg, dc = np.zeros((256, 3 * h)), np.zeros_like(gate), np.zeros_like(cand)
+            ds = np.zeros((h, n))
+            for t, state, raw, gt, c in reversed(traces[d]):
+                ds = ds + back[t, part]
+                on = ds * mask[t]
+                dz, dcand = on * (c - state), on * gt[:h] * (1 - c * c)
+                dr_state = cand.T @ dcand
+                slope = 0.2 * ((raw > -2.5) & (raw < 2.5))
+                draw = np.concatenate([dz, dr_state * state]) * slope
+                dc += dcand @ (gt[h:] * state).T
+                dg += draw @ state.T
+                np.add.at(de, x[t], np.concatenate([draw, dcand]).T)
+                ds = ds - on * gt[:h] + dr_state * gt[h:] + gate.T @ draw
+            g |= {f"emb_{d}": de.T, f"gate_{d}": dg, f"cand_{d}": dc}
+        return g
+
+    def byte_probs(self, data: np.ndarray) -> np.ndarray:
+        """The label probabilities of every byte of one window: (bytes, languages)."""
+        ids, mask = data[:, None], np.ones((len(data), 1))
+        both = np.concatenate([self._walk(ids, "f", self.w, mask), self._walk(ids, "b", self.w, mask)], 1)[:, :, 0]
+        z = both @ self.w["out"].T + self.w["bias"][:, 0]
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
     def train(self, ids: np.ndarray, size: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 4) -> None:
         """Backpropagation through time; the loss is the cross entropy at every byte."""
-        r, w, h = np.random.default_rng(seed), self.w, self.h
+        r, w = np.random.default_rng(seed), self.w
         m, s = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
         kinds = [k for k in (np.flatnonzero(y == i) for i in range(len(self.langs))) if len(k)]
         for step in range(1, steps + 1):
             pick = np.concatenate([r.choice(k, -(-batch // len(kinds))) for k in kinds])
-            x, n = np.ascontiguousarray(ids[pick].T), len(pick)
-            mask = (np.arange(len(x))[:, None] < size[pick][None, :]).astype(float)
-            traces: dict[str, list] = {"f": [], "b": []}
-            states = {d: self._walk(x, d, w, mask, traces[d]) for d in "fb"}
-            both = np.concatenate([states["f"], states["b"]], 1)
-            z = np.einsum("lk,tkn->tln", w["out"], both) + w["bias"]
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[:, y[pick], np.arange(n)] -= 1
-            p *= mask[:, None, :] / mask.sum()
-            g = {"out": np.einsum("tln,tkn->lk", p, both), "bias": p.sum((0, 2))[:, None]}
-            back = np.einsum("lk,tln->tkn", w["out"], p)
-            for d, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
-                gate, cand = w[f"gate_{d}"], w[f"cand_{d}"]
-                de, dg, dc = np.zeros((256, 3 * h)), np.zeros_like(gate), np.zeros_like(cand)
-                ds = np.zeros((h, n))
-                for t, state, raw, gt, c in reversed(traces[d]):
-                    ds = ds + back[t, part]
-                    on = ds * mask[t]
-                    dz, dcand = on * (c - state), on * gt[:h] * (1 - c * c)
-                    dr_state = cand.T @ dcand
-                    slope = 0.2 * ((raw > -2.5) & (raw < 2.5))
-                    draw = np.concatenate([dz, dr_state * state]) * slope
-                    dc += dcand @ (gt[h:] * state).T
-                    dg += draw @ state.T
-                    np.add.at(de, x[t], np.concatenate([draw, dcand]).T)
-                    ds = ds - on * gt[:h] + dr_state * gt[h:] + gate.T @ draw
-                g |= {f"emb_{d}": de.T, f"gate_{d}": dg, f"cand_{d}": dc}
+            g = self.gradients(ids[pick], size[pick], y[pick])
             norm = np.sqrt(sum((v * v).sum() for v in g.values()))
             for k in w:
                 v = g[k] / max(1.0, norm)

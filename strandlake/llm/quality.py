@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .runtime import ship
+from .runtime import fresh, ship
 from .textops import as_bytes, chunks, mix, word_hashes, word_spans
 
 PASSAGE = 64
@@ -112,6 +113,21 @@ class BagModel:
         p = 1 / (1 + np.exp(-np.clip(z @ w["o"] + w["c"], -30, 30)))
         return p, (h, v, u, att, z)
 
+    def gradients(self, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of the bags' labels."""
+        w, size = self.w, np.diff(at)
+        p, (h, v, u, att, z) = self.forward(x, at)
+        dl = (p - y) / len(y)
+        g = {"o": z.T @ dl, "c": np.array([dl.sum()])}
+        dz = np.repeat(dl[:, None] * w["o"], size, 0)
+        datt = (dz * h).sum(1)
+        de = att * (datt - np.repeat(np.add.reduceat(att * datt, at[:-1]), size))
+        g["a"] = (v * u).T @ de
+        dv, du = de[:, None] * w["a"] * u * (1 - v * v), de[:, None] * w["a"] * v * u * (1 - u)
+        g["V"], g["U"] = h.T @ dv, h.T @ du
+        dh = (att[:, None] * dz + dv @ w["V"].T + du @ w["U"].T) * (1 - h * h)
+        return g | {"W": x.T @ dh, "b": dh.sum(0)}
+
     def scores(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         if self.flat is not None:
             return np.full(len(at) - 1, self.flat)
@@ -133,17 +149,7 @@ class BagModel:
             size = np.diff(at)[pick]
             own = np.concatenate([[0], np.cumsum(size)])
             xb = x[np.repeat(at[pick] - own[:-1], size) + np.arange(own[-1])]
-            p, (h, v, u, att, z) = self.forward(xb, own)
-            dl = (p - y[pick]) / len(pick)
-            g = {"o": z.T @ dl, "c": np.array([dl.sum()])}
-            dz = np.repeat(dl[:, None] * w["o"], size, 0)
-            datt = (dz * h).sum(1)
-            de = att * (datt - np.repeat(np.add.reduceat(att * datt, own[:-1]), size))
-            g["a"] = (v * u).T @ de
-            dv, du = de[:, None] * w["a"] * u * (1 - v * v), de[:, None] * w["a"] * v * u * (1 - u)
-            g["V"], g["U"] = h.T @ dv, h.T @ du
-            dh = (att[:, None] * dz + dv @ w["V"].T + du @ w["U"].T) * (1 - h * h)
-            g["W"], g["b"] = xb.T @ dh, dh.sum(0)
+            g = self.gradients(xb, own, y[pick])
             for k in w:
                 d = g[k] + decay * w[k]
                 m[k] = 0.9 * m[k] + 0.1 * d
@@ -181,16 +187,17 @@ def score(docs: DataFrame, model: BagModel, *, text_col: str = "text", out_col:
     """``docs`` with the column ``out_col``: the probability of label 1."""
     ship(docs.sparkSession)
     names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = as_bytes(b.column(place))
             parts = [model.scores(*passage_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in chunks(offs)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*names, out_col])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*plain, "score"])
 
-    return docs.mapInArrow(run, f"{fields}, `{out_col}` double")
+    plain = [f"c{i}" for i in range(len(names))]  # columns of any names
+    kinds = [StructField(c, f.dataType) for c, f in zip(plain, docs.schema, strict=True)]
+    return docs.toDF(*plain).mapInArrow(run, StructType([*kinds, StructField("score", DoubleType())])).toDF(*names, out_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, max_labels: int = MAX_LABELS) -> DataFrame:
@@ -202,6 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their columns."""
+    """The rows of ``docs`` that the classifier does not reject, with their columns, whatever these are called."""
     model = fit(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
-    return score(docs, model, out_col="_quality").where(F.col("_quality") >= threshold).drop("_quality")
+    (own,) = fresh(docs.columns, "quality")
+    return score(docs, model, out_col=own).where(F.col(own) >= threshold).drop(own)

@@ -40,10 +40,12 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in tests on one machine, a temporary folder is made and set.
+    Only where the setting is absent and all of Spark runs in one process, as in tests, a temporary folder is made and set.
     """
     set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_ = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.sparkContext.setCheckpointDir(set_)
         set_ = spark.sparkContext.getCheckpointDir()

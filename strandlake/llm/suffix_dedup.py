@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .runtime import Scratch, partitions
 from .textops import _powers, as_bytes, chunks, mix
@@ -580,7 +581,6 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ranges = repeats(rows.select("rid", "tag", F.col(f"c{place}").alias("text")), scratch, length, hot)
     cuts = scratch.save(ranges.groupBy("rid", "tag").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("cuts")), "cuts").withColumnsRenamed({"rid": "w_rid", "tag": "w_tag"}).hint("shuffle_hash")
     scratch.drop("kept", "marks", "all-marks")
-    fields = ", ".join(f"{p} {f.dataType.simpleString()}" for p, f in zip(plain, df.schema, strict=True))
     new = [f"n{i}" for i in range(5)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -606,6 +606,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*b.columns[: len(plain)], pa.array([k.decode("utf-8", "ignore") for k in kept]) if decode else pa.array(kept, pa.binary()), pa.array(np.diff(offs), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)], names=[*plain, *new])
 
     joined = rows.join(cuts, (rows["rid"] == cuts["w_rid"]) & (rows["tag"] == cuts["w_tag"]), "left").select(*plain, "cuts")
-    got = joined.mapInArrow(run, f"{fields}, n0 {'string' if decode else 'binary'}, n1 long, n2 long, n3 long, n4 string")
+    kinds = [StringType() if decode else BinaryType(), LongType(), LongType(), LongType(), StringType()]
+    got = joined.mapInArrow(run, StructType([*[StructField(p, f.dataType) for p, f in zip(plain, df.schema, strict=True)], *map(StructField, new, kinds)]))
     taken = {x.lower() for x in names}
     return got.select(*[F.col(p).alias(c) for p, c in zip(plain, df.columns, strict=True) if c.lower() not in taken], *[F.col(n).alias(c) for n, c in zip(new, names, strict=True)])
