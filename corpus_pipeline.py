@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import jaccard_join, mixing, packing, quality, suffix_dedup
-from strandlake.llm.runtime import Scratch, small
+from strandlake.llm.runtime import Scratch, fresh, small
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,37 +25,40 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     may be null (such documents come last in the choice), and of a document that is repeated one row is kept.
     """
     scratch = Scratch(spark, "pipeline-dups")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    found = jaccard_join.near_duplicates(keyed.select("doc_id", "text", "_key"), key_col="_key")
+    own, id_, row, lone = fresh(docs.columns, "key", "id", "row", "again")
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    found = jaccard_join.near_duplicates(keyed.select("doc_id", "text", own), key_col=own)
     found = scratch.save(found.groupBy("doc_id", "row_key", "component").agg(F.count("*").alias("rows")), "found")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
     best = found.where("component IS NOT NULL").groupBy(F.col("component").alias("_of")).agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
     best = scratch.save(best.select("_of", "best"), "best")
     lost = found.join(small(best, best.count(), 48), F.col("component") == F.col("_of")).where(~order.eqNullSafe(F.col("best")))
-    lost = scratch.save(lost.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row")), "lost")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row"))
+    lost = scratch.save(lost.select(F.col("doc_id").alias(id_), F.col("row_key").alias(row)), "lost")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(row))
     kept = keyed.join(small(lost, lost.count(), 32), same, "left_anti")
-    again = scratch.save(found.where("rows > 1").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row"), F.lit(True).alias("_again")), "again")
+    again = scratch.save(found.where("rows > 1").select(F.col("doc_id").alias(id_), F.col("row_key").alias(row), F.lit(True).alias(lone)), "again")
     if not again.head(1):
-        return kept.select(*docs.columns)
+        return kept.drop(own)
     marked = kept.join(small(again, again.count(), 32), same, "left")
-    twice = marked.where("_again IS NOT NULL").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
-    return marked.where("_again IS NULL").select(*docs.columns).unionAll(twice)
+    twice = marked.where(F.col(lone).isNotNull()).dropDuplicates(["doc_id", own]).drop(own, id_, row, lone)
+    return marked.where(F.col(lone).isNull()).drop(own, id_, row, lone).unionAll(twice)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 200-byte strings that occur elsewhere; ``n_chars`` follows the text."""
-    cut = suffix_dedup.remove_repeats(docs, decode=True)
-    text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    names = fresh(docs.columns, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    cut = suffix_dedup.remove_repeats(docs, decode=True, names=tuple(names))
+    text = F.when(F.col("text").isNotNull(), F.col(names[0]))
+    new = {"text": text, "n_chars": F.when(F.col(names[2]) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
+    return cut.withColumns({c: x.cast(docs.schema[c].dataType) for c, x in new.items() if c in docs.columns}).drop(*names)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one at a source's cut is taken whole."""
-    mixed = mixing.mix_sources(docs.withColumn("_row", F.struct(*docs.columns)), carry=["_row"]).where("taken > 0")
+    whole = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
+    mixed = mixing.mix_sources(docs.select("doc_id", "text", "source", whole), carry=["row"]).where("taken > 0")
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
