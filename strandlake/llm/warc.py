@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import Scratch
+from .runtime import Scratch, small
 
 #: Payloads of fewer bytes are always written whole.
 REVISIT_BYTES = 1000
@@ -268,25 +268,31 @@ def read_warc(spark, folder: str, *, max_record: int | None = None) -> DataFrame
 def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = REVISIT_BYTES) -> DataFrame:
     """page_id, url, payload, payload_digest, refers_to: what :func:`write_warc` takes.
 
-    The largest id of each digest comes from grouped counts, reduced before the shuffle; the join back to the
-    rows is one that Spark can split where a digest has very many rows. Where that id is repeated with the payload,
-    its rows are counted by url, and one of them is the response.
+    The largest id of each digest comes from grouped counts, reduced before the shuffle and written as a table; the
+    join back to the rows is one that Spark can split where a digest has very many rows. Where that id is repeated
+    with the payload, its rows are counted by url, and one of them is the response.
     """
+    scratch = Scratch(pages.sparkSession, "revisits")
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("payload")
     ).withColumn("payload_digest", F.sha1("payload"))
     rows = rows.withColumn("long_digest", F.when(F.octet_length("payload") >= least_bytes, F.col("payload_digest")))
     counts = rows.where("long_digest is not null").groupBy(F.col("long_digest").alias("of_digest"), "page_id").agg(F.count("*").alias("n"))
     best = counts.groupBy("of_digest").agg(F.max(F.struct(F.col("page_id").isNotNull(), "page_id", "n")).alias("top"), F.sum("n").alias("copies")).where("copies > 1")
-    best = best.select("of_digest", F.col("top.page_id").alias("best"), (F.col("top.n") > 1).alias("several"))
+    best = scratch.save(best.select("of_digest", F.col("top.page_id").alias("best"), (F.col("top.n") > 1).alias("several")).where("best is not null"), "best")
     joined = rows.join(best, rows["long_digest"] == best["of_digest"], "left")
     first = F.col("page_id").eqNullSafe(F.col("best"))
-    out = joined.select("page_id", "url", "payload", "payload_digest", F.when(F.col("best").isNotNull() & ~first, F.col("best")).alias("refers_to"), (F.col("best").isNotNull() & first & F.col("several")).alias("again"))
-    again = out.where("again").groupBy("page_id", "url", "payload_digest").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+    columns = ["page_id", "url", "payload", "payload_digest"]
+    out = joined.where(~(first & F.coalesce("several", F.lit(False)))).select(*columns, F.when(F.col("best").isNotNull() & ~first, F.col("best")).alias("refers_to"))
+    several = best.where("several")
+    n = several.count()
+    if not n:
+        return out
+    again = rows.join(small(several, n, 96), (rows["long_digest"] == several["of_digest"]) & (rows["page_id"] == several["best"]))
+    again = again.groupBy("page_id", "url", "payload_digest").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
     again = again.withColumn("place", F.row_number().over(Window.partitionBy("payload_digest").orderBy(F.col("url").asc_nulls_last())))
     again = again.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    again = again.select("page_id", "url", "payload", "payload_digest", F.when((F.col("place") > 1) | (F.col("copy") > 1), F.col("page_id")).alias("refers_to"))
-    return out.where("not coalesce(again, false)").drop("again").unionByName(again)
+    return out.unionByName(again.select(*columns, F.when((F.col("place") > 1) | (F.col("copy") > 1), F.col("page_id")).alias("refers_to")))
 
 
 def round_trip(pages: DataFrame, *, least_bytes: int = REVISIT_BYTES) -> DataFrame:
