@@ -54,11 +54,11 @@ def bimodality_profile(inv: DataFrame, width: int) -> DataFrame:
 
 def bimodality_profile_unwrapped(inv: DataFrame, width: int) -> DataFrame:
     """Profile over inner vertices, with tau and theta continued from the first frame's angle over the branch cut."""
-    first = Window.partitionBy("res").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turned = inv
-    for f in [f for f in ("tau", "theta") if f in inv.columns]:
-        ref = F.first(f).over(first)
-        turned = turned.withColumn(f, ref + F.atan2(F.sin(F.col(f) - ref), F.cos(F.col(f) - ref)))
+    turns = [f for f in ("tau", "theta") if f in inv.columns]
+    first = inv.groupBy(F.col("res").alias("_res")).agg(*[F.min_by(f, "frame_id").alias(f"_{f}") for f in turns])
+    turned = inv.join(F.broadcast(first), F.col("res") == F.col("_res"))  # one row for each place on a curve
+    for f in turns:
+        turned = turned.withColumn(f, F.col(f"_{f}") + F.atan2(F.sin(F.col(f) - F.col(f"_{f}")), F.cos(F.col(f) - F.col(f"_{f}"))))
     w = Window.partitionBy("frame_id").orderBy("res").rowsBetween(0, width - 1)
     features = [f for f in ("kappa", "tau", "theta") if f in inv.columns]
     last = F.max("res").over(Window.partitionBy("frame_id"))

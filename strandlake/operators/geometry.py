@@ -76,6 +76,36 @@ def base_invariants(nucleotides: DataFrame, mode: str = "raise") -> DataFrame:
     return invariants(nucleotides.withColumns({f"e{a}": x / n for a, x in zip("xyz", d, strict=True)}), mode, "e")
 
 
+def bundle(points: DataFrame, mode: str = "raise", strand: str | None = None, radius: int | None = None) -> DataFrame:
+    """frame_id, seg, kappa, tau(, theta), writhe: the arrays of every curve.
+
+    The local writhe has ``radius`` points on both sides; by default 4 for curves of 12 points or more, 2 from 8 points
+    and 1 below. Curves of fewer than 4 points fail, or are left out with ``mode`` "null". ``strand`` is "c" for ribbons,
+    "n" for nucleotides (N against C1', radius 2 by default) or the prefix of ready unit vectors.
+    """
+    from . import curves, writhe
+
+    w = Window.partitionBy("frame_id")
+    inv = ribbon_invariants(points, mode) if strand == "c" else base_invariants(points, mode) if strand == "n" else invariants(points, mode, strand)
+    names = ["seg", "kappa", "tau", *(["theta"] if strand else [])]
+    inv = inv.groupBy("frame_id").agg(F.count("*").alias("_n"), *[curves.gathered(n) for n in names])
+    short = F.col("_n") < 4
+    inv = inv.where(~short) if mode == "null" else inv.where(F.when(short, F.raise_error(F.lit("a curve has four points or more")).cast("boolean")).otherwise(True))
+    if radius is None and strand == "n":
+        radius = 2
+    far = F.lit(radius) if radius else F.when(F.col("_c") >= 12, 4).when(F.col("_c") >= 8, 2).otherwise(1)
+    sized = points.select("frame_id", "res", "x", "y", "z", F.count("*").over(w).alias("_c")).withColumn("_r", far)
+    spectrum = writhe.local_writhe(sized, F.col("_r")).groupBy("frame_id").agg(curves.gathered("writhe"))
+    return inv.drop("_n").join(spectrum, "frame_id", "left").withColumn("writhe", F.coalesce("writhe", F.array().cast("array<double>")))
+
+
+def deltas(one: DataFrame, two: DataFrame) -> DataFrame:
+    """res, d_kappa, d_tau(, d_theta): differences of two curves' invariants; those of tau and theta on the circle, in degrees."""
+    names = [n for n in ("tau", "theta") if n in one.columns and n in two.columns]
+    b = two.select("res", *[F.col(n).alias(f"_{n}") for n in ("kappa", *names)])
+    return one.join(b, "res").select("res", F.abs(F.col("kappa") - F.col("_kappa")).alias("d_kappa"), *[F.degrees(v.circle_distance(F.col(n), F.col(f"_{n}"))).alias(f"d_{n}") for n in names])
+
+
 def subcurve(points: DataFrame, start: int, end: int) -> DataFrame:
     """Points ``start`` .. ``end`` of each curve; nothing unless end - start >= 3. Invariants are local, so they may be taken after it."""
     return points.where(F.col("res").between(start, end) if end - start >= 3 else F.lit(False))
@@ -86,6 +116,26 @@ def totals(inv: DataFrame) -> DataFrame:
     return inv.groupBy("frame_id").agg(F.coalesce(F.sum("kappa"), F.lit(0.0)).alias("total_curvature"), F.coalesce(F.avg("seg"), F.lit(0.0)).alias("mean_segment"))
 
 
+def _perpendicular(d: v.Vec, otherwise: tuple[float, float, float]) -> v.Vec:
+    """Unit vector at a right angle to ``d``, or ``otherwise`` where there is none."""
+    flat = (F.abs(d[0]) > 0.1) | (F.abs(d[1]) > 0.1)
+    side = F.when(flat, -d[1]).otherwise(0.0), F.when(flat, d[0]).otherwise(-d[2]), F.when(flat, 0.0).otherwise(d[1])
+    wide = v.norm(side) >= EPSILON
+    return tuple(F.when(wide, s).otherwise(o) for s, o in zip(v.unit(side, EPSILON), otherwise, strict=True))
+
+
+def bond_strand(ca: v.Vec, n: v.Vec, c: v.Vec) -> v.Vec:
+    """The point 1.52 from ``ca`` away from both its bonded atoms ``n`` and ``c``.
+
+    Where these lie opposite each other the direction is their cross product, then a perpendicular of ca - n, then the x axis.
+    """
+    one, two = v.sub(ca, n), v.sub(ca, c)
+    way, up = v.add(one, two), v.cross(one, two)
+    bent, wide = v.norm(way) >= EPSILON, v.norm(up) >= EPSILON
+    u = tuple(F.when(bent, a).when(wide, b).otherwise(o) for a, b, o in zip(v.unit(way, EPSILON), v.unit(up, EPSILON), _perpendicular(one, (1.0, 0.0, 0.0)), strict=True))
+    return tuple(p + PSEUDO * x for p, x in zip(ca, u, strict=True))
+
+
 def pseudo_strand(points: DataFrame) -> DataFrame:
     """``points`` with px, py, pz, a second strand point 1.52 from each along the outward bisector of its neighbours.
 
@@ -99,10 +149,8 @@ def pseudo_strand(points: DataFrame) -> DataFrame:
     far = {"x": 0.0, "y": 0.0, "z": -2.0}
     along = {a: F.coalesce(F.col(f"_n{a}") - F.col(f"_p{a}"), 2 * (F.col(f"_n{a}") - F.col(a)), 2 * (F.col(a) - F.col(f"_p{a}")), F.lit(far[a])) for a in "xyz"}
     p = p.withColumns({f"_w{a}": c for a, c in zip("xyz", way, strict=True)} | {f"_d{a}": c for a, c in along.items()})
-    flat = (F.abs("_dx") > 0.1) | (F.abs("_dy") > 0.1)
-    side = F.when(flat, -F.col("_dy")).otherwise(0.0), F.when(flat, F.col("_dx")).otherwise(-F.col("_dz")), F.when(flat, 0.0).otherwise(F.col("_dy"))
-    bent, wide = v.norm(v.vec("_w")) >= EPSILON, v.norm(side) >= EPSILON
-    u = tuple(F.when(bent, b).when(wide, s).otherwise(y) for b, s, y in zip(v.unit(v.vec("_w"), EPSILON), v.unit(side, EPSILON), (0.0, 1.0, 0.0), strict=True))
+    bent = v.norm(v.vec("_w")) >= EPSILON
+    u = tuple(F.when(bent, b).otherwise(s) for b, s in zip(v.unit(v.vec("_w"), EPSILON), _perpendicular(v.vec("_d"), (0.0, 1.0, 0.0)), strict=True))
     return p.withColumns({f"p{a}": q + PSEUDO * x for a, q, x in zip("xyz", r, u, strict=True)}).drop(*[f"_{s}{a}" for s in "pnwd" for a in "xyz"])
 
 

@@ -19,7 +19,7 @@ def centred_features(inv: DataFrame, chain: str | None = None) -> DataFrame:
     w = Window.partitionBy("frame_id").orderBy("res")
     rows = inv.where("kappa IS NOT NULL") if "tau" not in names else inv.withColumn("tau", F.coalesce("tau", F.lag("tau").over(w))).where("kappa IS NOT NULL")
     means = rows.groupBy("res").agg(*[F.atan2(F.sum(F.sin(f)), F.sum(F.cos(f))).alias(f"mu_{f}") for f in names], F.count("*").alias("frames"))
-    rows = rows.join(means, "res")
+    rows = rows.join(F.broadcast(means), "res")  # one row for each place on a curve
     d = {f: F.coalesce(F.col(f), F.lit(0.0)) - F.col(f"mu_{f}") for f in names}
     return rows.select("frame_id", (F.col("res") + 1).alias("res"), F.array(*[F.atan2(F.sin(x), F.cos(x)) for x in d.values()]).alias("u"), "frames")
 
@@ -28,14 +28,53 @@ def _width(inv: DataFrame) -> int:
     return sum(f in inv.columns for f in FEATURES)
 
 
-def _pairs(a: DataFrame, b: DataFrame, n: int, m: int, on) -> DataFrame:
-    """Second moments of all feature pairs (n and m features a residue) of residue pairs, summed in each task before the shuffle."""
-    one = a.select("frame_id", F.col("res").alias("i"), F.col("u").alias("ua"), "frames")
-    two = b.select(F.col("frame_id").alias("_f"), F.col("res").alias("j"), F.col("u").alias("ub"))
-    p = one.join(two, (F.col("frame_id") == F.col("_f")) & on)
-    e = lambda c, k: F.get(c, F.lit(k))
-    terms = [F.sum(e(x, r) * e(y, c)).alias(f"{t}{r}{c}") for t, x, y, p_, q_ in (("a", "ua", "ua", n, n), ("b", "ub", "ub", m, m), ("c", "ua", "ub", n, m)) for r in range(p_) for c in range(q_) if t == "c" or r <= c]
-    return p.groupBy("i", "j").agg(F.max("frames").alias("frames"), *terms)
+def _by_frame(features: DataFrame) -> DataFrame:
+    """frame_id, res, frames, u (flat, in the order of res): one row for each frame."""
+    got = F.array_sort(F.collect_list(F.struct("res", "frames", "u")))
+    return features.groupBy("frame_id").agg(got.alias("_g")).select("frame_id", F.col("_g.res").cast("array<int>").alias("res"), F.col("_g.frames").cast("array<long>").alias("frames"), F.flatten("_g.u").alias("u"))
+
+
+def _dense(batch: pa.RecordBatch, at: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, their frame counts, the (frames, places, n) features of a batch, 0 where a frame lacks a place, and which it has."""
+    res, frames, u = (batch.column(at + k) for k in range(3))
+    size = res.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(res)), size)
+    flat = res.flatten().to_numpy(zero_copy_only=False)
+    place, of = np.unique(flat, return_inverse=True)
+    count = np.zeros(len(place), np.int64)
+    count[of] = frames.flatten().to_numpy(zero_copy_only=False)
+    x, has = np.zeros((len(res), len(place), n)), np.zeros((len(res), len(place)))
+    has[row, of] = 1.0
+    x[row, of] = u.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return place, count, x, has
+
+
+def _pairs(a: DataFrame, b: DataFrame | None, n: int, m: int) -> DataFrame:
+    """Second moments of all feature pairs (n and m features a residue) of residue pairs; without ``b``, pairs i < j of ``a``.
+
+    Each batch of frames gives one row of sums for each pair, so that what is shuffled follows the pairs and not the frames.
+    """
+    one = _by_frame(a)
+    both = one if b is None else one.join(_by_frame(b).toDF("_f", "res2", "frames2", "u2"), F.col("frame_id") == F.col("_f")).drop("_f")
+    names = [f"{t}{r}{c}" for t, p_, q_ in (("a", n, n), ("b", m, m), ("c", n, m)) for r in range(p_) for c in range(q_) if t == "c" or r <= c]
+
+    alone = b is None
+
+    def run(batches):
+        for batch in batches:
+            place, count, x, has = _dense(batch, 1, n)
+            other, _, y, has2 = (place, count, x, has) if alone else _dense(batch, 4, m)
+            left, right = np.einsum("fir,fic->firc", x, x), np.einsum("fjr,fjc->fjrc", y, y)
+            for i in range(len(place)):
+                j = np.arange(i + 1, len(place)) if alone else np.arange(len(other))
+                if not len(j):
+                    continue
+                sums = {"a": np.tensordot(has2[:, j], left[:, i], (0, 0)), "b": np.tensordot(has[:, i], right[:, j], (0, 0)), "c": np.tensordot(x[:, i], y[:, j], (0, 0)).transpose(1, 0, 2)}
+                values = [np.ascontiguousarray(sums[k[0]][:, int(k[1]), int(k[2])]) for k in names]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), place[i], np.int32)), pa.array(other[j].astype(np.int32)), pa.array(np.full(len(j), count[i])), *[pa.array(z) for z in values]], names=["i", "j", "frames", *names])
+
+    sums = both.mapInArrow(run, "i int, j int, frames long, " + ", ".join(f"{k} double" for k in names))
+    return sums.groupBy("i", "j").agg(F.max("frames").alias("frames"), *[F.sum(k).alias(k) for k in names])
 
 
 def _correlation(moments: DataFrame, n: int, m: int, eps: float, twice: bool) -> DataFrame:
@@ -77,13 +116,13 @@ def log_det(a: np.ndarray) -> np.ndarray:
 def network(inv: DataFrame, eps: float = 1e-6, twice: bool = True) -> DataFrame:
     """i < j, r over inner residues of one chain. ``twice`` keeps the joint covariance's second regulariser."""
     u, n = centred_features(inv), _width(inv)
-    return _correlation(_pairs(u, u, n, n, F.col("i") < F.col("j")), n, n, eps, twice)
+    return _correlation(_pairs(u, None, n, n), n, n, eps, twice)
 
 
 def inter_network(one: DataFrame, two: DataFrame, eps: float = 1e-6, twice: bool = True) -> DataFrame:
     """i, j, r between inner residues of two chains with the same frames."""
     n, m = _width(one), _width(two)
-    return _correlation(_pairs(centred_features(one), centred_features(two), n, m, F.lit(True)), n, m, eps, twice)
+    return _correlation(_pairs(centred_features(one), centred_features(two), n, m), n, m, eps, twice)
 
 
 def full_matrix(edges: DataFrame, residues: int) -> DataFrame:

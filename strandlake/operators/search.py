@@ -6,68 +6,137 @@ filter before the dynamic programme runs, and top-k plans end in TakeOrderedAndP
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec as v
-from .geometry import invariants, subcurve
-from .writhe import local_writhe
+from . import curves
+from .geometry import EPSILON, subcurve
+
+def _arrays(points: DataFrame, mode: str, radius: int | None) -> DataFrame:
+    """frame_id, seg, kappa, tau(, writhe) of every curve from one exchange and one pass over its points."""
+
+    def work(p):
+        if p.shape[1] < 2:
+            return
+        seg, kappa, tau, short, flat = curves.invariants(p, EPSILON)
+        if mode != "null" and (short or flat):
+            raise ValueError("degenerate segment" if short else "collinear segments")
+        got = [seg, kappa, tau]
+        if radius:
+            n = p.shape[1]
+            if n < 2 * radius + 2:
+                return
+            got.append(curves.window_writhe(p, radius)[:, radius : n - radius])
+        yield np.arange(len(p)), [[x[~np.isnan(x)] for x in a] for a in got]
+
+    names = ["seg", "kappa", "tau", *(["writhe"] if radius else [])]
+    return curves.kernel(curves.gather(points), work, {n: pa.list_(pa.float64()) for n in names}, ", ".join(f"{n} array<double>" for n in names))
 
-_ARRAY = "array<double>"
 
+def build_index(points: DataFrame, width: int = 10, mode: str = "raise") -> DataFrame:
+    """frame_id, seg, kappa, tau, writhe (local spectrum of radius max(width / 2, 1)): what queries run on. Write it as Parquet.
+
+    Curves too short for the spectrum (2 radius + 2 points) are left out. ``mode`` "raise" fails on degenerate or collinear
+    segments, "null" leaves their terms out.
+    """
+    return _arrays(points, mode, max(width // 2, 1))
 
-def _gather(name: str):
-    got = F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("res", name))))
-    return F.transform(got, lambda s: s[name]).cast(_ARRAY).alias(name)
 
+def introspect(index: DataFrame) -> DataFrame:
+    """One row: frames, least_points and most_points of the index."""
+    n = F.size("seg") + 1
+    return index.agg(F.count("*").alias("frames"), F.min(n).alias("least_points"), F.max(n).alias("most_points"))
 
-def build_index(points: DataFrame, width: int = 10, mode: str = "raise") -> DataFrame:
-    """frame_id, seg, kappa, tau, writhe (local spectrum of radius max(width / 2, 1)): what queries run on. Write it as Parquet."""
-    inv = invariants(points, mode).groupBy("frame_id").agg(_gather("seg"), _gather("kappa"), _gather("tau"))
-    spectrum = local_writhe(points, max(width // 2, 1)).groupBy("frame_id").agg(_gather("writhe"))
-    return inv.join(spectrum, "frame_id")
+
+def frame(index: DataFrame, frame_id: int) -> DataFrame:
+    """The row of one frame (none if there is no such)."""
+    return index.where(F.col("frame_id") == frame_id)
+
+
+def curve(spark: SparkSession, coordinates) -> DataFrame:
+    """Points of one curve, frame -1, from an (N, 3) array."""
+    c = np.asarray(coordinates, float)
+    if c.ndim != 2 or c.shape[1] != 3:
+        raise ValueError(f"an (N, 3) array is expected, not {c.shape}")
+    return spark.createDataFrame([(-1, i, *map(float, p)) for i, p in enumerate(c)], "frame_id long, res int, x double, y double, z double")
 
 
-def _against(index: DataFrame, query_id: int, names: list[str]) -> DataFrame:
-    q = index.where(F.col("frame_id") == query_id).select(*[F.col(n).alias(f"q_{n}") for n in names]).limit(1)
-    return index.crossJoin(F.broadcast(q))  # one row
+def _asked(index: DataFrame, query, names: list[str], width: int) -> DataFrame:
+    """The one row of the query: a frame of the index by its id (an id it lacks fails), or an (N, 3) array of as many points as the index's curves."""
+    picked = [F.col(n).alias(f"q_{n}") for n in names]
+    if np.ndim(query) == 0:
+        q = frame(index, int(query)).limit(1).select(*picked, F.size("seg").alias("q_n"))
+        one = index.sparkSession.range(1).select(F.lit(True).alias("_one"))
+        q = one.join(q.withColumn("_has", F.lit(True)), F.lit(True), "left")
+        return q.where(F.when(F.col("_has").isNull(), F.raise_error(F.lit(f"the index has no frame {query}")).cast("boolean")).otherwise(True)).drop("_one", "_has")
+    c = curve(index.sparkSession, query)
+    n = np.shape(query)[0]
+    if n < 4:
+        raise ValueError("a curve has four points or more")
+    return _arrays(c, "raise", max(width // 2, 1) if "writhe" in names else None).select(*picked, F.lit(n - 1).alias("q_n"))
 
 
-def range_query(index: DataFrame, query_id: int, writhe_tol: float, frechet_tol: float | None = None) -> DataFrame:
-    """frame_id, writhe_distance(, frechet): frames within both tolerances."""
-    hits = _against(index, query_id, ["kappa", "tau", "writhe"]).withColumn("writhe_distance", v.spectrum_distance(F.col("writhe"), F.col("q_writhe"))).where(F.col("writhe_distance") <= writhe_tol)
+def _against(index: DataFrame, query, names: list[str], width: int) -> DataFrame:
+    both = index.crossJoin(F.broadcast(_asked(index, query, names, width)))  # one row
+    if np.ndim(query) == 0:
+        return both.drop("q_n")
+    unlike = F.size("seg") != F.col("q_n")
+    return both.where(F.when(unlike, F.raise_error(F.lit("the query has another number of points than the index")).cast("boolean")).otherwise(True)).drop("q_n")
+
+
+_Q, _A = ["q_kappa", "q_tau"], ["kappa", "tau"]
+
+
+def range_query(index: DataFrame, query, writhe_tol: float, frechet_tol: float | None = None, width: int = 10) -> DataFrame:
+    """frame_id, writhe_distance(, frechet): frames within both tolerances of ``query``, a frame's id or an (N, 3) array."""
+    hits = _against(index, query, [*_A, "writhe"], width).withColumn("writhe_distance", v.spectrum_distance(F.col("writhe"), F.col("q_writhe"))).where(F.col("writhe_distance") <= writhe_tol)
     if frechet_tol is None:
         return hits.select("frame_id", "writhe_distance")
-    hits = hits.withColumn("frechet", v.frechet(F.col("q_kappa"), F.col("q_tau"), F.col("kappa"), F.col("tau")))
+    hits = curves.distances(hits.select("frame_id", "writhe_distance", *_A, *_Q), "frechet", "frechet", _Q, _A)
     return hits.where(F.col("frechet") <= frechet_tol).select("frame_id", "writhe_distance", "frechet")
 
 
-def nearest(index: DataFrame, query_id: int, k: int, coarse_radius: float = 0.5) -> DataFrame:
-    """The k frames of least Frechet distance among those within ``coarse_radius`` in writhe.
+def nearest(index: DataFrame, query, k: int, coarse_radius: float = 0.5, width: int = 10) -> DataFrame:
+    """The k frames of least Frechet distance to ``query`` (a frame's id or an (N, 3) array) among those within ``coarse_radius`` in writhe.
 
-    If fewer than k are, the 3 k nearest in writhe are ranked instead.
+    If fewer than k are, the 3 k nearest in writhe are ranked instead; which of the two holds is told from these 3 k.
     """
-    c = _against(index, query_id, ["kappa", "tau", "writhe"]).withColumn("writhe_distance", v.spectrum_distance(F.col("writhe"), F.col("q_writhe")))
-    near = c.where(F.col("writhe_distance") <= coarse_radius)
-    if len(near.select("frame_id").take(k)) < k:
-        near = c.orderBy("writhe_distance", "frame_id").limit(3 * k)
-    near = near.withColumn("frechet", v.frechet(F.col("q_kappa"), F.col("q_tau"), F.col("kappa"), F.col("tau")))
+    c = _against(index, query, [*_A, "writhe"], width).withColumn("writhe_distance", v.spectrum_distance(F.col("writhe"), F.col("q_writhe")))
+    c = c.select("frame_id", "writhe_distance", *_A, *_Q)
+    pool = c.orderBy("writhe_distance", "frame_id").limit(3 * k)
+    enough = F.broadcast(pool.agg((F.count_if(F.col("writhe_distance") <= coarse_radius) >= k).alias("_enough")))  # one row
+    near = c.where(F.col("writhe_distance") <= coarse_radius).crossJoin(enough).where("_enough")
+    near = near.unionByName(pool.crossJoin(enough).where("NOT _enough")).drop("_enough")
+    near = curves.distances(near, "frechet", "frechet", _Q, _A)
     return near.orderBy("frechet", "writhe_distance", "frame_id").limit(k).select("frame_id", "frechet", "writhe_distance")
 
 
-def writhe_nearest(index: DataFrame, query_id: int, k: int) -> DataFrame:
+def writhe_nearest(index: DataFrame, query, k: int, width: int = 10) -> DataFrame:
     """frame_id, writhe_distance of the k nearest in writhe, ties to smaller ids."""
-    c = _against(index, query_id, ["writhe"]).withColumn("writhe_distance", v.spectrum_distance(F.col("writhe"), F.col("q_writhe")))
+    c = _against(index, query, ["writhe"], width).withColumn("writhe_distance", v.spectrum_distance(F.col("writhe"), F.col("q_writhe")))
     return c.orderBy("writhe_distance", "frame_id").limit(k).select("frame_id", "writhe_distance")
 
 
-def subcurve_nearest(points: DataFrame, query_id: int, start: int, end: int, k: int) -> DataFrame:
-    """frame_id, frechet: exhaustive top-k on the invariants of points ``start`` .. ``end``."""
+def subcurve_nearest(points: DataFrame, query, start: int, end: int, k: int) -> DataFrame:
+    """frame_id, frechet: exhaustive top-k on the invariants of points ``start`` .. ``end``.
+
+    ``query`` is a frame's id, or an (N, 3) array of these points only or of a whole curve.
+    """
     if end - start < 3:
         raise ValueError("a subcurve has four points or more")
-    inv = invariants(subcurve(points, start, end)).groupBy("frame_id").agg(_gather("kappa"), _gather("tau"))
-    c = _against(inv, query_id, ["kappa", "tau"])
-    return c.select("frame_id", v.frechet(F.col("q_kappa"), F.col("q_tau"), F.col("kappa"), F.col("tau")).alias("frechet")).orderBy("frechet", "frame_id").limit(k)
+    inv = _arrays(subcurve(points, start, end), "raise", None)
+    if np.ndim(query):
+        n, size = np.shape(query)[0], end - start + 1
+        if n != size and n <= end:
+            raise ValueError(f"the query has {n} points, neither those of the subcurve ({size}) nor of a whole curve")
+        query = np.asarray(query)[start : end + 1] if n != size else query
+    inv = inv.where(F.size("seg") == end - start)  # curves that end before are left out
+    c = _against(inv, query, _A, 0)
+    c = curves.distances(c.select("frame_id", *_A, *_Q), "frechet", "frechet", _Q, _A)
+    return c.select("frame_id", "frechet").orderBy("frechet", "frame_id").limit(k)
 
 
 def contacts(one: DataFrame, two: DataFrame, cutoff: float) -> DataFrame:

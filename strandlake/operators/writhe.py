@@ -1,12 +1,15 @@
-"""Writhe of curves: segment pairs by a range self-join within a frame, each pair computed once."""
+"""Writhe of curves: sums over segment pairs in NumPy where a frame's curve is, or pairs as rows by a range self-join within a frame."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec as v
-from .geometry import _order, invariants
+from . import curves
+from .geometry import EPSILON, _order
 
 _NEAR = 1e-12
 
@@ -38,7 +41,12 @@ def segment_pairs(points: DataFrame, most_apart: int | None = None) -> DataFrame
 
 def total_writhe(points: DataFrame) -> DataFrame:
     """frame_id, writhe of every curve of 4 points or more."""
-    return segment_pairs(points).groupBy("frame_id").agg(F.sum("w").alias("writhe"))
+
+    def work(p):
+        if p.shape[1] >= 4:
+            yield np.arange(len(p)), [curves.total_writhe(p)]
+
+    return curves.kernel(curves.gather(points), work, {"writhe": pa.float64()}, "writhe double")
 
 
 def standard_writhe(points: DataFrame) -> DataFrame:
@@ -46,27 +54,43 @@ def standard_writhe(points: DataFrame) -> DataFrame:
     return total_writhe(points).withColumn("writhe", -2 * F.col("writhe"))
 
 
-def _around(points: DataFrame, radius: int, clipped: bool) -> DataFrame:
-    """frame_id, res, w: sum over segment pairs within ``radius`` of each point; absent where there is no pair."""
-    last = points.groupBy("frame_id").agg(F.max("res").alias("last"))
-    pairs = segment_pairs(points, max(2, 2 * radius - 1)).join(last, "frame_id")
-    lo = F.greatest(F.col("j") + 1 - radius, F.lit(0 if clipped else radius))
-    hi = F.least(F.col("i") + radius, F.col("last") - (0 if clipped else radius))
-    return pairs.where(lo <= hi).withColumn("res", F.explode(F.sequence(lo, hi))).groupBy("frame_id", "res").agg(F.sum("w").alias("w"))
+def _by_point(points: DataFrame, radius: int | Column, name: str, work) -> DataFrame:
+    """frame_id, res and ``name`` from ``work(points, radius)`` -> places and (frames, places) values."""
+
+    def parts(p, first, radii):
+        for r in np.unique(radii):
+            of = np.flatnonzero(radii == r)
+            places, value = work(p[of], int(r))
+            if len(places):
+                yield np.repeat(of, len(places)), [(first[of][:, None] + places).ravel(), value.ravel()]
+
+    sized = points.select("frame_id", "res", "x", "y", "z", (F.lit(radius) if isinstance(radius, int) else radius).cast("int").alias("_radius"))
+    return curves.kernel(curves.gather(sized, F.min("res").cast("int"), F.max("_radius")), parts, {"res": pa.int32(), name: pa.float64()}, f"res int, {name} double")
 
 
-def local_writhe(points: DataFrame, radius: int) -> DataFrame:
-    """frame_id, res, writhe for centres with ``radius`` points on both sides; 0 without segment pairs."""
-    n = F.max("res").over(Window.partitionBy("frame_id"))
-    centres = points.select("frame_id", "res", n.alias("last")).where((F.col("res") >= radius) & (F.col("res") <= F.col("last") - radius) & (F.col("last") >= 2 * radius + 1))
-    return centres.join(_around(points, radius, False), ["frame_id", "res"], "left").select("frame_id", "res", F.coalesce("w", F.lit(0.0)).alias("writhe"))
+def local_writhe(points: DataFrame, radius: int | Column) -> DataFrame:
+    """frame_id, res, writhe for centres with ``radius`` points (a number, or a column of one value for each curve) on both sides; 0 without segment pairs."""
+
+    def work(p, r):
+        n = p.shape[1]
+        places = np.arange(r, n - r) if n >= 2 * r + 2 else np.zeros(0, int)
+        return places, curves.window_writhe(p, r)[:, places] if len(places) else np.zeros((len(p), 0))
+
+    return _by_point(points, radius, "writhe", work)
 
 
 def compactness(points: DataFrame, radius: int) -> DataFrame:
     """frame_id, res, compactness: |local writhe| times mean inner curvature of the window, which the ends clip; 0 below 4 points."""
-    w = Window.partitionBy("frame_id").orderBy("res")
-    inv = invariants(points, "null").select("frame_id", "res", F.lag("kappa").over(w).alias("_k"))
-    inv = inv.select("frame_id", "res", F.avg("_k").over(w.rowsBetween(-(radius - 1), radius - 1)).alias("k"), F.max("res").over(Window.partitionBy("frame_id")).alias("last"))
-    size = F.least(F.col("res") + radius, F.col("last")) - F.greatest(F.col("res") - radius, F.lit(0)) + 1
-    value = F.abs(F.coalesce("w", F.lit(0.0))) * F.coalesce("k", F.lit(0.0))
-    return inv.join(_around(points, radius, True), ["frame_id", "res"], "left").select("frame_id", "res", F.when(size >= 4, value).otherwise(0.0).alias("compactness"))
+
+    def work(p, r):
+        n = p.shape[1]
+        places = np.arange(n)
+        kappa = np.concatenate([np.full((len(p), 1), np.nan), curves.invariants(p, EPSILON)[1], np.full((len(p), 1), np.nan)], 1)[:, :n] if n > 2 else np.full(p.shape[:2], np.nan)
+        known = ~np.isnan(kappa)
+        sums, counts = (np.concatenate([np.zeros((len(p), 1)), np.cumsum(x, 1)], 1) for x in (np.where(known, kappa, 0.0), known.astype(float)))
+        lo, hi = np.maximum(places - r + 1, 0), np.minimum(places + r, n)
+        mean = (sums[:, hi] - sums[:, lo]) / np.maximum(counts[:, hi] - counts[:, lo], 1)
+        size = np.minimum(places + r, n - 1) - np.maximum(places - r, 0) + 1
+        return places, np.where(size >= 4, np.abs(curves.window_writhe(p, r)) * mean, 0.0)
+
+    return _by_point(points, radius, "compactness", work)

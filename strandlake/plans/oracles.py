@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 FRAMES = "p AS (SELECT vec_id AS frame_id, r::INT AS res, embedding[3*r+1]::DOUBLE AS x, embedding[3*r+2]::DOUBLE AS y, embedding[3*r+3]::DOUBLE AS z FROM embeddings, range(0, 21) t(r))"
 RIBBONS = FRAMES.replace("range(0, 21)", "range(0, 10)").replace(" AS z FROM", " AS z, embedding[3*r+31]::DOUBLE - embedding[3*r+1]::DOUBLE AS vx, embedding[3*r+32]::DOUBLE - embedding[3*r+2]::DOUBLE AS vy, embedding[3*r+33]::DOUBLE - embedding[3*r+3]::DOUBLE AS vz FROM")
 BASES = FRAMES.replace("range(0, 21)", "range(0, 7)").replace(" AS z FROM", " AS z, embedding[3*r+43]::DOUBLE - embedding[3*r+22]::DOUBLE AS vx, embedding[3*r+44]::DOUBLE - embedding[3*r+23]::DOUBLE AS vy, embedding[3*r+45]::DOUBLE - embedding[3*r+24]::DOUBLE AS vz FROM")
+ASKED = "SELECT -1 AS frame_id, r::INT AS res, (0.5 * r)::DOUBLE AS x, (0.3 * (r % 3))::DOUBLE AS y, (0.2 * (r * r % 5))::DOUBLE AS z FROM range(0, 21) t(r)"
+WITH_ASKED = FRAMES[:-1] + f" UNION ALL {ASKED})"
 USERS = """p AS (SELECT user_id AS frame_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS res,
   epoch_us(ts::TIMESTAMP) / 3.6e9 - 473328.0 AS x, value AS y, (props->>'$.k')::DOUBLE AS z FROM events)"""
 W = "(PARTITION BY frame_id ORDER BY res)"
@@ -104,25 +108,26 @@ inv AS (SELECT i.frame_id, i.res, kappa, t0 + atan2(sin(tau - t0), cos(tau - t0)
 RNA = f"{BASES}, {geometry(True).replace('inv AS (SELECT frame_id', 'inv0 AS (SELECT frame_id')}, {UNWRAP}, " + profile({"kappa": 2, "tau": 2, "theta": 2}, 3).replace("window_start + 3 - 1 <= last", "window_start + 3 <= last - 1")
 
 
-def warp(n: int, m: int, cost, total: bool) -> str:
-    """The dynamic programme over an n x m grid written out as lateral column aliases d_i_j."""
-    cells = []
-    for i in range(n):
-        for j in range(m):
-            before = [f"d_{a}_{b}" for a, b in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if a >= 0 and b >= 0]
-            best = f"least({', '.join(before)})" if len(before) > 1 else before[0] if before else "0.0"
-            cells.append(f"{best} + {cost(i, j)} AS d_{i}_{j}" if total else f"greatest({best}, {cost(i, j)}) AS d_{i}_{j}")
-    return ", ".join(cells)
+def grid(pairs: str, keys: str, n: str, m: str, cost: str, total: bool) -> str:
+    """CTE ``dp`` (keys, n, m, far) from ``pairs``: the dynamic programme by diagonals, each a list over the row i of its cells.
+
+    ``cost`` is written in i and j, which count from 0.
+    """
+    best = "CASE WHEN z + 1 = 0 THEN 0 ELSE least(p1[i], p1[i + 1], p2[i]) END"
+    cell = f"{best} + {cost}" if total else f"greatest({best}, {cost})"
+    cell = cell.replace("<j>", "(z + 1 - i)").replace("<i>", "i")
+    return f"""pq AS (SELECT *, {n} AS n, {m} AS m FROM {pairs}),
+dg AS (SELECT *, -1 AS z, list_transform(range(n), lambda i: 'inf'::DOUBLE) AS p1, list_transform(range(n), lambda i: 'inf'::DOUBLE) AS p2 FROM pq
+ UNION ALL SELECT * REPLACE (z + 1 AS z, p1 AS p2, list_transform(range(n), lambda i: CASE WHEN z + 1 - i < 0 OR z + 1 - i >= m THEN 'inf'::DOUBLE ELSE {cell} END) AS p1) FROM dg WHERE z < n + m - 2),
+dp AS (SELECT {keys}, n, m, p1[n] AS far FROM dg WHERE z = n + m - 2)"""
 
 
-def _bend(i: int, j: int, a: str = "ka", b: str = "ta", c: str = "kb", d: str = "tb") -> str:
-    t = f"abs({b}[{i + 1}]-{d}[{j + 1}])"
-    t = f"(CASE WHEN {t} > pi() THEN 2*pi()-{t} ELSE {t} END)"
-    return f"sqrt(({a}[{i + 1}]-{c}[{j + 1}])*({a}[{i + 1}]-{c}[{j + 1}])+{t}*{t})"
+_T = "abs(ta[<i> + 1] - tb[<j> + 1])"
+BEND = f"sqrt((ka[<i> + 1] - kb[<j> + 1]) ** 2 + (CASE WHEN {_T} > pi() THEN 2 * pi() - {_T} ELSE {_T} END) ** 2)"
+SHORTER = "least(len(ka), len(ta))", "least(len(kb), len(tb))"
 
 
-def arrays(lo: int, hi: int) -> str:
-    return f"ar AS (SELECT frame_id, list(kappa ORDER BY res) FILTER (kappa IS NOT NULL AND res BETWEEN {lo} AND {hi}) AS k, list(tau ORDER BY res) FILTER (tau IS NOT NULL AND res BETWEEN {lo} AND {hi}) AS t FROM inv GROUP BY frame_id)"
+ARRAYS = "ar AS (SELECT frame_id, list(kappa ORDER BY res) FILTER (kappa IS NOT NULL) AS k, list(tau ORDER BY res) FILTER (tau IS NOT NULL) AS t FROM inv GROUP BY frame_id)"
 
 
 NET = """rw AS (SELECT frame_id, res, kappa, coalesce(tau, lag(tau) OVER (PARTITION BY frame_id ORDER BY res)) AS tau FROM inv),
@@ -164,8 +169,54 @@ def island(index: str, src: str, keep: str, gap: int) -> str:
 i2 AS (SELECT *, sum(fresh) OVER (ORDER BY {index}) AS island FROM i1)"""
 
 
-def segments_sql(pre: str, gap: int, shift: int) -> str:
-    return f"WITH {pre}, {island('window_start', 'prof', 'score >= 0.33', gap)} SELECT (min(window_start)+{shift})::BIGINT AS start_res, (max(window_end)+{shift})::BIGINT AS end_res, arg_max(window_start, score)::BIGINT AS peak_start, round(max(score), 6) + 0.0 AS score FROM i2 GROUP BY island"
+def segments_sql(pre: str, least: float, gap: int, shift: int) -> str:
+    return f"WITH {pre}, {island('window_start', 'prof', f'score >= {least}', gap)} SELECT (min(window_start)+{shift})::BIGINT AS start_res, (max(window_end)+{shift})::BIGINT AS end_res, arg_max(window_start, score)::BIGINT AS peak_start, round(max(score), 6) + 0.0 AS score FROM i2 GROUP BY island"
+
+
+def _det(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + "".join(f"{'-' if k % 2 else '+'}{m[0][k]}*{_det([r[:k] + r[k + 1:] for r in m[1:]])}" for k in range(len(m))) + ")"
+
+
+def _network3() -> str:
+    """The network of three features (kappa, tau, theta) from inv; determinants of minors are columns of their own, one CTE for each size."""
+    f = "kte"
+    source = """rw AS (SELECT frame_id, res, kappa, coalesce(tau, lag(tau) OVER (PARTITION BY frame_id ORDER BY res)) AS tau, theta FROM inv),
+nr AS (SELECT * FROM rw WHERE kappa IS NOT NULL),
+cm AS (SELECT res, atan2(sum(sin(kappa)), sum(cos(kappa))) AS mk, atan2(sum(sin(tau)), sum(cos(tau))) AS mt, atan2(sum(sin(theta)), sum(cos(theta))) AS me FROM nr GROUP BY res),
+ft AS (SELECT frame_id, n.res + 1 AS res, atan2(sin(kappa-mk), cos(kappa-mk)) AS k, atan2(sin(tau-mt), cos(tau-mt)) AS t, atan2(sin(theta-me), cos(theta-me)) AS e FROM nr n JOIN cm ON cm.res = n.res)"""
+    both = [f"a.{x}" for x in f] + [f"b.{x}" for x in f]
+    sums = ", ".join(f"sum({both[r]}*{both[c]})/(count(*)-1) + {'1e-6' if r == c else '0'} AS s{r}{c}" for r in range(6) for c in range(6))
+    layers, before = [], "mm"
+    for size in range(1, 7):  # minors of the first ``size`` rows, by their columns; the joint covariance has the regulariser twice
+        cells = []
+        for cols in combinations(range(6), size):
+            name = "d" + "".join(map(str, cols))
+            row = size - 1
+            entry = lambda c: f"(s{row}{c}{' + 1e-6' if row == c else ''})"
+            if size == 1:
+                cells.append(f"{entry(cols[0])} AS {name}")
+            else:
+                cells.append("".join(f"{'-' if (size - 1 - k) % 2 else '+'}{entry(c)}*d{''.join(map(str, cols[:k] + cols[k + 1:]))}" for k, c in enumerate(cols)) + f" AS {name}")
+        layers.append(f"y{size} AS (SELECT *, {', '.join(cells)} FROM {before})")
+        before = f"y{size}"
+    one = _det([[f"s{r}{c}" for c in range(3)] for r in range(3)])
+    two = _det([[f"s{r}{c}" for c in range(3, 6)] for r in range(3, 6)])
+    return f"""{source}, mm AS (SELECT a.res AS i, b.res AS j, {sums} FROM ft a JOIN ft b ON a.frame_id = b.frame_id AND a.res < b.res GROUP BY a.res, b.res),
+{', '.join(layers)}, ed AS (SELECT i, j, sqrt(greatest(0, least(1, 1 - exp(-2 * greatest(0, -0.5 * (ln(d012345) - ln({one}) - ln({two}))))))) AS r FROM y6)"""
+
+
+#: Best rotation by the singular values of the 3 x 3 product: two from the eigenvalues of its square, the third from its determinant.
+SUPERPOSED = f"""WITH {FRAMES}, o AS (SELECT res, x AS rx, y AS ry, z AS rz FROM p WHERE frame_id = 0),
+j AS (SELECT p.*, rx, ry, rz FROM p JOIN o USING (res)),
+m AS (SELECT frame_id, {', '.join(f'avg({c}) AS m{c}' for c in ('x', 'y', 'z', 'rx', 'ry', 'rz'))} FROM j GROUP BY frame_id),
+h AS (SELECT frame_id, count(*) AS n, sum((x-mx)**2 + (y-my)**2 + (z-mz)**2 + (rx-mrx)**2 + (ry-mry)**2 + (rz-mrz)**2) AS q, {', '.join(f'sum(({a}-m{a})*(r{b}-mr{b})) AS h{a}{b}' for a in 'xyz' for b in 'xyz')} FROM j JOIN m USING (frame_id) GROUP BY frame_id),
+g AS (SELECT *, {', '.join(f"{'+'.join(f'h{k}{a}*h{k}{b}' for k in 'xyz')} AS g{a}{b}" for a in 'xyz' for b in 'xyz')}, {_det([[f'h{a}{b}' for b in 'xyz'] for a in 'xyz'])} AS det FROM h),
+e AS (SELECT *, (gxx + gyy + gzz) / 3 AS c, sqrt(((gxx - (gxx+gyy+gzz)/3)**2 + (gyy - (gxx+gyy+gzz)/3)**2 + (gzz - (gxx+gyy+gzz)/3)**2 + 2*(gxy**2 + gxz**2 + gyz**2)) / 6) AS s FROM g),
+a AS (SELECT *, acos(greatest(-1, least(1, ({_det([[f"((g{a}{b}{' - c' if a == b else ''})/s)" for b in 'xyz'] for a in 'xyz'])}) / 2))) / 3 AS phi FROM e),
+d AS (SELECT *, sqrt(c + 2*s*cos(phi)) AS d1, sqrt(greatest(0, 3*c - (c + 2*s*cos(phi)) - (c + 2*s*cos(phi + 2*pi()/3)))) AS d2 FROM a)
+SELECT frame_id, round(sqrt(greatest(0, q - 2*(d1 + d2 + det/(d1*d2))) / n), 6) + 0.0 AS rmsd FROM d"""
 
 
 _INDEX = f"WITH {FRAMES}, {PAIRS}, {LOCAL5}, {SPECTRUM}"
@@ -187,21 +238,28 @@ SQL: dict[str, str] = {
     "local_writhe": f"WITH {FRAMES}, {PAIRS}, {LOCAL} SELECT frame_id, {long('res')}, {rd('writhe')} FROM lw",
     "compactness": f"WITH {FRAMES}, {PAIRS}, {geometry()}, {COMPACT} SELECT frame_id, {long('res')}, {rd('compactness')} FROM comp",
     "density_profile": f"WITH {FRAMES}, {PAIRS}, {geometry()}, {COMPACT}, {DENSITY} SELECT {long('res')}, {rd('mean_density std_density z_score')} FROM dens",
-    "transient_motifs": f"WITH {FRAMES}, {PAIRS}, {geometry()}, {COMPACT}, {DENSITY}, {island('res', 'dens', 'z_score >= 0.3', 2)} SELECT min(res)::BIGINT AS start_res, max(res)::BIGINT AS end_res, arg_max(res, mean_density)::BIGINT AS peak_res, round(avg(mean_density), 6) + 0.0 AS mean_compactness, round(max(mean_density), 6) + 0.0 AS peak_compactness, round(arg_max(z_score, mean_density), 6) + 0.0 AS z_score FROM i2 GROUP BY island",
+    "transient_motifs": f"WITH {FRAMES}, {PAIRS}, {geometry()}, {COMPACT}, {DENSITY}, {island('res', 'dens', 'z_score >= 0.5', 0)} SELECT min(res)::BIGINT AS start_res, max(res)::BIGINT AS end_res, arg_max(res, mean_density)::BIGINT AS peak_res, round(avg(mean_density), 6) + 0.0 AS mean_compactness, round(max(mean_density), 6) + 0.0 AS peak_compactness, round(arg_max(z_score, mean_density), 6) + 0.0 AS z_score FROM i2 GROUP BY island",
     "moments_by_event_type": moments("events", "event_type", "value"),
     "moments_by_returnflag": moments("lineitem", "l_returnflag", "l_extendedprice"),
     "bimodality_profile": f"WITH {FRAMES}, {geometry()}, {E8} SELECT {long('window_start window_end')}, {rd('bc_kappa bc_tau score')} FROM prof",
     "bimodality_profile_theta": f"WITH {RIBBONS}, {geometry(True)}, {profile({'kappa': 2, 'tau': 1, 'theta': 2}, 5)} SELECT {long('window_start window_end')}, {rd('bc_kappa bc_tau bc_theta score')} FROM prof",
     "bimodality_profile_unwrapped": f"WITH {RNA} SELECT {long('window_start window_end')}, {rd('bc_kappa bc_tau bc_theta score')} FROM prof",
-    "switching_segments": segments_sql(f"{FRAMES}, {geometry()}, {E8}", 1, 0),
-    "switching_hinges": segments_sql(RNA, 0, 1),
-    "writhe_range": f"{_INDEX} SELECT frame_id, {rd('writhe_distance')} FROM sp WHERE writhe_distance <= 0.12",
+    "switching_segments": segments_sql(f"{FRAMES}, {geometry()}, {E8}", 0.345, 0, 0),
+    "switching_hinges": segments_sql(RNA, 0.33, 0, 1),
+    "writhe_range": f"{_INDEX} SELECT frame_id, {rd('writhe_distance')} FROM sp WHERE writhe_distance <= 0.8",
     "writhe_knn": f"{_INDEX} SELECT frame_id, {rd('writhe_distance')} FROM sp ORDER BY sp.writhe_distance, frame_id LIMIT 20",
-    "subcurve_knn": f"WITH {FRAMES.replace('range(0, 21)', 'range(3, 9)')}, {geometry()}, {arrays(0, 99)}, c AS (SELECT a.frame_id, b.k AS ka, b.t AS ta, a.k AS kb, a.t AS tb FROM ar a, ar b WHERE b.frame_id = 10), dd AS (SELECT frame_id, {warp(3, 3, _bend, False)} FROM c) SELECT frame_id, round(d_2_2, 6) + 0.0 AS frechet FROM dd ORDER BY d_2_2, frame_id LIMIT 10",
-    "time_warp_pairs": f"WITH {FRAMES}, {geometry()}, {arrays(0, 4)}, c AS (SELECT x.frame_id AS a, y.frame_id AS b, x.k AS ka, x.t AS ta, y.k AS kb, y.t AS tb FROM ar x JOIN ar y ON y.frame_id = x.frame_id + 1), dd AS (SELECT a, b, {warp(4, 4, _bend, True)} FROM c) SELECT a, b, round(d_3_3 / 8, 6) + 0.0 AS warp FROM dd",
-    "frechet_points_users": f"WITH {USERS}, ar AS (SELECT frame_id, list([x, y, z] ORDER BY res) AS c FROM p WHERE res < 5 GROUP BY frame_id), c AS (SELECT x.frame_id AS a, y.frame_id AS b, x.c AS ca, y.c AS cb FROM ar x JOIN ar y ON y.frame_id = x.frame_id + 1), dd AS (SELECT a, b, "
-    + warp(5, 5, lambda i, j: "sqrt(" + "+".join(f"(ca[{i + 1}][{k}]-cb[{j + 1}][{k}])*(ca[{i + 1}][{k}]-cb[{j + 1}][{k}])" for k in (1, 2, 3)) + ")", False)
-    + " FROM c) SELECT a, b, round(d_4_4, 6) + 0.0 AS frechet FROM dd",
+    "conformer_search": f"WITH RECURSIVE {FRAMES}, {PAIRS}, {LOCAL5}, {SPECTRUM}, {geometry()}, {ARRAYS}, c AS (SELECT a.frame_id, writhe_distance, b.k AS ka, b.t AS ta, a.k AS kb, a.t AS tb FROM ar a JOIN ar b ON b.frame_id = 10 JOIN sp ON sp.frame_id = a.frame_id WHERE writhe_distance <= 0.9), {grid('c', 'frame_id, writhe_distance', *SHORTER, BEND, False)} SELECT frame_id, {rd('writhe_distance')}, round(far, 6) + 0.0 AS frechet FROM dp WHERE far <= 2.2",
+    "conformer_knn": f"WITH RECURSIVE {FRAMES}, {PAIRS}, {LOCAL5}, {SPECTRUM}, {geometry()}, {ARRAYS}, near AS (SELECT * FROM sp WHERE (SELECT count(*) FROM sp WHERE writhe_distance <= 0.1) >= 10 AND writhe_distance <= 0.1 OR (SELECT count(*) FROM sp WHERE writhe_distance <= 0.1) < 10 AND frame_id IN (SELECT frame_id FROM sp ORDER BY sp.writhe_distance, sp.frame_id LIMIT 30)), c AS (SELECT a.frame_id, writhe_distance, b.k AS ka, b.t AS ta, a.k AS kb, a.t AS tb FROM ar a JOIN ar b ON b.frame_id = 10 JOIN near ON near.frame_id = a.frame_id), {grid('c', 'frame_id, writhe_distance', *SHORTER, BEND, False)} SELECT frame_id, {rd('writhe_distance')}, round(far, 6) + 0.0 AS frechet FROM dp ORDER BY far, dp.writhe_distance, frame_id LIMIT 10",
+    "conformer_knn_points": f"WITH RECURSIVE {WITH_ASKED}, {PAIRS}, {LOCAL5}, {SPECTRUM.replace('b.frame_id = 10', 'b.frame_id = -1')}, {geometry()}, {ARRAYS}, near AS (SELECT * FROM sp WHERE frame_id <> -1 AND writhe_distance <= 1.0), c AS (SELECT a.frame_id, writhe_distance, b.k AS ka, b.t AS ta, a.k AS kb, a.t AS tb FROM ar a JOIN ar b ON b.frame_id = -1 JOIN near ON near.frame_id = a.frame_id), {grid('c', 'frame_id, writhe_distance', *SHORTER, BEND, False)} SELECT frame_id, {rd('writhe_distance')}, round(far, 6) + 0.0 AS frechet FROM dp ORDER BY far, dp.writhe_distance, frame_id LIMIT 25",
+    "subcurve_knn": f"WITH RECURSIVE {FRAMES.replace('range(0, 21)', 'range(3, 9)')}, {geometry()}, {ARRAYS}, c AS (SELECT a.frame_id, b.k AS ka, b.t AS ta, a.k AS kb, a.t AS tb FROM ar a, ar b WHERE b.frame_id = 10), {grid('c', 'frame_id', *SHORTER, BEND, False)} SELECT frame_id, round(far, 6) + 0.0 AS frechet FROM dp ORDER BY far, frame_id LIMIT 10",
+    "subcurve_knn_points": f"WITH RECURSIVE {WITH_ASKED.replace('range(0, 21)', 'range(3, 9)')}, {geometry()}, {ARRAYS}, c AS (SELECT a.frame_id, b.k AS ka, b.t AS ta, a.k AS kb, a.t AS tb FROM ar a, ar b WHERE b.frame_id = -1 AND a.frame_id <> -1), {grid('c', 'frame_id', *SHORTER, BEND, False)} SELECT frame_id, round(far, 6) + 0.0 AS frechet FROM dp ORDER BY far, frame_id LIMIT 15",
+    "time_warp_pairs": f"WITH RECURSIVE {FRAMES}, {geometry()}, {ARRAYS}, c AS (SELECT x.frame_id AS a, y.frame_id AS b, x.k AS ka, x.t AS ta, y.k AS kb, y.t AS tb FROM ar x JOIN ar y ON y.frame_id = x.frame_id + 1), {grid('c', 'a, b', *SHORTER, BEND, True)} SELECT a, b, round(far / (n + m), 6) + 0.0 AS warp FROM dp",
+    "frechet_points_users": f"WITH RECURSIVE {USERS}, ar AS (SELECT frame_id, list([x, y, z] ORDER BY res) AS c FROM p GROUP BY frame_id), c AS (SELECT x.frame_id AS a, y.frame_id AS b, x.c AS ca, y.c AS cb FROM ar x JOIN ar y ON y.frame_id = x.frame_id + 1), "
+    + grid("c", "a, b", "len(ca)", "len(cb)", "sqrt(" + " + ".join(f"(ca[<i> + 1][{k}] - cb[<j> + 1][{k}]) ** 2" for k in (1, 2, 3)) + ")", False)
+    + " SELECT a, b, round(far, 6) + 0.0 AS frechet FROM dp",
+    "correlation_network_theta": f"WITH {RIBBONS}, {geometry(True)}, {_network3()} SELECT {long('i j')}, {rd('r')} FROM ed",
+    "superposition_rmsd": SUPERPOSED,
+    "free_energy": f"WITH {FRAMES}, {PAIRS}, t AS (SELECT frame_id, sum(w) AS v FROM pairs GROUP BY frame_id), q AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi, stddev_samp(v) * count(*) ** -0.2 AS h, count(*) AS n FROM t), g AS (SELECT lo + (hi - lo) * i / 49 AS x, h, n FROM q, range(0, 50) r(i)), e AS (SELECT x, -ln(greatest(sum(exp(-((v - x) ** 2) / (2 * h * h))) / any_value(n * h * sqrt(2 * pi())), 1e-4)) AS u FROM g, t GROUP BY x) SELECT round(x, 6) + 0.0 AS x, round(u - (SELECT min(u) FROM e), 6) + 0.0 AS energy FROM e",
     "correlation_network": f"WITH {EDGES} SELECT {long('i j')}, {rd('r')} FROM ed",
     "inter_network": f"WITH {FRAMES}, {CHAINS}, "
     + geometry().replace("FROM p ", "FROM pa ").replace("inv AS", "inva AS")
@@ -218,7 +276,7 @@ SQL: dict[str, str] = {
     "interface_contacts": f"WITH {FRAMES}, {CHAINS}, d AS (SELECT a.frame_id, a.res AS i, b.res AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS distance FROM pa a JOIN pb b ON a.frame_id = b.frame_id) SELECT frame_id, {long('i j')}, {rd('distance')} FROM d WHERE distance < 0.1",
     "buried_area": f"WITH {FRAMES}, {CHAINS}, d AS (SELECT a.frame_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d FROM pa a JOIN pb b ON a.frame_id = b.frame_id) SELECT frame_id, round(450 + sum(22.5 * exp(-(d-4.5)*(d-4.5)/12.5)), 6) + 0.0 AS area FROM d GROUP BY frame_id",
     "pair_states": f"WITH {FRAMES}, d AS (SELECT a.frame_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS distance FROM p a JOIN p b ON a.frame_id = b.frame_id AND a.res = 2 AND b.res = 15) SELECT frame_id, {rd('distance')}, (d.distance > (SELECT median(distance) FROM d))::INT::BIGINT AS state FROM d",
-    "silhouette": "WITH f AS (SELECT vec_id, label, list_transform(embedding[1:6], lambda v: v::DOUBLE) AS e FROM embeddings), d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(list_distance(a.e, b.e)) AS m FROM f a JOIN f b ON a.vec_id <> b.vec_id GROUP BY ALL), w AS (SELECT vec_id, max(CASE WHEN la = lb THEN m END) AS own, min(CASE WHEN la <> lb THEN m END) AS other FROM d GROUP BY vec_id) SELECT round(avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 6) + 0.0 AS silhouette FROM w",
+    "silhouette": "WITH f AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(list_distance(a.e, b.e)) AS m FROM f a JOIN f b ON a.vec_id <> b.vec_id GROUP BY ALL), w AS (SELECT vec_id, max(CASE WHEN la = lb THEN m END) AS own, min(CASE WHEN la <> lb THEN m END) AS other FROM d GROUP BY vec_id) SELECT round(avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 6) + 0.0 AS silhouette FROM w",
     "nearest_state": f"WITH {FRAMES}, {PAIRS}, {LOCAL5}, t AS (SELECT a.frame_id, b.frame_id AS q, avg((a.writhe-b.writhe)*(a.writhe-b.writhe)) AS d FROM lw a JOIN lw b ON a.res = b.res AND b.frame_id IN (3, 7) GROUP BY ALL) SELECT x.frame_id, (y.d < x.d)::INT::BIGINT AS state FROM t x JOIN t y ON x.frame_id = y.frame_id AND x.q = 3 AND y.q = 7",
     "order_curve_lengths": f"WITH p AS (SELECT l_orderkey AS frame_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) - 1 AS res, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z FROM lineitem), {geometry()} SELECT frame_id, count(*)::BIGINT AS points, round(sum(seg), 6) + 0.0 AS length FROM inv GROUP BY frame_id HAVING count(*) >= 4",
     "pdb_round_trip": f"WITH {FRAMES} SELECT frame_id, (res + 1)::BIGINT AS seq_id, 'A' AS chain_id, 'ALA' AS name, printf('%8.3f', x)::DOUBLE + 0.0 AS x, printf('%8.3f', y)::DOUBLE + 0.0 AS y, printf('%8.3f', z)::DOUBLE + 0.0 AS z FROM p",

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vec as v
-from ..operators import ensemble, geometry, network, search, writhe
+from ..operators import curves, ensemble, geometry, network, search, writhe
 from ..sources import bindings, pdb
 
+#: A curve of 21 points that is asked for by its coordinates.
+ASKED = [(0.5 * i, 0.3 * (i % 3), 0.2 * (i * i % 5)) for i in range(21)]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -92,7 +94,7 @@ def density_profile(s, d):
 
 @_query
 def transient_motifs(s, d):
-    return rounded(ensemble.motifs(ensemble.density_profile(bindings.frames(s, d), 4), 0.3))
+    return rounded(ensemble.motifs(ensemble.density_profile(bindings.frames(s, d), 4), 0.5, 0))
 
 
 @_query
@@ -122,7 +124,7 @@ def bimodality_profile_unwrapped(s, d):
 
 @_query
 def switching_segments(s, d):
-    return rounded(ensemble.candidates(ensemble.bimodality_profile(geometry.invariants(bindings.frames(s, d)), 8), 0.33))
+    return rounded(ensemble.candidates(ensemble.bimodality_profile(geometry.invariants(bindings.frames(s, d)), 8), 0.345, 0))
 
 
 @_query
@@ -131,24 +133,41 @@ def switching_hinges(s, d):
     return rounded(ensemble.candidates(p, 0.33, 0, (1, 1)))
 
 
+def _index(s, d):
+    return search.build_index(bindings.frames(s, d))
+
+
 @_query
 def writhe_range(s, d):
-    return rounded(search.range_query(search.build_index(bindings.frames(s, d)), 10, 0.12))
+    return rounded(search.range_query(_index(s, d), 10, 0.8))
 
 
 @_query
 def writhe_knn(s, d):
-    return rounded(search.writhe_nearest(search.build_index(bindings.frames(s, d)), 10, 20))
+    return rounded(search.writhe_nearest(_index(s, d), 10, 20))
 
 
 @_query
 def conformer_search(s, d):
-    return rounded(search.range_query(search.build_index(bindings.frames(s, d)), 10, 0.12, 2.6))
+    return rounded(search.range_query(_index(s, d), 10, 0.9, 2.2))
 
 
 @_query
 def conformer_knn(s, d):
-    return rounded(search.nearest(search.build_index(bindings.frames(s, d)), 10, 10, 0.1))
+    """Fewer than k frames are within the coarse radius."""
+    return rounded(search.nearest(_index(s, d), 10, 10, 0.1))
+
+
+@_query
+def conformer_knn_points(s, d):
+    """A query by coordinates, with more than k frames within the coarse radius."""
+    return rounded(search.nearest(_index(s, d), ASKED, 25, 1.0))
+
+
+@_query
+def subcurve_knn_points(s, d):
+    """A whole curve is asked for its points 3 to 8."""
+    return rounded(search.subcurve_nearest(bindings.frames(s, d), ASKED, 3, 8, 15))
 
 
 @_query
@@ -158,35 +177,21 @@ def subcurve_knn(s, d):
 
 def _warp_pairs(i):
     a, b = i.select(F.col("frame_id").alias("a"), F.col("k").alias("ka"), F.col("t").alias("ta")), i.select(F.col("frame_id").alias("b"), F.col("k").alias("kb"), F.col("t").alias("tb"))
-    return rounded(a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", v.time_warp(F.col("ka"), F.col("ta"), F.col("kb"), F.col("tb")).alias("warp")))
+    both = curves.distances(a.join(b, F.col("b") == F.col("a") + 1), "warp", "time_warp", ["ka", "ta"], ["kb", "tb"])
+    return rounded(both.select("a", "b", "warp"))
 
 
 @_query
 def time_warp_pairs(s, d):
-    """The first bends only, as far as the SQL goes."""
-    return _warp_pairs(search.build_index(bindings.frames(s, d)).select("frame_id", F.slice("kappa", 1, 5).alias("k"), F.slice("tau", 1, 4).alias("t")))
-
-
-@_query
-def time_warp_pairs_whole(s, d):
     return _warp_pairs(search.build_index(bindings.frames(s, d)).select("frame_id", F.col("kappa").alias("k"), F.col("tau").alias("t")))
 
 
-def _frechet_pairs(points):
-    c = bindings.to_arrays(points)
-    a, b = c.select(F.col("frame_id").alias("a"), F.col("curve").alias("ca")), c.select(F.col("frame_id").alias("b"), F.col("curve").alias("cb"))
-    return rounded(a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", v.frechet_points(F.col("ca"), F.col("cb")).alias("frechet")))
-
-
 @_query
 def frechet_points_users(s, d):
-    """The first five points only, as far as the SQL goes."""
-    return _frechet_pairs(bindings.user_curves(s, d).where("res < 5"))
-
-
-@_query
-def frechet_points_users_whole(s, d):
-    return _frechet_pairs(bindings.user_curves(s, d))
+    c = curves.gather(bindings.user_curves(s, d))
+    a, b = c.toDF("a", "ca"), c.toDF("b", "cb")
+    both = curves.distances(a.join(b, F.col("b") == F.col("a") + 1), "frechet", "frechet_points", ["ca"], ["cb"])
+    return rounded(both.select("a", "b", "frechet"))
 
 
 def _net(s, d):
@@ -245,23 +250,16 @@ def pair_states(s, d):
     return rounded(search.pair_states(bindings.frames(s, d), 2, 15))
 
 
-def _features(s, d, width=None):
-    """frame_id, label and the components of every embedding (all, or the first ``width``), and the components' names."""
+def _features(s, d):
+    """frame_id, label and the components of every embedding, and the components' names."""
     e = s.read.parquet(f"{d}/embeddings.parquet")
-    width = width or e.agg(F.max(F.size("embedding"))).head()[0] or 0
+    width = e.agg(F.max(F.size("embedding"))).head()[0] or 0
     names = [f"f{k}" for k in range(width)]
     return e.select(F.col("vec_id").alias("frame_id"), "label", *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)]), names
 
 
 @_query
 def silhouette(s, d):
-    """The first six components only, as far as the SQL goes."""
-    f, names = _features(s, d, 6)
-    return rounded(search.silhouette(f, "label", names))
-
-
-@_query
-def silhouette_whole(s, d):
     f, names = _features(s, d)
     return rounded(search.silhouette(f, "label", names))
 

@@ -5,14 +5,15 @@ Lines are numbered inside a file by reading it whole, as atom order decides whic
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec as v
+from ..operators.geometry import EPSILON, bond_strand, pseudo_strand
 
 # Nucleotide residue names and those of them that are purines.
-NUCLEOTIDES = ["A", "C", "G", "U", "T", "DA", "DC", "DG", "DT", "DU", "RA", "RG", "RC", "RU"]
-PURINES = ["A", "G", "DA", "DG", "RA", "RG"]
+NUCLEOTIDES = ["A", "G", "C", "U", "ADE", "GUA", "CYT", "URA", "DA", "DG", "DC", "DT"]
+PURINES = ["A", "G", "ADE", "GUA", "DA", "DG"]
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -32,8 +33,6 @@ def _cut(a: int, b: int) -> Column:
 
 def models(rows: DataFrame) -> DataFrame:
     """``rows`` with the model number of closed MODEL blocks; a file without any MODEL is one model, and an open block is left out."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("path").orderBy("line_no")
     every = Window.partitionBy("path")
     m = rows.withColumn("model", F.sum(F.col("line").startswith("MODEL").cast("int")).over(w)).withColumn("_any", F.max(F.col("line").startswith("MODEL")).over(every))
@@ -67,33 +66,87 @@ def atoms(rows: DataFrame, chain: str | None = None, mode: str = "raise") -> Dat
     return a.where("seq_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL") if mode == "null" else a
 
 
-def _pivot(a: DataFrame, names: dict[str, list[str]]) -> DataFrame:
-    keys = [c for c in ("path", "model") if c in a.columns]
-    got = {k: F.max(F.when(F.col("atom").isin(n), F.struct("line_no", "x", "y", "z"))).alias(k) for k, n in names.items()}
-    return a.groupBy(*keys, "chain_id", "seq_id", "i_code").agg(F.min("line_no").alias("first_line"), F.max_by("name", "line_no").alias("name"), F.max_by("b_factor", "line_no").alias("b_factor"), *got.values())
+def _residue_keys(a: DataFrame) -> list[str]:
+    return [c for c in ("path", "model") if c in a.columns] + ["chain_id", "seq_id", "i_code"]
+
+
+_XYZ = ("line_no", "x", "y", "z")
 
 
 def residues(rows: DataFrame, chain: str | None = None, mode: str = "raise") -> DataFrame:
-    """Residues with a CA: names, numbers, ca and cb (null if absent) as structs; later records of an atom win."""
-    r = _pivot(atoms(rows, chain, mode).where(F.col("atom").isin("CA", "CB", "N", "C")), {"ca": ["CA"], "cb": ["CB"], "n": ["N"], "c": ["C"]})
-    return r.where("ca IS NOT NULL")
+    """Residues with a CA: first_line, name and b_factor of the CA, ca, cb, n and c (null if absent) as structs; later records of an atom win."""
+    a = atoms(rows, chain, mode).where(F.col("atom").isin("CA", "CB", "N", "C"))
+    got = [F.max(F.when(F.col("atom") == k, F.struct(*_XYZ, "name", "b_factor"))).alias(k.lower()) for k in ("CA", "CB", "N", "C")]
+    r = a.groupBy(*_residue_keys(a)).agg(F.min("line_no").alias("first_line"), *got).where("ca IS NOT NULL")
+    plain = [F.when(F.col(k).isNotNull(), F.struct(*[F.col(k)[c].alias(c) for c in "xyz"])).alias(k) for k in ("ca", "cb", "n", "c")]
+    return r.select(*_residue_keys(a), "first_line", F.col("ca.name").alias("name"), F.col("ca.b_factor").alias("b_factor"), *plain)
 
 
-def nucleotides(rows: DataFrame, chain: str | None = None, mode: str = "raise") -> DataFrame:
-    """Nucleotides with a C1' and a base nitrogen; a missing phosphorus is rebuilt from O5' and C5', or C4' and C3'."""
-    a = atoms(rows, chain, mode).where(F.upper("name").isin(NUCLEOTIDES)).withColumn("atom", F.regexp_replace("atom", r"\*", "'"))
-    r = _pivot(a, {"p": ["P"], "o5": ["O5'"], "c5": ["C5'"], "c4": ["C4'"], "c3": ["C3'"], "c1": ["C1'"], "n9": ["N9"], "n1": ["N1"], "n3": ["N3"]})
-    n = F.when(F.upper("name").isin(PURINES), F.coalesce("n9", "n1", "n3")).otherwise(F.coalesce("n1", "n3", "n9"))
-    r = r.withColumn("n", n).withColumn("c4", F.coalesce("c4", "c1")).where("c1 IS NOT NULL AND n IS NOT NULL")
+def ribbons(rows: DataFrame, chain: str | None = None, mode: str = "raise") -> DataFrame:
+    """path(, model), res (in file order), x, y, z, cx, cy, cz, name, chain_id, seq_id, i_code, b_factor.
+
+    Where a residue has no CB, or one at its CA, the second strand is built: from N and C if there are both, else from the
+    neighbouring CAs.
+    """
+    r = residues(rows, chain, mode)
+    keys = [c for c in ("path", "model") if c in r.columns]
+    r = r.withColumn("frame_id", F.struct(*keys))
     at = lambda s: tuple(F.col(s)[c] for c in "xyz")
+    built = bond_strand(at("ca"), at("n"), at("c"))
+    r = r.withColumn("_own", F.when(F.col("cb").isNotNull(), F.col("cb")).when(F.col("n").isNotNull() & F.col("c").isNotNull(), F.struct(*[b.alias(c) for b, c in zip(built, "xyz", strict=True)])))
+    r = r.withColumns({c: F.col("ca")[c] for c in "xyz"}).withColumn("res", F.col("first_line"))
+    r = pseudo_strand(r)
+    use = F.col("_own").isNotNull() & (F.col("_own") != F.col("ca"))
+    place = F.row_number().over(Window.partitionBy("frame_id").orderBy("first_line")) - 1
+    return r.select(*keys, place.alias("res"), "x", "y", "z", *[F.when(use, F.col("_own")[c]).otherwise(F.col(f"p{c}")).alias(f"c{c}") for c in "xyz"], "name", "chain_id", "seq_id", "i_code", "b_factor")
+
+
+def residue_ids(rows: DataFrame, chain: str | None = None, atom: str = "CA", mode: str = "raise") -> DataFrame:
+    """path(, model), first_line, seq_id: residue numbers that have ``atom`` (CA, or C4' of nucleotides), by their first record."""
+    a = atoms(rows, chain, mode).withColumn("atom", F.regexp_replace(F.upper("atom"), r"\*", "'")).where(F.col("atom") == atom)
+    keys = [c for c in ("path", "model") if c in a.columns]
+    return a.groupBy(*keys, "seq_id").agg(F.min("line_no").alias("first_line")).select(*keys, "first_line", "seq_id")
+
 
-    def step(start: str, other: str, size: float):
-        d = v.unit(v.sub(at(start), at(other)), 1e-9)
-        return F.when(F.col(start).isNotNull() & F.col(other).isNotNull() & d[0].isNotNull(), F.struct(*[(x + size * y).alias(c) for c, x, y in zip("xyz", at(start), d, strict=True)]))
+def nucleotides(rows: DataFrame, chain: str | None = None, mode: str = "raise") -> DataFrame:
+    """Nucleotides with a C1' and a base nitrogen: first_line, name and b_factor of the first record, p, c4, c1, n as structs.
 
-    plain = lambda s: F.when(F.col(s).isNotNull(), F.struct(*[F.col(s)[c].alias(c) for c in "xyz"]))
-    high = F.struct(F.col("c4")["x"].alias("x"), F.col("c4")["y"].alias("y"), (F.col("c4")["z"] + 3.5).alias("z"))
-    return r.withColumn("p", F.coalesce(plain("p"), step("o5", "c5", 1.60), step("c4", "c3", 2.50), high))
+    The nitrogen is N9 of purines, else their first N1; of others the last N1, else the first N3. Without C4', C1' stands
+    for it. A missing phosphorus is put 1.60 from O5' away from C5', or else 2.50 from C4' away from C3', or else (also
+    where these two points meet) 3.5 above C4'.
+    """
+    a = atoms(rows, chain, mode).withColumns({"name": F.upper("name"), "atom": F.regexp_replace(F.upper("atom"), r"\*", "'")}).where(F.col("name").isin(NUCLEOTIDES))
+    purine = F.col("name").isin(PURINES)
+    point = F.struct(*_XYZ)
+    last = lambda when: F.max(F.when(when, point))
+    first = lambda when: F.min(F.when(when, point))
+    got = {k: last(F.col("atom") == n) for k, n in {"p": "P", "o5": "O5'", "c5": "C5'", "c4": "C4'", "c3": "C3'", "c1": "C1'"}.items()}
+    n9, n1, n3 = (F.col("atom") == k for k in ("N9", "N1", "N3"))
+    n = F.coalesce(last(n9 & purine), first(n1 & purine), last(n1 & ~purine), first(n3 & ~purine))
+    keys = _residue_keys(a)
+    r = a.groupBy(*keys).agg(F.min(F.struct("line_no", "name", "b_factor")).alias("head"), n.alias("n"), *[c.alias(k) for k, c in got.items()]).where("c1 IS NOT NULL AND n IS NOT NULL")
+    r = r.withColumn("c4", F.coalesce("c4", "c1"))
+    at = lambda s: tuple(F.col(s)[c] for c in "xyz")
+    struct = lambda t: F.struct(*[x.alias(c) for c, x in zip("xyz", t, strict=True)])
+    x, y, z = at("c4")
+    high = struct((x, y, z + 3.5))
+
+    def step(start: str, other: str, size: float) -> Column:
+        d = v.sub(at(start), at(other))
+        n_ = v.norm(d)
+        return F.when(n_ >= EPSILON, struct(tuple(p + size * (q / n_) for p, q in zip(at(start), d, strict=True)))).otherwise(high)
+
+    p = F.when(F.col("p").isNotNull(), struct(at("p"))).when(F.col("o5").isNotNull() & F.col("c5").isNotNull(), step("o5", "c5", 1.60)).when(F.col("c3").isNotNull(), step("c4", "c3", 2.50)).otherwise(high)
+    return r.select(*keys, F.col("head.line_no").alias("first_line"), F.col("head.name").alias("name"), F.col("head.b_factor").alias("b_factor"), p.alias("p"), *[struct(at(k)).alias(k) for k in ("c4", "c1", "n")])
+
+
+def base_curves(rows: DataFrame, chain: str | None = None, mode: str = "raise") -> DataFrame:
+    """path(, model), res (in file order), x, y, z (P), ox, oy, oz (C1'), nx, ny, nz (N), name, chain_id, seq_id, i_code, b_factor."""
+    r = nucleotides(rows, chain, mode)
+    keys = [c for c in ("path", "model") if c in r.columns]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("first_line")) - 1
+    cols = [F.col(s)[c].alias(pre + c) for pre, s in (("", "p"), ("o", "c1"), ("n", "n")) for c in "xyz"]
+    return r.select(*keys, place.alias("res"), *cols, "name", "chain_id", "seq_id", "i_code", "b_factor")
 
 
 def to_lines(points: DataFrame) -> DataFrame:

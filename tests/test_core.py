@@ -136,7 +136,7 @@ def test_whole_curves_are_compared(spark, tmp_path):
         t = abs(p[1] - q[1])
         return math.hypot(p[0] - q[0], min(t, 2 * math.pi - t))
 
-    got = {x.a: x.warp for x in QUERIES["time_warp_pairs_whole"](spark, str(tmp_path)).collect()}
+    got = {x.a: x.warp for x in QUERIES["time_warp_pairs"](spark, str(tmp_path)).collect()}
     assert got == {f: pytest.approx(_grid(bends[f], bends[f + 1], cost, True) / 36, abs=2e-6) for f in (0, 1)}
     day = np.datetime64("2024-01-01", "us")
     rows, curves = [], {}
@@ -146,7 +146,7 @@ def test_whole_curves_are_compared(spark, tmp_path):
             rows.append((len(rows), (day + np.timedelta64(int(hours * 3600), "s")).astype(object), u, value, f'{{"k": {props}}}'))
             curves.setdefault(u, []).append(np.array([hours, value, props]))
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
-    got = {x.a: x.frechet for x in QUERIES["frechet_points_users_whole"](spark, str(tmp_path)).collect()}
+    got = {x.a: x.frechet for x in QUERIES["frechet_points_users"](spark, str(tmp_path)).collect()}
     assert got == {u: pytest.approx(_grid(curves[u], curves[u + 1], lambda p, q: np.linalg.norm(p - q), False), abs=2e-6) for u in (0, 1)}
 
 
@@ -258,7 +258,7 @@ def test_features_are_all_components(spark, tmp_path):
     x = np.cumsum(r.standard_normal((60, 64)), 0) * np.linspace(0.1, 3, 64) + 4 * label[:, None] * (np.arange(64) >= 40)
     spark.createDataFrame([(i, v_.tolist(), int(k)) for i, (v_, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     run = lambda q: QUERIES[q](spark, str(tmp_path))
-    for q, n in (("silhouette", 6), ("silhouette_whole", 64)):
+    for q, n in (("silhouette", 6), ("silhouette", 64)):
         d, s = np.sqrt(((x[:, None, :n] - x[None, :, :n]) ** 2).sum(2)), []
         for i in range(60):
             own, *other = [d[i, (label == k) & (np.arange(60) != i)].mean() for k in (label[i], *{0, 1, 2} - {label[i]})]
