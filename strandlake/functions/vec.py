@@ -84,20 +84,20 @@ def _warp(n: Column, m: Column, cost, combine) -> Column:
     return F.when((n > 0) & (m > 0), F.element_at(last, -1)).otherwise(0.0)
 
 
-def _bends(ka: Column, ta: Column, kb: Column, tb: Column, combine):
+def _bends(ka: Column, ta: Column, kb: Column, tb: Column, combine, wk: float = 1.0, wt: float = 1.0):
     n, m = F.least(F.size(ka), F.size(ta)), F.least(F.size(kb), F.size(tb))
-    cost = lambda i, j: bend_distance(F.get(ka, i), F.get(ta, i), F.get(kb, j), F.get(tb, j))
+    cost = lambda i, j: bend_distance(F.get(ka, i), F.get(ta, i), F.get(kb, j), F.get(tb, j), wk, wt)
     return n, m, _warp(n, m, cost, combine)
 
 
-def frechet(ka: Column, ta: Column, kb: Column, tb: Column) -> Column:
+def frechet(ka: Column, ta: Column, kb: Column, tb: Column, wk: float = 1.0, wt: float = 1.0) -> Column:
     """Discrete Frechet distance of two (curvature, torsion) curves; 0 if either is empty."""
-    return _bends(ka, ta, kb, tb, lambda best, c: F.greatest(best, c))[2]
+    return _bends(ka, ta, kb, tb, lambda best, c: F.greatest(best, c), wk, wt)[2]
 
 
-def time_warp(ka: Column, ta: Column, kb: Column, tb: Column) -> Column:
+def time_warp(ka: Column, ta: Column, kb: Column, tb: Column, wk: float = 1.0, wt: float = 1.0) -> Column:
     """Dynamic time warping cost divided by the sum of the lengths; 0 if either is empty."""
-    n, m, d = _bends(ka, ta, kb, tb, lambda best, c: best + c)
+    n, m, d = _bends(ka, ta, kb, tb, lambda best, c: best + c, wk, wt)
     return F.when((n > 0) & (m > 0), d / (n + m)).otherwise(0.0)
 
 
@@ -111,4 +111,5 @@ def frechet_points(a: Column, b: Column) -> Column:
     return _warp(F.size(a), F.size(b), cost, lambda best, c: F.greatest(best, c))
 
 
+#: Distances of two curves by name; those of bends take the weights wk and wt.
 METRICS = {"writhe": spectrum_distance, "frechet": frechet, "time_warp": time_warp, "frechet_points": frechet_points}

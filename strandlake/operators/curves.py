@@ -129,6 +129,19 @@ def warp(cost: np.ndarray, total: bool) -> np.ndarray:
     return before[:, -1] if n and m else np.zeros(rows)
 
 
+def chain(length: np.ndarray, kappa: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """Points of a chain from its segment lengths, bends and twists, by turning a frame along it."""
+    p, t, b, out = np.zeros(3), np.array([1.0, 0, 0]), np.array([0, 0, 1.0]), [np.zeros(3)]
+    for i, step in enumerate(length):
+        p = p + step * t
+        out.append(p)
+        if i < len(kappa):
+            if i and i - 1 < len(tau):
+                b = np.cos(tau[i - 1]) * b + np.sin(tau[i - 1]) * np.cross(t, b)
+            t = np.cos(kappa[i]) * t + np.sin(kappa[i]) * np.cross(b, t)
+    return np.array(out)
+
+
 def _lists(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     return a.values.to_numpy(zero_copy_only=False).astype(float), a.offsets.to_numpy()[:-1], size

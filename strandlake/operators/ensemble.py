@@ -97,3 +97,16 @@ def motifs(profile: DataFrame, threshold: float, gap: int = 2) -> DataFrame:
     return got.groupBy("island").agg(
         F.min("res").alias("start_res"), F.max("res").alias("end_res"), (-best["at"]).cast("int").alias("peak_res"), F.avg("mean_density").alias("mean_compactness"), best["mean_density"].alias("peak_compactness"), best["z_score"].alias("z_score")
     ).drop("island")
+
+
+def domain_means(profile: DataFrame, value: str, bounds: list[tuple[str, int, int]]) -> DataFrame:
+    """domain, mean, peak_res, peak: mean of ``value`` over the residues lo .. hi - 1 of each (name, lo, hi), and the first largest."""
+    name = F.array(*[F.when((F.col("res") >= lo) & (F.col("res") < hi), F.lit(n)) for n, lo, hi in bounds])
+    rows = profile.select("res", value, F.explode(F.array_compact(name)).alias("domain"))
+    best = F.max(F.struct(F.col(value), (-F.col("res")).alias("at")))
+    return rows.groupBy("domain").agg(F.avg(value).alias("mean"), (-best["at"]).cast("int").alias("peak_res"), best[value].alias("peak"))
+
+
+def with_error(profile: DataFrame, frames: int, std: str = "std_density") -> DataFrame:
+    """``profile`` with sem: the standard error of a mean over ``frames``."""
+    return profile.withColumn("sem", F.col(std) / F.sqrt(F.lit(float(frames))))

@@ -124,16 +124,19 @@ def _perpendicular(d: v.Vec, otherwise: tuple[float, float, float]) -> v.Vec:
     return tuple(F.when(wide, s).otherwise(o) for s, o in zip(v.unit(side, EPSILON), otherwise, strict=True))
 
 
-def bond_strand(ca: v.Vec, n: v.Vec, c: v.Vec) -> v.Vec:
-    """The point 1.52 from ``ca`` away from both its bonded atoms ``n`` and ``c``.
+def bond_strand(rows: DataFrame, ca: v.Vec, n: v.Vec, c: v.Vec, prefix: str) -> DataFrame:
+    """``rows`` with the point (``prefix`` x, y, z) 1.52 from ``ca`` away from both its bonded atoms ``n`` and ``c``.
 
     Where these lie opposite each other the direction is their cross product, then a perpendicular of ca - n, then the x axis.
     """
-    one, two = v.sub(ca, n), v.sub(ca, c)
-    way, up = v.add(one, two), v.cross(one, two)
-    bent, wide = v.norm(way) >= EPSILON, v.norm(up) >= EPSILON
-    u = tuple(F.when(bent, a).when(wide, b).otherwise(o) for a, b, o in zip(v.unit(way, EPSILON), v.unit(up, EPSILON), _perpendicular(one, (1.0, 0.0, 0.0)), strict=True))
-    return tuple(p + PSEUDO * x for p, x in zip(ca, u, strict=True))
+    # in steps, as each of them is used several times by the next
+    rows = rows.withColumns({f"_{k}{a}": e for k, t in (("1", v.sub(ca, n)), ("2", v.sub(ca, c))) for a, e in zip("xyz", t, strict=True)})
+    one, two = v.vec("_1"), v.vec("_2")
+    rows = rows.withColumns({f"_{k}{a}": e for k, t in (("w", v.add(one, two)), ("u", v.cross(one, two))) for a, e in zip("xyz", t, strict=True)})
+    rows = rows.withColumns({f"_s{a}": e for a, e in zip("xyz", _perpendicular(one, (1.0, 0.0, 0.0)), strict=True)} | {"_nw": v.norm(v.vec("_w")), "_nu": v.norm(v.vec("_u"))})
+    way = {a: F.when(F.col("_nw") >= EPSILON, F.col(f"_w{a}") / F.col("_nw")).when(F.col("_nu") >= EPSILON, F.col(f"_u{a}") / F.col("_nu")).otherwise(F.col(f"_s{a}")) for a in "xyz"}
+    rows = rows.withColumns({f"{prefix}{a}": p + PSEUDO * way[a] for a, p in zip("xyz", ca, strict=True)})
+    return rows.drop("_nw", "_nu", *[f"_{k}{a}" for k in "12wus" for a in "xyz"])
 
 
 def pseudo_strand(points: DataFrame) -> DataFrame:
@@ -156,19 +159,12 @@ def pseudo_strand(points: DataFrame) -> DataFrame:
 
 def integrate(inv_arrays: DataFrame) -> DataFrame:
     """frame_id, curve: points rebuilt from the arrays seg, kappa, tau by carrying a moving frame along the curve."""
-    import numpy as np
     import pandas as pd
 
+    from .curves import chain
+
     def build(seg, kappa, tau):
-        p, t, b, out = np.zeros(3), np.array([1.0, 0, 0]), np.array([0, 0, 1.0]), [np.zeros(3)]
-        for i, l in enumerate(seg):
-            p = p + l * t
-            out.append(p)
-            if i < len(kappa):
-                if i and i - 1 < len(tau):
-                    b = np.cos(tau[i - 1]) * b + np.sin(tau[i - 1]) * np.cross(t, b)
-                t = np.cos(kappa[i]) * t + np.sin(kappa[i]) * np.cross(b, t)
-        return [{"x": q[0], "y": q[1], "z": q[2]} for q in out]
+        return [{"x": q[0], "y": q[1], "z": q[2]} for q in chain(seg, kappa, tau)]
 
     def run(parts):
         for d in parts:

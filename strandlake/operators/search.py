@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec as v
 from . import curves
-from .geometry import EPSILON, subcurve
+from .geometry import EPSILON, invariants, subcurve
 
 def _arrays(points: DataFrame, mode: str, radius: int | None) -> DataFrame:
     """frame_id, seg, kappa, tau(, writhe) of every curve from one exchange and one pass over its points."""
@@ -176,9 +176,6 @@ BLOCK_ROWS = 512
 
 def silhouette(features: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """One row: mean Euclidean silhouette, from exact pairwise distances of blocks of frames, summed by frame and label."""
-    import numpy as np
-    import pyarrow as pa
-
     size, width = BLOCK_ROWS, len(columns)
     rows = features.select(F.col("frame_id").cast("long").alias("frame_id"), F.col(label).cast("string").alias("label"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
 
@@ -240,9 +237,6 @@ def nearest_state(frames: DataFrame, index: DataFrame, a: int, b: int) -> DataFr
 
 def superpose(points: DataFrame, reference_id: int) -> DataFrame:
     """frame_id, rmsd after the best rotation on the reference frame: sums per frame, then batched SVDs."""
-    import numpy as np
-    import pyarrow as pa
-
     ref = points.where(F.col("frame_id") == reference_id).select("res", *[F.col(c).alias(f"r{c}") for c in "xyz"])
     j = points.join(F.broadcast(ref), "res")  # one frame's points
     sums = [F.sum(c).alias(f"s_{c}") for c in ("x", "y", "z", "rx", "ry", "rz")]
@@ -269,9 +263,6 @@ def _products(df: DataFrame, left: list[str], right: list[str], left_mean, right
 
     Summed in each task first; the columns bound what the driver gets.
     """
-    import numpy as np
-    import pyarrow as pa
-
     k, centre = len(left), np.r_[left_mean, right_mean].astype(float)
 
     def run(batches):
@@ -295,8 +286,6 @@ def _products(df: DataFrame, left: list[str], right: list[str], left_mean, right
 
 def gram(features: DataFrame, columns: list[str]):
     """Count, means and covariance (population) of columns by one aggregate row and summed products; the columns bound their size."""
-    import numpy as np
-
     row = features.agg(F.count("*"), *[F.avg(c) for c in columns]).head()
     mean = np.array(row[1:], float)
     n, a, b, s = _products(features, columns, columns, mean, mean)
@@ -304,24 +293,43 @@ def gram(features: DataFrame, columns: list[str]):
         return row[0], mean, s / n - (a / n) * (b / n)
 
 
-def pca(features: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
-    """frame_id, pc1 .. pck: projections on leading components, each signed so that its largest loading is positive."""
-    import numpy as np
-
+def components(features: DataFrame, columns: list[str], k: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, the k leading directions (signed so that the largest loading is positive) and the share of variance of each."""
     _, mean, cov = gram(features, columns)
-    _, vec = np.linalg.eigh(cov)
-    out = []
-    for c in range(k):
-        w = vec[:, -1 - c]
-        w = w * np.sign(w[np.abs(w).argmax()])
-        out.append(sum((F.col(n) - float(m)) * float(x) for n, m, x in zip(columns, mean, w, strict=True)).alias(f"pc{c + 1}"))
+    value, vec = np.linalg.eigh(cov)
+    w = vec[:, ::-1][:, :k]
+    w = w * np.sign(w[np.abs(w).argmax(0), np.arange(w.shape[1])])
+    return mean, w, value[::-1][:k] / max(value.sum(), 1e-300)
+
+
+def pca(features: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
+    """frame_id, pc1 .. pck: projections on leading components."""
+    mean, w, _ = components(features, columns, k)
+    out = [sum((F.col(n) - float(m)) * float(x) for n, m, x in zip(columns, mean, w[:, c], strict=True)).alias(f"pc{c + 1}") for c in range(w.shape[1])]
     return features.select("frame_id", *out)
 
 
+def explained_variance(features: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
+    """component (from 1), share: how much of the variance each of the k leading components has."""
+    share = components(features, columns, k)[2]
+    return features.sparkSession.createDataFrame([(c + 1, float(x)) for c, x in enumerate(share)], "component int, share double")
+
+
+def dihedral_features(points: DataFrame) -> tuple[DataFrame, list[str]]:
+    """frame_id and the cosine and sine of each torsion of curves of one length, and the columns' names; 0 beside collinear segments."""
+    n = points.agg(F.max("res")).head()[0] or 0
+    inv = invariants(points, "null")
+    cells = [F.coalesce(F.max(F.when(F.col("res") == r, f("tau"))), F.lit(0.0)).alias(f"{k}{r}") for k, f in (("cos", F.cos), ("sin", F.sin)) for r in range(max(n - 2, 0))]
+    return inv.groupBy("frame_id").agg(*cells), [f"{k}{r}" for k in ("cos", "sin") for r in range(max(n - 2, 0))]
+
+
+def dihedral_pca(points: DataFrame, k: int = 2) -> DataFrame:
+    """frame_id, pc1 .. pck of the torsions' cosines and sines."""
+    return pca(*dihedral_features(points), k)
+
+
 def lagged_components(features: DataFrame, columns: list[str], lag: int, k: int = 2, ridge: float = 1e-4) -> DataFrame:
     """frame_id, ic1 .. ick: slow components from the covariance of frames ``lag`` apart (lag join on the frame number)."""
-    import numpy as np
-
     _, mean, cov = gram(features, columns)
     later = features.select((F.col("frame_id") - lag).alias("frame_id"), *[F.col(c).alias(f"l_{c}") for c in columns])
     both = features.join(later, "frame_id")
@@ -338,19 +346,131 @@ def lagged_components(features: DataFrame, columns: list[str], lag: int, k: int
     return features.select("frame_id", *out)
 
 
+def _grid(values: DataFrame, columns: list[str], margin: float, points: int):
+    """Rows, and for each column its grid from the 1st to the 99th percentile with ``margin`` of the span on both sides."""
+    row = values.agg(F.count("*"), *[F.percentile(c, F.lit(q)) for c in columns for q in (0.01, 0.99)]).head()
+    spans = [(row[1 + 2 * k], row[2 + 2 * k]) for k in range(len(columns))]
+    return row[0], [np.linspace(lo - margin * (hi - lo), hi + margin * (hi - lo), points) for lo, hi in spans if lo is not None]
+
+
 def free_energy(values: DataFrame, column: str, points: int = 50) -> DataFrame:
     """x, energy: -ln of a Gaussian kernel density on a grid from the 1st to the 99th percentile, least 0."""
-    lo, hi, sd, n = values.agg(F.percentile(column, F.lit(0.01)), F.percentile(column, F.lit(0.99)), F.stddev_samp(column), F.count(column)).head()
-    if not n or not sd:
+    v_ = values.where(F.col(column).isNotNull())
+    sd = v_.agg(F.stddev_samp(column)).head()[0]
+    if not sd:
         return values.sparkSession.createDataFrame([], "x double, energy double")
+    n, (grid,) = _grid(v_, [column], 0.0, points)
     h = sd * n**-0.2
-    x = [float(lo + (hi - lo) * i / (points - 1)) for i in range(points)]
     c = F.col(column)
-    row = values.agg(*[F.sum(F.exp(-(c - g) * (c - g) / (2 * h * h))) for g in x]).head()  # one partial row for each task
-    from math import log, pi, sqrt
+    row = v_.agg(*[F.sum(F.exp(-(c - g) * (c - g) / (2 * h * h))) for g in grid.tolist()]).head()  # one partial row for each task
+    e = -np.log(np.maximum(np.array(row, float) / (n * h * np.sqrt(2 * np.pi)), 1e-4))
+    return values.sparkSession.createDataFrame(list(zip(grid.tolist(), (e - e.min()).tolist(), strict=True)), "x double, energy double")
+
+
+def _density(values: DataFrame, columns: list[str], grid: list[np.ndarray]) -> np.ndarray:
+    """Sums of the Gaussian kernel (Scott's width, the columns' covariance) at the grid's nodes, as (second column, first column) for two."""
+    n, _, cov = gram(values, columns)
+    cov = cov * n / max(n - 1, 1) * n ** (-2 / (len(columns) + 4))
+    white = np.linalg.cholesky(np.linalg.inv(cov))
+    nodes = np.stack([g.ravel() for g in np.meshgrid(*grid)], 1) @ white
+
+    def run(batches):
+        total = np.zeros(len(nodes))
+        for b in batches:
+            x = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)], 1) @ white
+            for at in range(0, len(x), 256):
+                total += np.exp(-0.5 * ((nodes[:, None] - x[None, at : at + 256]) ** 2).sum(2)).sum(1)
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(len(nodes)), "s": total})
 
-    p = [max(s / (n * h * sqrt(2 * pi)), 1e-4) for s in row]
-    low = min(-log(q) for q in p)
-    return values.sparkSession.createDataFrame([(g, -log(q) - low) for g, q in zip(x, p, strict=True)], "x double, energy double")
+    rows = values.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, "cell long, s double").groupBy("cell").agg(F.sum("s")).collect()  # one for each node
+    out = np.zeros(len(nodes))
+    for cell, s in rows:
+        out[cell] = s
+    return out.reshape([len(g) for g in grid][::-1])
 
 
+def _smoothed(a: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian filter, cut at four widths, mirrored at the edges."""
+    reach = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    for axis in range(a.ndim):
+        a = np.apply_along_axis(lambda r: np.convolve(np.pad(r, reach, "symmetric"), w / w.sum(), "valid"), axis, a)
+    return a
+
+
+def free_energy_surface(values: DataFrame, x: str, y: str, points: int = 80, sigma: float = 0.8) -> DataFrame:
+    """x, y, energy on a square grid: -ln of the relative kernel density (1e-4 at least), smoothed by ``sigma`` nodes, least 0.
+
+    Nothing for fewer than three rows or values without spread in some direction.
+    """
+    v_ = values.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    schema = "x double, y double, energy double"
+    n, grid = _grid(v_, [x, y], 0.2, points)
+    if n < 3 or np.linalg.matrix_rank(gram(v_, [x, y])[2]) < 2:
+        return values.sparkSession.createDataFrame([], schema)
+    d = _density(v_, [x, y], grid)
+    e = _smoothed(-np.log(np.maximum(d / d.max(), 1e-4)), sigma)
+    e -= e.min()
+    return values.sparkSession.createDataFrame([(float(a), float(b), float(e[j, i])) for j, b in enumerate(grid[1]) for i, a in enumerate(grid[0])], schema)
+
+
+def barrier(values: DataFrame, column: str, points: int = 100) -> DataFrame:
+    """One row: height, well1, well2, top of the one-dimensional profile: the least energies of its halves and the largest between them."""
+    schema = "height double, well1 double, well2 double, top double"
+    v_ = values.where(F.col(column).isNotNull())
+    n, grid = _grid(v_, [column], 0.1, points)
+    if n < 2 or not v_.agg(F.stddev_samp(column)).head()[0]:
+        return values.sparkSession.createDataFrame([], schema)
+    d = _density(v_, [column], grid)
+    e = -np.log(np.maximum(d / d.max(), 1e-4))
+    e -= e.min()
+    half = points // 2
+    a, b = int(e[:half].argmin()), half + int(e[half:].argmin())
+    top = a + int(e[a:b].argmax())
+    return values.sparkSession.createDataFrame([(float(e[top] - min(e[a], e[b])), float(e[a]), float(e[b]), float(e[top]))], schema)
+
+
+def histogram_barrier(features: DataFrame, label: str, columns: list[str], bins: int = 50) -> DataFrame:
+    """One row, barrier: -ln of the least over the largest filled bin along the line between the means of labels 0 and 1; 0 without both."""
+    means = {r[0]: np.array(r[1:], float) for r in features.where(F.col(label).isin(0, 1)).groupBy(label).agg(*[F.avg(c) for c in columns]).collect()}
+    spark, schema = features.sparkSession, "barrier double"
+    if len(means) < 2 or np.linalg.norm(way := means[1] - means[0]) < 1e-6:
+        return spark.createDataFrame([(0.0,)], schema)
+    way /= np.linalg.norm(way)
+    at = features.select(sum(F.col(c) * float(w) for c, w in zip(columns, way, strict=True)).alias("at"))
+    lo, hi = at.agg(F.min("at"), F.max("at")).head()
+    filled = at.groupBy(F.least(F.floor((F.col("at") - lo) / max(hi - lo, 1e-300) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    return filled.agg(F.when(F.count("*") < 3, 0.0).otherwise(-F.log(F.greatest(F.min("n") / F.max("n"), F.lit(1e-12)))).alias("barrier"))
+
+
+def sliding_frechet(one: DataFrame, two: DataFrame, width: int = 6) -> DataFrame:
+    """start, centre (start + width / 2), frechet: distance of the points of two curves (res, x, y, z) in windows of ``width``."""
+    spread = lambda p: p.select("res", "x", "y", "z", F.explode(F.sequence(F.greatest(F.col("res") - width + 1, F.lit(0)), F.col("res"))).alias("frame_id"))
+    a, b = (curves.gather(spread(p)).toDF("start", name) for p, name in ((one, "a"), (two, "b")))
+    both = a.join(b, "start").where((F.size("a") == 3 * width) & (F.size("b") == 3 * width))
+    return curves.distances(both, "frechet", "frechet_points", ["a"], ["b"]).select("start", (F.col("start") + width // 2).alias("centre"), "frechet")
+
+
+def normal_modes(points: DataFrame, frame_id: int, modes: int = 4, cutoff: float = 9.5) -> DataFrame:
+    """mode (from 1), res, x, y, z, amplitude: soft modes of an elastic network of one curve (its points go to one task).
+
+    Springs of 1 / d^2 join points nearer than ``cutoff``; the six rigid motions are left out; the amplitude is 1 / sqrt(eigenvalue), of 1e-4 at least.
+    """
+
+    def run(batches):
+        for b in batches:
+            for _, p in curves.by_length(b):
+                n, c = p.shape[1], p[0]
+                d = c[:, None] - c[None]
+                size = np.linalg.norm(d, axis=2)
+                k = np.where((size > 0.1) & (size < cutoff), 1 / np.where(size > 0.1, size, 1.0) ** 4, 0.0)  # 1 / d^2 of the spring, 1 / d^2 of the two units
+                outer = np.einsum("ij,ija,ijb->iajb", k, d, d)
+                h = -outer
+                h[np.arange(n), :, np.arange(n), :] += np.einsum("iajb->iab", outer)
+                value, vec = np.linalg.eigh(h.reshape(3 * n, 3 * n))
+                for m in range(min(modes, 3 * n - 6)):
+                    w = vec[:, 6 + m]
+                    w = (w * np.sign(w[np.abs(w).argmax()])).reshape(n, 3)
+                    yield pa.RecordBatch.from_pydict({"mode": pa.array([m + 1] * n, pa.int32()), "res": pa.array(range(n), pa.int32()), **{a: w[:, k] for k, a in enumerate("xyz")}, "amplitude": [float(1 / np.sqrt(max(value[6 + m], 1e-4)))] * n})
+
+    return curves.gather(points.where(F.col("frame_id") == frame_id)).mapInArrow(run, "mode int, res int, x double, y double, z double, amplitude double")

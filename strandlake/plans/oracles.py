@@ -219,6 +219,16 @@ d AS (SELECT *, sqrt(c + 2*s*cos(phi)) AS d1, sqrt(greatest(0, 3*c - (c + 2*s*co
 SELECT frame_id, round(sqrt(greatest(0, q - 2*(d1 + d2 + det/(d1*d2))) / n), 6) + 0.0 AS rmsd FROM d"""
 
 
+def three(cols: str) -> str:
+    return ", ".join(f"printf('%8.3f', {c})::DOUBLE AS {c}" for c in cols.split())
+
+
+#: frame_id, res, x, y, z, px, py, pz from p: the second strand from the bisector of a point's neighbours.
+BUILT = f"""WITH a AS (SELECT *, {", ".join(f"lag({c}) OVER w AS p{c}, lead({c}) OVER w AS n{c}" for c in "xyz")} FROM p WINDOW w AS {W}),
+ b AS (SELECT *, {", ".join(f"2*{c} - p{c} - n{c} AS d{c}, coalesce(n{c} - p{c}, 2*(n{c} - {c}), 2*({c} - p{c})) AS a{c}" for c in "xyz")} FROM a),
+ c AS (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) >= 1e-9 AS bent, abs(ax) > 0.1 OR abs(ay) > 0.1 AS flat FROM b),
+ e AS (SELECT *, CASE WHEN bent THEN dx WHEN flat THEN -ay ELSE 0 END AS ux, CASE WHEN bent THEN dy WHEN flat THEN ax ELSE -az END AS uy, CASE WHEN bent THEN dz WHEN flat THEN 0 ELSE ay END AS uz FROM c)
+ SELECT frame_id, res, x, y, z, {", ".join(f"{c} + 1.52*u{c}/sqrt(ux*ux+uy*uy+uz*uz) AS p{c}" for c in "xyz")} FROM e"""
 _INDEX = f"WITH {FRAMES}, {PAIRS}, {LOCAL5}, {SPECTRUM}"
 SQL: dict[str, str] = {
     "segment_lengths": f"WITH {FRAMES}, {geometry()} SELECT frame_id, {long('res')}, {rd('seg tx ty tz')} FROM inv WHERE seg IS NOT NULL",
@@ -228,11 +238,7 @@ SQL: dict[str, str] = {
     "subcurve_invariants": f"WITH {FRAMES.replace('range(0, 21)', 'range(5, 13)')}, {geometry()} SELECT frame_id, {long('res')}, {rd('seg kappa tau')} FROM inv",
     "theta_beta": f"WITH {RIBBONS}, {geometry(True)} SELECT frame_id, {long('res')}, {rd('theta')} FROM inv WHERE theta IS NOT NULL",
     "base_angles": f"WITH {BASES}, {geometry(True)} SELECT frame_id, {long('res')}, {rd('theta kappa')} FROM inv WHERE theta IS NOT NULL",
-    "pseudo_strand": f"""WITH {FRAMES}, a AS (SELECT *, {", ".join(f"lag({c}) OVER w AS p{c}, lead({c}) OVER w AS n{c}" for c in "xyz")} FROM p WINDOW w AS {W}),
- b AS (SELECT *, {", ".join(f"2*{c} - p{c} - n{c} AS d{c}, coalesce(n{c} - p{c}, 2*(n{c} - {c}), 2*({c} - p{c})) AS a{c}" for c in "xyz")} FROM a),
- c AS (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) >= 1e-9 AS bent, abs(ax) > 0.1 OR abs(ay) > 0.1 AS flat FROM b),
- e AS (SELECT *, CASE WHEN bent THEN dx WHEN flat THEN -ay ELSE 0 END AS ux, CASE WHEN bent THEN dy WHEN flat THEN ax ELSE -az END AS uy, CASE WHEN bent THEN dz WHEN flat THEN 0 ELSE ay END AS uz FROM c)
- SELECT frame_id, {long('res')}, {", ".join(f"round({c} + 1.52*u{c}/sqrt(ux*ux+uy*uy+uz*uz), 6) + 0.0 AS p{c}" for c in "xyz")} FROM e""",
+    "pseudo_strand": f"WITH {FRAMES}, built AS ({BUILT}) SELECT frame_id, {long('res')}, {rd('px py pz')} FROM built",
     "total_writhe": f"WITH {FRAMES}, {PAIRS} SELECT frame_id, round(sum(w), 6) + 0.0 AS writhe FROM pairs GROUP BY frame_id",
     "total_writhe_standard": f"WITH {FRAMES}, {PAIRS} SELECT frame_id, round(-2*sum(w), 6) + 0.0 AS writhe FROM pairs GROUP BY frame_id",
     "local_writhe": f"WITH {FRAMES}, {PAIRS}, {LOCAL} SELECT frame_id, {long('res')}, {rd('writhe')} FROM lw",
@@ -282,4 +288,21 @@ SQL: dict[str, str] = {
     "pdb_round_trip": f"WITH {FRAMES} SELECT frame_id, (res + 1)::BIGINT AS seq_id, 'A' AS chain_id, 'ALA' AS name, printf('%8.3f', x)::DOUBLE + 0.0 AS x, printf('%8.3f', y)::DOUBLE + 0.0 AS y, printf('%8.3f', z)::DOUBLE + 0.0 AS z FROM p",
     "curve_arrays": f"WITH {FRAMES} SELECT frame_id, {long('res')}, {rd('x y z')} FROM p",
     "rebuilt_lengths": f"WITH {FRAMES}, {geometry()}, {PAIRS}, t AS (SELECT frame_id, sum(w) AS writhe FROM pairs GROUP BY frame_id) SELECT frame_id, round(coalesce(sum(kappa), 0), 6) + 0.0 AS total_curvature, round(coalesce(avg(seg), 0), 6) + 0.0 AS mean_segment, round(any_value(writhe), 6) + 0.0 AS writhe FROM inv JOIN t USING (frame_id) GROUP BY frame_id",
+    "pdb_ribbons": f"WITH {FRAMES.replace('range(0, 21)', 'range(0, 10)').replace('p AS', 'o AS', 1)}, p AS (SELECT frame_id, res, {three('x y z')} FROM o), w AS (SELECT vec_id AS frame_id, r::INT AS res, {', '.join(f"printf('%8.3f', embedding[3*r+{31 + k}])::DOUBLE AS c{c}" for k, c in enumerate('xyz'))} FROM embeddings, range(0, 10) t(r)), built AS ({BUILT}) SELECT b.frame_id, {long('b.res').replace('AS b.res', 'AS res')}, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, {', '.join(f"round(CASE WHEN b.res % 2 = 1 AND (cx <> x OR cy <> y OR cz <> z) THEN c{c} ELSE p{c} END, 6) + 0.0 AS c{c}" for c in 'xyz')} FROM built b JOIN w ON w.frame_id = b.frame_id AND w.res = b.res",
+    "pdb_nucleotides": f"""WITH b AS (SELECT vec_id AS frame_id, r::INT AS res, {', '.join(f"printf('%8.3f', embedding[3*(r+{s})+{k + 1}])::DOUBLE AS {n}{c}" for s, n in ((0, 'p'), (7, 'o'), (14, 'n')) for k, c in enumerate('xyz'))} FROM embeddings, range(0, 7) t(r)),
+ d AS (SELECT *, sqrt((px-ox)**2 + (py-oy)**2 + (pz-oz)**2) AS l FROM b)
+ SELECT frame_id, {long('res')}, CASE WHEN res % 2 = 0 THEN 'ADE' ELSE 'URA' END AS name, {', '.join(f"round(CASE WHEN res % 2 = 0 THEN p{c} WHEN l >= 1e-9 THEN p{c} + 1.6*(p{c}-o{c})/l ELSE o{c} + {3.5 if c == 'z' else 0} END, 6) + 0.0 AS {c}" for c in 'xyz')}, {', '.join(f"round({n}{c}, 6) + 0.0 AS {n}{c}" for n in 'on' for c in 'xyz')} FROM d""",
+    "pdb_residue_ids": f"WITH {FRAMES} SELECT frame_id, (res + 1)::BIGINT AS seq_id FROM p",
+    "pdb_models": f"WITH {FRAMES}, f AS (SELECT *, dense_rank() OVER (ORDER BY frame_id) AS model FROM p) SELECT model::BIGINT AS model, (res + 1)::BIGINT AS seq_id, {', '.join(f"printf('%8.3f', {c})::DOUBLE + 0.0 AS {c}" for c in 'xyz')} FROM f",
+    "curve_bundles": f"WITH {FRAMES}, {PAIRS}, {LOCAL} SELECT frame_id, {long('res')}, {rd('writhe')} FROM lw",
+    "base_bundles": f"WITH {BASES}, {geometry(True)}, {PAIRS}, {LOCAL.replace('- 4', '- 2').replace('+ 3', '+ 1').replace('BETWEEN 4 AND 16', 'BETWEEN 2 AND 4')} SELECT i.frame_id, i.res::BIGINT AS res, round(theta, 6) + 0.0 AS theta, round(writhe, 6) + 0.0 AS writhe FROM inv i LEFT JOIN lw ON lw.frame_id = i.frame_id AND lw.res = i.res + 2 WHERE theta IS NOT NULL",
+    "invariant_deltas": f"WITH {RIBBONS}, {geometry(True)} SELECT a.res::BIGINT AS res, round(abs(a.kappa - b.kappa), 6) + 0.0 AS d_kappa, {', '.join(f'round(degrees(CASE WHEN abs(a.{c} - b.{c}) > pi() THEN 2*pi() - abs(a.{c} - b.{c}) ELSE abs(a.{c} - b.{c}) END), 6) + 0.0 AS d_{c}' for c in ('tau', 'theta'))} FROM inv a JOIN inv b ON a.res = b.res AND a.frame_id = 3 AND b.frame_id = 8 WHERE a.kappa IS NOT NULL AND b.kappa IS NOT NULL",
+    "sliding_frechet": f"WITH RECURSIVE {USERS}, w AS (SELECT frame_id, s.v AS start, list([x, y, z] ORDER BY res) AS c FROM p JOIN (SELECT unnest(range(0, 200)) AS v) s ON p.res BETWEEN s.v AND s.v + 5 WHERE frame_id IN (3, 8) GROUP BY ALL HAVING count(*) = 6), c AS (SELECT x.start, x.c AS ca, y.c AS cb FROM w x JOIN w y ON x.start = y.start AND x.frame_id = 3 AND y.frame_id = 8), "
+    + grid("c", "start", "6", "6", "sqrt(" + " + ".join(f"(ca[<i> + 1][{k}] - cb[<j> + 1][{k}]) ** 2" for k in (1, 2, 3)) + ")", False)
+    + " SELECT start::BIGINT AS start, (start + 3)::BIGINT AS centre, round(far, 6) + 0.0 AS frechet FROM dp",
+    "domain_means": f"WITH {FRAMES}, {PAIRS}, {geometry()}, {COMPACT}, {DENSITY} SELECT CASE WHEN res < 6 THEN 'head' WHEN res < 15 THEN 'middle' ELSE 'tail' END AS domain, round(avg(mean_density), 6) + 0.0 AS mean, arg_max(res, mean_density)::BIGINT AS peak_res, round(max(mean_density), 6) + 0.0 AS peak FROM dens GROUP BY 1",
+    "energy_barrier": f"WITH {FRAMES}, {PAIRS}, t AS (SELECT frame_id, sum(w) AS v FROM pairs GROUP BY frame_id), q AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi, stddev_samp(v) * count(*) ** -0.2 AS h FROM t), g AS (SELECT i, lo - 0.1*(hi - lo) + 1.2*(hi - lo) * i / 99 AS x, h FROM q, range(0, 100) r(i)), d AS (SELECT i, sum(exp(-((v - x) ** 2) / (2 * h * h))) AS d FROM g, t GROUP BY i), e0 AS (SELECT i, -ln(greatest(d / (SELECT max(d) FROM d), 1e-4)) AS u FROM d), e AS (SELECT i, u - (SELECT min(u) FROM e0) AS u FROM e0), s AS (SELECT arg_min(i, u) FILTER (i < 50) AS a, arg_min(i, u) FILTER (i >= 50) AS b, min(u) FILTER (i < 50) AS ua, min(u) FILTER (i >= 50) AS ub FROM e), k AS (SELECT max(u) AS top FROM e, s WHERE i >= a AND i < b) SELECT round(top - least(ua, ub), 6) + 0.0 AS height, round(ua, 6) + 0.0 AS well1, round(ub, 6) + 0.0 AS well2, round(top, 6) + 0.0 AS top FROM s, k",
+    "histogram_barrier": "WITH u AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i)), m AS (SELECT i, avg(v) FILTER (label = 1) - avg(v) FILTER (label = 0) AS w FROM u GROUP BY i), l AS (SELECT sqrt(sum(w * w)) AS l FROM m), a AS (SELECT vec_id, sum(v * w / l) AS pos FROM u JOIN m USING (i), l GROUP BY vec_id), r AS (SELECT min(pos) AS lo, max(pos) AS hi FROM a), b AS (SELECT least(floor((pos - lo) / (hi - lo) * 50), 49) AS bin, count(*) AS n FROM a, r GROUP BY 1) SELECT round(CASE WHEN count(*) < 3 THEN 0 ELSE -ln(greatest(min(n) / max(n), 1e-12)) END, 6) + 0.0 AS barrier FROM b",
+    "index_size": "SELECT count(*)::BIGINT AS frames, 21::BIGINT AS least_points, 21::BIGINT AS most_points FROM embeddings",
+    "audit_writhe": f"WITH {FRAMES}, {PAIRS} SELECT frame_id, round(-2*sum(w), 6) + 0.0 AS writhe FROM pairs GROUP BY frame_id",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curves, ensemble, geometry, network, search, writhe
+from ..operators import audit, curves, ensemble, geometry, network, search, writhe
 from ..sources import bindings, pdb
 
 #: A curve of 21 points that is asked for by its coordinates.
@@ -315,3 +315,127 @@ def rebuilt_lengths(s, d):
     inv = search.build_index(bindings.frames(s, d)).select("frame_id", "seg", "kappa", "tau")
     p = bindings.to_points(geometry.integrate(inv))
     return rounded(geometry.totals(geometry.invariants(p)).join(writhe.total_writhe(p), "frame_id"))
+
+
+def _texts(points, line):
+    """path, line_no, line of one file for each frame."""
+    return points.select(F.col("frame_id").cast("string").alias("path"), F.explode(line).alias("l")).select("path", "l.line_no", "l.line")
+
+
+def _record(number, atom, name, at):
+    n = (F.col("res") + 1).cast("int")
+    return F.struct((F.col("res") * 8 + number).alias("line_no"), F.format_string(f"ATOM  %5d {atom} {name:>3} A%4d    %8.3f%8.3f%8.3f  1.00  0.00", n, n, *at).alias("line"))
+
+
+@_query
+def pdb_ribbons(s, d):
+    """The strand is read where a residue has a CB (odd ones), and built elsewhere."""
+    p = bindings.ribbons(s, d)
+    ca, cb = _record(0, " CA ", "ALA", [F.col(c) for c in "xyz"]), _record(1, " CB ", "ALA", [F.col(f"c{c}") for c in "xyz"])
+    r = pdb.ribbons(_texts(p, F.when(F.col("res") % 2 == 1, F.array(ca, cb)).otherwise(F.array(ca))))
+    return rounded(r.select(F.col("path").cast("long").alias("frame_id"), "res", "x", "y", "z", "cx", "cy", "cz"))
+
+
+@_query
+def pdb_nucleotides(s, d):
+    """P is read for even nucleotides and rebuilt from O5' (at P) and C5' (at C1') for odd ones."""
+    p = bindings.nucleotides(s, d)
+    at = lambda k: [F.col(k + c) for c in "xyz"]
+    whole = F.array(_record(0, " P  ", "ADE", at("")), _record(1, " C1'", "ADE", at("o")), _record(2, " N9 ", "ADE", at("n")))
+    part = F.array(_record(0, " O5*", "URA", at("")), _record(1, " C5*", "URA", at("o")), _record(2, " C1*", "URA", at("o")), _record(3, " N3 ", "URA", at("n")))
+    r = pdb.base_curves(_texts(p, F.when(F.col("res") % 2 == 0, whole).otherwise(part)))
+    return rounded(r.select(F.col("path").cast("long").alias("frame_id"), "res", "name", "x", "y", "z", "ox", "oy", "oz", "nx", "ny", "nz"))
+
+
+@_query
+def pdb_residue_ids(s, d):
+    r = pdb.residue_ids(_texts(bindings.frames(s, d), F.array(_record(0, " CA ", "ALA", [F.col(c) for c in "xyz"]))))
+    return rounded(r.select(F.col("path").cast("long").alias("frame_id"), "seq_id"))
+
+
+@_query
+def pdb_models(s, d):
+    """One file whose models are the frames; the order of models is that of the frames."""
+    p = bindings.frames(s, d)
+    last = p.agg(F.max("res")).head()[0]
+    mark = lambda k, text: F.struct(F.lit(k).cast("int").alias("k"), F.lit(text).alias("line"))
+    line = _record(0, " CA ", "ALA", [F.col(c) for c in "xyz"])
+    rows = F.concat(F.when(F.col("res") == 0, F.array(mark(-1, "MODEL"))).otherwise(F.array()), F.array(F.struct(F.col("res").cast("int").alias("k"), line["line"].alias("line"))), F.when(F.col("res") == last, F.array(mark(last + 1, "ENDMDL"))).otherwise(F.array()))
+    t = p.select("frame_id", F.explode(rows).alias("l")).select(F.lit("m").alias("path"), (F.col("frame_id") * 64 + F.col("l.k") + 1).alias("line_no"), "l.line")
+    r = pdb.residues(pdb.models(t))
+    return rounded(r.select("model", "seq_id", F.col("ca.x").alias("x"), F.col("ca.y").alias("y"), F.col("ca.z").alias("z")))
+
+
+@_query
+def curve_bundles(s, d):
+    b = geometry.bundle(bindings.frames(s, d))
+    return rounded(b.select("frame_id", F.posexplode("writhe").alias("res", "writhe")).withColumn("res", F.col("res") + 4))
+
+
+@_query
+def base_bundles(s, d):
+    b = geometry.bundle(bindings.nucleotides(s, d), strand="n")
+    one = b.select("frame_id", F.posexplode("theta").alias("res", "theta"))
+    two = b.select("frame_id", F.posexplode("writhe").alias("res", "writhe"))
+    return rounded(one.join(two, ["frame_id", "res"], "left"))
+
+
+@_query
+def invariant_deltas(s, d):
+    r = geometry.ribbon_invariants(bindings.ribbons(s, d))
+    return rounded(geometry.deltas(r.where("frame_id = 3"), r.where("frame_id = 8")).where("d_kappa IS NOT NULL"))
+
+
+@_query
+def sliding_frechet(s, d):
+    p = bindings.user_curves(s, d)
+    return rounded(search.sliding_frechet(p.where("frame_id = 3"), p.where("frame_id = 8")))
+
+
+@_query
+def domain_means(s, d):
+    p = ensemble.with_error(ensemble.density_profile(bindings.frames(s, d), 4), 500)
+    return rounded(ensemble.domain_means(p, "mean_density", [("head", 0, 6), ("middle", 6, 15), ("tail", 15, 21)]))
+
+
+@_query
+def dihedral_pca(s, d):
+    return rounded(search.dihedral_pca(bindings.frames(s, d)))
+
+
+@_query
+def explained_variance(s, d):
+    return rounded(search.explained_variance(*_features(s, d), k=10))
+
+
+@_query
+def free_energy_surface(s, d):
+    p = bindings.frames(s, d)
+    w = writhe.total_writhe(p).join(geometry.totals(geometry.invariants(p)), "frame_id")
+    return rounded(search.free_energy_surface(w, "writhe", "total_curvature", 40))
+
+
+@_query
+def energy_barrier(s, d):
+    return rounded(search.barrier(writhe.total_writhe(bindings.frames(s, d)), "writhe"))
+
+
+@_query
+def histogram_barrier(s, d):
+    f, names = _features(s, d)
+    return rounded(search.histogram_barrier(f, "label", names))
+
+
+@_query
+def index_size(s, d):
+    return rounded(search.introspect(_index(s, d)))
+
+
+@_query
+def audit_writhe(s, d):
+    return rounded(audit.arc_writhe(bindings.frames(s, d)))
+
+
+@_query
+def normal_modes(s, d):
+    return rounded(search.normal_modes(bindings.frames(s, d).withColumns({c: F.col(c) * 20 for c in "xyz"}), 3))

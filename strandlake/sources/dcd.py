@@ -1,22 +1,33 @@
-"""Binary trajectory files as a Python data source: batch scan split by frames, and a writer.
+"""Binary trajectory files as a Python data source: batch scan split by bytes, and a writer.
 
 Records are framed by their length on both sides (32-bit little endian). After the header records, each frame has an
-optional unit-cell record and three coordinate records, so frames have one size and a file splits at any frame.
+optional unit-cell record and three coordinate records, so frames have one size and a file splits at any frame. Paths
+with a scheme go through Arrow's file systems; the driver lists files and sizes only, and each task reads its file's header.
 """
 
 from __future__ import annotations
 
-import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..operators.geometry import pseudo_strand
+
 SCHEMA = "path string, frame_idx long, cell struct<a:double,gamma:double,b:double,beta:double,alpha:double,c:double>, x array<float>, y array<float>, z array<float>"
-FRAMES_PER_SPLIT = 1000
+SPLIT_BYTES = 64 << 20
+BATCH_BYTES = 8 << 20
+_CELL = ("a", "gamma", "b", "beta", "alpha", "c")
+
+
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 def _record(f) -> bytes:
@@ -30,26 +41,31 @@ def _record(f) -> bytes:
     return body
 
 
+def _header(f, size: int, path: str) -> dict:
+    h = _record(f)
+    if len(h) != 84 or h[:4] not in (b"CORD", b"VELD"):
+        raise ValueError(f"{path}: not a trajectory header")
+    frames, first, every = struct.unpack_from("<3i", h, 4)
+    step, cell = struct.unpack_from("<fi", h, 40)
+    _record(f)
+    (atoms,) = struct.unpack("<i", _record(f))
+    start = f.tell()
+    one = 3 * (8 + 4 * atoms) + (56 if cell else 0)
+    rest = size - start
+    return {"magic": h[:4].decode(), "declared": frames, "first": first, "every": every, "step": step, "cell": bool(cell), "version": struct.unpack_from("<i", h, 80)[0], "atoms": atoms, "start": start, "size": one, "frames": rest // one, "cut": rest % one != 0}
+
+
 def header(path: str) -> dict:
     """Magic, declared frames, first step, interval, time step, cell flag, version, atoms, and where frames begin."""
-    with open(path, "rb") as f:
-        h = _record(f)
-        if len(h) != 84 or h[:4] not in (b"CORD", b"VELD"):
-            raise ValueError(f"{path}: not a trajectory header")
-        frames, first, every = struct.unpack_from("<3i", h, 4)
-        step, cell = struct.unpack_from("<fi", h, 40)
-        _record(f)
-        (atoms,) = struct.unpack("<i", _record(f))
-        start = f.tell()
-        size = 3 * (8 + 4 * atoms) + (56 if cell else 0)
-        rest = os.path.getsize(path) - start
-        return {"magic": h[:4].decode(), "declared": frames, "first": first, "every": every, "step": step, "cell": bool(cell), "version": struct.unpack_from("<i", h, 80)[0], "atoms": atoms, "start": start, "size": size, "frames": rest // size, "cut": rest % size != 0}
+    system, place = _place(path)
+    with system.open_input_file(place) as f:
+        return _header(f, f.size(), path)
 
 
 class _Split(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        super().__init__((path, first, last))
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, name: str, lo: int, hi: int):
+        super().__init__((path, name, lo, hi))
+        self.path, self.name, self.lo, self.hi = path, name, lo, hi
 
 
 class DcdSource(DataSource):
@@ -74,23 +90,39 @@ class _Reader(DataSourceReader):
         self.path, self.strict = options["path"], options.get("strict", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        paths = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(self.path, p) for p in os.listdir(self.path) if p.endswith(".dcd"))
-        out: list[InputPartition] = []
-        for p in paths:
-            h = header(p)
-            if h["cut"] and self.strict:
-                raise ValueError(f"{p}: the last frame is cut")
-            out += [_Split(p, i, min(i + FRAMES_PER_SPLIT, h["frames"])) for i in range(0, h["frames"], FRAMES_PER_SPLIT)]
-        return out
-
-    def read(self, split: _Split) -> Iterator[tuple]:
-        h = header(split.path)
-        with open(split.path, "rb") as f:
-            f.seek(h["start"] + split.first * h["size"])
-            for i in range(split.first, split.last):
-                cell = struct.unpack("<6d", _record(f)) if h["cell"] else None
-                xyz = [np.frombuffer(_record(f), "<f4").tolist() for _ in range(3)]
-                yield (split.path, i, cell, *xyz)
+        system, place = _place(self.path)
+        info = system.get_file_info(place)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        found = [info] if info.type == fs.FileType.File else sorted((f for f in system.get_file_info(fs.FileSelector(place)) if f.path.endswith(".dcd")), key=lambda f: f.path)
+        prefix = self.path[: len(self.path) - len(place)] if self.path.endswith(place) else ""
+        return [_Split(self.path, prefix + f.path, lo, min(lo + SPLIT_BYTES, f.size)) for f in found for lo in range(0, max(f.size, 1), SPLIT_BYTES)]
+
+    def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
+        """Frames that begin in the split's bytes, as Arrow batches; the split with a file's end tells a cut last frame."""
+        system, place = _place(self.path)
+        name = place if split.name == self.path else split.name[len(self.path) - len(place) :] if self.path.endswith(place) else split.name
+        with system.open_input_file(name) as f:
+            h = _header(f, f.size(), split.name)
+            if h["cut"] and self.strict and split.hi == f.size():
+                raise ValueError(f"{split.name}: the last frame is cut")
+            first = max(0, -(-(split.lo - h["start"]) // h["size"]))
+            last = min(h["frames"], max(0, -(-(split.hi - h["start"]) // h["size"])))
+            many = max(1, BATCH_BYTES // h["size"])
+            f.seek(h["start"] + first * h["size"])
+            n, pre = h["atoms"], 56 if h["cell"] else 0
+            for at in range(first, last, many):
+                k = min(many, last - at)
+                raw = np.frombuffer(f.read(k * h["size"]), np.uint8).reshape(k, -1)
+                marks = [*([(0, 48), (52, 48)] if pre else []), *[(pre + c * (8 + 4 * n) + e, 4 * n) for c in range(3) for e in (0, 4 + 4 * n)]]
+                if any((np.ascontiguousarray(raw[:, o : o + 4]).view("<i4") != size).any() for o, size in marks):
+                    raise ValueError(f"{split.name}: record lengths differ")
+                xyz = [np.ascontiguousarray(raw[:, pre + c * (8 + 4 * n) + 4 :][:, : 4 * n]).view("<f4").ravel() for c in range(3)]
+                offsets = pa.array(np.arange(k + 1, dtype=np.int32) * n)
+                cells = np.ascontiguousarray(raw[:, 4:52]).view("<f8") if pre else None
+                kind = pa.struct([(c, pa.float64()) for c in _CELL])
+                cell = pa.StructArray.from_arrays([pa.array(cells[:, c]) for c in range(6)], fields=list(kind)) if pre else pa.nulls(k, kind)
+                yield pa.RecordBatch.from_arrays([pa.array([split.name] * k), pa.array(np.arange(at, at + k)), cell, *[pa.ListArray.from_arrays(offsets, pa.array(c)) for c in xyz]], names=["path", "frame_idx", "cell", "x", "y", "z"])
 
 
 class _Message(WriterCommitMessage):
@@ -99,15 +131,16 @@ class _Message(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """One ordered partition makes one file; frames go to a draft and the header is written when the job commits."""
+    """One ordered partition makes one file; frames go to a draft beside it, in the folder that all share, and the header is written when the job commits."""
 
     def __init__(self, options):
         self.path = options["path"]
 
     def write(self, rows) -> WriterCommitMessage:
-        draft, n, atoms, celled = f"{self.path}.{os.getpid()}.draft", 0, 0, False
+        system, place = _place(self.path)
+        draft, n, atoms, celled = f"{place}.{uuid.uuid4().hex}.draft", 0, 0, False
         framed = lambda b: struct.pack("<i", len(b)) + b + struct.pack("<i", len(b))
-        with open(draft, "wb") as f:
+        with system.open_output_stream(draft) as f:
             for r in rows:
                 x, y, z = (np.asarray(r[c], "<f4") for c in "xyz")
                 if n and len(x) != atoms or not len(x) == len(y) == len(z):
@@ -131,18 +164,20 @@ class _Writer(DataSourceWriter):
         struct.pack_into("<3i", h, 4, m.frames, 0, 1)
         struct.pack_into("<fi", h, 40, 1.0, int(m.cell))
         struct.pack_into("<i", h, 80, 24)
-        with open(self.path, "wb") as f:
+        system, place = _place(self.path)
+        with system.open_output_stream(place) as f:
             f.write(framed(bytes(h)) + framed(struct.pack("<i", 1) + b"Curves".ljust(80)) + framed(struct.pack("<i", m.atoms)))
             if m.draft:
-                with open(m.draft, "rb") as d:
+                with system.open_input_file(m.draft) as d:
                     while block := d.read(1 << 20):
                         f.write(block)
-                os.unlink(m.draft)
+                system.delete_file(m.draft)
 
     def abort(self, messages) -> None:
+        system, _ = _place(self.path)
         for m in messages:
-            if m is not None and m.draft and os.path.exists(m.draft):
-                os.unlink(m.draft)
+            if m is not None and m.draft and system.get_file_info(m.draft).type != fs.FileType.NotFound:
+                system.delete_file(m.draft)
 
 
 def read_dcd(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -156,13 +191,22 @@ def write_dcd(frames: DataFrame, path: str) -> None:
     frames.select(F.lit(path).alias("path"), "frame_idx", "cell", "x", "y", "z").coalesce(1).sortWithinPartitions("frame_idx").write.format("dcd").mode("append").option("path", path).save()
 
 
-def project(frames: DataFrame, atoms: list[int], second: list[int] | None = None) -> DataFrame:
-    """frame_id, res, x, y, z(, cx, cy, cz): listed atoms in their order, repeats too; an index out of range fails."""
+def project(frames: DataFrame, atoms: list[int], second: list[int | None] | None = None) -> DataFrame:
+    """frame_id, res, x, y, z(, cx, cy, cz): listed atoms in their order, repeats too; an index out of range fails.
+
+    Where ``second`` has None, the second strand is built from the neighbouring points.
+    """
+    if second is not None and len(second) != len(atoms):
+        raise ValueError(f"{len(atoms)} atoms, {len(second)} of the second strand")
 
     def at(c: str, k):
         return F.element_at(c, k + 1).cast("double")  # fails out of range in ANSI mode
 
     pairs = [F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(second[i] if second else None).cast("int").alias("b")) for i, a in enumerate(atoms)]
     rows = frames.select(F.col("frame_idx").alias("frame_id"), "x", "y", "z", F.explode(F.array(*pairs)).alias("p"))
-    more = [at(c, F.col("p.b")).alias(f"c{c}") for c in "xyz"] if second else []
-    return rows.select("frame_id", F.col("p.i").alias("res"), *[at(c, F.col("p.a")).alias(c) for c in "xyz"], *more)
+    more = [F.when(F.col("p.b").isNotNull(), at(c, F.coalesce("p.b", F.lit(0)))).alias(f"c{c}") for c in "xyz"] if second else []
+    out = rows.select("frame_id", F.col("p.i").alias("res"), *[at(c, F.col("p.a")).alias(c) for c in "xyz"], *more)
+    if second and None in second:
+        out = pseudo_strand(out)
+        out = out.withColumns({f"c{c}": F.coalesce(f"c{c}", f"p{c}") for c in "xyz"}).drop("px", "py", "pz")
+    return out

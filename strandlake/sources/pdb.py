@@ -92,8 +92,9 @@ def ribbons(rows: DataFrame, chain: str | None = None, mode: str = "raise") -> D
     keys = [c for c in ("path", "model") if c in r.columns]
     r = r.withColumn("frame_id", F.struct(*keys))
     at = lambda s: tuple(F.col(s)[c] for c in "xyz")
-    built = bond_strand(at("ca"), at("n"), at("c"))
-    r = r.withColumn("_own", F.when(F.col("cb").isNotNull(), F.col("cb")).when(F.col("n").isNotNull() & F.col("c").isNotNull(), F.struct(*[b.alias(c) for b, c in zip(built, "xyz", strict=True)])))
+    r = bond_strand(r, at("ca"), at("n"), at("c"), "_b")
+    built = F.struct(*[F.col(f"_b{c}").alias(c) for c in "xyz"])
+    r = r.withColumn("_own", F.when(F.col("cb").isNotNull(), F.col("cb")).when(F.col("n").isNotNull() & F.col("c").isNotNull(), built))
     r = r.withColumns({c: F.col("ca")[c] for c in "xyz"}).withColumn("res", F.col("first_line"))
     r = pseudo_strand(r)
     use = F.col("_own").isNotNull() & (F.col("_own") != F.col("ca"))
