@@ -9,6 +9,8 @@ in a block that isn't empty, and meet at the key (band, block, value). A set wit
 doesn't follow also gives keys for its empty blocks.
 
 Equal sets are one class from the start. Keys are dealt to buckets as one packed row for each set and bucket.
+A key of very many sets (as told from the keys of one class in ``PROBE``) is dealt to buckets of its own, as many as
+it needs, by class; its members have one group all the same, so no task holds all of them.
 Groups of sets that share a key are reduced to distinct member lists. Every member is verified exactly against
 the group's centre (the member of most groups) where a 2048-bit parity sketch allows a link; members that are then still in different components are
 compared by these sketches in blocks of at most ``BLOCK_ROWS`` rows, and verified too. So a group of
@@ -40,6 +42,11 @@ BUCKETS = 64
 #: Low bytes of a key that are kept in its bucket; equal ones by chance only make a few more candidates.
 KEY_BYTES = 5
 BLOCK_ROWS = 1024
+#: One class in so many shows its keys, and a key that more than ``HOT`` classes are expected to have is split. Neither changes a result.
+PROBE = 64
+HOT = 100_000
+#: At most so many keys are split (beyond all keys over ``HOT``, the bound of a hot one rises), as their list is on the driver.
+HOT_KEYS = 1 << 18
 SKETCH_WORDS = 32
 
 
@@ -119,8 +126,8 @@ def _sets(words: int):
     return run
 
 
-def _classes(docs: DataFrame, words: int) -> DataFrame:
-    """id, n_shingles, class and parity sketch of every row."""
+def _classes(docs: DataFrame, words: int, probe: int) -> DataFrame:
+    """id, n_shingles, class, parity sketch of every row, and the keys of one class in ``probe``."""
     of = _sets(words)
 
     def run(batches):
@@ -128,15 +135,28 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
             for i, j, sets, at in of(b, 1):
                 n = np.diff(at)
                 bits = pa.array([parity_bits(sets[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(set_ids(sets, at).view(np.int64), mask=n == 0), bits, *[x.slice(i, j - i) for x in b.columns[2:]]], names=["doc_id", "n_shingles", "class", "bits", *docs_names[2:]])
+                ids = set_ids(sets, at)
+                shown = [sketch_keys(sets[at[r] : at[r + 1]], np.array([0, n[r]]))[0].view(np.int64) if n[r] and ids[r] % U(probe) == 0 else None for r in range(len(n))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(ids.view(np.int64), mask=n == 0), bits, pa.array(shown, pa.list_(pa.int64())), *[x.slice(i, j - i) for x in b.columns[2:]]], names=["doc_id", "n_shingles", "class", "bits", "shown", *docs_names[2:]])
 
     docs_names = docs.columns
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary" + "".join(f", {c} long" for c in docs_names[2:]))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary, shown array<long>" + "".join(f", {c} long" for c in docs_names[2:]))
+
 
+def _hot(rows: DataFrame, probe: int, hot: int, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that more than ``hot`` classes are expected to have, in order, and the parts that each is split to."""
+    seen = rows.where("shown is not null").select("class", F.explode("shown").alias("key")).distinct().groupBy("key").agg((F.count("*") * probe).alias("n"))
+    got = sorted((r["key"], r["n"]) for r in seen.where(F.col("n") > max(hot, keys // HOT_KEYS)).collect())
+    many = np.array([k for k, _ in got], np.int64).view(U)
+    order = np.argsort(many)
+    return many[order], np.array([-(-n // hot) for _, n in got], np.int64)[order]
 
-def _packed(docs: DataFrame, words: int, buckets: int) -> DataFrame:
-    """bucket, class, keys (packed) of every class that a task sees."""
+
+def _packed(docs: DataFrame, words: int, buckets: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """bucket, class, keys (packed) of every class that a task sees; from ``buckets`` on, the parts of hot keys in their order."""
     of = _sets(words)
+    many, parts = hot
+    begin = buckets + np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)
 
     def run(batches):
         for b in batches:
@@ -149,8 +169,13 @@ def _packed(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                 size = np.diff(at)[first]
                 own = np.concatenate([[0], np.cumsum(size)])
                 keys, row = sketch_keys(sets[np.repeat(at[first] - own[:-1], size) + np.arange(own[-1])], own)
-                bucket = (keys >> U(40)) % U(buckets)
-                place = bucket.astype(np.int64) * len(first) + row
+                bucket = ((keys >> U(40)) % U(buckets)).astype(np.int64)
+                if len(many):
+                    at_hot = np.minimum(np.searchsorted(many, keys), len(many) - 1)
+                    is_hot = np.flatnonzero(many[at_hot] == keys)
+                    which = at_hot[is_hot]
+                    bucket[is_hot] = begin[which] + (mix(ids[first][row[is_hot]]) % parts[which].astype(U)).astype(np.int64)
+                place = bucket * len(first) + row
                 order = np.argsort(place, kind="stable")
                 place, keys = place[order], keys[order]
                 start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
@@ -162,7 +187,21 @@ def _packed(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, class long, keys binary")
 
 
-def _groups(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _groups(buckets: int, parts: np.ndarray):
+    """The grouping of one bucket: distinct member lists of its keys, or one part of the members of a hot key."""
+    last = buckets + np.cumsum(parts)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if (bucket := key[0].as_py()) < buckets:
+            return _lists(table)
+        group = mix(np.array([np.searchsorted(last, bucket, side="right")], U) ^ U(0xA4093822299F31D0)).view(np.int64)
+        ids = np.unique(table.column("class").to_numpy())
+        return pa.table({"group": np.repeat(group, len(ids)), "class": ids})
+
+    return run
+
+
+def _lists(table: pa.Table) -> pa.Table:
     """Distinct member lists of the keys of one bucket: rows (group, class)."""
     data, offs = as_bytes(table.column("keys"))
     keys = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
@@ -246,7 +285,7 @@ def _token_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch:
     return got
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, key_col: str | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, key_col: str | None = None, probe: int = PROBE, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: components of texts of Jaccard similarity 0.8 or more.
 
     With ``key_col``, a long of each row, also row_key, and component: a label that no two components share, as
@@ -255,11 +294,12 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(key_col).cast("long").alias("row_key")] if key_col else []))
-    rows = scratch.save(_classes(docs, words), "rows")
+    rows = scratch.save(_classes(docs, words, probe), "rows")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
     keys = rows.agg(F.sum("n_shingles")).head()[0] or 0
     buckets = max(BUCKETS, 1 << (int(0.7 * keys) // BUCKET_KEYS).bit_length())
-    members = _packed(docs, words, buckets).groupBy("bucket").applyInArrow(_groups, "group long, class long").distinct()
+    often = _hot(rows, probe, hot, keys)
+    members = _packed(docs, words, buckets, often).groupBy("bucket").applyInArrow(_groups(buckets, often[1]), "group long, class long").distinct()
     members = scratch.save(members, "members")
     weight = members.groupBy("class").agg(F.count("*").alias("w"))
     sketch = rows.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))

@@ -75,6 +75,24 @@ def test_jaccard_hub_of_near_copies(spark):
     assert {x.component_id for x in got} == {70}
 
 
+def test_jaccard_hot_keys_are_split(spark, edge, monkeypatch):
+    """Keys of many classes in parts by class give the same result, and no part has more than its share by far."""
+    r = random.Random(4)
+    base = [f"t{r.random()}" for _ in range(80)]
+    texts = [" ".join([*base[:k], f"own{n}", *base[k + 1 :]]) for n, k in enumerate([*range(0, 80, 4)] * 3)] + [" ".join(base)] * 5
+    d = docs(spark, [(100 - i, t, "a") for i, t in enumerate(texts)]).unionByName(edge.select("doc_id", "text", "source"), allowMissingColumns=True)
+    plain = sorted(map(tuple, jaccard_join.near_duplicates(d).collect()), key=repr)
+    seen = []
+    real = jaccard_join._hot
+    monkeypatch.setattr(jaccard_join, "_hot", lambda *a: seen.append(real(*a)) or seen[-1])
+    assert sorted(map(tuple, jaccard_join.near_duplicates(d, probe=1, hot=5).collect()), key=repr) == plain
+    assert len(seen[0][0]) > 5 and seen[0][1].max() > 5 and len(jaccard_join._hot(*_shown(spark, d, 1), 5, 1)[0]) == len(seen[0][0])
+
+
+def _shown(spark, d, probe):
+    return jaccard_join._classes(d.select(F.col("doc_id").cast("long"), "text"), 5, probe), probe
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 5), (200, 201), (7, 7)] + [(300, k) for k in range(301, 350)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark, "t")).collect()}
