@@ -1,15 +1,18 @@
 """Approximate nearest neighbours with shifted space-filling curves.
 
 For each of several curves the vectors are projected on a few seeded random directions, shifted, cut to a grid
-and given their place on the Hilbert curve of that grid. A curve's order is cut into key ranges that hold about
+and given their place on the Hilbert curve of that grid. As far as the width goes, the directions of neighbouring
+curves are at right angles, so that curves repeat less of each other. A curve's order is cut into key ranges that hold about
 the same number of rows; a query looks at the rows of its own range and of the two neighbouring ones, and
 what it finds on all curves is merged and ranked by the exact inner product of the original vectors. Curves order
 by direction alone, so rows get one more component, sqrt(M^2 - |x|^2) with M the largest norm, and queries a zero
 there: all rows are then of one length, and the largest inner product is the nearest direction.
 
 The range cuts come from Spark's quantile sketch over all rows (curves x ranges numbers on the driver, a fixed
-bound); rows are dealt by (curve, range, part), where a range with more rows than usual, such as one of equal
-vectors, has more parts. Every row is on every curve.
+bound). Rows are dealt by (curve, range, part of the rows, part of the queries): a range of more than ``PART_ROWS``
+rows or ``PART_QUERIES`` queries has more parts, so that no task holds all of a range. Of rows with one and the same
+vector only the k + 1 of smallest ids are dealt, since no other of them can be among k. Every other row is on every
+curve. Vectors of single precision are moved as such.
 
 Recall rests on the share of rows that a query looks at. Uniformly random directions in 64 dimensions, which the
 synthetic table holds, are the worst case for any index; the defaults are set for them. Data with structure
@@ -22,23 +25,27 @@ candidates each, but a repeated (id, vector) counts once; an empty table or quer
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .runtime import Scratch
+from .textops import as_bytes, mix
 from .vectors import matrix, usable, widen
 
-CURVES = 32
+CURVES = 40
 DIMS = 9
 BITS = 6
-RANGES = 96
+RANGES = 160
 #: Ranges hold at least this many rows.
 LEAST_ROWS = 64
-#: Rows of a range dealt to one part.
-PART_ROWS = 4096
+#: Rows and queries of a range dealt to one part.
+PART_ROWS = 16384
+PART_QUERIES = 65536
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -69,13 +76,22 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(vecs: np.ndarray, curve: int, dims: int, bits: int, seed: int, most: float | None = None) -> np.ndarray:
-    """Keys of vectors (taken at unit length) on one curve: its own directions and shift.
+@lru_cache(maxsize=4)
+def directions(width: int, count: int, seed: int) -> np.ndarray:
+    """(width, count) directions of length sqrt(width): sets of up to ``width`` at right angles, each turned at random."""
+    r, sets = np.random.default_rng(seed), []
+    for at in range(0, count, width):
+        sets.append(np.linalg.qr(r.standard_normal((width, min(width, count - at))))[0])
+    return np.concatenate(sets, 1) * width**0.5
+
+
+def curve_keys(vecs: np.ndarray, curve: int, curves: int, dims: int, bits: int, seed: int, most: float | None = None) -> np.ndarray:
+    """Keys of vectors (taken at unit length) on one of ``curves`` curves: its own directions and shift.
 
     With ``most``, the largest norm of all rows, the vectors are first made that long by one more component.
     """
     r = np.random.default_rng([seed, curve])
-    way = r.standard_normal((4096, dims))[: vecs.shape[1]]  # the same first rows for every width
+    way = directions(vecs.shape[1], curves * dims, seed)[:, curve * dims : (curve + 1) * dims]
     shift = r.random(dims)
     norm = np.sqrt((vecs * vecs).sum(1, keepdims=True))
     norm[norm == 0] = 1.0
@@ -87,85 +103,132 @@ def curve_keys(vecs: np.ndarray, curve: int, dims: int, bits: int, seed: int, mo
     return hilbert_keys(grid.astype(np.int64), bits)
 
 
-def nearest(df: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, dims: int = DIMS, bits: int = BITS, ranges: int = RANGES, seed: int = 11) -> DataFrame:
+def _vectors(column, kind: str, width: int) -> np.ndarray:
+    """A column of packed vectors as a matrix of doubles."""
+    data, offs = as_bytes(column)
+    flat, size = np.frombuffer(data.tobytes(), kind).astype(np.float64), np.diff(offs) // np.dtype(kind).itemsize
+    if (size == size[0]).all():
+        return widen(flat.reshape(len(size), -1), width)
+    out = np.zeros((len(size), max(width, int(size.max()))))
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return out
+
+
+def _search(q: pa.Table, x: pa.Table, k: int, kinds: tuple[str, str]) -> pa.Table:
+    """The k best of the rows ``x`` for each query of ``q``; ties go to smaller ids."""
+    own, found, score = [], [], []
+    if q.num_rows and x.num_rows:
+        a, b = _vectors(q.column("vec"), kinds[0], 1), _vectors(x.column("vec"), kinds[1], 1)
+        width = max(a.shape[1], b.shape[1])
+        a, b, ids, qid = widen(a, width), widen(b, width), x.column("vec_id").to_numpy(), q.column("vec_id").to_numpy()
+        for i in range(0, len(a), 256):
+            s = a[i : i + 256] @ b.T
+            s[qid[i : i + 256, None] == ids[None, :]] = -np.inf
+            # ties must fall to smaller ids: take all at or above the k-th value, then order
+            m = min(k, s.shape[1])
+            least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+            r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+            order = np.lexsort((ids[c], -s[r, c], r))
+            r, c = r[order], c[order]
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
+            place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+            r, c = r[place < k], c[place < k]
+            own.append(qid[i + r])
+            found.append(ids[c])
+            # one summation order for a pair of vectors, whichever block it is found in
+            score.append(np.einsum("ij,ij->i", a[i + r], b[c]))
+    join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
+    return pa.table({"query_id": join(own, pa.int64()), "vec_id": join(found, pa.int64()), "score": join(score, pa.float64())})
+
+
+def nearest(df: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, dims: int = DIMS, bits: int = BITS, ranges: int = RANGES, seed: int = 11, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``: about the k rows of largest inner product for each query."""
     spark = df.sparkSession
     scratch = Scratch(spark, "ann")
     nonzero = F.exists("vec", lambda x: x != 0)
+    kinds = tuple("f4" if isinstance(getattr(d.schema[vec_col].dataType, "elementType", None), FloatType) else "f8" for d in (queries, df))
 
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    most = usable(df, id_col, vec_col).agg(F.max(length)).head()[0]
+    most, wide = usable(df, id_col, vec_col).where(nonzero).agg(F.max(length), F.max(F.size("vec"))).head()
+    if not wide:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    def keyed(d: DataFrame, name: str, most: float | None = None) -> DataFrame:
+    def keyed(d: DataFrame, name: str, kind: str, most: float | None = None) -> DataFrame:
         def place(batches):
             for b in batches:
                 x = matrix(b.column(1))
                 for i in range(0, len(x), 4096):
                     part = x[i : i + 4096]
-                    keys = np.stack([curve_keys(part, c, dims, bits, seed, most) for c in range(curves)], 1)
-                    yield pa.RecordBatch.from_pydict({"vec_id": b.column(0).slice(i, len(part)), "vec": [v.tobytes() for v in part], "keys": list(keys)}, schema=pa.schema([("vec_id", pa.int64()), ("vec", pa.binary()), ("keys", pa.list_(pa.int64()))]))
+                    cut = np.ascontiguousarray(widen(part, wide)[:, :wide])  # what a query has beyond the rows' width counts nowhere
+                    keys = np.stack([curve_keys(cut, c, curves, dims, bits, seed, most) for c in range(curves)], 1)
+                    yield pa.RecordBatch.from_pydict({"vec_id": b.column(0).slice(i, len(part)), "vec": [v.tobytes() for v in part.astype(kind)], "keys": list(keys)}, schema=pa.schema([("vec_id", pa.int64()), ("vec", pa.binary()), ("keys", pa.list_(pa.int64()))]))
 
-        return scratch.save(usable(d, id_col, vec_col).where(nonzero).mapInArrow(place, "vec_id long, vec binary, keys array<long>"), name)
+        return scratch.save(d.mapInArrow(place, "vec_id long, vec binary, keys array<long>"), name)
 
-    rows, asked = keyed(df, "rows", most), keyed(queries, "queries")
+    once = usable(df, id_col, vec_col).where(nonzero).dropDuplicates(["vec_id", "vec"])
+    equal = Window.partitionBy("vec").orderBy("vec_id")
+    once = once.withColumn("place", F.row_number().over(equal)).where(F.col("place") <= k + 1).select("vec_id", "vec")
+    rows = keyed(once, "rows", kinds[1], most)
+    asked = keyed(usable(queries, id_col, vec_col).where(nonzero).dropDuplicates(["vec_id", "vec"]), "queries", kinds[0])
     n = rows.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     pieces = max(1, min(ranges, n // LEAST_ROWS))
-    at = [i / pieces for i in range(1, pieces)]
+    at = ", ".join(f"{i / pieces!r}D" for i in range(1, pieces))
     if at:
-        got = rows.agg(*[F.percentile_approx(F.col("keys")[c], at, 20000).alias(f"c{c}") for c in range(curves)]).head()
+        got = rows.selectExpr(*[f"percentile_approx(keys[{c}], array({at}), 20000) AS c{c}" for c in range(curves)]).head()
         cuts = [np.array(got[c], np.int64) for c in range(curves)]
     else:
         cuts = [np.zeros(0, np.int64)] * curves
 
-    def deal(step: int):
-        """Rows (curve, range) of every vector; with ``step`` also of the neighbouring ranges."""
+    def places(column, step: int):
+        """The rows of a batch that have a place in each range of each curve, and that place; with ``step`` the neighbouring ones too."""
+        keys = column.flatten().to_numpy().reshape(len(column), curves)
+        for c in range(curves):
+            place = np.searchsorted(cuts[c], keys[:, c], side="right")
+            for d in range(-step, step + 1):
+                use = np.flatnonzero((place + d >= 0) & (place + d < pieces))
+                yield use, c * pieces + place[use] + d
+
+    def sizes(d: DataFrame, step: int, most: int) -> np.ndarray:
+        """Into how many parts each (curve, range) goes; at most curves x ranges numbers come to the driver."""
 
         def run(batches):
+            total = np.zeros(curves * pieces, np.int64)
             for b in batches:
-                keys = b.column(2).flatten().to_numpy().reshape(b.num_rows, curves)
-                for c in range(curves):
-                    place = np.searchsorted(cuts[c], keys[:, c], side="right")
-                    for d in range(-step, step + 1):
-                        use = np.flatnonzero((place + d >= 0) & (place + d < pieces))
-                        yield pa.RecordBatch.from_pydict({"cell": pa.array(c * pieces + place[use] + d, pa.int64()), "vec_id": b.column(0).take(pa.array(use)), "vec": b.column(1).take(pa.array(use))})
+                for _, cell in places(b.column(0), step):
+                    total += np.bincount(cell, minlength=len(total))
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.flatnonzero(total), pa.int64()), "n": pa.array(total[total > 0], pa.int64())})
 
-        return run
+        out = np.ones(curves * pieces, np.int64)
+        for r in d.select("keys").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            out[r["cell"]] = -(-r["n"] // most)
+        return out
 
-    cells = rows.mapInArrow(deal(0), "cell long, vec_id long, vec binary")
-    sizes = cells.groupBy("cell").count().select("cell", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
-    parts = dict(map(tuple, sizes.where("parts > 1").collect()))  # at most curves x ranges numbers
-    split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("cell")), F.lit(1)) if parts else F.lit(1)
-    cells = cells.withColumn("part", F.pmod(F.xxhash64("vec_id", "vec"), split).cast("int"))
-    looks = asked.mapInArrow(deal(1), "cell long, vec_id long, vec binary").withColumn("part", F.explode(F.sequence(F.lit(0), split - 1)))
-
-    def search(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        width = max(q["vec"].map(len).max(), x["vec"].map(len).max()) // 8
-        load = lambda s: np.stack([widen(np.frombuffer(v)[None, :], width)[0] for v in s])
-        a, b, ids = load(q["vec"]), load(x["vec"]), x["vec_id"].to_numpy()
-        own, score, vec = [], [], []
-        for i in range(0, len(a), 256):
-            s = a[i : i + 256] @ b.T
-            s[q["vec_id"].to_numpy()[i : i + 256, None] == ids[None, :]] = -np.inf
-            # ties must fall to smaller ids: take all at or above the k-th value, then order
-            m = min(k, s.shape[1])
-            least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-            r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-            order = np.lexsort((ids[c], -s[r, c], r))
-            r, c = r[order], c[order]
-            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
-            place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
-            r, c = r[place < k], c[place < k]
-            own.append(q["vec_id"].to_numpy()[i + r])
-            vec.append(ids[c])
-            # one summation order for a pair of vectors, whichever block it is found in
-            score.append(np.einsum("ij,ij->i", a[i + r], b[c]))
-        return pd.DataFrame({"query_id": np.concatenate(own), "vec_id": np.concatenate(vec), "score": np.concatenate(score)})
+    row_parts, query_parts = sizes(rows, 0, part_rows), sizes(asked, 1, part_queries)
+
+    def deal(step: int, own: np.ndarray, other: np.ndarray, names: tuple[str, str]):
+        """A row for each (curve, range) and each part of the other side there; its own part follows from its id."""
+
+        def run(batches):
+            for b in batches:
+                code = mix(b.column(0).to_numpy().view(np.uint64))
+                for use, cell in places(b.column(2), step):
+                    mine = (code[use] % own[cell].astype(np.uint64)).astype(np.int32)
+                    times = other[cell]
+                    theirs = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    use, cell, mine = np.repeat(use, times), np.repeat(cell, times), np.repeat(mine, times)
+                    for i in range(0, len(use), 4096):
+                        part, cols = slice(i, i + 4096), {}
+                        cols["cell"] = pa.array(cell[part], pa.int64())
+                        cols[names[0]], cols[names[1]] = pa.array(mine[part], pa.int32()), pa.array(theirs[part], pa.int32())
+                        cols["vec_id"], cols["vec"] = b.column(0).take(pa.array(use[part])), b.column(1).take(pa.array(use[part]))
+                        yield pa.RecordBatch.from_pydict({c: cols[c] for c in ("cell", "row_part", "query_part", "vec_id", "vec")})
+
+        return run
 
-    found = looks.groupBy("cell", "part").cogroup(cells.groupBy("cell", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    schema, by = "cell long, row_part int, query_part int, vec_id long, vec binary", ("cell", "row_part", "query_part")
+    cells = rows.mapInArrow(deal(0, row_parts, query_parts, ("row_part", "query_part")), schema)
+    looks = asked.mapInArrow(deal(1, query_parts, row_parts, ("query_part", "row_part")), schema)
+    found = looks.groupBy(*by).cogroup(cells.groupBy(*by)).applyInArrow(lambda q, x: _search(q, x, k, kinds), "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     found = found.groupBy("query_id", "vec_id", "score").agg(F.lit(1).alias("one"))
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
