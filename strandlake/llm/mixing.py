@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import Scratch
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
@@ -78,6 +80,8 @@ def mix_sources(
         F.col(id_col).alias("doc_id"), size_of(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), *[F.col(c).alias(f"_x_{c}") for c in extra]
     ).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("slice", F.substring("key", 1, slice_digits))
+    if not extra:  # a few numbers of each row: written once, so that texts are read and their words counted once
+        rows = Scratch(df.sparkSession, "mix").save(rows, "sizes")
     ranges = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("start", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
