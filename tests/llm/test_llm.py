@@ -480,7 +480,7 @@ def numeric(f, w, eps=1e-6):
 def test_gated_attention_gradients_match_differences():
     r = np.random.default_rng(1)
     m = quality.BagModel(hidden=4, gate=3)
-    x, at, y = r.standard_normal((9, len(quality.FEATURES))), np.array([0, 2, 3, 7, 9]), np.array([0.0, 1.0, 1.0, 0.0])
+    x, at, y = r.standard_normal((9, quality.WIDTH)), np.array([0, 2, 3, 7, 9]), np.array([0.0, 1.0, 1.0, 0.0])
     loss = lambda: -np.mean(y * np.log(p := m.forward(x, at)[0]) + (1 - y) * np.log(1 - p))
     got = m.gradients(x, at, y)
     for k, w in m.w.items():
