@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_extract, jaccard_join, language_id, mixing, packing, quality, suffix_dedup, topk_search, warc
+from . import ann, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality, suffix_dedup, topk_search, warc, yinyang
 from .runtime import ship
 
 
@@ -68,7 +68,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row stays of equal texts, for every document."""
+    ship(spark)
+    return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four codebook indexes of every embedding, and their errors."""
+    return yinyang.compress(_table(spark, sf_dir, "embeddings")).drop("looked")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk_search, op2_language_id, op3_best_fit_packing, op4_jaccard_join, op5_html_extract, op6_quality_classifier, op7_suffix_dedup, op8_mix_sources, op9_ann_curves, op10_warc)
+    f.__name__: f for f in (op1_topk_search, op2_language_id, op3_best_fit_packing, op4_jaccard_join, op5_html_extract, op6_quality_classifier, op7_suffix_dedup, op8_mix_sources, op9_ann_curves, op10_warc, op11_exact_dedup, op12_vector_codes)
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.SQL, "op4_jaccard_join": jaccard_join.SQL, "op8_mix_sources": mixing.SQL, "op10_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.SQL, "op4_jaccard_join": jaccard_join.SQL, "op8_mix_sources": mixing.SQL, "op10_warc": warc.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_vector_codes": yinyang.SQL}
