@@ -35,6 +35,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 ROWS = "doc_id long, file string, place long, digest binary, sha string"
 GROUPS = "digest binary, first struct<none: boolean, id: bigint, file: string, place: bigint>, n long"
