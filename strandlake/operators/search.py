@@ -15,6 +15,7 @@ from ..functions import vec as v
 from . import curves
 from .geometry import EPSILON, invariants, subcurve
 
+
 def _arrays(points: DataFrame, mode: str, radius: int | None) -> DataFrame:
     """frame_id, seg, kappa, tau(, writhe) of every curve from one exchange and one pass over its points."""
 
@@ -36,6 +37,46 @@ def _arrays(points: DataFrame, mode: str, radius: int | None) -> DataFrame:
     return curves.kernel(curves.gather(points), work, {n: pa.list_(pa.float64()) for n in names}, ", ".join(f"{n} array<double>" for n in names))
 
 
+def checked_index(points: DataFrame, width: int = 10) -> DataFrame:
+    """As :func:`build_index`, with a row for every frame: those that cannot be indexed have null arrays, a ``reason`` and its ``place``.
+
+    Reasons, the first that holds: "too few points" (place: how many there are), "coordinate null or not finite" (its point),
+    "degenerate segment" (the segment), "collinear segments" (the first of the two). Frames are looked at once, so what is kept
+    and what is rejected can be written in one pass by partition, and counted on the way with ``observe``.
+    """
+    radius = max(width // 2, 1)
+
+    def work(p):
+        frames, n = p.shape[:2]
+        reason, place = np.full(frames, None, object), np.full(frames, None, object)
+
+        def blame(bad, why):
+            for i in np.flatnonzero(bad.any(1)):
+                if reason[i] is None:
+                    reason[i], place[i] = why, int(bad[i].argmax())
+
+        if n < 2 * radius + 2:
+            reason[:], place[:] = "too few points", n
+        else:
+            blame(~np.isfinite(p).all(2), "coordinate null or not finite")
+            with np.errstate(invalid="ignore", over="ignore"):
+                seg, kappa, tau, _, _ = curves.invariants(p, EPSILON)
+            blame(np.isnan(seg), "degenerate segment")
+            flat = np.isnan(tau)  # a twist is undefined where either of its two bends is
+            blame(np.concatenate([flat, np.zeros((frames, 1), bool)], 1) & ~np.isnan(kappa), "collinear segments")
+        fine = np.array([r is None for r in reason], bool)
+        got = [np.full(frames, None, object) for _ in range(4)]
+        if fine.any():
+            writhe = curves.window_writhe(p[fine], radius)[:, radius : n - radius]
+            for to, values in zip(got, (seg[fine], kappa[fine], tau[fine], writhe), strict=True):
+                for i, row in zip(np.flatnonzero(fine), values, strict=True):
+                    to[i] = row
+        yield np.arange(frames), [*got, reason, place]
+
+    kinds = {n: pa.list_(pa.float64()) for n in ("seg", "kappa", "tau", "writhe")} | {"reason": pa.string(), "place": pa.int32()}
+    return curves.kernel(curves.gather(points), work, kinds, "seg array<double>, kappa array<double>, tau array<double>, writhe array<double>, reason string, place int")
+
+
 def build_index(points: DataFrame, width: int = 10, mode: str = "raise") -> DataFrame:
     """frame_id, seg, kappa, tau, writhe (local spectrum of radius max(width / 2, 1)): what queries run on. Write it as Parquet.
 

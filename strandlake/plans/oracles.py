@@ -306,3 +306,11 @@ SQL: dict[str, str] = {
     "index_size": "SELECT count(*)::BIGINT AS frames, 21::BIGINT AS least_points, 21::BIGINT AS most_points FROM embeddings",
     "audit_writhe": f"WITH {FRAMES}, {PAIRS} SELECT frame_id, round(-2*sum(w), 6) + 0.0 AS writhe FROM pairs GROUP BY frame_id",
 }
+
+SQL |= {
+    "pivot_range": f"{_INDEX} SELECT frame_id, {rd('writhe_distance')} FROM sp WHERE writhe_distance <= 0.9",
+    "pivot_knn": SQL["writhe_knn"],
+    "pivot_conformers": SQL["conformer_knn"],
+    "merged_moments": SQL["moments_by_event_type"],
+    "checked_orders": "SELECT l_orderkey AS frame_id, CASE WHEN count(*) >= 4 THEN count(*) - 1 ELSE 0 END AS segments, CASE WHEN count(*) >= 4 THEN '' ELSE 'too few points' END AS reason, CASE WHEN count(*) >= 4 THEN -1 ELSE count(*) END AS place FROM lineitem GROUP BY l_orderkey",
+}

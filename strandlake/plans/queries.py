@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, curves, ensemble, geometry, network, search, writhe
+from ..operators import audit, curves, ensemble, geometry, network, pivots, search, states, writhe
 from ..sources import bindings, pdb
+from ..storage import new_folder
 
 #: A curve of 21 points that is asked for by its coordinates.
 ASKED = [(0.5 * i, 0.3 * (i % 3), 0.2 * (i * i % 5)) for i in range(21)]
@@ -439,3 +440,48 @@ def audit_writhe(s, d):
 @_query
 def normal_modes(s, d):
     return rounded(search.normal_modes(bindings.frames(s, d).withColumns({c: F.col(c) * 20 for c in "xyz"}), 3))
+
+
+def _pivots(s, d):
+    return pivots.build(_index(s, d), new_folder(s, "pivots"))
+
+
+@_query
+def pivot_range(s, d):
+    """As writhe_range, by a saved index."""
+    index = _pivots(s, d)
+    return rounded(index.within(index.spectrum(10), 0.9).select("frame_id", "writhe_distance"))
+
+
+@_query
+def pivot_knn(s, d):
+    """As writhe_knn, by a saved index."""
+    index = _pivots(s, d)
+    return rounded(index.nearest(index.spectrum(10), 20))
+
+
+@_query
+def pivot_conformers(s, d):
+    """As conformer_knn, by a saved index."""
+    index = _pivots(s, d)
+    one = index.frames.where("frame_id = 10").head()
+    return rounded(index.conformers(one["writhe"], one["kappa"], one["tau"], 10, 0.1))
+
+
+@_query
+def merged_moments(s, d):
+    """Moments of values by event type, from stored states of parts of the table that were made one by one."""
+    base = new_folder(s, "states")
+    events = s.read.parquet(f"{d}/events.parquet")
+    for part in range(4):
+        rows = events.where(F.pmod("event_id", F.lit(4)) == part)
+        rows.groupBy("event_type").agg(states.state("value").alias("state")).write.parquet(f"{base}/part={part}")
+    whole = s.read.parquet(base).groupBy("event_type").agg(states.merge("state").alias("state"))
+    return rounded(whole.select("event_type", *[c.alias(n) for n, c in states.summary("state").items()]))
+
+
+@_query
+def checked_orders(s, d):
+    """Which orders make curves of four points or more, and why the others do not."""
+    checked = search.checked_index(bindings.order_curves(s, d), 2)
+    return rounded(checked.select("frame_id", F.size(F.coalesce("seg", F.array().cast("array<double>"))).alias("segments"), F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("place", F.lit(-1)).alias("place")))
