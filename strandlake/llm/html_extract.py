@@ -5,14 +5,16 @@ id are menus, headers, footers, sidebars, notices, adverts, forms or reader comm
 hold. Each remaining block of text passes points to the elements above it: one, one for each comma and up to
 three for its length; all of it to its container, half to the next and a third to the one above that. A
 container's points are discounted by its link density, and by class words that speak against it (related, share,
-legal and the like), which drop nothing by themselves. The best container is kept, with those of its siblings
-that score well or are running text. If it lies in an article or main element, the headings, paragraphs and lists
-of that whole element are kept too, but for branches of which links are more than half (a third under such class
-words) and for other articles in it that don't score well. Text blocks are given in page order.
+legal and the like), which drop nothing by themselves. The best container is kept with all that stands beside it in
+its article or main element, or in the page where it is in neither, but for branches of which links are more than half
+(a third under such class words, a quarter of another article there; without an article or main element such words
+drop what does not score well). Text blocks are given in page order.
 
-Class words are evidence of a name that someone chose: an element dropped by them alone is taken back if nothing
-else of the page is left, if it holds four fifths of its text and is no comment section, or if it holds the only
-article or main element and more text than the rest.
+Class words are evidence of a name that someone chose. Inside an article or main element a name drops an element only
+if all its words are of that kind or of layout (ad, ad-slot, comment-list, but not dinner-menu or notice-period, whose
+words then only count against it). An element dropped by class words alone is taken back if nothing else of the page is
+left, if it holds four fifths of its text and is no comment section, or if it holds the only article or main element
+and more text than the rest. A label, button or map within a sentence is text of it.
 
 Time is linear in the page: every element's place, open namesakes and nearest block are kept while it is read.
 
@@ -57,8 +59,15 @@ _KINDS = _COMMENTS | frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination sidebar footer cookie cookies consent gdpr notice notices newsletter popup modal".split()
 )
 _LIKELY = frozenset("header masthead topbar banner foot aside rail pager alert overlay subscribe subscription signup login paywall form".split())
+#: Words that say where or in what form an element is shown, and nothing of what it says.
+_LAYOUT = frozenset(
+    "site page main top bottom left right head header foot box container wrapper wrap list lists item items block section inner outer bar area zone widget widgets banner slot slots "
+    "unit link links row col column group panel holder mobile desktop sticky fixed floating user users reader readers count form thread policy message overlay dialog js primary secondary global small large".split()
+)
+#: Elements that are part of a sentence where they stand in one.
+_INLINE = frozenset("label button map".split())
 #: Class words that count against an element's score.
-_AGAINST = frozenset("promo promoted promotion widget widgets discussion reply share sharing social related recommended recommendations toolbar search copyright legal disclaimer print skip tags toc side".split())
+_AGAINST = frozenset("teaser teasers card cards promo promoted promotion widget widgets discussion reply share sharing social related recommended recommendations toolbar search copyright legal disclaimer print skip tags toc side".split())
 _GOOD = frozenset("article main content body entry post story text prose".split())
 #: A class that begins so says what the element has or lacks, not what it is.
 _ABOUT = frozenset("no has with without not is in".split())
@@ -79,13 +88,17 @@ class _Node:
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
-def _verdict(name: str, attrs: str, inside: bool) -> tuple[int, bool, bool]:
-    """Whether an element goes (2; 1 by its class alone), whether class words count against it, and whether it holds comments."""
-    if name in _DROP or name in ("header", "noscript") and not inside:
+def _verdict(name: str, attrs: str, inside: bool, within: bool = False) -> tuple[int, bool, bool]:
+    """Whether an element goes (2; 1 by its class alone), whether class words count against it, and whether it holds comments.
+
+    ``inside`` an article or main element; ``within`` a paragraph, heading or item.
+    """
+    if name in _DROP and not (within and name in _INLINE) or name in ("header", "noscript") and not inside:
         return 2, False, False
     if not attrs or name in ("html", "body"):
         return 0, False, False
     words: set[str] = set()
+    plain: set[str] = set()  # words of names that have no others than of kind and layout
     seen: set[str] = set()
     for k, a, b, c in _ATTR.findall(attrs):
         k, v = k.lower(), a or b or c
@@ -99,13 +112,16 @@ def _verdict(name: str, attrs: str, inside: bool) -> tuple[int, bool, bool]:
                 own = [w.lower() for w in _WORD.findall(token)]
                 if own and own[0] not in _ABOUT:
                     words.update(own)
+                    if all(w in _KINDS or w in _LIKELY or w in _LAYOUT or len(w) == 1 for w in own):
+                        plain.update(own)
     if not words:
         return 0, False, False
     talk = bool(words & _COMMENTS)
     if name in ("article", "main"):
-        return int(talk), False, talk
-    bad = bool(words & _KINDS) or bool(words & _LIKELY) and not words & _GOOD and not (inside and "header" in words)
-    return int(bad), bool(words & _AGAINST) and not words & _GOOD, talk
+        return int(talk), bool(words & _AGAINST) and not words & _GOOD, talk
+    sure = plain if inside else words
+    bad = bool(sure & _KINDS) or bool(sure & _LIKELY) and not words & _GOOD and not (inside and "header" in words)
+    return int(bad), bool(words & (_AGAINST | _KINDS)) and not words & _GOOD, talk and bad
 
 
 def _tag_end(page: str, at: int, dead: set[int]) -> int:
@@ -206,7 +222,7 @@ def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
         if name in _VOID:
             continue
         up = stack[-1]
-        drop, against, talk = (2, False, False) if up.drop == 2 else _verdict(name, attrs, inside > 0)
+        drop, against, talk = (2, False, False) if up.drop == 2 else _verdict(name, attrs, inside > 0, up.block.name in _INNER)
         if max(drop, up.drop) > up.drop and name in _BLOCK:
             flush()
         if name in _RAW:
@@ -282,31 +298,22 @@ def main_text(page: str | None) -> str:
         chain.add(id(n))
         whole = n if n.name in ("article", "main") else whole
         n = n.up
-    # from the top down: in the whole article's own part, in the best container, or in a sibling of it that is kept
+    bare = whole is None
+    if bare:
+        whole = nodes[0]
+    # from the top down: in the best container, or in what is kept beside it
     part: dict[int, bool] = {}
     held: dict[int, bool] = {}
-    branch: dict[int, _Node] = {}
     for n in nodes:
         k, up = id(n), id(n.up)
         if k in chain:
             part[k] = n is whole or part.get(up, False)
         else:
-            links = n.name not in _ITEMS and n.linked * (3 if n.against else 2) > n.chars
-            part[k] = part.get(up, False) and n.name != "article" and not links
+            share = 4 if n.name == "article" else 3 if n.against else 2
+            goes = n.name not in _ITEMS and n.linked * share > n.chars or (bare or n.name == "article") and n.against and score(n) < least
+            part[k] = part.get(up, False) and not goes
         held[k] = n is best or held.get(up, False)
-        if n.up is best.up and n is not best and best.up is not None:
-            branch[k] = n
-        elif up in branch:
-            branch[k] = branch[up]
-
-    def kept(node: _Node, text: str, linked: int) -> bool:
-        k = id(node)
-        if held[k] or whole is not None and part[k]:
-            return True
-        below = branch.get(k)
-        return below is not None and (score(below) >= least or below.name == "p" and len(text) > 80 and linked * 4 < len(text))
-
-    return " ".join(t for n, t, k in blocks if kept(n, t, k))
+    return " ".join(t for n, t, _ in blocks if held[id(n)] or part[id(n)])
 
 
 def extract(df: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -286,9 +286,28 @@ def test_html_keeps_what_stands_beside_the_best_container():
     parts = f"<header><div><h1>Title</h1></div></header><p>Short.</p>{inner}<ul><li>An item</li><li><a href=z>A source</a></li><li>One more item of it</li></ul><section><p>End, of it.</p></section>{links}"
     want = " ".join(["Title Short.", *ps, "An item A source One more item of it End, of it."])
     assert html_extract.main_text(f"<body><p>Outside</p><article>{parts}</article><p>Outside</p></body>") == want
-    other = "<article><h2>Other</h2><p>Teaser.</p></article>"
+    other = "<article class=teaser><h2>Other</h2><p>Teaser.</p></article><article><h2><a href=x>Other title</a></h2><p>A teaser.</p></article>"
     assert html_extract.main_text(f"<body><main><h1>Top</h1><article>{parts}</article>{other}</main></body>") == "Top " + want
-    assert html_extract.main_text(f"<body><h1>Top</h1>{inner}</body>") == " ".join(ps)
+    second = "<article><h2>Second</h2><p>It goes on, here.</p></article>"
+    assert html_extract.main_text(f"<body><main><h1>Top</h1><article>{parts}</article>{second}</main></body>") == f"Top {want} Second It goes on, here."
+    assert html_extract.main_text(f"<body><h1>Top</h1>{inner}</body>") == "Top " + " ".join(ps)
+    beside = f"<div><h1>Title</h1><p>Lead.</p></div>{inner}<div><p>Final remark.</p></div>"
+    around = "<div class=menu><a href=x>Home</a></div><div class='related'><p>See also this.</p></div><div><a href=x>One</a> | <a href=y>Two</a></div>"
+    assert html_extract.main_text(f"<body>{around}{beside}{around}</body>") == " ".join(["Title Lead.", *ps, "Final remark."])
+
+
+@pytest.mark.parametrize("name", ["ad-hoc-analysis", "dinner-menu", "notice-period", "editor-comment", "popup-store", "form-of-words", "loginHistory"])
+def test_html_names_of_several_words_are_no_kinds(name):
+    assert html_extract.main_text(f"<article><p>One, two.</p><div class='{name}'><p>Three, four.</p></div><p>Five.</p></article>") == "One, two. Three, four. Five."
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "comment-list", "main-menu", "cookie-banner", "sidebar_left", "siteNotice", "newsletter-box", "ad-1"])
+def test_html_names_of_kinds_drop(name):
+    assert html_extract.main_text(f"<article><p>One, two.</p><div class='{name}'><p>Three, four.</p></div><p>Five.</p></article>") == "One, two. Five."
+
+
+def test_html_labels_in_sentences():
+    assert html_extract.main_text("<article><p>Set the <label>upper, or lower</label> bound.</p><label>Gone</label><form><p><label>Name</label></p></form></article>") == "Set the upper, or lower bound."
 
 
 def test_html_class_words_drop_only_the_kinds_named():
