@@ -2,8 +2,13 @@
 
 The reader checks every record (gzip member, version line, header block, declared length, record end and
 block digest). After a failed check it searches on from the next byte for a gzip member or a version line,
-recovers the records that follow, and logs the skipped bytes as a quarantined gap. A file is read in blocks,
-so memory is bounded by the largest record; records of any size are read unless the caller sets a bound.
+recovers the records that follow, and logs the skipped bytes as a quarantined gap. A file is read in blocks. A declared
+length is not believed before it is checked: of a file that can seek, the record's end is looked at first, and a
+block of more than ``HOLD`` bytes is hashed (or inflated and hashed) piece by piece, so that only good records are
+held and memory is bounded by the largest of these; records of any size are read unless the caller sets a bound. A
+stream that cannot seek holds what is declared.
+
+:func:`round_trip` keeps the gap log beside the records and fails where records read are not those written.
 
 Defined cases: a null payload is empty; payloads shorter than the bound are never revisits; of rows with equal
 payload one with the largest id (of several, one with the smallest url) is the response, and the others revisit this
@@ -29,6 +34,8 @@ from .runtime import Scratch, small
 #: Payloads of fewer bytes are always written whole.
 REVISIT_BYTES = 1000
 BLOCK = 1 << 20
+#: Records of more bytes are checked before they are held.
+HOLD = 4 << 20
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _DATE = "2000-01-01T00:00:00Z"
@@ -63,6 +70,12 @@ class _Window:
 
     def __init__(self, stream, start: int = 0):
         self.stream, self.base, self.buf, self.ended = stream, start, bytearray(), False
+        self.size = None
+        if stream.seekable():
+            at = stream.tell()
+            self.origin = at - start
+            self.size = stream.seek(0, 2) - self.origin
+            stream.seek(at)
 
     def need(self, n: int) -> bool:
         while len(self.buf) < n and not self.ended:
@@ -75,9 +88,23 @@ class _Window:
         del self.buf[:n]
         self.base += n
 
-
-def _parse(data: bytes | bytearray, whole: bool, most: int | None) -> tuple[dict[str, str], bytes, int] | str:
-    """Headers, block and length of the record at the start of ``data``; else what is wrong, "more" if it is cut."""
+    def ahead(self, at: int, stop: int | None = None) -> Iterator[bytes]:
+        """The bytes from ``at`` (counted from the window's start) to ``stop`` in blocks, none of them kept."""
+        here = self.stream.tell()
+        try:
+            self.stream.seek(self.origin + self.base + at)
+            while stop is None or at < stop:
+                part = self.stream.read(BLOCK if stop is None else min(BLOCK, stop - at))
+                if not part:
+                    return
+                at += len(part)
+                yield part
+        finally:
+            self.stream.seek(here)
+
+
+def _head(data: bytes | bytearray, whole: bool, most: int | None) -> tuple[dict[str, str], int, int] | str:
+    """Headers, start and end of the block of the record at the start of ``data``; else what is wrong, "more" if the headers are cut."""
     m = _VERSION.match(data)
     if not m:
         return "version" if whole or len(data) >= 10 else "more"
@@ -96,34 +123,110 @@ def _parse(data: bytes | bytearray, whole: bool, most: int | None) -> tuple[dict
         return "length"
     if most is not None and int(size) > most:
         return "size"
-    start, stop = end + 4, end + 4 + int(size)
-    if len(data) < stop + 4:
-        return "cut" if whole else "more"
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        return "end"
-    block = bytes(data[start:stop])
+    return headers, end + 4, end + 4 + int(size)
+
+
+def _sum(headers: dict[str, str]) -> str | None:
+    """The SHA-1 that the headers tell of the block."""
     digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and digest[5:].lower() != hashlib.sha1(block).hexdigest():
+    return digest[5:].lower() if digest.startswith("sha1:") else None
+
+
+def _plain(w: _Window, most: int | None) -> tuple[dict[str, str], bytes, int] | str:
+    """Headers, block and length of the record that is not compressed at the window's start; else what is wrong."""
+    while (got := _head(w.buf, w.ended, most)) == "more":
+        w.need(max(BLOCK, 2 * len(w.buf)))
+    if isinstance(got, str):
+        return got
+    headers, start, stop = got
+    if w.size is not None and len(w.buf) < stop + 4:
+        if w.base + stop + 4 > w.size:
+            return "cut"
+        if b"".join(w.ahead(stop, stop + 4)) != b"\r\n\r\n":
+            return "end"
+        if stop - start > HOLD and _sum(headers):
+            digest = hashlib.sha1()
+            for part in w.ahead(start, stop):
+                digest.update(part)
+            if digest.hexdigest() != _sum(headers):
+                return "digest"
+    if not w.need(stop + 4):
+        return "cut"
+    if w.buf[stop : stop + 4] != b"\r\n\r\n":
+        return "end"
+    block = bytes(w.buf[start:stop])
+    if _sum(headers) not in (None, hashlib.sha1(block).hexdigest()):
         return "digest"
     return headers, block, stop + 4
 
 
-def _inflate(w: _Window, most: int | None) -> tuple[bytes, int] | str:
-    """The content of the gzip member at the window's start, and its length in the file."""
-    z, out, at, size = zlib.decompressobj(31), [], 0, 0
+def _inflated(w: _Window, most: int | None, hold: bool) -> tuple[dict[str, str], bytes | None, int] | str:
+    """As :func:`_plain` for a gzip member. Without ``hold`` nothing beyond the headers is kept, and the block is None."""
+
+    def parts() -> Iterator[bytes]:
+        if hold or w.size is None:
+            at = 0
+            while at < len(w.buf) or w.need(at + 1):
+                yield (part := bytes(w.buf[at : at + (1 << 16)]))
+                at += len(part)
+        else:
+            for part in w.ahead(0):
+                yield from (part[i : i + (1 << 16)] for i in range(0, len(part), 1 << 16))
+
+    z, out, size, read, head, digest, tail = zlib.decompressobj(31), bytearray(), 0, 0, "more", hashlib.sha1(), b""
     try:
-        while not z.eof:
-            if at >= len(w.buf) and not w.need(at + 1):
-                return "cut"
-            part = bytes(w.buf[at : at + (1 << 16)])
-            out.append(z.decompress(part))
-            at += len(part)
-            size += len(out[-1])
-            if most is not None and size > most + BLOCK:  # the header block is not counted in a record's size
-                return "size"
+        for part in parts():
+            data = part
+            while True:
+                piece = z.decompress(data, BLOCK)
+                size += len(piece)
+                if isinstance(head, str):
+                    out += piece
+                    head = _head(out, z.eof, most)
+                    if isinstance(head, str):
+                        if head != "more":
+                            return head
+                    elif not hold and head[2] - head[1] > HOLD:
+                        digest.update(out[head[1] : head[2]])
+                        tail = bytes(out[head[2] :])
+                        out.clear()
+                elif not hold and head[2] - head[1] > HOLD:
+                    left = max(0, head[2] - (size - len(piece)))
+                    digest.update(piece[:left])
+                    tail += piece[left:]
+                else:
+                    out += piece
+                if not isinstance(head, str) and size > head[2] + 4:
+                    return "member"
+                data = z.unconsumed_tail
+                if z.eof or not data and len(piece) < BLOCK:
+                    break
+            read += len(part)
+            if z.eof:
+                break
     except zlib.error:
         return "gzip"
-    return b"".join(out), at - len(z.unused_data)
+    if not z.eof:
+        return "cut"
+    if isinstance(head, str):
+        return "header" if head == "more" else head
+    headers, start, stop = head
+    if size < stop + 4:
+        return "cut"
+    large = not hold and stop - start > HOLD
+    if (tail if large else bytes(out[stop:])) != b"\r\n\r\n":
+        return "end"
+    if not large:
+        digest.update(out[start:stop])
+    if _sum(headers) not in (None, digest.hexdigest()):
+        return "digest"
+    return headers, None if large else bytes(out[start:stop]), read - len(z.unused_data)
+
+
+def _member(w: _Window, most: int | None) -> tuple[dict[str, str], bytes, int] | str:
+    """The record in the gzip member at the window's start. A large one is inflated twice: to check it, then to hold it."""
+    got = _inflated(w, most, w.size is None)
+    return _inflated(w, most, True) if not isinstance(got, str) and got[1] is None else got
 
 
 def salvage(stream, max_record: int | None = None) -> Iterator[tuple[str, dict[str, str], bytes, int, int]]:
@@ -133,31 +236,10 @@ def salvage(stream, max_record: int | None = None) -> Iterator[tuple[str, dict[s
     """
     w, gap, reason = _Window(stream), -1, ""
     while w.need(1):
-        found = None
         w.need(16)
-        if w.buf.startswith(_GZIP):
-            got = _inflate(w, max_record)
-            if isinstance(got, str):
-                why = got
-            else:
-                inner = _parse(got[0], True, max_record)
-                if isinstance(inner, str):
-                    why = inner
-                elif inner[2] != len(got[0]):
-                    why = "member"
-                else:
-                    found = inner[0], inner[1], got[1]
-        else:
-            inner, n = "more", 0
-            while inner == "more":
-                inner = _parse(w.buf, w.ended, max_record)
-                if inner == "more":
-                    n = max(BLOCK, 2 * len(w.buf))
-                    w.need(n)
-            if isinstance(inner, str):
-                why = inner
-            else:
-                found = inner
+        found = (_member if w.buf.startswith(_GZIP) else _plain)(w, max_record)
+        if isinstance(found, str):
+            found, why = None, found
         if found:
             if gap >= 0:
                 yield "gap", {"reason": reason}, b"", gap, w.base - gap
@@ -251,7 +333,7 @@ def read_warc(spark, folder: str, *, max_record: int | None = None) -> DataFrame
         for b in batches:
             for path in b.column(0).to_pylist():
                 rows, held = [], 0
-                with fsys.open_input_stream(path) as stream:
+                with fsys.open_input_file(path) as stream:
                     for kind, h, block, offset, length in salvage(stream, max_record):
                         digest = h.get("warc-payload-digest", "")
                         rows.append((path, offset, length, kind, h.get("reason"), h.get("warc-type"), h.get("warc-target-uri"), number(h.get("x-page-id")), block if kind == "record" else None, digest[5:] if digest.startswith("sha1:") else None, number(h.get("x-refers-to-page-id")), None if kind != "record" else number(h.get("x-payload-bytes")) if h.get("warc-type") == "revisit" else len(block)))
@@ -304,11 +386,15 @@ def round_trip(pages: DataFrame, *, least_bytes: int = REVISIT_BYTES) -> DataFra
     scratch = Scratch(spark, "warc")
     folder = f"{scratch.base}/archive"
     scratch.save(write_warc(with_revisits(pages, least_bytes=least_bytes), folder), "written")
-    got = read_warc(spark, folder).where("kind = 'record'")
     digest = F.when(F.col("record_type") == "revisit", F.col("payload_digest")).otherwise(F.sha1("payload"))
-    got = scratch.save(got.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to"), "read")
+    got = read_warc(spark, folder)
+    got = scratch.save(got.select("kind", "path", "offset", "length", "reason", "page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to"), "read")
+    wrote = spark.read.schema(WRITTEN).parquet(f"{scratch.base}/written").agg(F.coalesce(F.sum("records"), F.lit(0))).head()[0]
+    read, gaps = got.agg(F.count_if(F.col("kind") == "record"), F.count_if(F.col("kind") == "gap")).head()
+    if read != wrote or gaps:
+        raise RuntimeError(f"{wrote} records were written and {read} read, with {gaps} gaps, which are listed in {scratch.base}/read; the archives stay in {folder}")
     scratch.drop("archive", "written")
-    return got
+    return got.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
