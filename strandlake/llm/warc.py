@@ -85,6 +85,8 @@ class _Window:
         return len(self.buf) >= n
 
     def drop(self, n: int) -> None:
+        if n > len(self.buf) and self.size is not None:  # what was only looked at is passed over
+            self.stream.seek(self.origin + self.base + n)
         del self.buf[:n]
         self.base += n
 

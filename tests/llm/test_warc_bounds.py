@@ -54,6 +54,16 @@ def test_large_records(zipped):
         assert sum(g[4] for g in got) == len(data)
 
 
+@pytest.mark.parametrize("zipped", [True, False])
+def test_many_records_over_many_blocks(zipped):
+    """Records that lie across the blocks in which a file is read, 8 MB of them."""
+    r = random.Random(2)
+    blocks = [r.randbytes(r.choice((10, 3000, 90_000, 700_000))) for _ in range(40)]
+    recs = [warc.record("response", f"u{i}", x, {}) for i, x in enumerate(blocks)]
+    data = b"".join(map(warc.member, recs) if zipped else recs)
+    assert len(data) > 4 << 20 and [g[2] for g in warc.salvage(io.BytesIO(data))] == blocks
+
+
 def test_compressed_zeros_do_not_fill_memory():
     """A member that inflates to far more than its record declares is left after the declared length."""
     bomb = warc.member(warc.record("response", "u", b"x" * 10, {}) + b"\0" * (64 << 20))
