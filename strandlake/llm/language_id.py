@@ -3,8 +3,9 @@
 Two gated recurrent layers read a window of UTF-8 bytes forwards and backwards; a softmax over both states labels
 every byte with a language. Documents are cut into windows of ``WINDOW`` bytes, each read from a zero state, so
 that windows of many documents are one batch; a document's probabilities are the mean of its bytes' ones. The
-weights are trained here by backpropagation through time in numpy on a bounded sample: ``DOCS`` documents of each
-language, the ones with the smallest hashes of their ids, and ``SPANS`` spans of each.
+weights are trained here by backpropagation through time in numpy on a bounded sample of rows: of each language
+those with the smallest hashes of their ids, ``DOCS`` of them with ``BYTES`` of text at most (``ROWS`` rows of all
+languages). Their texts are learned from whole: every window of them is seen.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; rows without a language are not
 learned from; without any learnable row every answer is ``und``. Other columns are not looked at.
@@ -25,9 +26,9 @@ from .textops import as_bytes, chunks
 
 HIDDEN = 8
 WINDOW = 128
-SPAN = 48
 DOCS = 160
-SPANS = 12
+BYTES = 1 << 20
+ROWS = 1 << 16
 STEPS = 220
 BATCH = 96
 
@@ -131,8 +132,11 @@ class ByteTagger:
         r, w = np.random.default_rng(seed), self.w
         m, s = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
         kinds = [k for k in (np.flatnonzero(y == i) for i in range(len(self.langs))) if len(k)]
+        each = -(-batch // len(kinds))
+        steps = max(steps, -(-max(map(len, kinds)) // each))  # each window is seen
+        runs = [np.concatenate([r.permutation(k) for _ in range(-(-steps * each // len(k)))]) for k in kinds]
         for step in range(1, steps + 1):
-            pick = np.concatenate([r.choice(k, -(-batch // len(kinds))) for k in kinds])
+            pick = np.concatenate([k[(step - 1) * each : step * each] for k in runs])
             g = self.gradients(ids[pick], size[pick], y[pick])
             norm = np.sqrt(sum((v * v).sum() for v in g.values()))
             for k in w:
@@ -154,36 +158,42 @@ def windows(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray,
     return pad[start[:, None] + np.arange(width)], used, at
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS, spans: int = SPANS, steps: int = STEPS) -> ByteTagger:
-    """Train on ``spans`` spans of each of ``per_lang`` documents of every language in ``docs``."""
-    ship(docs.sparkSession)
-    order = Window.partitionBy("_lang").orderBy(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), "_id")
-    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    few = named.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).select("_id", "_lang").distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).join(F.broadcast(few), ["_id", "_lang"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, langs, out = [], [], []
-            for i in range(b.num_rows):
-                text = (b.column(1)[i].as_py() or "").encode()
-                if not text:
-                    continue
-                r = np.random.default_rng([7, len(text)])
-                for at in r.integers(0, max(1, len(text) - SPAN + 1), spans):
-                    ids.append(str(b.column(0)[i].as_py()))
-                    langs.append(b.column(2)[i].as_py())
-                    out.append(text[at : at + SPAN])
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.string()), "lang": pa.array(langs, pa.string()), "span": pa.array(out, pa.binary())})
-
-    got = sorted(rows.select("_id", "_text", "_lang").mapInArrow(cut, "id string, lang string, span binary").collect(), key=tuple)
-    langs = sorted({r["lang"] for r in got})
+def chosen(rows: list, most: int) -> list:
+    """Of rows (group, bytes, ...) in order those that fit into ``most`` bytes of their group; one that does not is passed over."""
+    out, used = [], {}
+    for r in rows:
+        if used.get(r[0], 0) + r[1] <= most:
+            used[r[0]] = used.get(r[0], 0) + r[1]
+            out.append(r)
+    return out
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS, most_bytes: int = BYTES, steps: int = STEPS) -> ByteTagger:
+    """Train on the whole texts of ``per_lang`` rows of every language in ``docs``, ``most_bytes`` of them at most.
+
+    A row is an id, a language and a text, so repeated rows are one. The sample is chosen from these keys, without texts.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    digest = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary"))
+    named = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0) & F.col(id_col).isNotNull())
+    named = named.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    keys = named.select("_id", "_lang", "_h", F.octet_length("_text").alias("_size")).where(F.col("_size") <= most_bytes).distinct()
+    order = Window.partitionBy("_lang").orderBy(digest, "_id", "_h")
+    keys = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang)
+    few = keys.orderBy("_n", "_lang").limit(ROWS).select("_lang", "_size", "_id", "_h", "_n").collect()
+    few = chosen(sorted(few, key=lambda r: (r["_lang"], r["_n"])), most_bytes)
+    kind = named.schema["_id"].dataType.simpleString()
+    few = spark.createDataFrame([(r["_id"], r["_lang"], r["_h"]) for r in few], f"_id {kind}, _lang string, _h long")
+    rows = named.join(F.broadcast(few), ["_id", "_lang", "_h"])  # at most ROWS rows of an id, a language and a hash
+    got = rows.groupBy("_id", "_lang", "_h").agg(F.first("_text").alias("_text")).select("_lang", "_text").collect()
+    got = sorted((r["_lang"], r["_text"].encode()) for r in got)
+    langs = sorted({lang for lang, _ in got})
     model = ByteTagger(langs)
     if len(langs) > 1:
-        x = np.zeros((len(got), SPAN), np.uint8)
-        for i, r in enumerate(got):
-            x[i, : len(r["span"])] = np.frombuffer(r["span"], np.uint8)
-        model.train(x, np.array([len(r["span"]) for r in got]), np.array([langs.index(r["lang"]) for r in got]), steps=steps)
+        offs = np.cumsum([0, *(len(t) for _, t in got)])
+        x, used, at = windows(np.frombuffer(b"".join(t for _, t in got), np.uint8), offs, WINDOW)
+        model.train(x, used, np.repeat([langs.index(lang) for lang, _ in got], np.diff(at)), steps=steps)
     return model
 
 
