@@ -4,11 +4,11 @@ A document is a bag of passages of ``PASSAGE`` words. A passage is described by
 words and repeats (see ``FEATURES``) and by its words themselves, of which each counts in one of ``WORD_BINS`` bins by
 its hash (square roots of the bins' shares), encoded by a tanh layer, weighed against the document's other passages by
 gated attention, and the weighted sum is scored by a logistic unit. Encoder, attention and scorer are trained
-together from document labels by gradient descent in numpy, on at most ``max_labels`` labelled documents, those
-with the smallest hashes of their ids; of these the whole texts are used.
+together from document labels by gradient descent in numpy, on at most ``max_labels`` labelled rows with ``max_bytes``
+of text, those with the smallest hashes of their ids; of these the whole texts are used.
 
 Defined cases: a null or empty text is one passage without words and gets a score like any other; labels that
-are null take no part; of repeated labels of a document each counts; without labels of both kinds every score is
+are null take no part; of different labels of a document each counts, equal rows count once; without labels of both kinds every score is
 the share of label 1 (0.5 without any labels). Other columns are not looked at.
 """
 
@@ -27,6 +27,7 @@ from .textops import as_bytes, chunks, mix, word_hashes, word_spans
 
 PASSAGE = 64
 MAX_LABELS = 4000
+MAX_BYTES = 64 << 20
 THRESHOLD = 0.7
 FEATURES = ("words", "word_bytes", "upper", "digit", "stop_mark", "symbol", "wide", "again", "again_2", "distinct", "seen_before", "marked_words", "short_words", "empty")
 WORD_BINS = 64
@@ -170,12 +171,27 @@ def fold(id_: Column, of: int) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % of
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = MAX_LABELS) -> BagModel:
-    """Train on at most ``max_labels`` of the rows of ``labels``; their passages' features go to the driver."""
-    ship(docs.sparkSession)
-    few = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    few = few.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id", "_y").limit(max_labels)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")  # bounded by max_labels
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = MAX_LABELS, max_bytes: int = MAX_BYTES) -> BagModel:
+    """Train on at most ``max_labels`` labelled rows with ``max_bytes`` of text; their passages' features go to the driver.
+
+    A row is an id, a label and a text, so repeated rows are one. The sample is chosen from these keys in the order of a
+    hash; its texts are learned from whole.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    few = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).distinct()
+    digest = F.md5(F.col("_id").cast("string").cast("binary"))
+    few = few.orderBy(digest, "_id", "_y").limit(max_labels)
+    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_h", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    keys = named.select("_id", "_h", F.coalesce(F.octet_length("_text"), F.lit(0)).alias("_size")).join(F.broadcast(few), "_id").distinct()  # bounded by max_labels
+    keys = keys.orderBy(digest, "_id", "_y", "_h").limit(max_labels).collect()
+    own, total = [], 0
+    for r in keys:
+        if total + r["_size"] <= max_bytes:
+            total += r["_size"]
+            own.append((r["_id"], r["_h"], r["_y"]))
+    few = spark.createDataFrame(own, f"_id {named.schema['_id'].dataType.simpleString()}, _h long, _y int")
+    rows = named.join(F.broadcast(few), ["_id", "_h"]).groupBy("_id", "_h", "_y").agg(F.first("_text").alias("_text"))  # as bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
