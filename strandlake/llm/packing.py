@@ -1,8 +1,9 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Lengths are words. A document longer than the longest permitted sequence is cut into pieces of that length and a
-rest; every other document stays whole. Rows are dealt to shards of about ``shard_rows`` by a hash of the row,
-so that a shard's work and memory are bounded at any input size and reruns agree. In a shard pieces go from long
+rest; every other document stays whole. Only ids and sizes are dealt out: rows of one id and size are counted before
+they move, and go to shards of about ``shard_rows`` by a hash of both, copies to one shard after the other. So a
+shard's rows are bounded at any input size and with any copies (of a single document's pieces a shard holds all), and reruns agree. In a shard pieces go from long
 to short, each into the open sequence that it fills best. Where none has room, a new one is opened: for every
 permitted length the sequence is filled on trial from the lengths that are left, and the length with the least
 cost for each word it would hold is taken. At the end each sequence is cut down to the smallest permitted length
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import size_of
-from .runtime import ship
+from .runtime import Scratch
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD_ROWS = 20000
@@ -89,14 +90,19 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...]) -> tuple[np.ndarr
 
 def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each piece: doc_id, piece, start (word of the document), length, shard, sequence, capacity, offset."""
-    ship(df.sparkSession)
     longest = max(capacities)
-    shards = max(1, -(-df.count() // shard_rows))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), size_of(F.col(text_col)).alias("size"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).alias("shard"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), size_of(F.col(text_col)).alias("size")).groupBy("doc_id", "size").agg(F.count("*").alias("n"))
+    rows = Scratch(df.sparkSession, "pack").save(rows, "sizes")
+    shards = max(1, -(-(rows.agg(F.sum("n")).head()[0] or 0) // shard_rows))
+    # copies take turns: shard k of the row's own order gets a copy of every `shards`
+    turn = F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(shards)) - 1))
+    rows = rows.select("doc_id", "size", "n", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).alias("first"), turn.alias("k"))
+    rows = rows.select("doc_id", "size", ((F.col("n") - F.col("k") + shards - 1) / shards).cast("long").alias("copies"), F.pmod(F.col("first") + F.col("k"), F.lit(shards)).alias("shard"))
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
-        ids, size = part.column("doc_id").combine_chunks(), part.column("size").to_numpy()
+        copies = np.repeat(np.arange(part.num_rows), part.column("copies").to_numpy())
+        ids, size = part.column("doc_id").combine_chunks().take(pa.array(copies)), part.column("size").to_numpy()[copies]
         order = np.lexsort((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), -size))
         ids, size = ids.take(pa.array(order)), size[order]
         pieces = np.maximum(1, -(-size // longest))
