@@ -4,10 +4,12 @@ Every row gets a hash-random key; within its source rows are ordered by that key
 along that order, and the order is cut at the source's exact budget, after as many whole epochs as the budget
 holds. The prefix sums are distributed: the key's leading digits cut a source into ``slices`` ranges, the
 ranges' totals (a small table) are summed first, and rows are only ordered within their range. So a source
-with any share of the rows is spread over as many tasks as others.
+with any share of the rows is spread over as many tasks as others. The key is a hash of id, size and text, so rows that
+share an id, or have none, are spread as well. Rows that are alike in source and key are one row with a count up to
+the end, where parts of at most ``COPIES`` of them are dealt out anew; so copies of one row meet in no task.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in
-order; rows with equal ids are ordered by size; an empty table gives an empty result; a source without words
+order; rows with equal keys are ordered by id and size; an empty table gives an empty result; a source without words
 has target 0. Other columns are not looked at.
 """
 
@@ -22,6 +24,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SLICE_DIGITS = 3
+COPIES = 1 << 16
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -57,6 +60,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int)
     )
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """A row for each of the ``n`` that a row stands for, with ``inner`` moved on by its size.
+
+    More than ``COPIES`` of one row go in parts, which are dealt out before they become rows.
+    """
+    few, many = rows.where(F.col("n") <= COPIES), rows.where(F.col("n") > COPIES)
+    part = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    part = part.repartition("key", "part").withColumns({"inner": F.col("inner") + F.col("part") * COPIES * F.col("size"), "n": F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES)}).drop("part")
+    every = few.unionByName(part).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    return every.withColumn("inner", F.col("inner") + F.col("copy") * F.col("size")).drop("copy")
+
+
 def mix_sources(
     df: DataFrame,
     *,
@@ -77,12 +92,17 @@ def mix_sources(
     """
     extra = [c for c in carry or []]
     rows = df.select(
-        F.col(id_col).alias("doc_id"), size_of(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), *[F.col(c).alias(f"_x_{c}") for c in extra]
-    ).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+        F.col(id_col).alias("doc_id"), size_of(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), *[F.col(c).alias(f"_x_{c}") for c in extra],
+        F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("body"),
+    )
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string"), F.lit(":"), F.col("body"))
+    rows = rows.withColumn("key", F.md5(name.cast("binary"))).drop("body")
     rows = rows.withColumn("slice", F.substring("key", 1, slice_digits))
-    if not extra:  # a few numbers of each row: written once, so that texts are read and their words counted once
-        rows = Scratch(df.sparkSession, "mix").save(rows, "sizes")
-    ranges = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    if extra:
+        rows = rows.withColumn("n", F.lit(1).cast("long"))
+    else:  # a few numbers of each row: written once, so that texts are read and their words counted once
+        rows = Scratch(df.sparkSession, "mix").save(rows.groupBy("source", "slice", "key", "doc_id", "size").agg(F.count("*").alias("n")), "sizes")
+    ranges = rows.groupBy("source", "slice").agg(F.sum(F.col("size") * F.col("n")).alias("slice_size"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("start", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
     goal = targets(ranges.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, most)
@@ -91,10 +111,12 @@ def mix_sources(
         F.col("source").alias("p_source"), F.col("slice").alias("p_slice"), "start", "source_size", "target", "budget"
     )
     inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("inner", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["p_source"]) & (rows["slice"] == plan["p_slice"]))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("budget") - epochs * F.col("source_size")
+    if not extra:
+        rows = _copies(rows)
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("inner")))
     return rows.select(
         "doc_id", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), *[F.col(f"_x_{c}").alias(c) for c in extra]
@@ -104,7 +126,7 @@ def mix_sources(
 SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::VARCHAR || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 weighed AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
                    (2 * source_size)::DOUBLE AS cap FROM sizes),
