@@ -6,8 +6,9 @@ the k-th largest score lies, and that bin is the next round's range. When a quer
 scores, or is one score wide, its bound is known. A last pass keeps scores at or above the bound, of which each
 task needs at most its own k best in the final order, and a ranking over these breaks ties by id.
 
-Queries are taken in groups of ``query_block``; a group and its bounds (a few hundred bytes a query) are what
-the driver and the tasks hold. The number of passes over the rows grows with the number of groups.
+Queries are dealt to blocks of about ``query_block`` (twice that at most) by a hash of their ids, each a folder of the
+written query table; a block and its bounds (a few hundred bytes a query) are what the driver and the tasks hold. The
+passes over the rows, each a job over all of them, are as many as blocks times rounds.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of different
 lengths are filled up with zeros; repeated ids are rows of their own, though no row with the query's id is its
@@ -79,32 +80,25 @@ def exact_top_k(df: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec
     scratch = Scratch(spark, "topk")
     scaled = lambda d: usable(d, id_col, vec_col).select("vec_id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"))
     rows = scaled(df)
-    # numbered within the partition that a query comes from; a block is what one collect() takes
-    parts = scratch.save(scaled(queries).withColumn("part", F.spark_partition_id()), "parts")
-    asked = scratch.save(parts.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("part").orderBy("vec_id")) - 1) / query_block).cast("long")), "queries")
-    groups = [(r["part"], r["block"]) for r in asked.groupBy("part", "block").count().select("part", "block", "count").sort("part", "block").toLocalIterator()]
-    bound_of_rows = rows.select(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("n")).agg(F.max("n")).head()[0]
-    held: list = []
-    done: list[DataFrame] = []
-
-    def flush():
-        nonlocal held
-        if held:
-            done.append(scratch.save(_group(rows, held, float(bound_of_rows or 0.0), k, bins), f"found-{len(done)}"))
-        held = []
-
-    for part, block in groups:  # small parts of the query table make one group together
-        got = asked.where((F.col("part") == part) & (F.col("block") == block)).select("vec_id", "vec").collect()
-        for r in got:
-            held.append((r["vec_id"], r["vec"]))
-            if len(held) == query_block:
-                flush()
-    flush()
-    if not done:
+    # blocks follow from the ids alone, so their number is that of the queries, however these are stored
+    counted = scratch.save(scaled(queries), "counted")
+    blocks = -(-counted.count() // query_block)
+    if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionAll(d)
+    place = F.row_number().over(Window.partitionBy("block").orderBy("vec_id")) - 1
+    asked = counted.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    # queries of one id are one block by the hash: what is beyond a block's size goes on to further ones
+    asked = asked.withColumn("more", F.floor(place / (2 * query_block)).cast("int")) if blocks > 1 else asked.withColumn("more", F.lit(0))
+    asked.write.mode("overwrite").partitionBy("more", "block").parquet(f"{scratch.base}/queries")
+    asked = spark.read.schema("vec_id long, vec array<double>, more int, block int").parquet(f"{scratch.base}/queries")
+    scratch.drop("counted")
+    groups = sorted(tuple(r) for r in asked.select("more", "block").distinct().collect())  # from the folders' names
+    bound_of_rows = rows.select(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("n")).agg(F.max("n")).head()[0]
+    out = None
+    for k_, (more, block) in enumerate(groups):
+        held = [(r["vec_id"], r["vec"]) for r in asked.where((F.col("more") == more) & (F.col("block") == block)).select("vec_id", "vec").collect()]
+        found = scratch.save(_group(rows, held, float(bound_of_rows or 0.0), k, bins), f"found-{k_}")
+        out = found if out is None else out.unionAll(found)
     return out
 
 

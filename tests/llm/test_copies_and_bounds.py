@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import language_id, mixing, packing, quality
+from strandlake.llm import language_id, mixing, packing, quality, topk_search
 
 DOCS = "doc_id long, text string, lang string, source string, size long, key string, n long"
 
@@ -101,3 +101,15 @@ def test_language_learns_from_whole_texts(spark, monkeypatch):
     language_id.fit(df, steps=1)
     full = [s for s, y in seen if y == 0]
     assert sum(full[: -(-5000 // language_id.WINDOW)]) == 5000  # each window before any comes again
+
+
+def test_query_blocks_do_not_follow_partitions(spark, monkeypatch):
+    r = np.random.default_rng(0)
+    df = spark.createDataFrame([(i // 2 if i % 4 == 0 else i, r.standard_normal(8).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
+    runs, plain = [], topk_search._group
+    for parts in (1, 40):
+        calls = []
+        monkeypatch.setattr(topk_search, "_group", lambda rows, asked, *a, calls=calls: (calls.append(len(asked)), plain(rows, asked, *a))[1])
+        got = topk_search.exact_top_k(df.repartition(3), df.repartition(parts), k=3, query_block=50).collect()
+        runs.append((sorted(calls), sorted(map(tuple, got))))
+    assert runs[0] == runs[1] and sum(runs[0][0]) == 200 and max(runs[0][0]) <= 100
