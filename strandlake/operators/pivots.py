@@ -1,13 +1,14 @@
-"""A saved index for searches by writhe spectrum that reads only what can be near.
+"""A saved index for searches by writhe spectrum, or by Frechet distance, that reads only what can be near.
 
-A few pivot spectra are chosen from a bounded sample; every frame is stored with its distances to them. By the triangle
+A few pivot frames are chosen from a bounded sample; every frame is stored with its distances to them. By the triangle
 inequality a frame within r of a query has each of these distances within r of the query's own, so a search is a
 filter on plain Parquet columns first: files are cut by ranges of the first pivot's distance and ordered by it, and
-the filter reaches the scan. Only what passes all pivots reaches the spectrum. A search for the k nearest first finds
+the filter reaches the scan. Only what passes all pivots reaches the spectrum or curve. A search for the k nearest first finds
 a radius that holds k frames, in a narrow range of the first distance, and then asks for that radius.
 
-The distance is the root mean square difference over the common length, a metric among spectra of one length. Frames
+The distance of spectra is the root mean square difference over the common length, a metric among spectra of one length. Frames
 whose spectra have another length than most are kept apart and always scanned; a query of such a length scans all.
+The Frechet distance is a metric of curves of any lengths.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec as v
 from . import curves
+from .metrics import Metric
+from .metrics import metric as named
 
 PIVOTS = 8
 #: Frames of the sample that pivots come from, those of smallest hash.
@@ -32,37 +35,44 @@ _SLACK = 1e-9
 _BROADCAST = 16 << 20
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _spectra(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, ((a[:, None, :] - b[None]) ** 2).mean(2))) if a.shape[1] else np.zeros((len(a), len(b)))
 
 
-def choose(sample: np.ndarray, count: int) -> np.ndarray:
-    """Spectra far from each other: the one farthest from the mean, then always that farthest from those chosen."""
-    at = [int(_distances(sample, sample.mean(0, keepdims=True)).ravel().argmax())]
-    near = _distances(sample, sample[at]).ravel()
+def choose(sample: list[tuple], count: int, of: Metric) -> list[tuple]:
+    """Frames far from each other: the one farthest from the sample's first, then always that farthest from those chosen."""
+    at = [int(of.between(sample, sample[:1]).ravel().argmax())]
+    near = of.between(sample, [sample[at[0]]]).ravel()
     while len(at) < min(count, len(sample)) and near.max() > 0:
         at.append(int(near.argmax()))
-        near = np.minimum(near, _distances(sample, sample[at[-1:]]).ravel())
-    return sample[at]
+        near = np.minimum(near, of.between(sample, [sample[at[-1]]]).ravel())
+    return [sample[i] for i in at]
 
 
-def build(index: DataFrame, path: str, pivots: int = PIVOTS, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, written: bool = False) -> PivotIndex:
+def build(index: DataFrame, path: str, pivots: int = PIVOTS, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, written: bool = False, metric: Metric | None = None) -> PivotIndex:
     """Write the table of :func:`search.build_index` with its pivots below ``path``, replacing what is there, and open it.
 
     The table is read several times, so it is written first, unless it is ``written`` already.
     """
-    spark, frames = index.sparkSession, index
+    spark, frames, of = index.sparkSession, index, metric or named("writhe")
+    if not of.triangle:
+        raise ValueError(f"{of.name} does not obey the triangle inequality")
     if not written:
         index.write.mode("overwrite").parquet(f"{path}/frames")
         frames = spark.read.schema(index.schema).parquet(f"{path}/frames")
-    sizes = frames.groupBy(F.size("writhe").alias("m")).count().orderBy(F.col("count").desc(), "m").limit(1).collect()
+    sizes = frames.groupBy(of.size().alias("m")).count().orderBy(F.col("count").desc(), "m").limit(1).collect()
     length = sizes[0]["m"] if sizes else 0
-    few = frames.where(F.size("writhe") == length).select("writhe", F.xxhash64("frame_id").alias("h"), "frame_id").orderBy("h", "frame_id").limit(sample).collect()
-    chosen = choose(np.array([r["writhe"] for r in few], float), pivots) if few and length else np.zeros((1, length))
-    even = F.size("writhe") == length
+    even = of.size() == length
+    few = frames.where(even).select(*of.arrays, F.xxhash64("frame_id").alias("h"), "frame_id").orderBy("h", "frame_id").limit(sample).collect()
+    chosen = choose([of.of(r) for r in few], pivots, of) if few else [tuple(np.zeros(length) for _ in of.arrays)]
     names = [f"p{k}" for k in range(len(chosen))]
-    far = {n: F.when(even, v.spectrum_distance(F.col("writhe"), F.lit(p.tolist()).cast("array<double>"))) for n, p in zip(names, chosen, strict=True)}
-    kept = frames.withColumns(far).withColumn("even", even)
+    kept = frames
+    for n, p in zip(names, chosen, strict=True):
+        kept = of.column(kept, n, p)
+    kept = kept.withColumn("even", even).withColumns({n: F.when(F.col("even"), F.col(n)) for n in names})
+    if of.name != "writhe":  # programmes that should not run again for each pass below
+        kept.write.mode("overwrite").parquet(f"{path}/distances")
+        kept = spark.read.schema(kept.schema).parquet(f"{path}/distances")
     n = frames.count()
     cells = max(1, min(CELLS, n // cell_rows))
     marks = kept.where("even").agg(F.percentile_approx("p0", F.lit([i / cells for i in range(1, cells)]), 20000)).head()[0] if cells > 1 else []
@@ -79,41 +89,54 @@ def build(index: DataFrame, path: str, pivots: int = PIVOTS, sample: int = SAMPL
     kept = kept.join(seeds, F.col("frame_id") == F.col("_f"), "left").withColumn("seed", F.col("even") & F.coalesce("_seed", F.lit(False))).drop("_c", "_f", "_seed")
     kept = kept.repartitionByRange(max(1, n // (16 * cell_rows) + 1), "p0", *names[1:2], "frame_id").sortWithinPartitions("even", "p0", "frame_id")
     kept.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("even").parquet(f"{path}/pivoted")
-    spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(chosen)], "k int, spectrum array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/pivots")
+    spark.createDataFrame([(k, [a.tolist() for a in p]) for k, p in enumerate(chosen)], "k int, arrays array<array<double>>").coalesce(1).write.mode("overwrite").parquet(f"{path}/pivots")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "even")
-    spark.createDataFrame([(length, [float(c) for c in cuts], f"{kinds}, even boolean")], "length int, cuts array<double>, kinds string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    spark.createDataFrame([(length, [float(c) for c in cuts], f"{kinds}, even boolean", of.name, list(of.weights))], "length int, cuts array<double>, kinds string, metric string, weights array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
     return PivotIndex.open(spark, path)
 
 
 @dataclass
 class PivotIndex:
+    """Queries are the arrays of the index's metric as a tuple; of a spectrum also the array alone."""
+
     spark: SparkSession
     frames: DataFrame
-    pivots: np.ndarray
+    pivots: list[tuple]
     length: int
     cuts: list[float]
+    metric: Metric
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> PivotIndex:
         about = spark.read.parquet(f"{path}/about").head()
         rows = spark.read.parquet(f"{path}/pivots").orderBy("k").collect()  # a few pivots
-        return cls(spark, spark.read.schema(about["kinds"]).parquet(f"{path}/pivoted"), np.array([r["spectrum"] for r in rows], float), about["length"], about["cuts"])
+        of = named(about["metric"], tuple(about["weights"]))
+        return cls(spark, spark.read.schema(about["kinds"]).parquet(f"{path}/pivoted"), [tuple(np.array(a, float) for a in r["arrays"]) for r in rows], about["length"], about["cuts"], of)
 
     @property
     def names(self) -> list[str]:
         return [f"p{k}" for k in range(len(self.pivots))]
 
-    def spectrum(self, frame_id: int) -> np.ndarray:
-        got = self.frames.where(F.col("frame_id") == frame_id).select("writhe").head()
+    def item(self, frame_id: int) -> tuple[np.ndarray, ...]:
+        """The arrays of a frame that the metric compares."""
+        got = self.frames.where(F.col("frame_id") == frame_id).select(*self.metric.arrays).head()
         if got is None:
             raise ValueError(f"the index has no frame {frame_id}")
-        return np.array(got[0], float)
+        return self.metric.of(got)
+
+    def spectrum(self, frame_id: int) -> np.ndarray:
+        return self.item(frame_id)[0]
 
-    def candidates(self, spectrum: np.ndarray, radius: float) -> DataFrame:
+    def _own(self, query) -> tuple[tuple, np.ndarray | None]:
+        """The query as a tuple, and its distances to the pivots if these tell something of it."""
+        query = query if isinstance(query, tuple) else (np.asarray(query, float),)
+        return query, self.metric.between([query], self.pivots)[0] if self.metric.length(query) == self.length else None
+
+    def candidates(self, query, radius: float) -> DataFrame:
         """Frames that the pivots cannot tell to be farther than ``radius``; those of other lengths too."""
-        if len(spectrum) != self.length:
+        query, own = self._own(query)
+        if own is None:
             return self.frames
-        own = _distances(np.array([spectrum]), self.pivots)[0]
         slack = radius + _SLACK * (1 + radius + own.max(initial=0))
         near = F.col("even")
         for name, d in zip(self.names, own, strict=True):
@@ -124,41 +147,48 @@ class PivotIndex:
         """Whether there are frames of other lengths (their files are a partition of their own)."""
         return bool(self.frames.where("NOT even").select("frame_id").head(1))
 
-    def _far(self, spectrum: np.ndarray) -> Column:
-        return v.spectrum_distance(F.col("writhe"), F.lit([float(x) for x in spectrum]).cast("array<double>"))
+    def _far(self, frames: DataFrame, query: tuple) -> DataFrame:
+        return self.metric.column(frames, self.distance, query)
+
+    @property
+    def distance(self) -> str:
+        return f"{self.metric.name}_distance"
 
-    def within(self, spectrum: np.ndarray, radius: float) -> DataFrame:
-        """All columns and ``writhe_distance`` of the frames within ``radius``."""
-        return self.candidates(spectrum, radius).withColumn("writhe_distance", self._far(spectrum)).where(F.col("writhe_distance") <= radius)
+    def within(self, query, radius: float) -> DataFrame:
+        """All columns and the distance (``writhe_distance`` or ``frechet_distance``) of the frames within ``radius``."""
+        query, _ = self._own(query)
+        return self._far(self.candidates(query, radius), query).where(F.col(self.distance) <= radius)
 
-    def radius(self, spectrum: np.ndarray, k: int) -> float:
+    def radius(self, query, k: int) -> float:
         """A distance within which k frames are, or infinity if there are fewer: from cells around the query's, more of them until there are k."""
-        if len(spectrum) != self.length:
+        query, own = self._own(query)
+        if own is None:
             return float("inf")
-        at = int(np.searchsorted(self.cuts, _distances(np.array([spectrum]), self.pivots)[0][0], side="right"))
+        at = int(np.searchsorted(self.cuts, own[0], side="right"))
         step = 1
         while True:
             lo, hi = at - step, at + step
             near = self.frames.where(F.col("even") & F.col("cell").between(lo, hi))
-            got = near.select(self._far(spectrum).alias("d")).orderBy("d").limit(k).collect()  # k numbers
+            got = self._far(near, query).select(self.distance).orderBy(self.distance).limit(k).collect()  # k numbers
             if len(got) == k:
-                return got[-1]["d"]
+                return got[-1][0]
             if lo <= 0 and hi >= len(self.cuts):
                 return float("inf")
             step *= 4
 
-    def nearest(self, spectrum: np.ndarray, k: int) -> DataFrame:
-        """frame_id, writhe_distance of the k nearest, ties to smaller ids: the same as a scan of all frames."""
-        r = self.radius(spectrum, k)
-        found = self.within(spectrum, r) if np.isfinite(r) else self.frames.withColumn("writhe_distance", self._far(spectrum))
-        return found.orderBy("writhe_distance", "frame_id").limit(k).select("frame_id", "writhe_distance")
+    def nearest(self, query, k: int) -> DataFrame:
+        """frame_id and distance of the k nearest, ties to smaller ids: the same as a scan of all frames."""
+        query, _ = self._own(query)
+        r = self.radius(query, k)
+        found = self.within(query, r) if np.isfinite(r) else self._far(self.frames, query)
+        return found.orderBy(self.distance, "frame_id").limit(k).select("frame_id", self.distance)
 
     def conformers(self, spectrum: np.ndarray, kappa: list[float], tau: list[float], k: int, coarse_radius: float = 0.5) -> DataFrame:
         """As :func:`search.nearest`: least Frechet distance among those within ``coarse_radius``, or among the 3 k nearest if these are fewer than k."""
         near = self.within(spectrum, coarse_radius)
         if len(near.select("frame_id").head(k)) < k:
             r = self.radius(spectrum, 3 * k)
-            near = self.within(spectrum, r) if np.isfinite(r) else self.frames.withColumn("writhe_distance", self._far(spectrum))
+            near = self.within(spectrum, r) if np.isfinite(r) else self._far(self.frames, (np.asarray(spectrum, float),))
             near = near.orderBy("writhe_distance", "frame_id").limit(3 * k)
         asked = [F.lit([float(x) for x in a]).cast("array<double>").alias(n) for n, a in (("q_kappa", kappa), ("q_tau", tau))]
         near = curves.distances(near.select("frame_id", "writhe_distance", "kappa", "tau", *asked), "frechet", "frechet", ["q_kappa", "q_tau"], ["kappa", "tau"])
@@ -171,14 +201,16 @@ class PivotIndex:
         many frames is cut into parts by a hash of the frame, and its queries go to all of them. Queries of another
         length than the index's, and those without a radius, meet all frames, in blocks of the broadcast queries.
         """
-        names, spark = self.names, self.spark
-        cuts, pivots, length = self.cuts, self.pivots, self.length
+        if self.metric.name != "writhe":
+            raise ValueError("many queries are asked by spectra")
+        names, cuts, length = self.names, self.cuts, self.length
+        pivots = np.stack([p[0] for p in self.pivots])
         kinds = ", ".join([*(f"q{k} double" for k in range(len(pivots))), "q_cell int"])
 
         def placed(batches):
             for d in batches:
                 x = np.array([*d["q_writhe"]], float).reshape(len(d), -1)
-                own = _distances(x, pivots)
+                own = _spectra(x, pivots)
                 yield pd.concat([d.reset_index(drop=True), pd.DataFrame(own, columns=[f"q{k}" for k in range(len(pivots))]).assign(q_cell=np.searchsorted(cuts, own[:, 0], side="right").astype(np.int32))], axis=1)
 
         asked = queries.select("query_id", F.col("writhe").alias("q_writhe"))

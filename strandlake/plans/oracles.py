@@ -313,4 +313,18 @@ SQL |= {
     "pivot_conformers": SQL["conformer_knn"],
     "merged_moments": SQL["moments_by_event_type"],
     "checked_orders": "SELECT l_orderkey AS frame_id, CASE WHEN count(*) >= 4 THEN count(*) - 1 ELSE 0 END AS segments, CASE WHEN count(*) >= 4 THEN '' ELSE 'too few points' END AS reason, CASE WHEN count(*) >= 4 THEN -1 ELSE count(*) END AS place FROM lineitem GROUP BY l_orderkey",
+    "nearest_by_writhe": f"{_INDEX} SELECT frame_id, round(writhe_distance, 6) + 0.0 AS distance FROM sp ORDER BY writhe_distance, frame_id LIMIT 15",
+}
+
+
+def _bends(weight: str, total: bool) -> str:
+    """CTE ``dp`` of the programmes of frame 10 against all."""
+    cost = BEND.replace("sqrt((ka", f"sqrt({weight} * (ka")
+    return f"WITH RECURSIVE {FRAMES}, {geometry()}, {ARRAYS}, c AS (SELECT a.frame_id, b.k AS ka, b.t AS ta, a.k AS kb, a.t AS tb FROM ar a, ar b WHERE b.frame_id = 10), {grid('c', 'frame_id', *SHORTER, cost, total)}"
+
+
+SQL |= {
+    "nearest_by_frechet": _bends("4", False) + " SELECT frame_id, round(far, 6) + 0.0 AS distance FROM dp ORDER BY far, frame_id LIMIT 15",
+    "nearest_by_warp": _bends("1", True) + " SELECT frame_id, round(far / (n + m), 6) + 0.0 AS distance FROM dp ORDER BY far / (n + m), frame_id LIMIT 15",
+    "within_frechet_pivots": _bends("1", False) + " SELECT frame_id, round(far, 6) + 0.0 AS distance FROM dp WHERE far <= 2.3",
 }

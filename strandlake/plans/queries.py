@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, curves, ensemble, geometry, network, pivots, search, states, writhe
+from ..operators import audit, curves, ensemble, geometry, metrics, network, pivots, search, states, writhe
 from ..sources import bindings, pdb
 from ..storage import new_folder
 
@@ -485,3 +485,32 @@ def checked_orders(s, d):
     """Which orders make curves of four points or more, and why the others do not."""
     checked = search.checked_index(bindings.order_curves(s, d), 2)
     return rounded(checked.select("frame_id", F.size(F.coalesce("seg", F.array().cast("array<double>"))).alias("segments"), F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("place", F.lit(-1)).alias("place")))
+
+
+@_query
+def nearest_by_frechet(s, d):
+    """The 15 nearest whole curves, curvature weighing four times as much, by bounds and abandoned programmes."""
+    index, of = _index(s, d), metrics.metric("frechet", (4.0, 1.0))
+    one = index.where("frame_id = 10").head()
+    return rounded(metrics.nearest(index, one, 15, of))
+
+
+@_query
+def nearest_by_warp(s, d):
+    index, of = _index(s, d), metrics.metric("time_warp")
+    one = index.where("frame_id = 10").head()
+    return rounded(metrics.nearest(index, one, 15, of))
+
+
+@_query
+def nearest_by_writhe(s, d):
+    index, of = _pivots(s, d), metrics.metric("writhe")
+    return rounded(metrics.nearest(index, index.item(10), 15, of))
+
+
+@_query
+def within_frechet_pivots(s, d):
+    """All whole curves within a Frechet distance, by an index of pivot curves and the cascade behind it."""
+    of = metrics.metric("frechet")
+    index = pivots.build(_index(s, d), new_folder(s, "pivots"), pivots=4, metric=of)
+    return rounded(metrics.within(index, index.item(10), 2.3, of))
