@@ -16,6 +16,13 @@ def even_frames(points: DataFrame) -> DataFrame:
     return fine.join(points, F.lit(True), "left").where("_fine AND frame_id IS NOT NULL").drop("_fine")  # the left side is one row, there without points too
 
 
+def some_frames(frames: DataFrame) -> DataFrame:
+    """``frames``; fails if there are none. Only whether there is a row is looked up before."""
+    if not frames.select("frame_idx").head(1):
+        raise ValueError("there are no frames")
+    return frames
+
+
 _STRAND = ("cx", "cy", "cz")
 
 
@@ -34,11 +41,15 @@ def read_pdb_trajectory(spark: SparkSession, path: str, chain: str | None = None
 
 def read_dcd(spark: SparkSession, path: str, atoms: list[int] | None = None, second: list[int | None] | None = None, strict: bool = True) -> DataFrame:
     """frame_id, res, x, y, z(, cx, cy, cz): listed atoms of every frame of one file, or all of them."""
-    frames = dcd.read_dcd(spark, path, strict)
-    if atoms is None:
+    wanted = None if atoms is None else sorted({*atoms, *(a for a in second or [] if a is not None)})
+    if second is not None and atoms is not None and len(second) != len(atoms):
+        raise ValueError(f"{len(atoms)} atoms, {len(second)} of the second strand")
+    frames = some_frames(dcd.read_dcd(spark, path, strict, wanted))
+    if atoms is None:  # a file has one number of atoms
         flat = frames.select(F.col("frame_idx").alias("frame_id"), F.posexplode(F.arrays_zip("x", "y", "z")).alias("res", "p"))
-        return even_frames(flat.select("frame_id", "res", *[F.col("p")[c].cast("double").alias(c) for c in "xyz"]))
-    return even_frames(dcd.project(frames, atoms, second))
+        return flat.select("frame_id", "res", *[F.col("p")[c].cast("double").alias(c) for c in "xyz"])
+    place = {a: i for i, a in enumerate(wanted)}
+    return dcd.project(frames, [place[a] for a in atoms], None if second is None else [None if a is None else place[a] for a in second])
 
 
 def read_pdb_rna(spark: SparkSession, path: str, chain: str | None = None, mode: str = "raise") -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import curves
+from ..operators import curves, states
 from ..operators.ensemble import bimodality
+from ..sources import dcd
 from ..operators.geometry import EPSILON
 
 CURVE = "frame_id long, curve array<struct<x:double,y:double,z:double>>"
@@ -50,3 +51,31 @@ def keep_profile(frames: DataFrame, width: int, name: str, checkpoint: str) -> S
     q = profile(frames, width).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def trajectory(spark: SparkSession, path: str, atoms: list[int] | None = None) -> DataFrame:
+    """Stream of the frames of trajectory files, in batches of what the files have grown by: path, frame_id (its number in the file), curve."""
+    rows = dcd.stream_dcd(spark, path, atoms)
+    point = F.transform(F.arrays_zip("x", "y", "z"), lambda p: F.struct(*[p[c].cast("double").alias(c) for c in "xyz"]))
+    return rows.select("path", F.col("frame_idx").alias("frame_id"), point.alias("curve"))
+
+
+STORED = f"window_start int, frames long, kappa {states.STATE}, tau {states.STATE}, batch long"
+
+
+def kept_profile(frames: DataFrame, width: int, folder: str, checkpoint: str) -> DataFrame:
+    """Take what is new of the stream, and give window_start, frames, bc_kappa, bc_tau of all frames so far.
+
+    Each micro-batch is summed to one moment state for a window, kept in ``folder`` in a partition of its own, which a
+    repeated batch replaces; the profile is merged from these states.
+    """
+    spark = frames.sparkSession
+    spark.createDataFrame([], STORED).write.mode("append").partitionBy("batch").parquet(folder)
+
+    def add(part: DataFrame, batch: int) -> None:
+        got = window_means(part, width).groupBy("window_start").agg(F.count("*").alias("frames"), *[states.state(f"m_{x}").alias(x) for x in ("kappa", "tau")])
+        got.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(folder)
+
+    frames.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    whole = spark.read.schema(STORED).parquet(folder).groupBy("window_start").agg(F.sum("frames").alias("frames"), *[states.merge(x).alias(x) for x in ("kappa", "tau")])
+    return whole.select("window_start", "frames", *[states.summary(x)["bc"].alias(f"bc_{x}") for x in ("kappa", "tau")])
