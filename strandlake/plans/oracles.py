@@ -328,3 +328,38 @@ SQL |= {
     "nearest_by_warp": _bends("1", True) + " SELECT frame_id, round(far / (n + m), 6) + 0.0 AS distance FROM dp ORDER BY far / (n + m), frame_id LIMIT 15",
     "within_frechet_pivots": _bends("1", False) + " SELECT frame_id, round(far, 6) + 0.0 AS distance FROM dp WHERE far <= 2.3",
 }
+
+
+def _cofactors(m: list[list[str]], row: int) -> list[str]:
+    rest = [r for i, r in enumerate(m) if i != row]
+    return [("-" if (row + k) % 2 else "") + _det([r[:k] + r[k + 1 :] for r in rest]) for k in range(4)]
+
+
+def turned(points: str, mask: str) -> str:
+    """CTE ``al``: the rows of ``p`` with x, y, z and its second strand laid on frame 0 by the masked points.
+
+    The rotation is a quaternion: the vector of the largest eigenvalue (the sum of the singular values that :data:`SUPERPOSED` has)
+    of the symmetric 4 x 4 matrix of the products, from the row of the adjugate that is largest.
+    """
+    h = SUPERPOSED[SUPERPOSED.index("o AS ") : SUPERPOSED.index("SELECT frame_id, round(sqrt")].replace("FROM p JOIN o USING (res)", f"FROM p JOIN o USING (res) WHERE {mask}")
+    n = [["hxx+hyy+hzz", "hyz-hzy", "hzx-hxz", "hxy-hyx"], ["", "hxx-hyy-hzz", "hxy+hyx", "hzx+hxz"], ["", "", "hyy-hxx-hzz", "hyz+hzy"], ["", "", "", "hzz-hxx-hyy"]]
+    n = [[f"({n[min(i, j)][max(i, j)]}{' - top' if i == j else ''})" for j in range(4)] for i in range(4)]
+    quads = ", ".join(f"[{', '.join(_cofactors(n, i))}] AS q{i}" for i in range(4))
+    one = lambda p, c: {
+        "x": f"(w*w+a*a-b*b-g*g)*({p}x-mx) + 2*(a*b-w*g)*({p}y-my) + 2*(a*g+w*b)*({p}z-mz) + mrx",
+        "y": f"2*(a*b+w*g)*({p}x-mx) + (w*w-a*a+b*b-g*g)*({p}y-my) + 2*(b*g-w*a)*({p}z-mz) + mry",
+        "z": f"2*(a*g-w*b)*({p}x-mx) + 2*(b*g+w*a)*({p}y-my) + (w*w-a*a-b*b+g*g)*({p}z-mz) + mrz",
+    }[c]
+    strands = ["", "c"] if "cx" in points else [""]
+    return f"""{points}, {h},
+tp AS (SELECT *, d1 + d2 + det/(d1*d2) AS top FROM d), qd AS (SELECT frame_id, {quads} FROM tp),
+qb AS (SELECT frame_id, list_reduce([q0, q1, q2, q3], lambda s, t: CASE WHEN list_inner_product(t, t) > list_inner_product(s, s) THEN t ELSE s END) AS q FROM qd),
+qn AS (SELECT frame_id, q[1]/l AS w, q[2]/l AS a, q[3]/l AS b, q[4]/l AS g FROM (SELECT *, sqrt(list_inner_product(q, q)) AS l FROM qb)),
+al AS (SELECT p.frame_id, p.res, {', '.join(f'{one(p, c)} AS {p}{c}' for p in strands for c in 'xyz')} FROM p JOIN qn USING (frame_id) JOIN m USING (frame_id))"""
+
+
+_STRANDS = FRAMES.replace("range(0, 21)", "range(0, 10)").replace(" AS z FROM", " AS z, " + ", ".join(f"embedding[3*r+{31 + k}]::DOUBLE AS c{c}" for k, c in enumerate("xyz")) + " FROM")
+SQL |= {
+    "masked_superposition": f"WITH {turned(FRAMES, 'res < 12')} SELECT al.frame_id, round(sqrt(avg((al.x-o.rx)**2 + (al.y-o.ry)**2 + (al.z-o.rz)**2)), 6) + 0.0 AS rmsd FROM al JOIN o USING (res) WHERE res >= 12 GROUP BY al.frame_id",
+    "superposed_points": f"WITH {turned(_STRANDS, 'res BETWEEN 2 AND 7')} SELECT frame_id, {long('res')}, {rd('x y z cx cy cz')} FROM al",
+}

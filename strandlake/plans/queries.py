@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, curves, ensemble, geometry, metrics, network, pivots, search, states, writhe
+from ..operators import audit, curves, ensemble, geometry, metrics, network, pivots, search, states, superposition, writhe
 from ..sources import bindings, pdb
 from ..storage import new_folder
 
@@ -514,3 +514,18 @@ def within_frechet_pivots(s, d):
     of = metrics.metric("frechet")
     index = pivots.build(_index(s, d), new_folder(s, "pivots"), pivots=4, metric=of)
     return rounded(metrics.within(index, index.item(10), 2.3, of))
+
+
+@_query
+def masked_superposition(s, d):
+    """How far points 12 to 20 are from frame 0's after a fit on points 0 to 11."""
+    points = bindings.frames(s, d)
+    aligned = superposition.superposed(points, 0, F.col("res") < 12)
+    return rounded(superposition.rmsd(aligned, points.where("frame_id = 0"), F.col("res") >= 12))
+
+
+@_query
+def superposed_points(s, d):
+    """All points and second strands on frame 0, by points 2 to 7."""
+    points = bindings.ribbons(s, d)
+    return rounded(superposition.superposed(points, 0, F.col("res").between(2, 7)).select("frame_id", "res", "x", "y", "z", "cx", "cy", "cz"))
