@@ -363,3 +363,7 @@ SQL |= {
     "masked_superposition": f"WITH {turned(FRAMES, 'res < 12')} SELECT al.frame_id, round(sqrt(avg((al.x-o.rx)**2 + (al.y-o.ry)**2 + (al.z-o.rz)**2)), 6) + 0.0 AS rmsd FROM al JOIN o USING (res) WHERE res >= 12 GROUP BY al.frame_id",
     "superposed_points": f"WITH {turned(_STRANDS, 'res BETWEEN 2 AND 7')} SELECT frame_id, {long('res')}, {rd('x y z cx cy cz')} FROM al",
 }
+SQL |= {
+    "structures_in_sql": f"WITH {FRAMES}, t AS (SELECT frame_id, res, {three('x y z')} FROM p), o AS (SELECT res, x AS ox, y AS oy FROM t WHERE frame_id = 0), a AS (SELECT frame_id, abs(atan2(y, x) - atan2(oy, ox)) AS g FROM t JOIN o USING (res) WHERE res = 1) SELECT t.frame_id, count(*) AS residues, round(sqrt(avg((x - ox) * (x - ox))), 6) + 0.0 AS x_distance, round(any_value(CASE WHEN g > pi() THEN 2 * pi() - g ELSE g END), 6) + 0.0 AS turn FROM t JOIN o USING (res) JOIN a USING (frame_id) GROUP BY t.frame_id",
+    "bucketed_invariants": SQL["curve_invariants"],
+}

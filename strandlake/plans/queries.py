@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import audit, curves, ensemble, geometry, metrics, network, pivots, search, states, superposition, writhe
-from ..sources import bindings, pdb
+from ..sources import bindings, layout, pdb
 from ..storage import new_folder
 
 #: A curve of 21 points that is asked for by its coordinates.
@@ -529,3 +530,30 @@ def superposed_points(s, d):
     """All points and second strands on frame 0, by points 2 to 7."""
     points = bindings.ribbons(s, d)
     return rounded(superposition.superposed(points, 0, F.col("res").between(2, 7)).select("frame_id", "res", "x", "y", "z", "cx", "cy", "cz"))
+
+
+#: A query of SQL text alone: structure files of every frame, their residues, and how far they and their spectra are from the first.
+SQL_ONLY = """
+WITH records AS (
+  SELECT vec_id, r, format_string('ATOM  %5d  CA  ALA A%4d    %8.3f%8.3f%8.3f  1.00%6.2f           C', r + 1, r + 1, CAST(embedding[3*r] AS DOUBLE), CAST(embedding[3*r+1] AS DOUBLE), CAST(embedding[3*r+2] AS DOUBLE), CAST(r AS DOUBLE)) AS line
+  FROM {embeddings} LATERAL VIEW explode(sequence(0, 20)) t AS r),
+files AS (SELECT vec_id, array_join(transform(array_sort(collect_list(struct(r, line))), x -> x.line), '\n') AS text FROM records GROUP BY vec_id),
+found AS (SELECT f.vec_id, s.* FROM files f, LATERAL structure_residues(f.text) s),
+whole AS (SELECT vec_id, array_sort(collect_list(struct(res, x, y, z))) AS p FROM found GROUP BY vec_id)
+SELECT w.vec_id AS frame_id, size(w.p) AS residues, spectrum_distance(transform(w.p, q -> q.x), transform(o.p, q -> q.x)) AS x_distance,
+  circle_distance(atan2(w.p[1].y, w.p[1].x), atan2(o.p[1].y, o.p[1].x)) AS turn
+FROM whole w CROSS JOIN (SELECT p FROM whole WHERE vec_id = 0) o
+"""
+
+
+@_query
+def structures_in_sql(s, d):
+    """Table and scalar functions from SQL text only."""
+    tables.register(s)
+    return rounded(s.sql(SQL_ONLY, embeddings=s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")))
+
+
+@_query
+def bucketed_invariants(s, d):
+    """As curve_invariants, from points that are laid out by frame."""
+    return rounded(geometry.invariants(layout.write_by_frame(bindings.frames(s, d), new_folder(s, "points"), 8)))
