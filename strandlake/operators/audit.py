@@ -39,12 +39,15 @@ def arc_writhe(points: DataFrame) -> DataFrame:
             return
         i, j = np.triu_indices(n, 2)
         out = np.zeros(len(p))
-        for f, c in enumerate(p):
-            r13, r14, r23, r24 = c[j] - c[i], c[j + 1] - c[i], c[j] - c[i + 1], c[j + 1] - c[i + 1]
+        part = max(1, curves.PAIR_BYTES // (8 * len(i)))
+        for at in range(0, len(p), part):
+            c = p[at : at + part]
+            r13, r14, r23, r24 = c[:, j] - c[:, i], c[:, j + 1] - c[:, i], c[:, j] - c[:, i + 1], c[:, j + 1] - c[:, i + 1]
             sides = [np.cross(a, b) for a, b in ((r13, r14), (r14, r24), (r24, r23), (r23, r13))]
-            units = [s / np.maximum(np.linalg.norm(s, axis=1), 1e-300)[:, None] for s in sides]
-            area = sum(np.arcsin(np.clip((units[k] * units[(k + 1) % 4]).sum(1), -1, 1)) for k in range(4))
-            out[f] = (area * np.sign((np.cross(c[j + 1] - c[j], c[i + 1] - c[i]) * r13).sum(1))).sum() / (2 * np.pi)
+            units = [s / np.maximum(np.linalg.norm(s, axis=2), 1e-300)[..., None] for s in sides]
+            area = sum(np.arcsin(np.clip((units[k] * units[(k + 1) % 4]).sum(2), -1, 1)) for k in range(4))
+            sign = np.sign((np.cross(c[:, j + 1] - c[:, j], c[:, i + 1] - c[:, i]) * r13).sum(2))
+            out[at : at + part] = (area * sign).sum(1) / (2 * np.pi)
         yield np.arange(len(p)), [out]
 
     return curves.kernel(curves.gather(points), work, {"writhe": pa.float64()}, "writhe double")

@@ -129,17 +129,24 @@ def warp(cost: np.ndarray, total: bool) -> np.ndarray:
     return before[:, -1] if n and m else np.zeros(rows)
 
 
+def chains(length: np.ndarray, kappa: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """(frames, segments + 1, 3) points of chains from their segment lengths, bends and twists, by turning a frame along each."""
+    rows, n = length.shape
+    p, t, b = np.zeros((rows, 3)), np.tile([1.0, 0, 0], (rows, 1)), np.tile([0, 0, 1.0], (rows, 1))
+    out = np.zeros((rows, n + 1, 3))
+    for i in range(n):
+        p = p + length[:, i, None] * t
+        out[:, i + 1] = p
+        if i < kappa.shape[1]:
+            if i and i - 1 < tau.shape[1]:
+                b = np.cos(tau[:, i - 1, None]) * b + np.sin(tau[:, i - 1, None]) * np.cross(t, b)
+            t = np.cos(kappa[:, i, None]) * t + np.sin(kappa[:, i, None]) * np.cross(b, t)
+    return out
+
+
 def chain(length: np.ndarray, kappa: np.ndarray, tau: np.ndarray) -> np.ndarray:
-    """Points of a chain from its segment lengths, bends and twists, by turning a frame along it."""
-    p, t, b, out = np.zeros(3), np.array([1.0, 0, 0]), np.array([0, 0, 1.0]), [np.zeros(3)]
-    for i, step in enumerate(length):
-        p = p + step * t
-        out.append(p)
-        if i < len(kappa):
-            if i and i - 1 < len(tau):
-                b = np.cos(tau[i - 1]) * b + np.sin(tau[i - 1]) * np.cross(t, b)
-            t = np.cos(kappa[i]) * t + np.sin(kappa[i]) * np.cross(b, t)
-    return np.array(out)
+    """Points of one chain."""
+    return chains(*(np.asarray(a, float)[None] for a in (length, kappa, tau)))[0]
 
 
 def _lists(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

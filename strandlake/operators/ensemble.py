@@ -99,12 +99,13 @@ def motifs(profile: DataFrame, threshold: float, gap: int = 2) -> DataFrame:
     ).drop("island")
 
 
-def domain_means(profile: DataFrame, value: str, bounds: list[tuple[str, int, int]]) -> DataFrame:
-    """domain, mean, peak_res, peak: mean of ``value`` over the residues lo .. hi - 1 of each (name, lo, hi), and the first largest."""
+def domain_means(profile: DataFrame, value: str, bounds: list[tuple[str, int, int]], error: str | None = None) -> DataFrame:
+    """domain, mean, peak_res, peak(, error): mean of ``value`` over the residues lo .. hi - 1 of each (name, lo, hi), the first largest, and the mean of ``error``."""
     name = F.array(*[F.when((F.col("res") >= lo) & (F.col("res") < hi), F.lit(n)) for n, lo, hi in bounds])
-    rows = profile.select("res", value, F.explode(F.array_compact(name)).alias("domain"))
+    more = [error] if error else []
+    rows = profile.select("res", value, *more, F.explode(F.array_compact(name)).alias("domain"))
     best = F.max(F.struct(F.col(value), (-F.col("res")).alias("at")))
-    return rows.groupBy("domain").agg(F.avg(value).alias("mean"), (-best["at"]).cast("int").alias("peak_res"), best[value].alias("peak"))
+    return rows.groupBy("domain").agg(F.avg(value).alias("mean"), (-best["at"]).cast("int").alias("peak_res"), best[value].alias("peak"), *[F.avg(e).alias(e) for e in more])
 
 
 def with_error(profile: DataFrame, frames: int, std: str = "std_density") -> DataFrame:

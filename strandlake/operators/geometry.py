@@ -158,16 +158,25 @@ def pseudo_strand(points: DataFrame) -> DataFrame:
 
 
 def integrate(inv_arrays: DataFrame) -> DataFrame:
-    """frame_id, curve: points rebuilt from the arrays seg, kappa, tau by carrying a moving frame along the curve."""
-    import pandas as pd
-
-    from .curves import chain
-
-    def build(seg, kappa, tau):
-        return [{"x": q[0], "y": q[1], "z": q[2]} for q in chain(seg, kappa, tau)]
-
-    def run(parts):
-        for d in parts:
-            yield pd.DataFrame({"frame_id": d["frame_id"], "curve": [build(*x) for x in zip(d["seg"], d["kappa"], d["tau"], strict=True)]})
-
-    return inv_arrays.select("frame_id", "seg", "kappa", "tau").mapInPandas(run, "frame_id long, curve array<struct<x:double,y:double,z:double>>")
+    """frame_id, curve: points rebuilt from the arrays seg, kappa, tau by carrying a moving frame along the curve, for all curves of one shape at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .curves import chains
+
+    point = pa.struct([(c, pa.float64()) for c in "xyz"])
+
+    def run(batches):
+        for b in batches:
+            parts = [b.column(1 + k) for k in range(3)]
+            sizes = np.stack([p.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for p in parts], 1)
+            data = [(p.values.to_numpy(zero_copy_only=False), p.offsets.to_numpy()[:-1]) for p in parts]
+            for shape in np.unique(sizes, axis=0):
+                rows = np.flatnonzero((sizes == shape).all(1))
+                q = chains(*(values[start[rows][:, None] + np.arange(n)] for (values, start), n in zip(data, shape, strict=True)))
+                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * q.shape[1])
+                flat = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(q[:, :, c]).ravel()) for c in range(3)], fields=list(point))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.ListArray.from_arrays(offsets, flat)], names=["frame_id", "curve"])
+
+    rows = inv_arrays.select(F.col("frame_id").cast("long").alias("frame_id"), *[F.col(c).cast("array<double>").alias(c) for c in ("seg", "kappa", "tau")])
+    return rows.mapInArrow(run, "frame_id long, curve array<struct<x:double,y:double,z:double>>")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = ("kappa", "tau", "theta")
+#: Bytes of the products of features of the frames that a task sums at a time.
+PART_BYTES = 64 << 20
 
 
 def centred_features(inv: DataFrame, chain: str | None = None) -> DataFrame:
@@ -60,8 +63,16 @@ def _pairs(a: DataFrame, b: DataFrame | None, n: int, m: int) -> DataFrame:
 
     alone = b is None
 
-    def run(batches):
+    def parts(batches):
+        """Batches in parts whose products stay within ``PART_BYTES``."""
         for batch in batches:
+            longest = max(pc.max(batch.column(at).value_lengths()).as_py() or 1 for at in ((1,) if alone else (1, 4)))
+            step = max(1, PART_BYTES // (16 * longest * max(n, m) ** 2))
+            for k in range(0, batch.num_rows, step):
+                yield batch.slice(k, step)
+
+    def run(batches):
+        for batch in parts(batches):
             place, count, x, has = _dense(batch, 1, n)
             other, _, y, has2 = (place, count, x, has) if alone else _dense(batch, 4, m)
             left, right = np.einsum("fir,fic->firc", x, x), np.einsum("fjr,fjc->fjrc", y, y)

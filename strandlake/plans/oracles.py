@@ -300,7 +300,7 @@ SQL: dict[str, str] = {
     "sliding_frechet": f"WITH RECURSIVE {USERS}, w AS (SELECT frame_id, s.v AS start, list([x, y, z] ORDER BY res) AS c FROM p JOIN (SELECT unnest(range(0, 200)) AS v) s ON p.res BETWEEN s.v AND s.v + 5 WHERE frame_id IN (3, 8) GROUP BY ALL HAVING count(*) = 6), c AS (SELECT x.start, x.c AS ca, y.c AS cb FROM w x JOIN w y ON x.start = y.start AND x.frame_id = 3 AND y.frame_id = 8), "
     + grid("c", "start", "6", "6", "sqrt(" + " + ".join(f"(ca[<i> + 1][{k}] - cb[<j> + 1][{k}]) ** 2" for k in (1, 2, 3)) + ")", False)
     + " SELECT start::BIGINT AS start, (start + 3)::BIGINT AS centre, round(far, 6) + 0.0 AS frechet FROM dp",
-    "domain_means": f"WITH {FRAMES}, {PAIRS}, {geometry()}, {COMPACT}, {DENSITY} SELECT CASE WHEN res < 6 THEN 'head' WHEN res < 15 THEN 'middle' ELSE 'tail' END AS domain, round(avg(mean_density), 6) + 0.0 AS mean, arg_max(res, mean_density)::BIGINT AS peak_res, round(max(mean_density), 6) + 0.0 AS peak FROM dens GROUP BY 1",
+    "domain_means": f"WITH {FRAMES}, {PAIRS}, {geometry()}, {COMPACT}, {DENSITY} SELECT CASE WHEN res < 6 THEN 'head' WHEN res < 15 THEN 'middle' ELSE 'tail' END AS domain, round(avg(mean_density), 6) + 0.0 AS mean, arg_max(res, mean_density)::BIGINT AS peak_res, round(max(mean_density), 6) + 0.0 AS peak, round(avg(std_density) / sqrt((SELECT count(*) FROM embeddings)), 6) + 0.0 AS sem FROM dens GROUP BY 1",
     "energy_barrier": f"WITH {FRAMES}, {PAIRS}, t AS (SELECT frame_id, sum(w) AS v FROM pairs GROUP BY frame_id), q AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi, stddev_samp(v) * count(*) ** -0.2 AS h FROM t), g AS (SELECT i, lo - 0.1*(hi - lo) + 1.2*(hi - lo) * i / 99 AS x, h FROM q, range(0, 100) r(i)), d AS (SELECT i, sum(exp(-((v - x) ** 2) / (2 * h * h))) AS d FROM g, t GROUP BY i), e0 AS (SELECT i, -ln(greatest(d / (SELECT max(d) FROM d), 1e-4)) AS u FROM d), e AS (SELECT i, u - (SELECT min(u) FROM e0) AS u FROM e0), s AS (SELECT arg_min(i, u) FILTER (i < 50) AS a, arg_min(i, u) FILTER (i >= 50) AS b, min(u) FILTER (i < 50) AS ua, min(u) FILTER (i >= 50) AS ub FROM e), k AS (SELECT max(u) AS top FROM e, s WHERE i >= a AND i < b) SELECT round(top - least(ua, ub), 6) + 0.0 AS height, round(ua, 6) + 0.0 AS well1, round(ub, 6) + 0.0 AS well2, round(top, 6) + 0.0 AS top FROM s, k",
     "histogram_barrier": "WITH u AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i)), m AS (SELECT i, avg(v) FILTER (label = 1) - avg(v) FILTER (label = 0) AS w FROM u GROUP BY i), l AS (SELECT sqrt(sum(w * w)) AS l FROM m), a AS (SELECT vec_id, sum(v * w / l) AS pos FROM u JOIN m USING (i), l GROUP BY vec_id), r AS (SELECT min(pos) AS lo, max(pos) AS hi FROM a), b AS (SELECT least(floor((pos - lo) / (hi - lo) * 50), 49) AS bin, count(*) AS n FROM a, r GROUP BY 1) SELECT round(CASE WHEN count(*) < 3 THEN 0 ELSE -ln(greatest(min(n) / max(n), 1e-12)) END, 6) + 0.0 AS barrier FROM b",
     "index_size": "SELECT count(*)::BIGINT AS frames, 21::BIGINT AS least_points, 21::BIGINT AS most_points FROM embeddings",

@@ -136,7 +136,10 @@ def switching_hinges(s, d):
 
 
 def _index(s, d):
-    return search.build_index(bindings.frames(s, d))
+    """Written once, so that the parts of a search read it and do not make it again."""
+    path = new_folder(s, "index")
+    search.build_index(bindings.frames(s, d)).write.parquet(path)
+    return s.read.schema("frame_id long, seg array<double>, kappa array<double>, tau array<double>, writhe array<double>").parquet(path)
 
 
 @_query
@@ -396,8 +399,9 @@ def sliding_frechet(s, d):
 
 @_query
 def domain_means(s, d):
-    p = ensemble.with_error(ensemble.density_profile(bindings.frames(s, d), 4), 500)
-    return rounded(ensemble.domain_means(p, "mean_density", [("head", 0, 6), ("middle", 6, 15), ("tail", 15, 21)]))
+    frames = s.read.parquet(f"{d}/embeddings.parquet").count()
+    p = ensemble.with_error(ensemble.density_profile(bindings.frames(s, d), 4), frames)
+    return rounded(ensemble.domain_means(p, "mean_density", [("head", 0, 6), ("middle", 6, 15), ("tail", 15, 21)], "sem"))
 
 
 @_query
@@ -444,7 +448,7 @@ def normal_modes(s, d):
 
 
 def _pivots(s, d):
-    return pivots.build(_index(s, d), new_folder(s, "pivots"))
+    return pivots.build(_index(s, d), new_folder(s, "pivots"), written=True)
 
 
 @_query
@@ -513,7 +517,7 @@ def nearest_by_writhe(s, d):
 def within_frechet_pivots(s, d):
     """All whole curves within a Frechet distance, by an index of pivot curves and the cascade behind it."""
     of = metrics.metric("frechet")
-    index = pivots.build(_index(s, d), new_folder(s, "pivots"), pivots=4, metric=of)
+    index = pivots.build(_index(s, d), new_folder(s, "pivots"), pivots=4, metric=of, written=True)
     return rounded(metrics.within(index, index.item(10), 2.3, of))
 
 
