@@ -367,3 +367,22 @@ SQL |= {
     "structures_in_sql": f"WITH {FRAMES}, t AS (SELECT frame_id, res, {three('x y z')} FROM p), o AS (SELECT res, x AS ox, y AS oy FROM t WHERE frame_id = 0), a AS (SELECT frame_id, abs(atan2(y, x) - atan2(oy, ox)) AS g FROM t JOIN o USING (res) WHERE res = 1) SELECT t.frame_id, count(*) AS residues, round(sqrt(avg((x - ox) * (x - ox))), 6) + 0.0 AS x_distance, round(any_value(CASE WHEN g > pi() THEN 2 * pi() - g ELSE g END), 6) + 0.0 AS turn FROM t JOIN o USING (res) JOIN a USING (frame_id) GROUP BY t.frame_id",
     "bucketed_invariants": SQL["curve_invariants"],
 }
+
+
+def _surface(points: int = 40, sigma: float = 0.8) -> str:
+    """Energy surface of total writhe and curvature: kernel sums on the grid's nodes, then a fixed filter mirrored at the edges, along one axis after the other."""
+    last, reach = points - 1, int(4 * sigma + 0.5)
+    weights = f"f AS (SELECT o, exp(-0.5 * (o / {sigma}) ** 2) / (SELECT sum(exp(-0.5 * (k / {sigma}) ** 2)) FROM range({-reach}, {reach + 1}) u(k)) AS w FROM range({-reach}, {reach + 1}) t(o))"
+    node = lambda k: f"CASE WHEN {k} < 0 THEN -({k}) - 1 WHEN {k} > {last} THEN {2 * last + 1} - ({k}) ELSE {k} END"
+    grid = lambda c: f"lo{c} - 0.2*(hi{c} - lo{c}) + 1.4*(hi{c} - lo{c}) * k / {last}"
+    return f"""WITH {FRAMES}, {PAIRS}, {geometry()}, t AS (SELECT frame_id, x, y FROM (SELECT frame_id, sum(w) AS x FROM pairs GROUP BY frame_id) JOIN (SELECT frame_id, sum(kappa) AS y FROM inv GROUP BY frame_id) USING (frame_id)),
+q AS (SELECT {", ".join(f"quantile_cont({c}, 0.01) AS lo{c}, quantile_cont({c}, 0.99) AS hi{c}" for c in "xy")}, var_samp(x) * count(*) ** (-1.0 / 3) AS cxx, var_samp(y) * count(*) ** (-1.0 / 3) AS cyy, covar_samp(x, y) * count(*) ** (-1.0 / 3) AS cxy FROM t),
+gx AS (SELECT k AS i, {grid("x")} AS gx FROM q, range(0, {points}) r(k)), gy AS (SELECT k AS j, {grid("y")} AS gy FROM q, range(0, {points}) r(k)),
+d AS (SELECT i, j, gx, gy, sum(exp(-0.5 * ((gx-x)**2 * cyy - 2*(gx-x)*(gy-y)*cxy + (gy-y)**2 * cxx) / (cxx*cyy - cxy*cxy))) AS d FROM gx, gy, t, q GROUP BY ALL),
+e AS (SELECT i, j, gx, gy, -ln(greatest(d / (SELECT max(d) FROM d), 1e-4)) AS u FROM d), {weights},
+a AS (SELECT e.i, e.j, e.gx, e.gy, sum(w * o_.u) AS u FROM e, f, e o_ WHERE o_.i = e.i AND o_.j = ({node("e.j + o")}) GROUP BY ALL),
+b AS (SELECT a.i, a.j, a.gx, a.gy, sum(w * o_.u) AS u FROM a, f, a o_ WHERE o_.j = a.j AND o_.i = ({node("a.i + o")}) GROUP BY ALL)
+SELECT round(gx, 6) + 0.0 AS x, round(gy, 6) + 0.0 AS y, round(u - (SELECT min(u) FROM b), 6) + 0.0 AS energy FROM b"""
+
+
+SQL["free_energy_surface"] = _surface()
