@@ -82,4 +82,4 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_topk_search, op2_language_id, op3_best_fit_packing, op4_jaccard_join, op5_html_extract, op6_quality_classifier, op7_suffix_dedup, op8_mix_sources, op9_ann_curves, op10_warc, op11_exact_dedup, op12_vector_codes)
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.SQL, "op4_jaccard_join": jaccard_join.SQL, "op8_mix_sources": mixing.SQL, "op10_warc": warc.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_vector_codes": yinyang.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.SQL, "op4_jaccard_join": jaccard_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op8_mix_sources": mixing.SQL, "op10_warc": warc.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_vector_codes": yinyang.SQL}

@@ -610,3 +610,18 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     got = joined.mapInArrow(run, StructType([*[StructField(p, f.dataType) for p, f in zip(plain, df.schema, strict=True)], *map(StructField, new, kinds)]))
     taken = {x.lower() for x in names}
     return got.select(*[F.col(p).alias(c) for p, c in zip(plain, df.columns, strict=True) if c.lower() not in taken], *[F.col(n).alias(c) for n, c in zip(new, names, strict=True)])
+
+
+#: By the hashes of all strings of 200 bytes.
+SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, i, md5(b[i : i + 199]) AS h FROM (SELECT rid, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+c AS MATERIALIZED (SELECT rid, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT rid, i, (i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i) + 200, 0))::INT AS new FROM c)),
+r AS (SELECT rid, min(i) AS lo, max(i) + 199 AS hi FROM g GROUP BY rid, run),
+k AS (SELECT rid, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) + 1 AS lo, lo - 1 AS hi FROM r UNION ALL SELECT rid, max(hi) + 1, NULL FROM r GROUP BY rid),
+t AS (SELECT rid, string_agg(hex(b[lo : coalesce(hi, octet_length(b))]), '' ORDER BY lo) AS kept FROM k JOIN d USING (rid) WHERE lo <= coalesce(hi, octet_length(b)) GROUP BY rid),
+s AS (SELECT rid, sum(hi - lo + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM r GROUP BY rid)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_removed IS NULL THEN b ELSE unhex(coalesce(kept, '')) END) AS kept_sha256
+FROM d LEFT JOIN s USING (rid) LEFT JOIN t USING (rid)
+"""
