@@ -17,8 +17,14 @@ an item is a suffix with its common-prefix length with the item before it, and t
 than the least such length in between. What the queues hold beyond ``QUEUE_BYTES`` is in a file. Two neighbours
 with a common prefix of ``length`` bytes are repeats.
 
-The recursion on ranked S-type substrings stops after one level, where the doubling takes over: deeper levels
-have so many symbols that batches hold a few items each.
+All else that grows with the text (its symbols and types, the S-type suffixes, their ranks, order and common
+prefixes) is in arrays that are files of the task beyond ``SPACE_BYTES``, gone through in blocks of ``BLOCK`` items; a
+group of equal ranks beyond a block is dealt out by sampled splitters, and again, until its parts fit. So a sort's
+memory does not follow its text.
+
+The recursion on ranked S-type substrings goes by ranks: each round ranks spans of twice as many substrings from
+pairs of ranks, until they cover ``length`` bytes. Inducing each level with queues of its own would give
+queues of so many symbols that batches hold a few items each.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows repeat each other's
 bytes; an empty table gives an empty result. Other columns are not looked at; one with the name of a new column is
@@ -53,7 +59,12 @@ SHARD_BYTES = 2 << 20
 HOT = 2048
 BLOCKS = (24, 1)
 QUEUE_BYTES = 1 << 19
-BATCH = 1 << 20
+#: Bytes of a sort's arrays that are in memory; the others are in files.
+SPACE_BYTES = 64 << 20
+#: Items that are taken at a time: of the arrays, of the queues, and of suffixes that are compared.
+BLOCK = 1 << 19
+BATCH = 1 << 19
+PAIRS = 1 << 16
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 16
 
@@ -286,64 +297,223 @@ class _Scan:
             self.queues[c].push(prev[use[b:e]].astype(np.int32), got[b:e])
 
 
-def _lms_order(text: np.ndarray, lms: np.ndarray, length: int) -> np.ndarray:
-    """Leftmost S-type suffixes ordered by their first ``length`` symbols or more."""
+class Space:
+    """Arrays of a sort: in memory while they fit into a bound together, else in files of the task that go with them."""
+
+    def __init__(self, folder: str | None, bound: int):
+        self.folder, self.left, self.filed = folder, bound, 0
+
+    def array(self, size: int, kind) -> np.ndarray:
+        """Zeros."""
+        need = size * np.dtype(kind).itemsize
+        if need <= self.left:
+            self.left -= need
+            return np.zeros(size, kind)
+        self.filed += need
+        with tempfile.TemporaryFile(prefix="suffix-", dir=self.folder, buffering=0) as f:
+            f.truncate(max(1, need))
+            return np.memmap(f, kind, "r+", shape=(max(1, size),))[:size]
+
+
+def _steps(n: int, size: int | None = None) -> Iterator[tuple[int, int]]:
+    size = size or BLOCK
+    return ((i, min(i + size, n)) for i in range(0, n, size))
+
+
+def _types(text: np.ndarray, n: int, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """S-type flags, lengths of runs of equal symbols (up to 255) and the leftmost S-type places."""
+    is_s, run = space.array(n, bool), space.array(n, np.uint8)
+    for lo, hi in reversed([*_steps(n)]):
+        x = text[lo:hi]
+        end = np.r_[np.flatnonzero(x[1:] != x[:-1]), hi - lo - 1]  # of runs within the block
+        size = np.diff(np.r_[-1, end])
+        s = np.empty(len(end), bool)
+        s[:-1] = x[end[:-1]] < x[end[:-1] + 1]
+        more = 0  # of the last run in the next block
+        if hi == n:
+            s[-1] = True
+        elif text[hi] == x[-1]:
+            s[-1], more = is_s[hi], int(run[hi])
+        else:
+            s[-1] = x[-1] < text[hi]
+        is_s[lo:hi] = np.repeat(s, size)
+        length = np.repeat(end, size) - np.arange(hi - lo) + 1
+        length[hi - lo - size[-1] :] += more
+        run[lo:hi] = np.minimum(length, 255)
+    found = lambda lo, hi: np.flatnonzero(is_s[max(lo, 1) : hi] & ~is_s[max(lo, 1) - 1 : hi - 1]) + max(lo, 1)
+    lms, at = space.array(sum(len(found(lo, hi)) for lo, hi in _steps(n)), np.int32), 0
+    for lo, hi in _steps(n):
+        got = found(lo, hi)
+        lms[at : at + len(got)] = got
+        at += len(got)
+    return is_s, run, lms
+
+
+def _sorted_parts(items: np.ndarray, keys: np.ndarray, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``items`` by their ``keys`` in parts of ``BLOCK``. More than that are dealt out by sampled splitters first, a splitter's own key apart."""
+    n = len(items)
+    if n <= BLOCK:
+        order = np.argsort(keys, kind="stable")
+        yield np.asarray(items)[order], np.asarray(keys)[order]
+        return
+    split = np.unique(np.sort(keys[:: max(1, n // 4096)])[:: 4096 // 64])
+
+    def place(k: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(split, k, side="left")
+        return 2 * i + ((i < len(split)) & (split[np.minimum(i, len(split) - 1)] == k))
+
+    count = np.zeros(2 * len(split) + 1, np.int64)
+    for lo, hi in _steps(n):
+        count += np.bincount(place(keys[lo:hi]), minlength=len(count))
+    start = np.cumsum(count) - count
+    own, dealt, at = space.array(n, items.dtype), space.array(n, keys.dtype), start.copy()
+    for lo, hi in _steps(n):
+        of = place(keys[lo:hi])
+        order = np.argsort(of, kind="stable")
+        first = np.r_[True, of[order][1:] != of[order][:-1]]
+        begin = np.flatnonzero(first)
+        to = at[of[order]] + np.arange(hi - lo) - np.repeat(begin, np.diff(np.r_[begin, hi - lo]))
+        own[to], dealt[to] = items[lo:hi][order], keys[lo:hi][order]
+        at += np.bincount(of, minlength=len(count))
+    for k, size in enumerate(count.tolist()):
+        if size and k % 2:  # all of one key
+            for lo, hi in _steps(size):
+                yield own[start[k] + lo : start[k] + hi], dealt[start[k] + lo : start[k] + hi]
+        elif size:
+            yield from _sorted_parts(own[start[k] : start[k] + size], dealt[start[k] : start[k] + size], space)
+
+
+def _refine(order: np.ndarray, rank: np.ndarray, live: np.ndarray, key_of, over, space: Space) -> np.ndarray:
+    """Sort the items at the places ``live`` of ``order`` within their groups of equal rank by ``key_of(items)``, and rank them anew.
+
+    A rank is the first place of its group. Gives the places still to be sorted: those in a group with others for which ``over(items)``
+    does not hold.
+    """
+    left, kept, at, n = space.array(len(live), np.int32), 0, 0, len(live)
+
+    def settle(place: np.ndarray, items: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Places in order with their items, the places where their runs begin, and how many each run has."""
+        nonlocal kept
+        order[place], rank[items] = items, begin
+        stay = place[(size > 1) & ~over(items)]
+        left[kept : kept + len(stay)] = stay
+        kept += len(stay)
+
+    while at < n:
+        upto = min(at + BLOCK, n)
+        place = np.asarray(live[at:upto])
+        items = order[place]
+        base = rank[items]
+        if upto < n:  # up to the end of the last whole group
+            cut = int(np.searchsorted(base, base[-1]))
+            if cut == 0 and rank[order[live[upto]]] == base[0]:
+                cut = None
+            elif cut and rank[order[live[upto]]] == base[-1]:
+                place, items, base = place[:cut], items[:cut], base[:cut]
+        else:
+            cut = len(base)
+        if cut is not None:
+            key = key_of(items)
+            by = np.lexsort((key, base))
+            items, key = items[by], key[by]
+            new = np.r_[True, (base[1:] != base[:-1]) | (key[1:] != key[:-1])]
+            first = np.flatnonzero(new)
+            size = np.diff(np.r_[first, len(items)])
+            settle(place, items, np.repeat(place[first], size), np.repeat(size, size))
+            at += len(items)
+            continue
+        group, end = int(base[0]), upto  # one group beyond a block; its places follow each other
+        while end < n:
+            more = rank[order[live[end : min(end + BLOCK, n)]]]
+            same = int(np.searchsorted(more, group, side="right"))
+            end += same
+            if same < len(more):
+                break
+        many = end - at
+        ids, keys = space.array(many, np.int32), space.array(many, np.uint64)
+        for lo, hi in _steps(many):
+            ids[lo:hi] = order[live[at + lo : at + hi]]
+            keys[lo:hi] = key_of(ids[lo:hi])
+        sorted_, last, begin, done = space.array(many, np.int32), None, space.array(many, np.int32), 0
+        for own, key in _sorted_parts(ids, keys, space):
+            new = np.r_[last is None or key[0] != last, key[1:] != key[:-1]]
+            first = np.where(new, np.arange(len(own)) + done, 0)
+            if not new[0]:
+                first[0] = begin[done - 1]
+            sorted_[done : done + len(own)] = own
+            begin[done : done + len(own)] = np.maximum.accumulate(first)
+            last, done = key[-1], done + len(own)
+        for lo, hi in _steps(many):
+            b = np.asarray(begin[lo:hi])
+            alone = (b == np.arange(lo, hi)) & (np.r_[begin[lo + 1 : hi], begin[hi] if hi < many else many] != b)
+            settle(np.arange(group + lo, group + hi), np.asarray(sorted_[lo:hi]), group + b, np.where(alone, 1, 2))
+        at = end
+    return left[:kept]
+
+
+def _lms_order(text: np.ndarray, n: int, lms: np.ndarray, length: int, space: Space) -> np.ndarray:
+    """Numbers of the leftmost S-type suffixes, ordered by their first ``length`` symbols or more."""
     m = len(lms)
-    size = np.diff(np.r_[lms, len(text)])
-    # rank S-type substrings: by up to 6 symbols at a time, ties by the next ones
-    rank = np.zeros(m, np.int64)
-    pad = np.concatenate([text, np.zeros(16, text.dtype)])
-    depth, longest = 0, int(size.max()) + 1
-    span = np.r_[size[:-1] + 1, 1]
-    live = np.arange(m)
-    while len(live) and depth < min(longest, length + 8):
-        key = np.zeros(len(live), U)
+    order, rank, live = (space.array(m, np.int32) for _ in range(3))
+    for lo, hi in _steps(m):
+        order[lo:hi] = live[lo:hi] = np.arange(lo, hi)
+
+    def span(items: np.ndarray) -> np.ndarray:
+        return np.where(items + 1 < m, lms[np.minimum(items + 1, m - 1)] - lms[items] + 1, 1)
+
+    depth = 0
+
+    def symbols(items: np.ndarray) -> np.ndarray:
+        """Six symbols of an S-type substring from ``depth`` on; what is beyond its end is larger than all."""
+        key, size, at = np.zeros(len(items), U), span(items), lms[items].astype(np.int64) + depth
         for d in range(6):
-            key = (key << U(9)) | np.where(depth + d < span[live], pad[np.minimum(lms[live] + depth + d, len(text))].astype(U), U(511))
-        base = rank[live]
-        order = np.lexsort((key, base))
-        b, k = base[order], key[order]
-        new = np.r_[True, (b[1:] != b[:-1]) | (k[1:] != k[:-1])]
-        group = np.r_[True, b[1:] != b[:-1]]
-        place = np.arange(len(live))
-        start_of_group = np.maximum.accumulate(np.where(group, place, 0))
-        start_of_run = np.maximum.accumulate(np.where(new, place, 0))
-        rank[live[order]] = b + start_of_run - start_of_group
-        alone = new & np.r_[new[1:], True]
-        done = alone | (depth + 6 >= span[live[order]])
-        live = np.sort(live[order[~done]])
+            key = (key << U(9)) | np.where(depth + d < size, text[np.minimum(at + d, n)].astype(U), U(511))
+        return key
+
+    while len(live) and depth < length + 8:
+        live = _refine(order, rank, live, symbols, lambda items: depth + 6 > span(items), space)  # noqa: B023
         depth += 6
-    step, order = 1, np.argsort(rank, kind="stable")
-    while True:  # rank covers ``step`` S-type substrings, each of which has two symbols or more of its own
-        if 2 * step > length + 1 or step >= m:
-            break
-        nxt = np.full(m, -1, np.int64)
-        nxt[:-step] = rank[step:]
-        k = (rank[order].astype(U) << U(32)) | (nxt[order] + 1).astype(U)
-        place = np.argsort(k, kind="stable")  # in order but for ties, which this sort makes use of
-        order, k = order[place], k[place]
-        new = np.r_[True, k[1:] != k[:-1]]
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(m), 0))
-        if new.all():
+    step = 1
+    while 2 * step <= length + 1 and step < m:  # ranks cover ``step`` substrings, each of which has two symbols or more of its own
+        live, at = space.array(m, np.int32), 0
+        for lo, hi in _steps(m):
+            r = rank[order[lo : min(hi + 1, m)]]
+            own = r[: hi - lo]
+            shared = (own != np.arange(lo, hi)) | (np.r_[r[1:], -1][: hi - lo] == own)
+            got = np.flatnonzero(shared) + lo
+            live[at : at + len(got)] = got
+            at += len(got)
+        if not at:
             break
+        after = lambda items: np.where(items + step < m, rank[np.minimum(items + step, m - 1)] + 1, 0).astype(U)  # noqa: B023, E731
+        _refine(order, rank, live[:at], after, lambda items: np.ones(len(items), bool), space)
         step *= 2
     return order
 
 
-def _adjacent_lcp(text: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
-    """Common-prefix lengths of neighbours in ``at``, up to ``cap``.
+def _seed_lcp(text: np.ndarray, n: int, lms: np.ndarray, order: np.ndarray, cap: int, space: Space) -> np.ndarray:
+    """Common-prefix lengths, up to ``cap``, of each suffix in ``order`` with the one before it, by the suffixes' numbers."""
+    m = len(lms)
+    before, out = space.array(m, np.int32), space.array(m, np.uint8)
+    for lo, hi in _steps(m):
+        before[order[lo:hi]] = np.r_[order[lo - 1] if lo else -1, order[lo : hi - 1]]
+    for lo, hi in _steps(m, PAIRS):
+        other = np.asarray(before[lo:hi])
+        use = np.flatnonzero(other >= 0)
+        out[lo + use] = _match(text, n, lms[lo + use].astype(np.int64), lms[other[use]].astype(np.int64), cap)
+    return out
+
+
+def _match(text: np.ndarray, n: int, pos: np.ndarray, other: np.ndarray, cap: int) -> np.ndarray:
+    """Common-prefix lengths of suffixes at ``pos``, ascending, with those at ``other``, up to ``cap``. ``text`` has 32 symbols beyond its n.
 
     Suffixes next to each other in the text that have their neighbours at the same distance match up to the same
     place, so only the first of such a run is compared, up to ``cap`` symbols beyond the last.
     """
-    out = np.zeros(len(at), np.uint8)
-    if len(at) < 2:
-        return out
+    if not len(pos):
+        return np.zeros(0, np.uint8)
     wide = 32
-    place = np.argsort(at[1:])
-    pos, other = at[1:][place], at[:-1][place]
-    pad = np.concatenate([text, np.zeros(wide, text.dtype)])
-    block = np.lib.stride_tricks.sliding_window_view(pad, wide)
+    block = np.lib.stride_tricks.sliding_window_view(text, wide)
     ends = np.zeros(len(pos), np.int64)  # where a suffix's match ends
     head = np.r_[True, np.diff(pos - other) != 0]
     while head.any():
@@ -355,8 +525,8 @@ def _adjacent_lcp(text: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
             while len(live):
                 p = pos[first[live]] + depth[live]
                 q = other[first[live]] + depth[live]
-                ok = np.maximum(p, q) < len(text)  # the text's last symbol is alone, so matches end before it
-                differ = block[np.minimum(p, len(text))] != block[np.minimum(q, len(text))]
+                ok = np.maximum(p, q) < n  # the text's last symbol is alone, so matches end before it
+                differ = block[np.minimum(p, n)] != block[np.minimum(q, n)]
                 hit = differ.any(1) | ~ok
                 depth[live] += np.where(hit, np.where(ok, differ.argmax(1), 0), wide)
                 live = live[~hit & (depth[live] < most[live])]
@@ -369,32 +539,32 @@ def _adjacent_lcp(text: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
             break
         begin = over & ~np.r_[False, over[:-1]]
         head |= begin
-    out[place + 1] = np.clip(reach - 1 - pos, 0, cap)
-    return out
+    return np.clip(reach - 1 - pos, 0, cap).astype(np.uint8)
 
 
-def repeated_starts(text: np.ndarray, length: int = LENGTH, queue_bytes: int = QUEUE_BYTES, folder: str | None = None, sink: list | None = None) -> np.ndarray:
+def repeated_starts(text: np.ndarray, length: int = LENGTH, queue_bytes: int = QUEUE_BYTES, folder: str | None = None, sink: list | None = None, space: Space | None = None) -> np.ndarray:
     """For a string of symbols 1 .. 500 ending in a single 0: where suffixes start that share ``length`` symbols with another.
 
-    ``length`` is at most 254. With ``sink``, the suffix array and its capped common-prefix lengths are appended to it.
+    ``length`` is at most 254. With ``sink``, the suffix array and its capped common-prefix lengths are appended to it. A
+    text of ``space`` has 32 zeros more, which are no part of it.
     """
-    text = text.astype(np.uint16, copy=False)
-    n, cap = len(text), length + 1
-    flag = np.zeros(n, bool)
+    n, cap = len(text) - (0 if space is None else 32), length + 1
+    if space is None:
+        space = Space(folder, SPACE_BYTES)
+        own = space.array(n + 32, np.uint16)
+        own[:n] = text
+        text = own
+    flag = space.array(n, bool)
     if n < 2:
         return flag
-    change = np.flatnonzero(text[1:] != text[:-1])
-    run_end = np.r_[change, n - 1]
-    run_size = np.diff(np.r_[-1, run_end])
-    run = np.minimum(np.repeat(run_end, run_size) - np.arange(n) + 1, 255).astype(np.uint8)  # equal symbols from here on
-    next_ = np.r_[text[change + 1], 0]
-    is_s = np.repeat(text[run_end] < next_, run_size)
-    is_s[-1] = True
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    seeds = lms[_lms_order(text, lms, length)]
-    seed_lcp = _adjacent_lcp(text, seeds, cap)
-    symbols = int(text.max()) + 1
-    seed_at = np.searchsorted(text[seeds], np.arange(symbols + 1))
+    is_s, run, lms = _types(text, n, space)
+    order = _lms_order(text, n, lms, length, space)
+    prefix = _seed_lcp(text, n, lms, order, cap, space)
+    symbols = max(int(text[lo:hi].max()) for lo, hi in _steps(n)) + 1
+    count = np.zeros(symbols + 1, np.int64)
+    for lo, hi in _steps(len(lms)):
+        count[1:] += np.bincount(text[lms[lo:hi]], minlength=symbols)
+    seed_at = np.cumsum(count)
     with Pool(folder, queue_bytes) as pool:
         larger = [Runs(pool) for _ in range(symbols)]
         scan = _Scan(text, is_s, False, larger, cap)
@@ -408,13 +578,12 @@ def repeated_starts(text: np.ndarray, length: int = LENGTH, queue_bytes: int = Q
                 flag[at[:-1][lcp[1:] >= length]] = True
                 last = at[-1]
                 scan.feed(at, lcp)
-            i, j = seed_at[c], seed_at[c + 1]
-            if i < j:
-                lcp = seed_lcp[i:j].copy()
-                lcp[0] = 0 if last is None else min(cap, int(run[last]), int(run[seeds[i]]))
-                scan.feed(seeds[i:j], lcp)
-            elif last is None:
-                continue
+            for i, j in _steps(seed_at[c + 1] - seed_at[c]):
+                of = order[seed_at[c] + i : seed_at[c] + j]
+                at, lcp = lms[of], prefix[of]
+                if i == 0:
+                    lcp[0] = 0 if last is None else min(cap, int(run[last]), int(run[at[0]]))
+                scan.feed(at, lcp)
         smaller = [Runs(pool) for _ in range(symbols)]
         scan = _Scan(text, is_s, True, smaller, cap)
         for c in range(symbols - 1, -1, -1):
@@ -534,20 +703,29 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, hot: int =
     def sort(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         data, offs = as_bytes(table.column("bytes"))
-        size = np.diff(offs)
-        text = np.ones(len(data) + len(size) + 1, np.uint16)
-        at = np.repeat(np.arange(len(size)), size) + np.arange(len(data))
-        text[at] = data.astype(np.uint16) + 2
-        text[-1] = 0
-        flag = repeated_starts(text, length)
-        flag = flag[at]
-        flag |= np.repeat(table.column("times").to_numpy() > 1, size)
-        # only a segment's own starts count; the last length - 1 bytes are there to be compared
-        flag[np.concatenate([np.arange(e - min(length - 1, e - s), e) for s, e in zip(offs[:-1], offs[1:], strict=True)])] = False
-        lo, hi = _edges(flag)
-        row = np.searchsorted(offs, lo, side="right") - 1
+        times = table.column("times").to_numpy()
+        space = Space(None, SPACE_BYTES)
+        text = space.array(len(data) + len(times) + 1 + 32, np.uint16)
+        for i, j in chunks(offs, BLOCK):  # each segment with a 1 after it
+            part, size = data[offs[i] : offs[j]], np.diff(offs[i : j + 1])
+            own = np.ones(len(part) + j - i, np.uint16)
+            own[np.arange(len(part)) + np.repeat(np.arange(j - i), size)] = part.astype(np.uint16) + 2
+            text[offs[i] + i : offs[j] + j] = own
+        text[len(data) + len(times)] = 0
+        flag, found = repeated_starts(text, length, space=space), []
+        for i, j in chunks(offs, BLOCK):
+            start = offs[i : j + 1] - offs[i]
+            size = np.diff(start)
+            own = np.asarray(flag[offs[i] + i : offs[j] + j])[np.arange(start[-1]) + np.repeat(np.arange(j - i), size)]
+            own |= np.repeat(times[i:j] > 1, size)
+            # only a segment's own starts count; the last length - 1 bytes are there to be compared
+            own[np.concatenate([np.arange(e - min(length - 1, e - s), e) for s, e in zip(start[:-1], start[1:], strict=True)])] = False
+            lo, hi = _edges(own)
+            row = np.searchsorted(start, lo, side="right") - 1
+            found.append((i + row, lo - start[row], hi - start[row]))
+        row, lo, hi = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
         k, c = (table.column(x).to_numpy() for x in ("key", "content"))
-        return pa.table({"key": k[row], "content": c[row], "lo": (lo - offs[row]).astype(np.int32), "hi": (hi - offs[row]).astype(np.int32)})
+        return pa.table({"key": k[row], "content": c[row], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
 
     marks = texts.groupBy("shard").applyInArrow(sort, "key long, content long, lo int, hi int")
     marks = scratch.save(marks, "marks")
