@@ -28,8 +28,8 @@ queues of so many symbols that batches hold a few items each.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows repeat each other's
 bytes; an empty table gives an empty result. Other columns are not looked at; one with the name of a new column is
-replaced by it. Rows are told apart by 96 bits of hashes of id and text (rows equal in both share their ranges), and
-segments by a 64-bit hash beside their key. A segment that doesn't fit its row is an error.
+replaced by it. Rows are told apart by 96 bits of hashes of id and text and one of ``SALTS`` numbers that copies take in turn (rows
+equal in all three share their ranges, and no bucket has all copies of a row), and segments by a 64-bit hash beside their key. A segment that doesn't fit its row is an error.
 
 The rows are written once, dealt to buckets by their hash; every later join with them reads that table without
 moving texts again.
@@ -59,6 +59,7 @@ SHARD_BYTES = 2 << 20
 HOT = 2048
 BLOCKS = (24, 1)
 QUEUE_BYTES = 1 << 19
+SALTS = 64
 #: Bytes of a sort's arrays that are in memory; the others are in files.
 SPACE_BYTES = 64 << 20
 #: Items that are taken at a time: of the arrays, of the queues, and of suffixes that are compared.
@@ -754,7 +755,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     place = df.columns.index(text_col)
     plain = [f"c{i}" for i in range(len(df.columns))]  # columns of any names
     identity = F.col(f"c{df.columns.index(id_col)}"), F.col(f"c{place}")
-    rows = df.toDF(*plain).select("*", F.xxhash64(*identity).alias("rid"), F.hash(*reversed(identity)).alias("tag"))
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))  # kept with the row in the table that is written next
+    rows = df.toDF(*plain).select("*", F.xxhash64(*identity, turn).alias("rid"), F.hash(*reversed(identity)).alias("tag"))
     rows = scratch.bucketed(rows, "rows", "rid", "tag")
     ranges = repeats(rows.select("rid", "tag", F.col(f"c{place}").alias("text")), scratch, length, hot)
     cuts = scratch.save(ranges.groupBy("rid", "tag").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("cuts")), "cuts").withColumnsRenamed({"rid": "w_rid", "tag": "w_tag"}).hint("shuffle_hash")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import language_id, mixing, packing, quality, topk_search
+from strandlake.llm import language_id, mixing, packing, quality, suffix_dedup, topk_search
 
 DOCS = "doc_id long, text string, lang string, source string, size long, key string, n long"
 
@@ -113,3 +113,20 @@ def test_query_blocks_do_not_follow_partitions(spark, monkeypatch):
         got = topk_search.exact_top_k(df.repartition(3), df.repartition(parts), k=3, query_block=50).collect()
         runs.append((sorted(calls), sorted(map(tuple, got))))
     assert runs[0] == runs[1] and sum(runs[0][0]) == 200 and max(runs[0][0]) <= 100
+
+
+def test_copies_of_a_row_are_in_many_buckets(spark, monkeypatch):
+    """Removal of repeats: a third of all rows is one row, and no bucket of the written table has all of it."""
+    text = "".join(chr(97 + i * i % 26) for i in range(300))
+    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(text)).otherwise(F.concat(F.lit("own "), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
+    seen, plain = {}, suffix_dedup.Scratch.bucketed
+
+    def bucketed(self, d, name, *by):
+        got = plain(self, d, name, *by)
+        seen[name] = [r["n"] for r in got.where("c0 IS NULL").groupBy(*by).agg(F.count("*").alias("n")).collect()]
+        return got
+
+    monkeypatch.setattr(suffix_dedup.Scratch, "bucketed", bucketed)
+    got = suffix_dedup.remove_repeats(df).collect()
+    assert sum(seen["rows"]) == 300 and max(seen["rows"]) <= 20
+    assert sum(r.n_removed for r in got if r.doc_id is None) == 300 * 300 and all(r.n_removed == 0 for r in got if r.doc_id is not None)
