@@ -386,3 +386,4 @@ SELECT round(gx, 6) + 0.0 AS x, round(gy, 6) + 0.0 AS y, round(u - (SELECT min(u
 
 
 SQL["free_energy_surface"] = _surface()
+SQL["trace_parts"] = "SELECT vec_id AS frame_id, 10::BIGINT AS points, 10::BIGINT AS strand_points, true AS has_strand, 8::BIGINT AS res, round(embedding[25]::DOUBLE, 6) + 0.0 AS x, round(embedding[55]::DOUBLE, 6) + 0.0 AS cx, round(embedding[56]::DOUBLE, 6) + 0.0 AS cy, round(embedding[57]::DOUBLE, 6) + 0.0 AS cz FROM embeddings"

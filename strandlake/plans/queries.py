@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..operators import audit, curves, ensemble, geometry, metrics, network, pivots, search, states, superposition, writhe
+from ..operators import audit, curves, ensemble, geometry, metrics, network, pivots, search, states, superposition, traces, writhe
 from ..sources import bindings, layout, pdb
 from ..storage import new_folder
 
@@ -561,3 +561,13 @@ def structures_in_sql(s, d):
 def bucketed_invariants(s, d):
     """As curve_invariants, from points that are laid out by frame."""
     return rounded(geometry.invariants(layout.write_by_frame(bindings.frames(s, d), new_folder(s, "points"), 8)))
+
+
+@_query
+def trace_parts(s, d):
+    """Curves with a second strand put on, their sizes, and their last points but one."""
+    points = bindings.frames(s, d).where("res < 10")
+    strand = bindings.frames(s, d).where("res >= 10 AND res < 20").withColumn("res", F.col("res") - 10)
+    whole = traces.with_strand(points, strand)
+    last = traces.point(whole, -2).select("frame_id", "res", "x", "cx", "cy", "cz")
+    return rounded(traces.describe(whole).join(last, "frame_id"))

@@ -180,3 +180,23 @@ def test_networks_in_parts_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(network, "PART_BYTES", 5000)
     got = {(r.i, r.j): r.r for r in network.network(inv).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_traces(spark):
+    from strandlake.operators import traces
+
+    r = np.random.default_rng(3)
+    arrays, strands = [r.standard_normal((n, 3)) for n in (5, 3)], [r.standard_normal((n, 3)) for n in (5, 3)]
+    points, strand = points_of(spark, arrays), points_of(spark, strands)
+    both = traces.with_strand(points, strand)
+    assert np.array_equal(traces.coordinates(both, 1), arrays[1]) and np.array_equal(traces.coordinates(both, 0, True), strands[0])
+    assert sorted(map(tuple, traces.describe(both).collect())) == [(0, 5, 5, True), (1, 3, 3, True)] and sorted(map(tuple, traces.describe(points).collect())) == [(0, 5, 0, False), (1, 3, 0, False)]
+    assert traces.with_strand(both, points).where("cx <> x").count() == 0
+    assert sorted((x.frame_id, x.res) for x in traces.point(both, 3).collect()) == [(0, 3)] and sorted((x.frame_id, x.res) for x in traces.point(both, -1).collect()) == [(0, 4), (1, 2)]
+    assert traces.ribbon(both).count() == 8 and traces.backbone(both).columns == ["frame_id", "res", "x", "y", "z"]
+    with pytest.raises(Exception, match="frame 0 has 5 points and 0"):
+        traces.ribbon(points.where("frame_id = 0")).collect()
+    with pytest.raises(Exception, match="differ at frame 1, point 2"):
+        traces.with_strand(points, strand.where("NOT (frame_id = 1 AND res = 2)")).collect()
+    with pytest.raises(ValueError, match="no frame 9"):
+        traces.coordinates(points, 9)
