@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +96,51 @@ def build(index: DataFrame, path: str, pivots: int = PIVOTS, sample: int = SAMPL
     return PivotIndex.open(spark, path)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    a = column.combine_chunks()
+    flat = a.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(a), -1) if len(a) else np.zeros((0, 0))
+
+
+def _near_pairs(k: int, pivots: int):
+    """For queries and frames that meet: of each query's frames that pass all pivots, the k nearest within its limit."""
+
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if q.num_rows and x.num_rows:
+            a, b = _matrix(q.column("q_writhe")), _matrix(x.column("writhe"))
+            own, there = (np.stack([t.column(f"{n}{p}").to_numpy() for p in range(pivots)], 1) for t, n in ((q, "q"), (x, "p")))
+            ids, asked, reach, limit = x.column("frame_id").to_numpy(), q.column("query_id").to_numpy(), q.column("reach").to_numpy(), q.column("limit").to_numpy()
+            step = max(1, curves.PAIR_BYTES // (8 * len(b)))
+            for i in range(0, len(a), step):
+                near = asked[i : i + step, None] != ids[None, :]
+                for p in range(pivots):
+                    near &= np.abs(own[i : i + step, p, None] - there[None, :, p]) <= reach[i : i + step, None]
+                r, c = np.nonzero(near)
+                for at in range(0, len(r), 1 << 18):  # few of these pairs stay, so their differences are made in parts
+                    rr, cc = r[at : at + (1 << 18)], c[at : at + (1 << 18)]
+                    d = np.sqrt(((a[i + rr] - b[cc]) ** 2).mean(1)) if a.shape[1] else np.zeros(len(rr))
+                    good = d <= limit[i + rr]
+                    rr, cc, d = rr[good], cc[good], d[good]
+                    order = np.lexsort((ids[cc], d, rr))
+                    rr, cc, d = rr[order], cc[order], d[order]
+                    head = np.flatnonzero(np.r_[True, rr[1:] != rr[:-1]]) if len(rr) else np.zeros(0, int)
+                    place = np.arange(len(rr)) - np.repeat(head, np.diff(np.r_[head, len(rr)]))
+                    use = place < k
+                    found.append((asked[i + rr[use]], ids[cc[use]], d[use]))
+        cols = [np.concatenate([f[j] for f in found]) if found else np.zeros(0) for j in range(3)]
+        made = pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "frame_id", "writhe_distance"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+        if made.num_rows > k:  # a query's pairs may have come in several parts
+            made = made.sort_by([("query_id", "ascending"), ("writhe_distance", "ascending"), ("frame_id", "ascending")])
+            own = made.column("query_id").to_numpy()
+            head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            place = np.arange(len(own)) - np.repeat(head, np.diff(np.r_[head, len(own)]))
+            made = made.filter(pa.array(place < k))
+        return made
+
+    return run
+
+
 @dataclass
 class PivotIndex:
     """Queries are the arrays of the index's metric as a tuple; of a spectrum also the array alone."""
@@ -197,9 +243,10 @@ class PivotIndex:
     def nearest_of(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, rank, frame_id, writhe_distance: the k nearest frames other than itself of each row (query_id, writhe) of ``queries``.
 
-        Queries meet the seeds of their cell, which gives each a radius; then the cells within that radius. A cell of
-        many frames is cut into parts by a hash of the frame, and its queries go to all of them. Queries of another
-        length than the index's, and those without a radius, meet all frames, in blocks of the broadcast queries.
+        Queries meet the seeds of their cell, which gives each a radius; then the cells within that radius. A cell of many
+        frames or queries is cut into parts by hashes of their ids, and all parts of one meet all of the other; of each such
+        meeting at most k frames a query go on. Queries without a radius meet all cells, and those of another length than the
+        index's all frames.
         """
         if self.metric.name != "writhe":
             raise ValueError("many queries are asked by spectra")
@@ -214,33 +261,35 @@ class PivotIndex:
                 yield pd.concat([d.reset_index(drop=True), pd.DataFrame(own, columns=[f"q{k}" for k in range(len(pivots))]).assign(q_cell=np.searchsorted(cuts, own[:, 0], side="right").astype(np.int32))], axis=1)
 
         asked = queries.select("query_id", F.col("writhe").alias("q_writhe"))
-        q = asked.where(F.size("q_writhe") == length).mapInPandas(placed, f"query_id long, q_writhe array<double>, {kinds}")
-        far = v.spectrum_distance(F.col("writhe"), F.col("q_writhe"))
-        other = F.col("frame_id") != F.col("query_id")
-        seeds = self.frames.where("even AND seed").select("cell", "frame_id", "writhe")
-        first = q.join(seeds, (F.col("q_cell") == F.col("cell")) & other).select("query_id", far.alias("d"))
-        by = Window.partitionBy("query_id").orderBy("d")
-        first = first.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k).groupBy("query_id").agg(F.max("d").alias("r"), F.count("*").alias("have"))
-        q = q.join(first.where(F.col("have") == k).select("query_id", "r"), "query_id", "left")
+        even = asked.where(F.size("q_writhe") == length)
+        q = even.mapInPandas(placed, f"query_id long, q_writhe array<double>, {kinds}")
+        seeds = self.frames.where("even AND seed").select("cell", "frame_id", "writhe", *names)
+        wide = q.withColumns({"reach": F.lit(float("inf")), "limit": F.lit(float("inf"))})
+        pair, out = _near_pairs(k, len(pivots)), "query_id long, frame_id long, writhe_distance double"
+        first = wide.groupBy("q_cell").cogroup(seeds.groupBy("cell")).applyInArrow(pair, out)
+        first = first.groupBy("query_id").agg(F.max("writhe_distance").alias("r"), F.count("*").alias("have")).where(F.col("have") == k)
+        q = q.join(first.select(F.col("query_id").alias("_q"), "r"), F.col("query_id") == F.col("_q"), "left").drop("_q")
 
         @F.pandas_udf("int")
         def cell(p: pd.Series) -> pd.Series:
             return pd.Series(np.searchsorted(cuts, p.to_numpy(), side="right").astype(np.int32))
 
         reach = F.col("r") + _SLACK * (1 + F.col("r") + F.greatest(F.lit(0.0), *[F.col(f"q{k}") for k in range(len(pivots))]))
-        q = q.withColumn("reach", F.coalesce(reach, F.lit(float("inf"))))
+        q = q.withColumns({"reach": F.coalesce(reach, F.lit(float("inf"))), "limit": F.coalesce("r", F.lit(float("inf")))})
         ends = q.withColumn("lo", cell(F.col("q0") - F.col("reach"))).withColumn("hi", cell(F.col("q0") + F.col("reach")))
         parts = self.frames.where("even").groupBy("cell").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
         parts = F.broadcast(parts.select(F.col("cell").alias("of"), "parts"))  # at most CELLS rows
-        spread = ends.withColumn("at", F.explode(F.sequence("lo", "hi"))).join(parts, F.col("at") == F.col("of")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = self.frames.where("even").join(parts, F.col("cell") == F.col("of")).withColumn("_part", F.pmod(F.xxhash64("frame_id"), F.col("parts")).cast("int"))
-        near = (F.col("at") == F.col("cell")) & (F.col("part") == F.col("_part")) & other
-        for name, own in zip(names, [f"q{k}" for k in range(len(pivots))], strict=True):
-            near &= F.abs(F.col(name) - F.col(own)) <= F.col("reach")
-        pruned = spread.join(rows.select("frame_id", "writhe", "cell", "_part", *names), near).select("query_id", "frame_id", far.alias("writhe_distance"), "r").where(F.col("r").isNull() | (F.col("writhe_distance") <= F.col("r"))).drop("r")
-        found = pruned
+        spread = ends.withColumn("at", F.explode(F.sequence("lo", "hi"))).join(parts, F.col("at") == F.col("of")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("of")
+        rows = self.frames.where("even").join(parts, F.col("cell") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("frame_id"), F.col("parts")).cast("int"))
+        rows = rows.select("cell", "part", "frame_id", "writhe", *names)
+        # queries of a cell go in parts as well, each to all parts of the frames
+        many = F.broadcast(spread.groupBy(F.col("at").alias("of")).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("q_parts")))
+        spread = spread.join(many, F.col("at") == F.col("of")).withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int")).drop("of")
+        many = F.broadcast(many.toDF("x_of", "x_parts"))
+        rows = rows.join(many, F.col("cell") == F.col("x_of")).select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("x_parts") - 1)).alias("q_part"))
+        found = spread.groupBy("at", "part", "q_part").cogroup(rows.groupBy("cell", "part", "q_part")).applyInArrow(pair, out)
         if self.uneven():
-            found = found.unionAll(self._scanned(q.select("query_id", "q_writhe"), self.frames.where("NOT even")))
+            found = found.unionAll(self._scanned(even, self.frames.where("NOT even")))
         if asked.where(F.size("q_writhe") != length).head(1):
             found = found.unionAll(self._scanned(asked.where(F.size("q_writhe") != length), self.frames))
         order = Window.partitionBy("query_id").orderBy("writhe_distance", "frame_id")
