@@ -30,11 +30,11 @@ def measures(docs: DataFrame) -> DataFrame:
     return sized.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), x.alias("value")) for n, x in of.items()])).alias("m")).select(*KEYS, "m.measure", "m.value")
 
 
-def run(spark: SparkSession, tables: str, output: str, checkpoint: str, bimodal: float = 5 / 9) -> DataFrame:
-    """Take new documents below ``tables``, and give the profile of all so far: source, lang, measure, n, mean, variance, skewness, kurtosis, bc, bimodal."""
+def run(spark: SparkSession, tables: str, output: str, checkpoint: str, bimodal: float = 5 / 9, files: int = 1000) -> DataFrame:
+    """Take new documents below ``tables``, at most ``files`` files in a micro-batch, and give the profile of all so far: source, lang, measure, n, mean, variance, skewness, kurtosis, bc, bimodal."""
     ship(spark)
     path, kept, profile = f"{tables.rstrip('/')}/documents.parquet", f"{output.rstrip('/')}/states", f"{output.rstrip('/')}/profile"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(exactly(path)).select("text", *KEYS)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(exactly(path)).select("text", *KEYS)
     spark.createDataFrame([], STORED).write.mode("append").partitionBy("batch").parquet(kept)
 
     def add(docs: DataFrame, batch: int) -> None:

@@ -75,6 +75,17 @@ def test_text_moments_batch_is_replaced_when_repeated(spark, tmp_path):
     same(told(text_moments.run(spark, str(tmp_path), f"{tmp_path}/out", f"{tmp_path}/mark")), profile_of(docs))
 
 
+def test_text_moments_in_many_batches(spark, tmp_path):
+    """A bound on the files of a micro-batch changes nothing but the number of states."""
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    table = tmp_path / "a b" / "documents.parquet"
+    table.mkdir(parents=True)
+    for k in range(5):
+        docs.iloc[k::5].to_parquet(table / f"part-{k}.parquet", index=False)
+    same(told(text_moments.run(spark, str(table.parent), f"{tmp_path}/out", f"{tmp_path}/mark", files=2)), profile_of(docs))
+    assert spark.read.parquet(f"{tmp_path}/out/states").select("batch").distinct().count() == 3
+
+
 def test_text_moments_of_nothing(spark, tmp_path):
     pd.read_parquet(f"{SF}/documents.parquet").iloc[:0].to_parquet(tmp_path / "documents.parquet")
     assert text_moments.run(spark, str(tmp_path), f"{tmp_path}/out", f"{tmp_path}/mark").collect() == []
