@@ -20,7 +20,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import size_of
@@ -118,3 +118,26 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capac
         return pa.table({"doc_id": ids.take(pa.array(row)), "piece": pa.array(number, pa.int32()), "start": start, "length": length, "shard": pa.array(np.full(len(row), key[0].as_py()), pa.int64()), "sequence": placed(s, pa.int64()), "capacity": placed(c, pa.int32()), "offset": placed(o, pa.int32())})
 
     return rows.groupBy("shard").applyInArrow(run, SCHEMA)
+
+
+def coverage(packed: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
+    """doc_id, words, pieces, valid of a packing: what each document has in it, and whether all of its pieces are where they may be.
+
+    A piece is valid if it begins where the piece before it in its sequence ends, the sequence's capacity is the smallest that holds its
+    pieces, and the document's pieces follow each other from its first word on. Rows of one id count together, in the order of their pieces.
+    """
+    caps = F.array(*[F.lit(c) for c in sorted(capacities)])
+    inside = Window.partitionBy("shard", "sequence").orderBy("offset", "length").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("shard", "sequence")
+    placed = packed.where("sequence IS NOT NULL").withColumn("_at", F.coalesce(F.sum("length").over(inside), F.lit(0))).withColumn("_used", F.sum("length").over(whole))
+    fits = (F.col("offset") == F.col("_at")) & (F.col("capacity") == F.array_min(F.filter(caps, lambda c: c >= F.col("_used"))))
+    rows = placed.select("doc_id", "piece", "start", "length", fits.alias("fits")).unionByName(packed.where("sequence IS NULL").select("doc_id", "piece", "start", "length", (F.col("length") == 0).alias("fits")))
+    follows = F.col("start") == F.col("piece") * max(capacities)
+    return rows.groupBy("doc_id").agg(F.sum("length").cast("long").alias("words"), F.count("*").alias("pieces"), F.every(F.col("fits") & follows).alias("valid"))
+
+
+#: Of :func:`coverage`, for documents whose ids are not repeated.
+COVERAGE_SQL = r"""
+WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM documents)
+SELECT doc_id, words, greatest(1, ceil(words / 4096))::BIGINT AS pieces, true AS valid FROM d
+"""

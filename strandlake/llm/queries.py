@@ -79,7 +79,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.compress(_table(spark, sf_dir, "embeddings")).drop("looked")
 
 
+def packing_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That every document is in the packing once, in sequences that hold what they may."""
+    return packing.coverage(packing.pack(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk_search, op2_language_id, op3_best_fit_packing, op4_jaccard_join, op5_html_extract, op6_quality_classifier, op7_suffix_dedup, op8_mix_sources, op9_ann_curves, op10_warc, op11_exact_dedup, op12_vector_codes)
+    f.__name__: f for f in (op1_topk_search, op2_language_id, op3_best_fit_packing, op4_jaccard_join, op5_html_extract, op6_quality_classifier, op7_suffix_dedup, op8_mix_sources, op9_ann_curves, op10_warc, op11_exact_dedup, op12_vector_codes, packing_coverage)
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.SQL, "op4_jaccard_join": jaccard_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op8_mix_sources": mixing.SQL, "op10_warc": warc.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_vector_codes": yinyang.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.SQL, "op4_jaccard_join": jaccard_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op8_mix_sources": mixing.SQL, "op10_warc": warc.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_vector_codes": yinyang.SQL, "packing_coverage": packing.COVERAGE_SQL}

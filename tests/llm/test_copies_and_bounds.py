@@ -51,6 +51,17 @@ def test_best_fit_is_the_plain_one(seed):
         assert np.array_equal(off[own], np.concatenate([[0], np.cumsum(n[own])[:-1]]))
 
 
+def test_coverage_tells_what_is_wrong(spark):
+    rows = [(1, 0, 0, 60, 0, 0, 64, 0), (2, 0, 0, 4, 0, 0, 64, 60), (3, 0, 0, 128, 0, 1, 128, 0), (3, 1, 128, 5, 0, 2, 64, 0), (4, 0, 0, 0, 0, None, None, None)]
+    schema = "doc_id long, piece int, start long, length long, shard long, sequence long, capacity int, offset int"
+    told = lambda r: sorted(map(tuple, packing.coverage(spark.createDataFrame(r, schema), (64, 128)).collect()))
+    assert told(rows) == [(1, 60, 1, True), (2, 4, 1, True), (3, 133, 2, True), (4, 0, 1, True)]
+    for k, place, value, bad in ((1, 7, 61, {2}), (0, 6, 128, {1}), (3, 2, 127, {3}), (0, 3, 61, {1, 2})):
+        wrong = [list(r) for r in rows]
+        wrong[k][place] = value
+        assert {r[0] for r in told([tuple(r) for r in wrong]) if not r[3]} == bad
+
+
 def test_copies_of_a_row_go_to_all_shards(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.expr("if(id % 3 = 0, 'a b c', repeat('w ', int(id % 50)))").alias("text"))
     got = packing.pack(df, capacities=(64, 128), shard_rows=100)
