@@ -29,7 +29,7 @@ from .metrics import metric as named
 PIVOTS = 8
 #: Frames of the sample that pivots come from, those of smallest hash.
 SAMPLE = 2048
-#: Frames of a cell of the first distance, the most cells, the frames of a cell that give a first radius, and those of a part of a join.
+#: Frames of a cell of the first distance, the most cells, about how many frames of a cell give a first radius, and those of a part of a join.
 CELL_ROWS, CELLS, SEEDS, PART_ROWS = 2048, 1024, 256, 65536
 ROW_GROUP = 1 << 20
 _SLACK = 1e-9
@@ -84,10 +84,10 @@ def build(index: DataFrame, path: str, pivots: int = PIVOTS, sample: int = SAMPL
         return pd.Series(np.searchsorted(cuts, p.to_numpy(), side="right").astype(np.int32))
 
     kept = kept.withColumn("cell", F.when(F.col("even"), cell("p0")))
-    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("frame_id"), "frame_id"))
-    # the frames that give first radii are few, so the window that marks them is over keys alone
-    seeds = kept.where("even").select(F.col("cell").alias("_c"), F.col("frame_id").alias("_f"), place.alias("_p")).where(F.col("_p") <= SEEDS).groupBy("_f").agg(F.lit(True).alias("_seed"))
-    kept = kept.join(seeds, F.col("frame_id") == F.col("_f"), "left").withColumn("seed", F.col("even") & F.coalesce("_seed", F.lit(False))).drop("_c", "_f", "_seed")
+    # of each cell about SEEDS frames by a hash, or all: a share that follows from how many it has, so no frames of a cell meet for it
+    sizes = F.broadcast(kept.where("even").groupBy(F.col("cell").alias("_of")).agg(F.count("*").alias("_n")))  # at most CELLS rows
+    drawn = F.pmod(F.xxhash64("frame_id"), F.lit(1 << 20)) * F.col("_n") < SEEDS << 20
+    kept = kept.join(sizes, F.col("cell") == F.col("_of"), "left").withColumn("seed", F.col("even") & F.coalesce(drawn, F.lit(False))).drop("_of", "_n")
     kept = kept.repartitionByRange(max(1, n // (16 * cell_rows) + 1), "p0", *names[1:2], "frame_id").sortWithinPartitions("even", "p0", "frame_id")
     kept.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("even").parquet(f"{path}/pivoted")
     spark.createDataFrame([(k, [a.tolist() for a in p]) for k, p in enumerate(chosen)], "k int, arrays array<array<double>>").coalesce(1).write.mode("overwrite").parquet(f"{path}/pivots")
