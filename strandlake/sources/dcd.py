@@ -324,6 +324,7 @@ class _Writer(DataSourceArrowWriter):
 
     def __init__(self, options):
         self.path, self.frames = options["path"], int(options["frames"]) if "frames" in options else None
+        self.job = uuid.uuid4().hex  # tasks get this writer, so all drafts of a write begin alike
 
     def write(self, batches) -> WriterCommitMessage:
         system, place = _place(self.path)
@@ -334,7 +335,7 @@ class _Writer(DataSourceArrowWriter):
             """A whole file of what is held."""
             nonlocal held
             if held:
-                draft = f"{place}/.{name}-{len(drafts)}"
+                draft = f"{place}/.{self.job}-{name}-{len(drafts)}"
                 with system.open_output_stream(draft) as f:
                     f.write(file_header(sum(len(r) for r, _ in held), *shape, first=held[0][1]))
                     for r, _ in held:
@@ -354,7 +355,7 @@ class _Writer(DataSourceArrowWriter):
                 n += len(raw)
                 if self.frames is not None:
                     if stream is None:
-                        drafts.append((f"{place}.{name}.draft", place))
+                        drafts.append((f"{place}.{self.job}-{name}.draft", place))
                         stream = system.open_output_stream(drafts[0][0])
                         stream.write(file_header(self.frames, *shape, first=first))
                     stream.write(raw.tobytes())
@@ -401,10 +402,15 @@ class _Writer(DataSourceArrowWriter):
                 f.write(file_header(0, 0, False))
 
     def abort(self, messages) -> None:
-        system, _ = _place(self.path)
+        """Deletes the drafts of tasks that ended, and of those that were stopped on the way. One that still runs may leave a draft, which no reader sees."""
+        system, place = _place(self.path)
         for m in messages:
             if m is not None:
                 self._delete(system, m.drafts)
+        folder, prefix = (place, f".{self.job}-") if self.frames is None else (place.rpartition("/")[0] or ".", f"{place.rpartition('/')[2]}.{self.job}-")
+        for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if f.base_name.startswith(prefix):
+                system.delete_file(f.path)
 
 
 def _loaded(reader, path: str, **options):

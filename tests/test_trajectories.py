@@ -143,7 +143,9 @@ def test_failed_writes_leave_nothing(spark, tmp_path):
     mixed = frames(spark, 20).unionByName(frames(spark, 20, 9, start=20))  # each task's frames are alike
     with pytest.raises(Exception, match="differ"):
         dcd.write_dcd_parts(mixed, f"{tmp_path}/parts", 2)
-    assert os.listdir(tmp_path / "parts") == [] and os.listdir(tmp_path / "one") == []
+    # a task that was still running when the job was given up may leave a draft, which readers pass over
+    assert [f for f in os.listdir(tmp_path / "parts") if not f.startswith(".")] == [] and os.listdir(tmp_path / "one") == []
+    assert dcd._files(f"{tmp_path}/parts") == []
 
 
 def test_stream_of_growing_files(spark, tmp_path):
