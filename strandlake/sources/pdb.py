@@ -31,13 +31,49 @@ def _cut(a: int, b: int) -> Column:
     return F.substring("line", a, b - a + 1)
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """By the session's number of partitions: adaptive execution would merge them until a task sorts a share of all lines that only the cores bound."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+#: Line numbers of a block of a file, as a power of two.
+BLOCK_BITS = 16
+
+
 def models(rows: DataFrame) -> DataFrame:
-    """``rows`` with the model number of closed MODEL blocks; a file without any MODEL is one model, and an open block is left out."""
-    w = Window.partitionBy("path").orderBy("line_no")
-    every = Window.partitionBy("path")
-    m = rows.withColumn("model", F.sum(F.col("line").startswith("MODEL").cast("int")).over(w)).withColumn("_any", F.max(F.col("line").startswith("MODEL")).over(every))
-    m = m.withColumn("_closed", F.max(F.col("line").startswith("ENDMDL")).over(Window.partitionBy("path", "model")))
-    return m.where(~F.col("_any") | ((F.col("model") > 0) & F.col("_closed"))).drop("_any", "_closed")
+    """``rows`` with the model number of closed MODEL blocks; a file without any MODEL is one model, and an open block is left out.
+
+    Lines meet in blocks of 65536 line numbers. What goes over the edges of blocks (how many models are before, and whether the
+    models at both ends are closed) comes from one small row for each block, so no task holds a file.
+    """
+    block = F.shiftright(F.col("line_no").cast("long"), BLOCK_BITS)
+    opens, ends = F.coalesce(F.col("line").startswith("MODEL"), F.lit(False)), F.coalesce(F.col("line").startswith("ENDMDL"), F.lit(False))
+    of = rows.groupBy(F.col("path").alias("_path"), block.alias("_at")).agg(
+        F.count_if(opens).alias("_count"), *[f(F.when(when, F.col("line_no"))).alias(n) for n, f, when in (("_first", F.min, opens), ("_last", F.max, opens), ("_end", F.min, ends), ("_end_last", F.max, ends))]
+    )
+    before = Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    of = of.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+    # a model over the edges of blocks is closed by an end in any of them: before the first MODEL of a later one, or from the last MODEL of its own on
+    of = of.withColumn("_head", F.col("_end").isNotNull() & (F.col("_first").isNull() | (F.col("_end") < F.col("_first"))))
+    of = of.withColumn("_tail", F.col("_end_last").isNotNull() & (F.col("_last").isNull() | (F.col("_end_last") > F.col("_last"))))
+    of = of.withColumn("_after", F.col("_before") + F.col("_count"))
+    # the blocks that hold a part of one model follow each other: the one it opens in by its tail, those after it by their heads
+    ends_of = F.explode(F.array(F.struct(F.col("_before").alias("m"), F.col("_head").alias("c")), F.struct(F.col("_after").alias("m"), F.col("_tail").alias("c"))))
+    closed = of.select("_path", ends_of.alias("e")).groupBy(F.col("_path").alias("_p"), F.col("e.m").alias("_m")).agg(F.max("e.c").alias("_c"))
+    for to, number in (("_head_closed", "_before"), ("_tail_closed", "_after")):
+        of = of.join(closed.withColumnRenamed("_c", to), F.col("_path").eqNullSafe(F.col("_p")) & (F.col(number) == F.col("_m"))).drop("_p", "_m")
+    whole = of.groupBy(F.col("_path").alias("_p")).agg((F.sum("_count") > 0).alias("_any"))
+    told = F.struct("_before", "_after", "_head_closed", "_tail_closed", "_any").alias("_told")
+    of = of.join(whole, F.col("_path").eqNullSafe(F.col("_p"))).select(F.col("_path").alias("path"), F.col("_at").alias("_block"), told)
+    # a block's row comes with its lines, in front of them, so that lines are sent and ordered once and joined with nothing
+    m = _dealt(rows.withColumn("_block", block).unionByName(of, allowMissingColumns=True), "path", "_block")
+    w = Window.partitionBy("path", "_block").orderBy(F.col("_told").isNull(), "line_no")
+    m = m.withColumns({"_of": F.first("_told", ignorenulls=True).over(w), "_opened": F.sum(opens.cast("int")).over(w)}).where("_told IS NULL")
+    m = m.select(*rows.columns, "_block", "_of.*", (F.col("_of._before") + F.col("_opened")).alias("model"))
+    here = F.max(ends).over(Window.partitionBy("path", "_block", "model"))
+    done = here | ((F.col("model") == F.col("_before")) & F.col("_head_closed")) | ((F.col("model") == F.col("_after")) & F.col("_tail_closed"))
+    m = m.withColumn("_closed", done)
+    return m.where(~F.col("_any") | ((F.col("model") > 0) & F.col("_closed"))).select(*rows.columns, "model")
 
 
 def atoms(rows: DataFrame, chain: str | None = None, mode: str = "raise") -> DataFrame:
@@ -76,6 +112,8 @@ _XYZ = ("line_no", "x", "y", "z")
 def residues(rows: DataFrame, chain: str | None = None, mode: str = "raise") -> DataFrame:
     """Residues with a CA: first_line, name and b_factor of the CA, ca, cb, n and c (null if absent) as structs; later records of an atom win."""
     a = atoms(rows, chain, mode).where(F.col("atom").isin("CA", "CB", "N", "C"))
+    if "model" in a.columns:  # a file may hold very many
+        a = _dealt(a, "path", "model")
     got = [F.max(F.when(F.col("atom") == k, F.struct(*_XYZ, "name", "b_factor"))).alias(k.lower()) for k in ("CA", "CB", "N", "C")]
     r = a.groupBy(*_residue_keys(a)).agg(F.min("line_no").alias("first_line"), *got).where("ca IS NOT NULL")
     plain = [F.when(F.col(k).isNotNull(), F.struct(*[F.col(k)[c].alias(c) for c in "xyz"])).alias(k) for k in ("ca", "cb", "n", "c")]

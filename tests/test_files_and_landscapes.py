@@ -276,3 +276,25 @@ def test_generated_paths(spark):
     assert [r.x for r in got] == [0, 0.25, 0.5, 0.75]
     p = generators.random_walks(spark, 5, 9).collect()
     assert p == generators.random_walks(spark, 5, 9).collect()
+
+
+@pytest.mark.parametrize("bits", [2, 5, 16])
+def test_models_over_the_edges_of_blocks(spark, monkeypatch, bits):
+    """Files with models longer than a block, open, empty and doubly ended ones, and lines before the first; no window spans a file's lines."""
+    monkeypatch.setattr(pdb, "BLOCK_BITS", bits)
+    r = np.random.default_rng(bits)
+    rows, want = [], []
+    for path in [f"f{k}" for k in range(12)] + [None]:
+        share = r.choice([0.0, 0.05, 0.3], 2)
+        words = [r.choice(["MODEL     1", "ENDMDL", "ATOM"], p=[share[0], share[1], 1 - share.sum()]) for _ in range(150)]
+        number = np.cumsum([w.startswith("MODEL") for w in words])
+        for k, w in enumerate(words):
+            rows.append((path, 3 * k - 40, f"{w}"))
+            if not number[-1] or (number[k] and any(v == "ENDMDL" and n == number[k] for v, n in zip(words, number, strict=True))):
+                want.append((str(path), 3 * k - 40, int(number[k])))
+    df = spark.createDataFrame(rows, "path string, line_no int, line string").repartition(3)
+    got = pdb.models(df)
+    assert got.columns == ["path", "line_no", "line", "model"]
+    assert sorted((str(t.path), t.line_no, t.model) for t in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [w for w in plan.splitlines() if "Window" in w and "line_no" in w and "_block" not in w]
