@@ -15,9 +15,15 @@ ROOT = Path(__file__).resolve().parent.parent
 log = logging.getLogger("jobs")
 
 
+#: For Python workers: memory that is freed goes back to the system, so that idle ones hold little.
+WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers that share this file tree import the library (elsewhere it is installed or given with --py-files)."""
+    """Let Python workers that share this file tree import the library (elsewhere it is installed or given with --py-files), and give memory back."""
     env = spark.sparkContext.environment
+    for key, value in WORKER.items():
+        env.setdefault(key, value)
     parts = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if str(ROOT) not in parts:
         env["PYTHONPATH"] = ":".join([str(ROOT), *parts])

@@ -16,9 +16,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec as v
@@ -40,6 +39,11 @@ def _spectra(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, ((a[:, None, :] - b[None]) ** 2).mean(2))) if a.shape[1] else np.zeros((len(a), len(b)))
 
 
+def _cell(distance: Column, cuts: list[float]) -> Column:
+    """How many cuts are at most ``distance``: a cell's number, without Python workers beside those of the searches."""
+    return F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= distance))
+
+
 def choose(sample: list[tuple], count: int, of: Metric) -> list[tuple]:
     """Frames far from each other: the one farthest from the sample's first, then always that farthest from those chosen."""
     at = [int(of.between(sample, sample[:1]).ravel().argmax())]
@@ -79,11 +83,7 @@ def build(index: DataFrame, path: str, pivots: int = PIVOTS, sample: int = SAMPL
     marks = kept.where("even").agg(F.percentile_approx("p0", F.lit([i / cells for i in range(1, cells)]), 20000)).head()[0] if cells > 1 else []
     cuts = sorted(set(marks or []))
 
-    @F.pandas_udf("int")
-    def cell(p: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, p.to_numpy(), side="right").astype(np.int32))
-
-    kept = kept.withColumn("cell", F.when(F.col("even"), cell("p0")))
+    kept = kept.withColumn("cell", F.when(F.col("even"), _cell(F.col("p0"), cuts)))
     # of each cell about SEEDS frames by a hash, or all: a share that follows from how many it has, so no frames of a cell meet for it
     sizes = F.broadcast(kept.where("even").groupBy(F.col("cell").alias("_of")).agg(F.count("*").alias("_n")))  # at most CELLS rows
     drawn = F.pmod(F.xxhash64("frame_id"), F.lit(1 << 20)) * F.col("_n") < SEEDS << 20
@@ -255,14 +255,16 @@ class PivotIndex:
         kinds = ", ".join([*(f"q{k} double" for k in range(len(pivots))), "q_cell int"])
 
         def placed(batches):
-            for d in batches:
-                x = np.array([*d["q_writhe"]], float).reshape(len(d), -1)
-                own = _spectra(x, pivots)
-                yield pd.concat([d.reset_index(drop=True), pd.DataFrame(own, columns=[f"q{k}" for k in range(len(pivots))]).assign(q_cell=np.searchsorted(cuts, own[:, 0], side="right").astype(np.int32))], axis=1)
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    d = b.slice(at, 1024)
+                    own = _spectra(d.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(d.num_rows, -1), pivots)
+                    cell = np.searchsorted(cuts, own[:, 0], side="right").astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*d.columns, *map(pa.array, own.T.copy()), pa.array(cell)], names=[*d.schema.names, *(f"q{k}" for k in range(len(pivots))), "q_cell"])
 
         asked = queries.select("query_id", F.col("writhe").alias("q_writhe"))
         even = asked.where(F.size("q_writhe") == length)
-        q = even.mapInPandas(placed, f"query_id long, q_writhe array<double>, {kinds}")
+        q = even.mapInArrow(placed, f"query_id long, q_writhe array<double>, {kinds}")
         seeds = self.frames.where("even AND seed").select("cell", "frame_id", "writhe", *names)
         wide = q.withColumns({"reach": F.lit(float("inf")), "limit": F.lit(float("inf"))})
         pair, out = _near_pairs(k, len(pivots)), "query_id long, frame_id long, writhe_distance double"
@@ -270,13 +272,9 @@ class PivotIndex:
         first = first.groupBy("query_id").agg(F.max("writhe_distance").alias("r"), F.count("*").alias("have")).where(F.col("have") == k)
         q = q.join(first.select(F.col("query_id").alias("_q"), "r"), F.col("query_id") == F.col("_q"), "left").drop("_q")
 
-        @F.pandas_udf("int")
-        def cell(p: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(cuts, p.to_numpy(), side="right").astype(np.int32))
-
         reach = F.col("r") + _SLACK * (1 + F.col("r") + F.greatest(F.lit(0.0), *[F.col(f"q{k}") for k in range(len(pivots))]))
         q = q.withColumns({"reach": F.coalesce(reach, F.lit(float("inf"))), "limit": F.coalesce("r", F.lit(float("inf")))})
-        ends = q.withColumn("lo", cell(F.col("q0") - F.col("reach"))).withColumn("hi", cell(F.col("q0") + F.col("reach")))
+        ends = q.withColumn("lo", _cell(F.col("q0") - F.col("reach"), cuts)).withColumn("hi", _cell(F.col("q0") + F.col("reach"), cuts))
         parts = self.frames.where("even").groupBy("cell").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
         parts = F.broadcast(parts.select(F.col("cell").alias("of"), "parts"))  # at most CELLS rows
         spread = ends.withColumn("at", F.explode(F.sequence("lo", "hi"))).join(parts, F.col("at") == F.col("of")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("of")

@@ -189,3 +189,22 @@ def test_silhouette_sums_each_distance_once(monkeypatch):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     assert np.allclose(got, np.stack([d[:, rows[1] == k].sum(1) for k in range(6)], 1), atol=1e-9)
     assert sum(n * m for n, m in made) < 0.7 * 1500**2
+
+
+def test_cells_need_no_python_workers_beside_those_of_the_search(spark, table):
+    _, index = table
+    cuts = [0.5, 1.0, 2.0]
+    at = [-float("inf"), 0.4, 0.5, 0.7, 1.0, 2.0, 3.0, float("inf"), float("nan")]
+    got = spark.createDataFrame([(x,) for x in at], "p double").select(pivots._cell(F.col("p"), cuts).alias("c")).collect()
+    assert [r.c for r in got] == np.searchsorted(cuts, at, side="right").tolist()
+    q = spark.createDataFrame([(0, [float(x) for x in index.spectrum(0)])], "query_id long, writhe array<double>")
+    plan = index.nearest_of(q, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInPandas" not in plan
+
+
+def test_workers_of_jobs_give_memory_back(spark):
+    from jobs.common import ship
+
+    ship(spark)
+    env = spark.sparkContext.environment
+    assert env["ARROW_DEFAULT_MEMORY_POOL"] == "system" and int(env["MALLOC_TRIM_THRESHOLD_"]) <= 4 << 20
