@@ -1,5 +1,5 @@
-"""Functions for SQL text: distances of angles, bends, spectra and moment states as SQL-bodied functions, which plans see through,
-and a table function that gives the residues of a structure file held in a column."""
+"""Functions for SQL text: distances of angles, bends, spectra and moment states, printed coordinates and angles of points as SQL-bodied
+functions, which plans see through, and a table function that gives the residues of a structure file held in a column."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+#: What format_string has to be given for x to print three decimals as C's printf does: by the exact value, ties to even. By itself it takes
+#: all ties of the shortest digits up. Only what is close to a tie is rounded first, by format_number, which is exact but for 0.0005 (it is over its tie).
+THREE_DECIMALS = "CASE WHEN abs(abs({x} * 1000D) % 1 - 0.5D) < 0.001D THEN CAST(format_number(CASE WHEN abs({x}) = 0.0005D THEN 2 * {x} ELSE {x} END, '0.000') AS DOUBLE) ELSE {x} END"
+
 #: name -> parameters, result type and body. Temporary functions of the session.
 SCALARS: dict[str, tuple[str, str, str]] = {
     "circle_distance": ("a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN abs(a - b) > pi() THEN 2 * pi() - abs(a - b) ELSE abs(a - b) END"),
@@ -17,6 +21,9 @@ SCALARS: dict[str, tuple[str, str, str]] = {
         "DOUBLE",
         "CASE WHEN least(size(a), size(b)) > 0 THEN sqrt(aggregate(zip_with(slice(a, 1, least(size(a), size(b))), slice(b, 1, least(size(a), size(b))), (p, q) -> (p - q) * (p - q)), 0D, (s, x) -> s + x) / least(size(a), size(b))) ELSE 0D END",
     ),
+    "three_decimals": ("x DOUBLE", "DOUBLE", THREE_DECIMALS.format(x="x")),
+    # atan2 with the signs of zeros, which Spark's leaves out: a text of -0.000 keeps its sign
+    "point_angle": ("y DOUBLE, x DOUBLE", "DOUBLE", "CASE WHEN y = 0 AND (x < 0 OR x = 0 AND CAST(x AS STRING) = '-0.0') THEN CASE WHEN CAST(y AS STRING) = '-0.0' THEN -pi() ELSE pi() END ELSE atan2(y, x) END"),
 }
 
 RESIDUE = "res int, chain_id string, seq_id int, i_code string, name string, b_factor double, x double, y double, z double, bx double, by double, bz double"

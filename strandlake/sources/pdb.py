@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import vec as v
 from ..operators.geometry import EPSILON, bond_strand, pseudo_strand
 
@@ -188,7 +189,13 @@ def base_curves(rows: DataFrame, chain: str | None = None, mode: str = "raise")
     return r.select(*keys, place.alias("res"), *cols, "name", "chain_id", "seq_id", "i_code", "b_factor")
 
 
+def printable(points: DataFrame, *names: str) -> DataFrame:
+    """``points`` with these coordinates (x, y and z by default) as format_string's %8.3f needs them."""
+    return points.withColumns({c: F.expr(tables.THREE_DECIMALS.format(x=c)) for c in names or "xyz"})
+
+
 def to_lines(points: DataFrame) -> DataFrame:
     """frame_id, line_no, line: alpha-carbon records of every point."""
     line = F.format_string("ATOM  %5d  CA  ALA A%4d    %8.3f%8.3f%8.3f  1.00  0.00           C", (F.col("res") + 1).cast("int"), (F.col("res") + 1).cast("int"), "x", "y", "z")
-    return points.select("frame_id", F.col("res").alias("line_no"), line.alias("line"))
+    # exploded, as filters on the line would else be moved before it and format it once more for each of their terms
+    return printable(points).select("frame_id", F.col("res").alias("line_no"), F.explode(F.array(line)).alias("line"))

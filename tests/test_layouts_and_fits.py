@@ -104,6 +104,41 @@ def test_table_function_is_the_column_form(spark):
     assert tuple(row) == pytest.approx((2 * np.pi - 6.2, 2 * np.pi - 6.2, np.sqrt(2.5), 0.0))
 
 
+def test_texts_of_coordinates_and_angles_of_zeros(spark):
+    """As C's printf and atan2 have them: ties by the exact value and to even, and the signs of zeros."""
+    import math
+
+    tables.register(spark)
+    r = np.random.default_rng(5)
+    xs = [k / 16 for k in range(-40, 40)] + [k / 2000 for k in range(-3000, 3000)] + [float(np.float32(x)) for x in r.standard_normal(500)] + [-0.0, -0.0001, 1e-300, 9999.9995, 1234.5675, np.nan]
+    df = spark.createDataFrame([(i, 0, x, 0.0, x) for i, x in enumerate(xs)], "frame_id long, res int, x double, y double, z double")
+    texts = {r.frame_id: r.line.lower() for r in pdb.to_lines(df).collect()}
+    assert [(texts[i][30:38], texts[i][46:54]) for i in range(len(xs))] == [(f"{x:8.3f}",) * 2 for x in xs]
+    assert [t.lower() for (t,) in df.orderBy("frame_id").selectExpr("format_string('%8.3f', three_decimals(x))").collect()] == [f"{x:8.3f}" for x in xs]
+    zeros = [(y, x) for y in (-0.0, 0.0, -0.5, 0.5) for x in (-0.0, 0.0, -0.5, 0.5)]
+    got = spark.createDataFrame(zeros, "y double, x double").selectExpr("point_angle(y, x)").collect()
+    assert [a for (a,) in got] == pytest.approx([math.atan2(*z) for z in zeros])
+
+
+@pytest.mark.parametrize("query", ["structures_in_sql", "pdb_round_trip", "pdb_ribbons", "pdb_nucleotides", "pdb_models"])
+def test_structure_files_of_ties_and_of_points_at_the_origin(spark, tmp_path, query):
+    """Components on odd sixteenths, and second points whose texts are 0.000 or -0.000."""
+    import duckdb
+
+    from strandlake.plans.oracles import SQL
+    from strandlake.plans.queries import QUERIES
+
+    x = np.random.default_rng(6).standard_normal((12, 64)).astype(np.float32)
+    x[8:, :] = np.random.default_rng(7).integers(-9, 9, (4, 64)) / 8 + 1 / 16
+    for k, at in enumerate([(-0.0001, 0.0002), (-0.0002, -0.0001), (0.0001, -0.0001), (0.0001, 0.0001), (-0.3, -0.0001), (0.0, -0.0625)]):
+        x[k + 1, 3:5] = at
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = QUERIES[query](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(c.sql(f"SELECT {', '.join(df.columns)} FROM ({SQL[query]})").fetchall())
+
+
 def test_points_by_frame_need_no_exchange(spark, tmp_path):
     points = bindings.frames(spark, SF)
     laid = layout.write_by_frame(points, f"{tmp_path}/points", 4)
